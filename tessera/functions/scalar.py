@@ -228,14 +228,21 @@ def literal_array(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def broadcast_scalar(value: Column, like: Column) -> Column:
+    """Repeat a per-row scalar to the length of ``like`` so a lambda can
+    read it as an argument: referenced inside a lambda body it would be
+    re-evaluated once per element."""
+    return F.array_repeat(value, F.size(like))
+
+
 def softmax_array(a: Colish) -> Column:
     """F2 row-wise softmax: subtract the row max, exponentiate, normalise.
     (The source subtracts the global max; the row max gives the same result
-    and needs no extra pass.)"""
+    and needs no extra pass.)  Linear in the array length."""
     a = F.transform(_c(a), lambda x: x.cast("double"))
-    shifted = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
+    shifted = F.zip_with(a, broadcast_scalar(F.array_max(a), a), lambda x, m: F.exp(x - m))
     total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda x: x / total)
+    return F.zip_with(shifted, broadcast_scalar(total, shifted), lambda e, t: e / t)
 
 
 def argmax_array(a: Colish) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-CATALOGS = ["profile"]
+CATALOGS = ["profile", "features"]
 
 
 def all_queries() -> dict:
