@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-CATALOGS = ["profile", "features"]
+CATALOGS = ["profile", "features", "prep"]
 
 
 def all_queries() -> dict:
