@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-CATALOGS = ["profile", "features", "prep"]
+CATALOGS = ["profile", "features", "prep", "images"]
 
 
 def all_queries() -> dict:
