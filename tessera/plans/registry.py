@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-CATALOGS = ["profile", "features", "prep", "images"]
+CATALOGS = ["profile", "features", "prep", "images", "models"]
 
 
 def all_queries() -> dict:
