@@ -22,6 +22,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 
 def with_vector(df: DataFrame, array_col: str, out: str = "features", dims=None) -> DataFrame:
     """array<float> -> ml Vector (optionally a dimension slice)."""
@@ -70,6 +72,7 @@ def cv_scores(df: DataFrame, estimator: Estimator, label: str = "label", fold: s
     """V1/V2: score of a fresh fit per fold (train on the other folds).
     Returns (fold, score); the fold list is read once (k values)."""
     spark = df.sparkSession
+    df = cut_lineage(df)      # k fits reuse the input; never recompute its lineage
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName=metric)
     rows = []
@@ -83,6 +86,7 @@ def oof_predict(df: DataFrame, key: str, estimator: Estimator, fold: str = "fold
                 prob_col: str = "probability") -> DataFrame:
     """V2: every row predicted exactly once by the model not trained on its
     fold; output (key, fold, prediction, probability array)."""
+    df = cut_lineage(df)
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     parts = []
     for f in folds:
@@ -137,6 +141,7 @@ def grid_search(df: DataFrame, estimator, grid, label: str = "label", fold: str
     """V9: ParamGridBuilder grid scored by CrossValidator on the fold column;
     returns (params, metric) rows."""
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    df = cut_lineage(df)
     k = df.select(fold).distinct().count()          # fold ids must be 0..k-1
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=ev,
                         foldCol=fold, numFolds=k, parallelism=parallelism)
@@ -276,7 +281,8 @@ def stack_blend(df: DataFrame, key: str, label: str, base: dict, fold: str = "fo
     the fold models; a logistic blend is fitted on the OOF columns and its
     test probabilities are linearly stretched to [0, 1]."""
     from tessera.operators.features import minmax_stretch
-    test = test if test is not None else df
+    df = cut_lineage(df)
+    test = df if test is None else cut_lineage(test)
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     oof_cols, test_cols = None, None
     for name, est in base.items():
@@ -330,6 +336,7 @@ class RotationForest:
     def fit(self, df: DataFrame, array_col: str, label: str = "label", key: str = "key"):
         from tessera.operators.elm import covariance, matmul_layer, rotation_matrix
         rs = random.Random(self.seed)
+        df = cut_lineage(df)
         hold = F.pmod(F.xxhash64(F.col(key), F.lit(self.seed)), F.lit(10)) < 3
         vec = with_vector(df, array_col)
         scores = {}

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from tessera.operators import elm, metrics, models
 from tessera.plans.catalog_features import emb_folds
-from tessera.session import table
+from tessera.session import cut_lineage, table
 
 
 def _split(spark, sf):
-    f = models.with_vector(emb_folds(spark, sf), "embedding")
+    # folds + vectors written once to the checkpoint folder: every model
+    # iteration below re-reads this table instead of recomputing it
+    f = cut_lineage(models.with_vector(emb_folds(spark, sf), "embedding"))
     return f.where(F.col("fold") != 0), f.where(F.col("fold") == 0), f
 
 
@@ -93,7 +95,7 @@ def blocked_day_cv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def elm_classify(spark: SparkSession, sf: str) -> DataFrame:
-    f = emb_folds(spark, sf)
+    f = cut_lineage(emb_folds(spark, sf))
     clf = elm.ElmClassifier(n_hidden=200, density=1, seed=0).fit(
         f.where(F.col("fold") != 0), "embedding", "label")
     return clf.predict(f.where(F.col("fold") == 0).select("vec_id", "label", "embedding"),
@@ -108,7 +110,7 @@ def elm_ae_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def deep_elm_ae(spark: SparkSession, sf: str) -> DataFrame:
-    f = emb_folds(spark, sf)
+    f = cut_lineage(emb_folds(spark, sf))
     m = elm.DeepElmAutoEncoder(widths=[32, 32], C=[1e3, 0, 1e3], slopes=[1.0, 1.0]).fit(
         f.where(F.col("fold") != 0), "embedding", "label")
     return m.reconstruct(f.where(F.col("fold") == 0).select("vec_id", "label", "embedding"),
