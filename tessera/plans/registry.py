@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-CATALOGS = ["profile", "features", "prep", "images", "models"]
+CATALOGS = ["profile", "features", "prep", "images", "models", "stream"]
 
 
 def all_queries() -> dict:
