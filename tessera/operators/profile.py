@@ -150,16 +150,31 @@ def binary_columns(df: DataFrame, cols=None) -> DataFrame:
 # ------------------------------------------------------------- summaries
 def _distinct_counts(df: DataFrame, values: dict) -> DataFrame:
     """Exact distinct non-null count per attribute from the long form.
-    ``values`` maps attribute -> string Column (null = skip)."""
-    names = list(values)
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("attribute"), values[n].alias("value")) for n in names])))
-    return (long.where(F.col("value").isNotNull()).distinct()
+
+    ``values`` maps attribute -> Column.  Values travel in typed slots
+    (long / double / string) so numbers are never formatted as text;
+    grouping normalises -0.0 and NaN the way a Python set does."""
+    def slot(c):
+        t = c[1]
+        v = c[0]
+        if t in INTEGRAL or t == "boolean":
+            return v.cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+        if t in FLOATING or t.startswith("decimal"):
+            return F.lit(None).cast("long"), v.cast("double"), F.lit(None).cast("string")
+        return F.lit(None).cast("long"), F.lit(None).cast("double"), v.cast("string")
+    structs = []
+    for n, spec in values.items():
+        lv, dv, sv = slot(spec if isinstance(spec, tuple) else (spec, "string"))
+        structs.append(F.struct(F.lit(n).alias("attribute"), lv.alias("lv"), dv.alias("dv"),
+                                sv.alias("sv")))
+    long = df.select(F.inline(F.array(*structs)))
+    present = F.col("lv").isNotNull() | F.col("dv").isNotNull() | F.col("sv").isNotNull()
+    return (long.where(present).distinct()
             .groupBy("attribute").agg(F.count(F.lit(1)).alias("n_distinct")))
 
 
 def _as_text_key(c, t: str):
-    """Injective text form for distinct counting; -0.0 folds into 0.0."""
+    """Text form for value counts of mixed columns; -0.0 folds into 0.0."""
     if t in FLOATING:
         return F.when(~F.isnan(c), (c + F.lit(0.0)).cast("string"))
     return c.cast("string")
@@ -192,7 +207,7 @@ def column_summary(df: DataFrame, cols=None) -> DataFrame:
             _count_if(~blank & num.isNull()).alias(f"bad{i}"),
             F.min(ok).alias(f"lo{i}"), F.max(ok).alias(f"hi{i}"),
         ]
-        text_keys[c] = F.when(~blank, _as_text_key(col, t))
+        text_keys[c] = (F.when(~blank, col), t)
     wide = df.agg(*aggs)
     names = [c for c, _ in types]
     stats = _long(wide, names, {"n_rows": "n_rows", "n_null": "nn{}", "bad": "bad{}",
@@ -222,22 +237,31 @@ def column_summary_capped(df: DataFrame, cols=None, cap: int = 1000,
     * n_uniq over parsed values (whole column numeric) or stripped text, with
       the blank value counted once; shown as ``'> cap'`` above the cap.
 
-    Columns whose HyperLogLog estimate is above ``approx_margin * cap`` are
-    reported as ``'> cap'`` without an exact distinct (their error would have
-    to exceed 75% to be wrong); every other column gets an exact count.
+    Columns already typed as numbers skip the text round trip (their text
+    always parses back to the same number; only null is blank).  Columns
+    whose HyperLogLog estimate is above ``approx_margin * cap`` are reported
+    as ``'> cap'`` without an exact distinct (the estimate would have to be
+    75% off to be wrong); every other column gets an exact count.
     """
     names = list(cols) if cols is not None else list(df.columns)
+    types = dict(df.dtypes)
+
+    def parts(c):
+        t = types[c]
+        if _is_numeric(t) or t == "boolean":
+            return _q(c).isNull(), _q(c).cast("double"), None
+        s = F.trim(_q(c).cast("string"))
+        return is_trimmed_blank(_q(c)), try_double(s), s
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(names):
-        s = F.trim(_q(c).cast("string"))
-        blank = is_trimmed_blank(_q(c))
-        num = try_double(s)
+        blank, num, s = parts(c)
+        key = num if s is None else s
         aggs += [
             _count_if(blank).alias(f"nn{i}"),
             _count_if(~blank & num.isNull()).alias(f"bad{i}"),
             F.min(F.when(~blank, num)).alias(f"lo{i}"),
             F.max(F.when(~blank, num)).alias(f"hi{i}"),
-            F.approx_count_distinct(F.when(~blank, s), 0.05).alias(f"ap{i}"),
+            F.approx_count_distinct(F.when(~blank, key), 0.05).alias(f"ap{i}"),
         ]
     wide = df.agg(*aggs)
     stats = _long(wide, names, {"n_rows": "n_rows", "n_null": "nn{}", "bad": "bad{}",
@@ -247,9 +271,8 @@ def column_summary_capped(df: DataFrame, cols=None, cap: int = 1000,
     exact_cols = [r["attribute"] for r in rows if r["approx"] <= approx_margin * cap]
     keys = {}
     for c in exact_cols:
-        s = F.trim(_q(c).cast("string"))
-        v = (try_double(s) + F.lit(0.0)).cast("string") if numeric[c] else s
-        keys[c] = F.when(~is_trimmed_blank(_q(c)), v)
+        blank, num, s = parts(c)
+        keys[c] = (F.when(~blank, num), "double") if numeric[c] else (F.when(~blank, s), "string")
     if keys:
         distinct = _distinct_counts(df, keys)
     else:
@@ -259,12 +282,13 @@ def column_summary_capped(df: DataFrame, cols=None, cap: int = 1000,
     exact = F.col("n_distinct").isNotNull() | F.col("attribute").isin(exact_cols)
     n_uniq = F.when(exact & (total <= cap), total.cast("string")).otherwise(F.lit(f"> {cap}"))
     numeric_col = F.col("bad") == 0
-    return (stats.join(distinct, "attribute", "left")
-            .select("attribute",
-                    F.when(numeric_col, finite_or_null(F.col("lo"))).alias("min"),
-                    F.when(numeric_col, finite_or_null(F.col("hi"))).alias("max"),
-                    F.col("n_null"), n_uniq.alias("n_uniq"),
-                    F.try_divide(F.col("n_null").cast("double"), F.col("n_rows")).alias("perc_null")))
+    out = (stats.join(distinct, "attribute", "left")
+           .select("attribute",
+                   F.when(numeric_col, finite_or_null(F.col("lo"))).alias("min"),
+                   F.when(numeric_col, finite_or_null(F.col("hi"))).alias("max"),
+                   F.col("n_null"), n_uniq.alias("n_uniq"),
+                   F.try_divide(F.col("n_null").cast("double"), F.col("n_rows")).alias("perc_null")))
+    return out
 
 
 def label_counts_capped(df: DataFrame, label: str, cap: int = 1000) -> DataFrame | None:
@@ -353,9 +377,13 @@ def table_equal(a: DataFrame, b: DataFrame, keys: list[str],
 def correlation_matrix(df: DataFrame, cols=None, method: str = "pearson") -> DataFrame:
     """Long correlation matrix (a, b, corr), pairwise-complete.
 
-    Pearson comes from co-moments in one aggregate; a constant column gives
+    Two cheap passes of plain sums (map-side partial aggregation, no
+    per-row divisions): pass 1 gives each column's mean and null count;
+    pass 2 sums mean-shifted products, so the moments are numerically
+    stable.  Pairs of null-free columns share per-column terms; only pairs
+    touching a nullable column carry masked terms.  A constant column gives
     null (no division by zero under ANSI).  Spearman correlates average
-    ranks, joined back per column from a distributed rank table.
+    ranks from a distributed rank table.
     """
     cols = list(cols) if cols is not None else [c for c, t in df.dtypes if _is_numeric(t)]
     t = dict(df.dtypes)
@@ -364,27 +392,49 @@ def correlation_matrix(df: DataFrame, cols=None, method: str = "pearson") -> Dat
         base = _rank_columns(base, cols)
     elif method != "pearson":
         raise ValueError("method must be 'pearson' or 'spearman' (kendall needs all pairs)")
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            ca, cb = F.col(f"`{a}`"), F.col(f"`{b}`")
-            both = ca.isNotNull() & cb.isNotNull()
-            xa, xb = F.when(both, ca), F.when(both, cb)
-            aggs += [F.covar_pop(xa, xb).alias(f"c{i}_{j}"),
-                     F.var_pop(xa).alias(f"va{i}_{j}"), F.var_pop(xb).alias(f"vb{i}_{j}")]
-            pairs.append((i, j))
-    wide = df.sparkSession.createDataFrame([], "x int") if not pairs else base.agg(*aggs)
+    p1 = base.agg(F.count(F.lit(1)).alias("n"),
+                  *[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                  *[F.count(_q(c)).alias(f"k{i}") for i, c in enumerate(cols)]).first()
+    n_all = p1["n"]
+    shift = [p1[f"m{i}"] if p1[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
+    nullable = [p1[f"k{i}"] < n_all for i in range(len(cols))]
+    x = [(_q(c) - F.lit(shift[i])) for i, c in enumerate(cols)]
+    aggs = []
+    for i in range(len(cols)):                       # shared per-column terms
+        aggs += [F.sum(x[i]).alias(f"s{i}"), F.sum(x[i] * x[i]).alias(f"q{i}"),
+                 F.count(x[i]).alias(f"n{i}")]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    for i, j in pairs:
+        aggs.append(F.sum(x[i] * x[j]).alias(f"x{i}_{j}"))
+        if nullable[i] or nullable[j]:
+            both = _q(cols[i]).isNotNull() & _q(cols[j]).isNotNull()
+            xi, xj = F.when(both, x[i]), F.when(both, x[j])
+            aggs += [F.count(xi).alias(f"n{i}_{j}"), F.sum(xi).alias(f"sa{i}_{j}"),
+                     F.sum(xj).alias(f"sb{i}_{j}"), F.sum(xi * xi).alias(f"qa{i}_{j}"),
+                     F.sum(xj * xj).alias(f"qb{i}_{j}")]
+    wide = base.agg(*aggs)
+
+    def pearson(n, sa, sb, qa, qb, xab):
+        va = qa - sa * sa / n
+        vb = qb - sb * sb / n
+        r = F.try_divide(xab - sa * sb / n, F.sqrt(va * vb))
+        return F.when((n > 0) & (va > 0) & (vb > 0), r)
+
     structs = []
+    for i in range(len(cols)):
+        n, sa, qa = F.col(f"n{i}"), F.col(f"s{i}"), F.col(f"q{i}")
+        d = F.when((n > 0) & (qa - sa * sa / n > 0), F.lit(1.0))
+        structs.append(F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[i]).alias("b"),
+                                d.alias("corr")))
     for i, j in pairs:
-        r = F.try_divide(F.col(f"c{i}_{j}"), F.sqrt(F.col(f"va{i}_{j}") * F.col(f"vb{i}_{j}")))
-        r = F.when((F.col(f"va{i}_{j}") > 0) & (F.col(f"vb{i}_{j}") > 0), r)
-        if i == j:
-            r = F.when(F.col(f"va{i}_{j}") > 0, F.lit(1.0))
+        if nullable[i] or nullable[j]:
+            r = pearson(F.col(f"n{i}_{j}"), F.col(f"sa{i}_{j}"), F.col(f"sb{i}_{j}"),
+                        F.col(f"qa{i}_{j}"), F.col(f"qb{i}_{j}"), F.col(f"x{i}_{j}"))
+        else:
+            r = pearson(F.col(f"n{i}"), F.col(f"s{i}"), F.col(f"s{j}"), F.col(f"q{i}"),
+                        F.col(f"q{j}"), F.col(f"x{i}_{j}"))
         structs.append(F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), r.alias("corr")))
-        if i != j:
-            structs.append(F.struct(F.lit(cols[j]).alias("a"), F.lit(cols[i]).alias("b"), r.alias("corr")))
+        structs.append(F.struct(F.lit(cols[j]).alias("a"), F.lit(cols[i]).alias("b"), r.alias("corr")))
     return wide.select(F.inline(F.array(*structs)))
 
 
