@@ -76,3 +76,35 @@ def to_features(df: DataFrame, exclude, vector_col: str = "features") -> DataFra
 
 __all__ = ["pairwise_features", "datetime_features", "minmax_stretch", "column_range",
            "linear_combination", "to_features", "S"]
+
+
+def generated_columns(prefix: str, n: int, start: int = 1) -> list[str]:
+    """Names ``prefix1..prefixN`` (e.g. feat_1..feat_90) for a select."""
+    return [f"{prefix}{i}" for i in range(start, start + n)]
+
+
+def positional_columns(df: DataFrame, start: int, stop: int | None = None) -> list[str]:
+    """Columns by position (label = column 0, features = the rest)."""
+    return df.columns[start:stop]
+
+
+def shape(df: DataFrame) -> tuple[int, int]:
+    """(rows, columns); the row count is one distributed count."""
+    return df.count(), len(df.columns)
+
+
+def shuffle_rows(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """A seeded row order from a hash of the key (independent of
+    partitioning); rarely needed, since nothing depends on row order."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """N rows without replacement, chosen by hash order (the limit is
+    the sampling operator itself)."""
+    return shuffle_rows(df, key, seed).limit(n)
+
+
+def feature_union(df: DataFrame, array_cols, out: str = "union") -> DataFrame:
+    """Concatenate the outputs of several transformers (array columns)."""
+    return df.withColumn(out, F.concat(*[F.col(c).cast("array<double>") for c in array_cols]))

@@ -118,3 +118,13 @@ def sparse_filter_activation(df: DataFrame, vec: str, W: np.ndarray, out: str =
     return (staged.withColumn(out, F.zip_with("_nf", F.array_repeat(row_norm, F.size("_nf")),
                                               lambda a, b: a / b))
             .drop("_fs", "_nf"))
+
+
+def exemplar_centres(df: DataFrame, key: str, vec: str, n_hidden: int, seed: int = 0):
+    """M15 ``use_exemplars``: n_hidden rows of the data, by hash order, as
+    centres (n_hidden is the layer width, so the collected block is bounded)."""
+    if df.limit(n_hidden).count() < n_hidden:
+        raise ValueError("n_hidden must be <= n_samples when using exemplars")
+    rows = (df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+            .select(vec).limit(n_hidden).collect())
+    return np.array([np.asarray(r[0], dtype=float) for r in rows])

@@ -169,3 +169,36 @@ def rotate_images(df: DataFrame, key: str, pixels: str, width: int, seed: int =
             yield pd.concat(parts, ignore_index=True)
 
     return src.mapInPandas(fn, out_schema)
+
+
+def normalise_images(df: DataFrame, pixels: str) -> DataFrame:
+    """G8 normalisation: subtract the dataset mean pixel value and divide by
+    the dataset std (one aggregate; two numbers reach the driver)."""
+    st = df.select(F.explode(pixels).alias("v")).agg(F.avg("v").alias("m"),
+                                                     F.stddev_pop("v").alias("s")).first()
+    m, s = float(st["m"]), float(st["s"]) or 1.0
+    return df.withColumn(pixels, F.transform(pixels, lambda x: (x.cast("double") - m) / s))
+
+
+def flip_shift_images(df: DataFrame, pixels: str, width: int, bits: Column,
+                      max_shift: int = 1) -> DataFrame:
+    """Random horizontal flip and shift of each image, driven by a
+    per-row integer ``bits`` (e.g. a hash of the key): bit 0 = flip,
+    (bits >> 1) mod (2*max_shift+1) - max_shift = column shift,
+    (bits >> 4) mod (2*max_shift+1) - max_shift = row shift; zero fill."""
+    arr = F.col(pixels)
+    height = F.size(arr) / width
+    span = 2 * max_shift + 1
+    flip = F.pmod(bits, F.lit(2)) == 1
+    dc = F.pmod(F.floor(bits / 2), F.lit(span)) - max_shift
+    dr = F.pmod(F.floor(bits / 16), F.lit(span)) - max_shift
+
+    def move(_x, i):
+        r = F.floor(i / width)
+        c0 = i % width
+        c = F.when(flip, width - 1 - c0).otherwise(c0)
+        rr, cc = r + dr, c + dc
+        ok = (rr >= 0) & (rr < height) & (cc >= 0) & (cc < width)
+        return F.when(ok, F.element_at(arr, (rr * width + cc + 1).cast("int")).cast("double")) \
+                .otherwise(F.lit(0.0))
+    return df.withColumn(pixels, F.transform(arr, move))

@@ -130,6 +130,22 @@ def feature_group_cv(df: DataFrame, groups, label: str, estimator: Estimator, ar
     return score_table(scores)
 
 
+def shuffle_split_scores(df: DataFrame, key: str, label: str, estimator: Estimator,
+                         n: int = 3, train_frac: float = 0.15) -> DataFrame:
+    """V3: n stratified shuffle splits (train_frac of every class trains,
+    the rest tests), stratified on the label actually passed in (the
+    source stratified on a global)."""
+    from tessera.operators.validate import hash_order, stratified_holdout
+    df = cut_lineage(df)
+    rows = []
+    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    for i in range(n):
+        split = stratified_holdout(df, key, label, train_frac, order=hash_order(key, 4 * i))
+        model = estimator.copy().fit(split.where("is_train"))
+        rows.append((i, float(ev.evaluate(model.transform(split.where("NOT is_train"))))))
+    return df.sparkSession.createDataFrame(rows, "repeat int, score double")
+
+
 def compare_models(df: DataFrame, estimators: dict, label: str = "label",
                    fold: str = "fold") -> DataFrame:
     """V8: fold scores for every named estimator."""

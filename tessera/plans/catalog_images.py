@@ -111,7 +111,18 @@ def sparse_filter_activation(spark: SparkSession, sf: str) -> DataFrame:
         "vec_id", "feature", F.round("value", 9).alias("value"))
 
 
+def flip_shift_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Dataset mean/std normalisation, then a per-image horizontal flip
+    and one-pixel shift chosen by a portable hash of the key."""
+    emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    norm = images.normalise_images(emb, "embedding")
+    bits = F.pmod(F.col("vec_id") * F.lit(2654435761) + F.lit(3), F.lit(4294967291))
+    out = images.flip_shift_images(norm, "embedding", WIDTH, bits)
+    return _long(out, ["vec_id"], "embedding")
+
+
 QUERIES = {
+    "flip_shift_images": flip_shift_images,
     "nudge_images": nudge_images,
     "translate_images": translate_images,
     "downsample_images": downsample_images,

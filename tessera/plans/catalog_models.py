@@ -171,7 +171,28 @@ def soft_vote_models(spark: SparkSession, sf: str) -> DataFrame:
                                                .alias("prediction"))
 
 
+def rbf_svm(spark: SparkSession, sf: str) -> DataFrame:
+    """C8 re-aim: RBF features (centres = 20 exemplar rows) + linear SVM.
+    Not the kernel SVM's optimum; the nearest table-scale form."""
+    from tessera.operators import hidden
+    train, test, f = _split(spark, sf)
+    C = hidden.exemplar_centres(train, "vec_id", "embedding", 20, seed=0)
+    feats = models.with_vector(hidden.rbf_layer(f, "embedding", C, out="rbf"), "rbf")
+    est = models.linear_svm(maxIter=10, regParam=0.01)
+    m = est.fit(feats.where("fold != 0"))
+    return m.transform(feats.where("fold = 0")).select(
+        "vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
+
+
+def shuffle_split(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, f = _split(spark, sf)
+    return models.shuffle_split_scores(f, "vec_id", "label", models.gaussian_nb(), n=3,
+                                       train_frac=0.15)
+
+
 QUERIES = {
+    "rbf_svm": rbf_svm,
+    "shuffle_split": shuffle_split,
     "rf_classify": rf_classify,
     "gbt_ovr": gbt_ovr,
     "logreg": logreg,

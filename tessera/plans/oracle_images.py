@@ -108,3 +108,19 @@ cn AS (SELECT f, sqrt(sum(fs * fs)) AS n FROM fs GROUP BY f),
 nf AS (SELECT fs.vec_id, fs.f, fs.fs / cn.n AS nf FROM fs JOIN cn USING (f))
 SELECT vec_id, CAST(f AS INTEGER) AS feature,
        round(nf / sqrt(sum(nf * nf) OVER (PARTITION BY vec_id)), 9) AS value FROM nf"""
+
+SQL["flip_shift_images"] = f"""
+WITH {EL},
+st AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM el),
+b AS (SELECT vec_id, (vec_id * 2654435761 + 3) % 4294967291 AS bits FROM embeddings),
+g AS (SELECT e.vec_id, e.pos, e.pos // 8 AS r,
+             CASE WHEN b.bits % 2 = 1 THEN 7 - e.pos % 8 ELSE e.pos % 8 END AS c,
+             (b.bits // 2) % 3 - 1 AS dc, (b.bits // 16) % 3 - 1 AS dr
+      FROM el e JOIN b USING (vec_id)),
+src AS (SELECT g.vec_id, g.pos, g.r + g.dr AS rr, g.c + g.dc AS cc FROM g)
+SELECT src.vec_id, src.pos,
+       round(CASE WHEN rr BETWEEN 0 AND 7 AND cc BETWEEN 0 AND 7
+                  THEN (e2.v - st.m) / st.s ELSE 0.0 END, 6) AS value
+FROM src CROSS JOIN st
+LEFT JOIN el e2 ON e2.vec_id = src.vec_id AND e2.pos = src.rr * 8 + src.cc
+                 AND src.rr BETWEEN 0 AND 7 AND src.cc BETWEEN 0 AND 7"""
