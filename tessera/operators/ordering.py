@@ -59,10 +59,15 @@ def within_group_numbers(df: DataFrame, group_cols: list, order_cols: list,
     (group, order) minus the group's start offset (one row per group).
     """
     numbered = global_prefix(df, [*group_cols, *order_cols], out_col="_g")
-    starts = numbered.groupBy(*group_cols).agg(F.min("_g").alias("_start"))
-    return (numbered.join(starts, group_cols)
+    # a group starts after every row of the groups sorted before it: a
+    # prefix over the (one row per group) count table, also distributed
+    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    starts = global_prefix(counts, list(group_cols), weight="_n", out_col="_start").select(
+        *[F.col(c).alias(f"_s_{c}") for c in group_cols], "_start")
+    cond = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in group_cols]   # null is a group too
+    return (numbered.join(starts, cond)
             .withColumn(out_col, (F.col("_g") - F.col("_start")).cast("long"))
-            .drop("_g", "_start"))
+            .drop("_g", "_start", *[f"_s_{c}" for c in group_cols]))
 
 
 def average_ranks(long_df: DataFrame, group_col: str, value_col: str,
@@ -74,9 +79,11 @@ def average_ranks(long_df: DataFrame, group_col: str, value_col: str,
     counts = (long_df.where(F.col(value_col).isNotNull())
               .groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("n")))
     pref = global_prefix(counts, [group_col, value_col], weight="n", out_col="_before")
-    # rows of earlier groups are subtracted with a per-group offset
-    first = pref.groupBy(group_col).agg(F.min("_before").alias("_gstart"))
-    return (pref.join(first, group_col)
+    # rows of earlier groups are subtracted with a per-group offset (one
+    # row per group, e.g. per column of a rank correlation)
+    sizes = counts.groupBy(group_col).agg(F.sum("n").alias("_gn"))
+    first = global_prefix(sizes, [group_col], weight="_gn", out_col="_gstart").drop("_gn")
+    return (pref.join(F.broadcast(first), group_col)
             .withColumn(out_col, (F.col("_before") - F.col("_gstart")).cast("double")
                         + (F.col("n") + 1) / 2.0)
             .drop("_before", "_gstart"))
