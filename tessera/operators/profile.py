@@ -162,15 +162,20 @@ def _distinct_counts(df: DataFrame, values: dict) -> DataFrame:
         if t in FLOATING or t.startswith("decimal"):
             return F.lit(None).cast("long"), v.cast("double"), F.lit(None).cast("string")
         return F.lit(None).cast("long"), F.lit(None).cast("double"), v.cast("string")
+    names = list(values)
     structs = []
-    for n, spec in values.items():
+    for i, n in enumerate(names):
+        spec = values[n]
         lv, dv, sv = slot(spec if isinstance(spec, tuple) else (spec, "string"))
-        structs.append(F.struct(F.lit(n).alias("attribute"), lv.alias("lv"), dv.alias("dv"),
+        # a small int tags the column: cheaper to hash than the name
+        structs.append(F.struct(F.lit(i).alias("a"), lv.alias("lv"), dv.alias("dv"),
                                 sv.alias("sv")))
     long = df.select(F.inline(F.array(*structs)))
     present = F.col("lv").isNotNull() | F.col("dv").isNotNull() | F.col("sv").isNotNull()
-    return (long.where(present).distinct()
-            .groupBy("attribute").agg(F.count(F.lit(1)).alias("n_distinct")))
+    counts = (long.where(present).distinct()
+              .groupBy("a").agg(F.count(F.lit(1)).alias("n_distinct")))
+    name_of = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("a") + 1)
+    return counts.select(name_of.alias("attribute"), "n_distinct")
 
 
 def _as_text_key(c, t: str):
@@ -412,30 +417,33 @@ def correlation_matrix(df: DataFrame, cols=None, method: str = "pearson") -> Dat
             aggs += [F.count(xi).alias(f"n{i}_{j}"), F.sum(xi).alias(f"sa{i}_{j}"),
                      F.sum(xj).alias(f"sb{i}_{j}"), F.sum(xi * xi).alias(f"qa{i}_{j}"),
                      F.sum(xj * xj).alias(f"qb{i}_{j}")]
-    wide = base.agg(*aggs)
+    # one row of sums (a few numbers per column pair) -> the p x p matrix on
+    # the driver; as a Spark projection this single row needs a generated
+    # method beyond the JVM's 64 KB limit
+    w = base.agg(*aggs).first().asDict()
 
     def pearson(n, sa, sb, qa, qb, xab):
-        va = qa - sa * sa / n
-        vb = qb - sb * sb / n
-        r = F.try_divide(xab - sa * sb / n, F.sqrt(va * vb))
-        return F.when((n > 0) & (va > 0) & (vb > 0), r)
-
-    structs = []
+        if not n:
+            return None
+        va, vb = qa - sa * sa / n, qb - sb * sb / n
+        if not (va > 0 and vb > 0):
+            return None
+        return (xab - sa * sb / n) / math.sqrt(va * vb)
+
+    rows = []
     for i in range(len(cols)):
-        n, sa, qa = F.col(f"n{i}"), F.col(f"s{i}"), F.col(f"q{i}")
-        d = F.when((n > 0) & (qa - sa * sa / n > 0), F.lit(1.0))
-        structs.append(F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[i]).alias("b"),
-                                d.alias("corr")))
+        n, sa, qa = w[f"n{i}"], w[f"s{i}"], w[f"q{i}"]
+        ok = bool(n) and (qa - sa * sa / n) > 0
+        rows.append((cols[i], cols[i], 1.0 if ok else None))
     for i, j in pairs:
         if nullable[i] or nullable[j]:
-            r = pearson(F.col(f"n{i}_{j}"), F.col(f"sa{i}_{j}"), F.col(f"sb{i}_{j}"),
-                        F.col(f"qa{i}_{j}"), F.col(f"qb{i}_{j}"), F.col(f"x{i}_{j}"))
+            r = pearson(w[f"n{i}_{j}"], w[f"sa{i}_{j}"], w[f"sb{i}_{j}"], w[f"qa{i}_{j}"],
+                        w[f"qb{i}_{j}"], w[f"x{i}_{j}"])
         else:
-            r = pearson(F.col(f"n{i}"), F.col(f"s{i}"), F.col(f"s{j}"), F.col(f"q{i}"),
-                        F.col(f"q{j}"), F.col(f"x{i}_{j}"))
-        structs.append(F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), r.alias("corr")))
-        structs.append(F.struct(F.lit(cols[j]).alias("a"), F.lit(cols[i]).alias("b"), r.alias("corr")))
-    return wide.select(F.inline(F.array(*structs)))
+            r = pearson(w[f"n{i}"], w[f"s{i}"], w[f"s{j}"], w[f"q{i}"], w[f"q{j}"],
+                        w[f"x{i}_{j}"])
+        rows += [(cols[i], cols[j], r), (cols[j], cols[i], r)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
 
 
 def _rank_columns(base: DataFrame, cols) -> DataFrame:
