@@ -205,9 +205,25 @@ def rank_features(df: DataFrame, feature_names, label: str = "label",
 
 
 # -------------------------------------------------------------- ensembles
+def _renamed(model, tag: str):
+    """Give a fitted model's output columns unique names so several models
+    can be applied to one DataFrame in a chain (no join back on the key)."""
+    for setter, name in (("setPredictionCol", "pred"), ("setProbabilityCol", "prob"),
+                         ("setRawPredictionCol", "raw")):
+        if hasattr(model, setter):
+            getattr(model, setter)(f"_{name}_{tag}")
+    return model
+
+
+def _drop_outputs(df: DataFrame, tag: str) -> DataFrame:
+    return df.drop(*[f"_{n}_{tag}" for n in ("pred", "prob", "raw")])
+
+
 class SoftVote:
     """Average the class-probability vectors of several fitted
-    models; prediction = arg-max of the mean (ties -> lowest class)."""
+    models; prediction = arg-max of the mean (ties -> lowest class).  The
+    models are applied one after another to the same rows: row-wise
+    transforms, no join on the key."""
 
     def __init__(self, estimators):
         self.estimators = list(estimators)
@@ -217,16 +233,17 @@ class SoftVote:
         return self
 
     def transform(self, df: DataFrame, key: str) -> DataFrame:
-        out = None
+        cur = df
         for i, m in enumerate(self.models_):
-            p = m.transform(df).select(key, vector_to_array("probability").alias(f"_p{i}"))
-            out = p if out is None else out.join(p, key)
+            cur = _renamed(m, f"sv{i}").transform(cur).withColumn(
+                f"_p{i}", vector_to_array(f"_prob_sv{i}"))
+            cur = _drop_outputs(cur, f"sv{i}")
         n = len(self.models_)
         mean = F.col("_p0")
         for i in range(1, n):
             mean = F.zip_with(mean, F.col(f"_p{i}"), lambda a, b: a + b)
         mean = F.transform(mean, lambda x: x / n)
-        return out.select(key, mean.alias("probability")).withColumn(
+        return cur.select(key, mean.alias("probability")).withColumn(
             "prediction", F.array_position("probability", F.array_max("probability")) - 1)
 
 
@@ -244,19 +261,23 @@ class TwoPartRegressor:
             df.withColumn("_l1", F.log1p(self.y1)))
         return self
 
+    def with_raw(self, df: DataFrame, out: str = "raw") -> DataFrame:
+        """Adds expm1(p0) + expm1(p1) as ``out`` (chained transforms)."""
+        cur = self.m1_.setPredictionCol("_tp1").transform(
+            self.m0_.setPredictionCol("_tp0").transform(df))
+        return cur.withColumn(out, F.expm1("_tp0") + F.expm1("_tp1")).drop("_tp0", "_tp1")
+
     def raw(self, df: DataFrame, key: str) -> DataFrame:
-        p0 = self.m0_.setPredictionCol("_p0").transform(df).select(key, "_p0")
-        p1 = self.m1_.setPredictionCol("_p1").transform(df).select(key, "_p1")
-        return p0.join(p1, key).select(key, (F.expm1("_p0") + F.expm1("_p1")).alias("raw"))
+        return self.with_raw(df).select(key, "raw")
 
     def predict(self, df: DataFrame, key: str) -> DataFrame:
-        return self.raw(df, key).select(key, F.greatest(F.bround("raw", 0), F.lit(0.0))
+        return self.with_raw(df).select(key, F.greatest(F.bround("raw", 0), F.lit(0.0))
                                         .alias("prediction"))
 
 
 class MeanRegressor:
     """C14: average of several two-part regressors' rounded predictions,
-    rounded half-even and floored at 0."""
+    rounded half-even and floored at 0 (chained, no joins)."""
 
     def __init__(self, regs):
         self.regs = list(regs)
@@ -267,12 +288,12 @@ class MeanRegressor:
         return self
 
     def predict(self, df: DataFrame, key: str) -> DataFrame:
-        out = None
+        cur = df
         for i, r in enumerate(self.regs):
-            p = r.predict(df, key).withColumnRenamed("prediction", f"_p{i}")
-            out = p if out is None else out.join(p, key)
+            cur = r.with_raw(cur, f"_r{i}").withColumn(
+                f"_p{i}", F.greatest(F.bround(f"_r{i}", 0), F.lit(0.0)))
         total = sum((F.col(f"_p{i}") for i in range(1, len(self.regs))), F.col("_p0"))
-        return out.select(key, F.greatest(F.bround(total / len(self.regs), 0), F.lit(0.0))
+        return cur.select(key, F.greatest(F.bround(total / len(self.regs), 0), F.lit(0.0))
                           .alias("prediction"))
 
 
@@ -281,11 +302,13 @@ def blocked_day_cv(df: DataFrame, day: str, reg_factory, key: str, y0: str, y1:
     """V6 + V17: fold d tests on days (d, d+1); score is the RMS log error
     against round(y0 + y1 + 1).  Returns (fold, rmsle)."""
     from tessera.operators.metrics import rmsle
+    df = cut_lineage(df)
     rows = []
     for d in range(start, stop + 1):
         test_mask = F.col(day).isin(d, d + 1)
         model = reg_factory().fit(df.where(~test_mask))
-        pred = model.predict(df.where(test_mask), key).join(df.select(key, y0, y1), key)
+        pred = model.with_raw(df.where(test_mask)).withColumn(
+            "prediction", F.greatest(F.bround("raw", 0), F.lit(0.0)))
         rows.append((d, float(rmsle(pred, "prediction", y0, y1).first()["rmsle"])))
     return df.sparkSession.createDataFrame(rows, "fold int, rmsle double")
 
@@ -295,35 +318,36 @@ def stack_blend(df: DataFrame, key: str, label: str, base: dict, fold: str = "fo
     """K-fold out-of-fold positive-class probabilities of every base
     model become the blend's features; test-set columns are the mean over
     the fold models; a logistic blend is fitted on the OOF columns and its
-    test probabilities are linearly stretched to [0, 1]."""
+    test probabilities are linearly stretched to [0, 1].
+
+    Every fold model is applied to all rows in a chain of row-wise
+    transforms; a row keeps the probability of the model that did not see
+    it.  No per-fold union and no join on the key."""
     from tessera.operators.features import minmax_stretch
     df = cut_lineage(df)
-    test = df if test is None else cut_lineage(test)
+    same = test is None
+    test = df if same else cut_lineage(test)
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    oof_cols, test_cols = None, None
+    train_cur, test_cur = df, test
+    names = list(base)
     for name, est in base.items():
-        parts, tparts = [], []
+        oof = None
+        tmean = None
         for f in folds:
-            m = est.copy().fit(df.where(F.col(fold) != f))
-            p = m.transform(df.where(F.col(fold) == f))
-            parts.append(p.select(key, vector_to_array("probability")[1].alias(name)))
-            tparts.append(m.transform(test).select(key, vector_to_array("probability")[1]
-                                                   .alias(f"_{name}_{f}")))
-        oof = parts[0]
-        for p in parts[1:]:
-            oof = oof.unionByName(p)
-        t = tparts[0]
-        for p in tparts[1:]:
-            t = t.join(p, key)
-        t = t.select(key, (sum((F.col(f"_{name}_{f}") for f in folds[1:]),
-                               F.col(f"_{name}_{folds[0]}")) / len(folds)).alias(name))
-        oof_cols = oof if oof_cols is None else oof_cols.join(oof, key)
-        test_cols = t if test_cols is None else test_cols.join(t, key)
-    names = list(base)
-    train = with_vector(oof_cols.join(df.select(key, label), key)
-                        .withColumn("_arr", F.array(*names)), "_arr", "bf")
+            tag = f"{name}_{f}"
+            m = _renamed(est.copy().fit(df.where(F.col(fold) != f)), tag)
+            p1 = vector_to_array(f"_prob_{tag}")[1]
+            train_cur = _drop_outputs(m.transform(train_cur).withColumn(f"_o_{tag}", p1), tag)
+            test_cur = _drop_outputs(m.transform(test_cur).withColumn(f"_t_{tag}", p1), tag)
+            pick = F.when(F.col(fold) == f, F.col(f"_o_{tag}"))
+            oof = pick if oof is None else F.coalesce(oof, pick)
+            tmean = F.col(f"_t_{tag}") if tmean is None else tmean + F.col(f"_t_{tag}")
+        train_cur = train_cur.withColumn(name, oof)
+        test_cur = test_cur.withColumn(name, tmean / len(folds))
+    train = with_vector(train_cur.select(key, label, *names).withColumn("_arr", F.array(*names)),
+                        "_arr", "bf")
     blend = LogisticRegression(featuresCol="bf", labelCol=label).fit(train)
-    tv = with_vector(test_cols.withColumn("_arr", F.array(*names)), "_arr", "bf")
+    tv = with_vector(test_cur.select(key, *names).withColumn("_arr", F.array(*names)), "_arr", "bf")
     p = blend.transform(tv).select(key, vector_to_array("probability")[1].alias("p"))
     return minmax_stretch(p, "p", "p_stretch")
 

@@ -41,6 +41,27 @@ def build_session(master: str | None = None, partitions: int = 8,
     return spark
 
 
+def cluster_conf(input_bytes: int, total_cores: int,
+                 target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Partition sizing for a cluster run: shuffle partitions so each holds
+    about ``target_partition_bytes`` of input (at least 2 per core), scan
+    splits of the same size, AQE on to coalesce small and split skewed
+    shuffle partitions at run time.  E.g. 100 TB on 8,000 cores gives about
+    820k shuffle partitions of 128 MB."""
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        # broadcast only what is proven small; the library's own broadcasts
+        # carry explicit bounds and do not depend on this threshold
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint root, setting a scratch one only when the
     session has none (local runs, tests)."""
