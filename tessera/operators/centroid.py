@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_CELLS = 50_000_000  # folds * classes * dims doubles (~400 MB)
 
 
-def fold_class_means(df: DataFrame, label: str, vec: str, fold: str) -> DataFrame:
+def fold_class_means(df: DataFrame, label: str, vec: str, fold: str,
+                     fold_ids=None) -> DataFrame:
     """(fold, means: array<struct<label, mean array<double>>>) where the means
     of fold f are fitted on every row outside fold f."""
     long = df.select(F.col(fold).alias("_f"), F.col(label).alias("_y"),
@@ -28,7 +29,8 @@ def fold_class_means(df: DataFrame, label: str, vec: str, fold: str) -> DataFram
     tot = sums.groupBy("_y", "_pos").agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
     # fold ids are a model parameter (k values); every (fold, class, pos)
     # cell is produced by exploding them, including classes absent from a fold
-    fold_ids = [r[0] for r in df.select(fold).distinct().collect()]
+    if fold_ids is None:
+        fold_ids = [r[0] for r in df.select(fold).distinct().collect()]
     grid = tot.withColumn("_f", F.explode(F.array(*[F.lit(f) for f in fold_ids])))
     cells = (grid.join(sums, ["_f", "_y", "_pos"], "left")
              .select("_f", "_y", "_pos",
@@ -65,10 +67,13 @@ def nearest_mean_oof(df: DataFrame, key: str, label: str, vec: str, fold: str,
     serves every model and the data is joined to it once.
     """
     models = models or {"all": None}
-    means = fold_class_means(df, label, vec, fold)
-    n_means = means.select(F.sum(F.size("means")).alias("k")).first()["k"] or 0
-    width = df.select(F.max(F.size(F.col(vec)))).first()[0] or 0
-    side = F.broadcast(means) if n_means * width <= MAX_BROADCAST_CELLS else means
+    # one small job for the model's shape: fold ids, classes, vector width
+    st = df.agg(F.collect_set(fold).alias("f"), F.countDistinct(label).alias("c"),
+                F.max(F.size(F.col(vec))).alias("w")).first()
+    fold_ids = sorted(st["f"])
+    means = fold_class_means(df, label, vec, fold, fold_ids)
+    n_cells = len(fold_ids) * (st["c"] or 0) * (st["w"] or 0)   # upper bound of the table
+    side = F.broadcast(means) if n_cells <= MAX_BROADCAST_CELLS else means
     res = df.join(side, fold)
     out_cols = [key, label, fold, *keep]
     for name, dims in models.items():

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage
+from tessera.session import broadcast_if_small, cut_lineage
 
 
 def global_prefix(df: DataFrame, order_cols: list, weight: str | None = None,
@@ -65,7 +65,7 @@ def within_group_numbers(df: DataFrame, group_cols: list, order_cols: list,
     starts = global_prefix(counts, list(group_cols), weight="_n", out_col="_start").select(
         *[F.col(c).alias(f"_s_{c}") for c in group_cols], "_start")
     cond = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in group_cols]   # null is a group too
-    return (numbered.join(starts, cond)
+    return (numbered.join(broadcast_if_small(starts), cond)
             .withColumn(out_col, (F.col("_g") - F.col("_start")).cast("long"))
             .drop("_g", "_start", *[f"_s_{c}" for c in group_cols]))
 

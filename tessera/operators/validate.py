@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import within_group_numbers
+from tessera.session import broadcast_if_small
 
 
 def hash_order(key: str, seed: int = 0) -> Column:
@@ -40,10 +41,11 @@ def stratified_holdout(df: DataFrame, key: str, label: str, train_frac: float =
     o = order if order is not None else hash_order(key)
     numbered = within_group_numbers(df.withColumn("_ord", o), [label], ["_ord", key],
                                     out_col="_rn")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    return (numbered.join(sizes, label)
+    sizes = df.groupBy(F.col(label).alias("_lab")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per class; null is a class too, so the join is null-safe
+    return (numbered.join(broadcast_if_small(sizes), F.col(label).eqNullSafe(F.col("_lab")))
             .withColumn(out, (F.col("_rn") + 1) <= F.floor(F.col("_n") * train_frac))
-            .drop("_rn", "_ord", "_n"))
+            .drop("_rn", "_ord", "_n", "_lab"))
 
 
 def holdout_split(df: DataFrame, key: str, test_frac: float, seed: int = 0,

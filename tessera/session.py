@@ -88,3 +88,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast a per-group side table only after checking its row count.
+
+    Joining a one-row-per-group table on a low-cardinality key (a class
+    label) with a shuffle would send a hot group's rows to one task; a
+    broadcast keeps the big side where it is.  Above ``max_rows`` the plain
+    join stays (keys are then many, and AQE splits skewed partitions)."""
+    from pyspark.sql import functions as F
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

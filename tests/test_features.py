@@ -117,3 +117,12 @@ def test_datetime_features(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2011-01-03 05:00:00' AS ts")   # a Monday
     r = features.datetime_features(df, "ts").first()
     assert (r["weekday"], r["hour"], r["year_off"], r["day"]) == (0, 5, 0, 3)
+
+
+def test_null_label_rows_are_kept(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(40)],
+                               "id long, y int")
+    f = validate.stratified_folds(df, "id", "y", k=3)
+    assert f.count() == 40
+    h = validate.stratified_holdout(df, "id", "y", 0.5)
+    assert h.count() == 40 and h.where("y IS NULL AND is_train").count() == 5
