@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.operators import centroid, features, metrics, validate
-from tessera.session import table
+from tessera.session import cut_lineage, table
 
 R9 = 9
 
@@ -196,8 +196,11 @@ def portable_order(key: str, seed: int) -> F.Column:
 
 
 def emb_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings with exact stratified folds, written once to the shared
+    checkpoint folder: every consumer (class sums, joins, model fits) reads
+    the table instead of re-expanding the fold numbering."""
     emb = table(spark, sf, "embeddings")
-    return validate.stratified_folds(emb, "vec_id", "label", K_FOLDS)
+    return cut_lineage(validate.stratified_folds(emb, "vec_id", "label", K_FOLDS))
 
 
 def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
