@@ -500,3 +500,27 @@ def important_features(clusters: DataFrame, ranking: DataFrame) -> DataFrame:
     return (ranked.join(clusters, "attribute")
             .withColumn("_k", F.row_number().over(first))
             .where(F.col("_k") == 1).select("attribute", "rank", "cluster"))
+
+
+def table_equal_unkeyed(a: DataFrame, b: DataFrame, decimals: int | None = None) -> DataFrame:
+    """A12 without a key: multiset difference both ways (``exceptAll``),
+    after the same optional half-even rounding of numbers.  One row
+    (n_left, n_right, n_only_left, n_only_right, equal).  NaN equals NaN
+    (Spark groups NaN with NaN)."""
+    if sorted(a.columns) != sorted(b.columns):
+        return a.sparkSession.createDataFrame(
+            [(None, None, None, None, False)],
+            "n_left long, n_right long, n_only_left long, n_only_right long, equal boolean")
+    t = dict(a.dtypes)
+    cols = sorted(a.columns)
+
+    def norm(df):
+        return df.select(*[(F.bround(_q(c).cast("double"), decimals) if decimals is not None
+                            and _is_numeric(t[c]) else _q(c)).alias(c) for c in cols])
+    na, nb = norm(a), norm(b)
+    only_a = na.exceptAll(nb).count()
+    only_b = nb.exceptAll(na).count()
+    n_left, n_right = a.count(), b.count()
+    return a.sparkSession.createDataFrame(
+        [(n_left, n_right, only_a, only_b, n_left == n_right and only_a == 0 and only_b == 0)],
+        "n_left long, n_right long, n_only_left long, n_only_right long, equal boolean")

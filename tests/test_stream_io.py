@@ -79,3 +79,40 @@ def test_tfidf_smooth_idf(spark):
     w = prep.tfidf_transform(long, prep.smooth_idf(long, "d", "term"), "d", "term")
     norms = w.groupBy("d").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
     assert all(abs(r["s"] - 1) < 1e-12 for r in norms)
+
+
+def test_summary_store_and_model_cache(spark):
+    from pyspark.ml.feature import StringIndexer, StringIndexerModel
+    from tessera.operators import profile as P
+    d = tempfile.mkdtemp(prefix="tessera-sum-")
+    df = spark.createDataFrame([("a", 1), ("b", None), ("a", 3)], "lab string, x int")
+    summary = P.column_summary(df)
+    io.save_summary(summary, P.label_counts(df, "lab"), d)
+    s, meta, lc = io.load_summary(spark, d)
+    assert s.count() == 2 and {r["label"]: r["n"] for r in lc.collect()} == {"a": 2, "b": 1}
+    calls = []
+
+    def fit():
+        calls.append(1)
+        return StringIndexer(inputCol="lab", outputCol="i").fit(df)
+    path = os.path.join(d, "model")
+    io.cached_model(spark, path, fit, StringIndexerModel.load)
+    io.cached_model(spark, path, fit, StringIndexerModel.load)
+    assert calls == [1]                                   # second call loads
+
+
+def test_class_columns_sorted(spark):
+    df = spark.createDataFrame([(7, [0.2, 0.8])], "id int, probability array<double>")
+    out = io.class_columns(df, "id", "probability", ["Class_2", "Class_1"])
+    assert out.columns == ["id", "Class_1", "Class_2"]
+    r = out.first()
+    assert r["Class_1"] == 0.8 and r["Class_2"] == 0.2
+
+
+def test_table_equal_unkeyed(spark):
+    from tessera.operators import profile as P
+    a = spark.createDataFrame([(1, 1.004), (1, 1.004), (2, float("nan"))], "k int, v double")
+    b = spark.createDataFrame([(2, float("nan")), (1, 1.0), (1, 1.0)], "k int, v double")
+    assert P.table_equal_unkeyed(a, b, decimals=2).first()["equal"]
+    r = P.table_equal_unkeyed(a, b.limit(2)).first()
+    assert not r["equal"]
