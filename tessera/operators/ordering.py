@@ -22,12 +22,13 @@ def global_prefix(df: DataFrame, order_cols: list, weight: str | None = None,
 
     The order must be total (include a unique key) for a deterministic result.
     """
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     w_expr = F.lit(1).cast("long") if weight is None else F.col(weight)
-    ranged = (df.withColumn("_w", w_expr)
-              .repartitionByRange(n_parts, *order_cols)
-              .withColumn("_pid", F.spark_partition_id()))
+    staged = df.withColumn("_w", w_expr)
+    # without an explicit count AQE may merge adjacent small ranges (order is
+    # kept); the checkpoint below pins whatever partitioning it chose
+    staged = (staged.repartitionByRange(partitions, *order_cols) if partitions
+              else staged.repartitionByRange(*order_cols))
+    ranged = staged.withColumn("_pid", F.spark_partition_id())
     # Pin the range assignment: the same partition ids must be seen by the
     # totals and by the rows, whatever AQE later does to the shuffle.
     ranged = cut_lineage(ranged)

@@ -266,8 +266,9 @@ def term_counts(docs: DataFrame, doc: str, text: str, pattern: str = TOKEN_PATTE
     that (doc, term, count) partials would cost), every term count is then
     final inside its task, and later per-document windows reuse the same
     partitioning without another exchange."""
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_doc = docs.select(doc, text).repartition(n, doc)
+    sel = docs.select(doc, text)
+    # by column only: AQE sizes (coalesces) the partitions at run time
+    by_doc = sel.repartition(partitions, doc) if partitions else sel.repartition(doc)
     toks = by_doc.select(doc, F.explode(F.regexp_extract_all(F.lower(F.col(text)),
                                                              F.lit(pattern), 0)).alias("term"))
     return toks.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
