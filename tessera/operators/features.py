@@ -12,8 +12,6 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import scalar as S
-
 
 def pairwise_features(df: DataFrame, cols, kinds=("sum", "abs_diff"),
                       sep: str = "_") -> DataFrame:
@@ -74,10 +72,6 @@ def to_features(df: DataFrame, exclude, vector_col: str = "features") -> DataFra
                            handleInvalid="keep").transform(df)
 
 
-__all__ = ["pairwise_features", "datetime_features", "minmax_stretch", "column_range",
-           "linear_combination", "to_features", "S"]
-
-
 def generated_columns(prefix: str, n: int, start: int = 1) -> list[str]:
     """Names ``prefix1..prefixN`` (e.g. feat_1..feat_90) for a select."""
     return [f"{prefix}{i}" for i in range(start, start + n)]

@@ -12,14 +12,14 @@ import math
 import random
 
 import numpy as np
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.tuning import CrossValidator
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
@@ -342,12 +342,18 @@ def stack_blend(df: DataFrame, key: str, label: str, base: dict, fold: str = "fo
             pick = F.when(F.col(fold) == f, F.col(f"_o_{tag}"))
             oof = pick if oof is None else F.coalesce(oof, pick)
             tmean = F.col(f"_t_{tag}") if tmean is None else tmean + F.col(f"_t_{tag}")
-        train_cur = train_cur.withColumn(name, oof)
-        test_cur = test_cur.withColumn(name, tmean / len(folds))
-    train = with_vector(train_cur.select(key, label, *names).withColumn("_arr", F.array(*names)),
-                        "_arr", "bf")
+        # keep the chains shallow: one lineage cut per base model
+        keep_t = [c for c in train_cur.columns if not c.startswith("_o_")]
+        keep_s = [c for c in test_cur.columns if not c.startswith("_t_")]
+        train_cur = cut_lineage(train_cur.withColumn(name, oof).select(*keep_t, name))
+        test_cur = cut_lineage(test_cur.withColumn(name, tmean / len(folds)).select(*keep_s, name))
+    # the blend's inputs (key + one column per base model) are written once:
+    # its iterations must not re-run every chained base-model transform
+    oof_table = cut_lineage(train_cur.select(key, label, *names))
+    test_table = cut_lineage(test_cur.select(key, *names))
+    train = with_vector(oof_table.withColumn("_arr", F.array(*names)), "_arr", "bf")
     blend = LogisticRegression(featuresCol="bf", labelCol=label).fit(train)
-    tv = with_vector(test_cur.select(key, *names).withColumn("_arr", F.array(*names)), "_arr", "bf")
+    tv = with_vector(test_table.withColumn("_arr", F.array(*names)), "_arr", "bf")
     p = blend.transform(tv).select(key, vector_to_array("probability")[1].alias("p"))
     return minmax_stretch(p, "p", "p_stretch")
 
@@ -417,6 +423,3 @@ def mlp(layers, seed: int = 0, **kw) -> MultilayerPerceptronClassifier:
 def gaussian_nb(**kw) -> NaiveBayes:
     return NaiveBayes(modelType="gaussian", **kw)
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["Pipeline", "ParamGridBuilder",
-                                                          "SparkSession"]

@@ -4,9 +4,8 @@ the operator itself is a cross-validation."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
+                                       LogisticRegression, RandomForestClassifier)
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
@@ -57,8 +56,7 @@ def stack_blend(spark: SparkSession, sf: str) -> DataFrame:
     base = {
         "rf_gini": RandomForestClassifier(numTrees=20, impurity="gini", labelCol="y", seed=0),
         "et_entropy": models.extra_trees(numTrees=20, impurity="entropy", labelCol="y", seed=0),
-        "gbt": __import__("pyspark.ml.classification", fromlist=["GBTClassifier"])
-        .GBTClassifier(maxIter=5, maxDepth=4, subsamplingRate=0.5, labelCol="y", seed=0),
+        "gbt": GBTClassifier(maxIter=5, maxDepth=4, subsamplingRate=0.5, labelCol="y", seed=0),
     }
     out = models.stack_blend(f, "vec_id", "y", base, test=f)
     return out.select("vec_id", F.round("p_stretch", 9).alias("p_stretch"))
@@ -212,5 +210,3 @@ QUERIES = {
     "rank_features": rank_features,
     "soft_vote_models": soft_vote_models,
 }
-
-_ = np

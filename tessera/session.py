@@ -33,6 +33,7 @@ def build_session(master: str | None = None, partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEM", "16g"))
     )
     spark = builder.getOrCreate()
@@ -60,6 +61,8 @@ def cluster_conf(input_bytes: int, total_cores: int,
         # broadcast only what is proven small; the library's own broadcasts
         # carry explicit bounds and do not depend on this threshold
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        # lineage cuts write to spark.checkpoint.dir; drop them once unreferenced
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
 
 

@@ -7,7 +7,6 @@ are written as tables, ids are assigned by distributed offsets.
 
 from __future__ import annotations
 
-import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -135,5 +134,3 @@ def descending_columns(df: DataFrame) -> DataFrame:
     """Columns sorted by name, descending, before writing."""
     return df.select(*sorted(df.columns, reverse=True))
 
-
-_ = os
