@@ -146,6 +146,21 @@ def shuffle_split_scores(df: DataFrame, key: str, label: str, estimator: Estimat
     return df.sparkSession.createDataFrame(rows, "repeat int, score double")
 
 
+def repeated_holdout_scores(df: DataFrame, key: str, label: str, estimator: Estimator,
+                            n: int = 4, test_frac: float = 0.3) -> DataFrame:
+    """V5: n random hold-outs (seeds 0, 4, 8, ...), accuracy of a fresh fit
+    on each; (repeat, score) rows, average with ``score_summary``."""
+    from tessera.operators.validate import holdout_split
+    df = cut_lineage(df)
+    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    rows = []
+    for i in range(n):
+        split = holdout_split(df, key, test_frac, seed=4 * i)
+        model = estimator.copy().fit(split.where("NOT is_test"))
+        rows.append((i, float(ev.evaluate(model.transform(split.where("is_test"))))))
+    return df.sparkSession.createDataFrame(rows, "repeat int, score double")
+
+
 def compare_models(df: DataFrame, estimators: dict, label: str = "label",
                    fold: str = "fold") -> DataFrame:
     """V8: fold scores for every named estimator."""

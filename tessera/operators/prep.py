@@ -110,17 +110,23 @@ class RangeScaler(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable
     """M2 min-max scaling to [lower, upper]; with ``eps`` >= 0, M3's
     ``(x - min) / (max + eps)``."""
 
+    lower = Param(Params._dummy(), "lower", "output lower bound", TypeConverters.toFloat)
+    upper = Param(Params._dummy(), "upper", "output upper bound", TypeConverters.toFloat)
+    eps = Param(Params._dummy(), "eps", "max-plus-eps mode when >= 0", TypeConverters.toFloat)
+
     def __init__(self, inputCols=None, outputCols=None, lower=0.0, upper=1.0, eps=-1.0):
         super().__init__()
-        self._set(**{k: v for k, v in dict(inputCols=inputCols, outputCols=outputCols).items()
-                     if v is not None})
-        self._lower, self._upper, self._eps = lower, upper, eps
+        self._set(**{k: v for k, v in dict(inputCols=inputCols, outputCols=outputCols,
+                                            lower=float(lower), upper=float(upper),
+                                            eps=float(eps)).items() if v is not None})
 
     def _fit(self, df):
         cols = self.getInputCols()
         mins, maxs = _stats(df, cols, F.min, F.max)
+        g = self.getOrDefault
         return RangeScalerModel(cols, self._out(), [float(x) for x in mins],
-                                [float(x) for x in maxs], self._lower, self._upper, self._eps)
+                                [float(x) for x in maxs], g(self.lower), g(self.upper),
+                                g(self.eps))
 
 
 def pixel_scale(c, factor: float = 255.0):
@@ -200,11 +206,16 @@ class BoxCox(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
     each column's best point (resolution 0.01; the source's optimiser is
     continuous -- the grid is our stated approximation)."""
 
+    shift = Param(Params._dummy(), "shift", "added before transform", TypeConverters.toFloat)
+
     def __init__(self, inputCols=None, outputCols=None, shift=0.5):
         super().__init__()
-        self._set(**{k: v for k, v in dict(inputCols=inputCols, outputCols=outputCols).items()
-                     if v is not None})
-        self._shift = shift
+        self._set(**{k: v for k, v in dict(inputCols=inputCols, outputCols=outputCols,
+                                            shift=float(shift)).items() if v is not None})
+
+    @property
+    def _shift(self) -> float:
+        return self.getOrDefault(self.shift)
 
     def _best(self, df, cols, grids: dict) -> dict:
         rows = boxcox_loglik(df, cols, grids, self._shift).collect()  # cols x grid numbers

@@ -188,7 +188,40 @@ def shuffle_split(spark: SparkSession, sf: str) -> DataFrame:
                                        train_frac=0.15)
 
 
+def naive_bayes_classify(spark: SparkSession, sf: str) -> DataFrame:
+    """C4/C5 fitted: Bernoulli NB on inputs binarised at 0, multinomial NB
+    on inputs min-max scaled to [0, 1] over all rows (it needs
+    non-negative counts),
+    Gaussian NB on the raw values; one prediction column per kind."""
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import MinMaxScaler
+    train, test, f = _split(spark, sf)
+    bern = NaiveBayes(modelType="bernoulli", featuresCol="bin", predictionCol="p_bern",
+                      probabilityCol="pr_b", rawPredictionCol="raw_b")
+    tr_b = models.bernoulli_nb(train)
+    out = bern.fit(tr_b).transform(models.bernoulli_nb(test))
+    # the scaler is fitted on every row (features only, no labels), as the
+    # source fits its scaler on the unlabelled table: no value leaves [0, 1]
+    scaler = MinMaxScaler(inputCol="features", outputCol="scaled").fit(f)
+    multi = NaiveBayes(modelType="multinomial", featuresCol="scaled", predictionCol="p_multi",
+                       probabilityCol="pr_m", rawPredictionCol="raw_m")
+    out = multi.fit(scaler.transform(train)).transform(scaler.transform(out))
+    gauss = models.gaussian_nb(predictionCol="p_gauss", probabilityCol="pr_g",
+                               rawPredictionCol="raw_g")
+    out = gauss.fit(train).transform(out)
+    return out.select("vec_id", "label", *[F.col(c).cast("int").alias(c)
+                                           for c in ("p_bern", "p_multi", "p_gauss")])
+
+
+def repeated_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, f = _split(spark, sf)
+    return models.repeated_holdout_scores(f, "vec_id", "label", models.gaussian_nb(), n=4,
+                                          test_frac=0.3)
+
+
 QUERIES = {
+    "naive_bayes_classify": naive_bayes_classify,
+    "repeated_holdout": repeated_holdout,
     "rbf_svm": rbf_svm,
     "shuffle_split": shuffle_split,
     "rf_classify": rf_classify,

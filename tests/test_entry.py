@@ -12,4 +12,4 @@ def test_entry_smoke(spark):
 def test_sql_keys_subset_of_queries():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
-    assert len(q) >= 89          # guard against dropping registered keys
+    assert len(q) >= 94          # guard against dropping registered keys

@@ -116,3 +116,30 @@ def test_table_equal_unkeyed(spark):
     assert P.table_equal_unkeyed(a, b, decimals=2).first()["equal"]
     r = P.table_equal_unkeyed(a, b.limit(2)).first()
     assert not r["equal"]
+
+
+def test_prep_stages_in_a_pipeline_save_and_load(spark):
+    from pyspark.ml import Pipeline, PipelineModel
+    d = tempfile.mkdtemp(prefix="tessera-pipe-")
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 6.0), (5.0, 4.0)], "a double, b double")
+    pipe = Pipeline(stages=[prep.PopulationStandardScaler(inputCols=["a"], outputCols=["a_z"]),
+                            prep.RangeScaler(inputCols=["b"], outputCols=["b_mm"]),
+                            prep.BoxCox(inputCols=["b"], outputCols=["b_bc"], shift=0.5)])
+    model = pipe.fit(df)
+    out = model.transform(df).orderBy("a").collect()
+    assert [r["b_mm"] for r in out] == [0.0, 1.0, 0.5]
+    model.write().overwrite().save(os.path.join(d, "m"))
+    again = PipelineModel.load(os.path.join(d, "m")).transform(df).orderBy("a").collect()
+    assert [r["a_z"] for r in again] == [r["a_z"] for r in out]
+
+
+def test_unfitted_pipeline_roundtrip(spark):
+    from pyspark.ml import Pipeline
+    d = tempfile.mkdtemp(prefix="tessera-pipe2-")
+    pipe = Pipeline(stages=[prep.RangeScaler(inputCols=["a"], outputCols=["a_mm"], lower=-10,
+                                             upper=10),
+                            prep.BoxCox(inputCols=["a"], outputCols=["a_bc"], shift=1.0)])
+    pipe.write().overwrite().save(os.path.join(d, "p"))
+    back = Pipeline.load(os.path.join(d, "p"))
+    rs, bc = back.getStages()
+    assert rs.getOrDefault("lower") == -10.0 and bc.getOrDefault("shift") == 1.0
