@@ -253,7 +253,7 @@ def column_summary_capped(df: DataFrame, cols=None, cap: int = 1000,
 
     def parts(c):
         t = types[c]
-        if _is_numeric(t) or t == "boolean":
+        if _is_numeric(t):   # booleans stay text: 'true' does not parse as a float
             return _q(c).isNull(), _q(c).cast("double"), None
         s = F.trim(_q(c).cast("string"))
         return is_trimmed_blank(_q(c)), try_double(s), s

@@ -150,3 +150,10 @@ def test_important_features(spark):
                                     "attribute string, importance double")
     got = [r["attribute"] for r in P.important_features(clusters, ranking).orderBy("rank").collect()]
     assert got == ["b", "c"]
+
+
+def test_capped_booleans_are_text(spark):
+    df = spark.createDataFrame([(True,), (False,), (None,)], "b boolean")
+    r = P.column_summary_capped(df).first()
+    assert r["min"] is None and r["max"] is None        # 'true' is not a number
+    assert r["n_uniq"] == "3" and r["n_null"] == 1       # true, false, blank
