@@ -44,7 +44,10 @@ def random_layer_weights(n_features: int, n_hidden: int, seed: int = 0):
 
 
 def class_centres(df: DataFrame, label: str, vec: str) -> dict:
-    """Per-class mean vectors (classes x dims numbers) for use as centres."""
+    """Per-class mean vectors (classes x dims numbers) for use as centres.
+    The class count and width are checked before anything is collected."""
+    shape = df.agg(F.countDistinct(label).alias("k"), F.max(F.size(vec)).alias("d")).first()
+    _check_size(int(shape["k"] or 0), int(shape["d"] or 0))
     long = df.select(label, F.posexplode(vec).alias("pos", "v"))
     rows = long.groupBy(label, "pos").agg(F.avg(F.col("v").cast("double")).alias("m")).collect()
     out: dict = {}
