@@ -147,7 +147,11 @@ def label_binarize(df: DataFrame, label: str, classes=None, prefix: str = "is_")
     """M8: one 0/1 column per class (class list is small and read once);
     a two-class label gives a single column for the larger class."""
     if classes is None:
-        classes = sorted(r[0] for r in df.select(label).distinct().collect())
+        max_classes = 10_000            # one output column per class: a bounded list
+        found = df.select(label).distinct().limit(max_classes + 1).collect()
+        if len(found) > max_classes:
+            raise ValueError(f"more than {max_classes} classes; pass `classes` explicitly")
+        classes = sorted(r[0] for r in found)
     if len(classes) == 2:
         classes = classes[1:]
     return df.select("*", *[(F.col(label) == F.lit(k)).cast("int").alias(f"{prefix}{k}")
