@@ -1,10 +1,11 @@
-"""Column profiling (A1-A15, T1): one scan, one wide aggregate, long output.
-
-Every profile is a single ``agg`` over all requested columns (partial
-aggregation on the map side, one tiny row to the reducer) followed by
-``inline`` into ``(attribute, ...)`` rows.  Exact distinct counts use the
-long form ``(attribute, value)`` -> distinct -> count, which shuffles only
-distinct pairs and never builds one ``Expand`` copy per column.
+"""Column profiling (A1-A15, T1): one scan per profile, long output.
+
+Null/inf/constant/binary profiles are a single ``agg`` over all requested
+columns (partial aggregation on the map side, one tiny row to the reducer)
+followed by ``inline`` into ``(attribute, ...)`` rows.  The exact summary
+works on the typed long form ``(column, value)`` grouped with counts, which
+shuffles only distinct pairs and never builds one ``Expand`` copy per
+column; every statistic is then read from a column's distinct values.
 """
 
 from __future__ import annotations
@@ -192,41 +193,52 @@ def column_summary(df: DataFrame, cols=None) -> DataFrame:
     * min/max: float parse of non-null values; any unparsable value, or an
       infinite bound, gives a null bound;
     * n_uniq: distinct non-null values, plus one if any null/blank exists.
+
+    One scan: every cell becomes (column, typed value) with blanks as the
+    null bucket, grouped with counts (map-side combined, so only distinct
+    pairs cross the network); each statistic is then a small aggregate over
+    a column's distinct values.
     """
     types = [(c, t) for c, t in _types(df, cols)
              if not t.startswith(("array", "map", "struct", "binary"))]
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    text_keys = {}
+    names = [c for c, _ in types]
+    nl, nd, ns = (F.lit(None).cast("long"), F.lit(None).cast("double"),
+                  F.lit(None).cast("string"))
+    structs = []
     for i, (c, t) in enumerate(types):
         col = _q(c)
-        blank = is_null_or_blank(col, t)
-        if _is_numeric(t) or t == "boolean":
-            num = col.cast("double")
-        elif t == "string":
-            num = try_double(col)
-        else:
-            num = F.lit(None).cast("double")
-        ok = F.when(~blank, num)
-        aggs += [
-            _count_if(blank).alias(f"nn{i}"),
-            _count_if(~blank & num.isNull()).alias(f"bad{i}"),
-            F.min(ok).alias(f"lo{i}"), F.max(ok).alias(f"hi{i}"),
-        ]
-        text_keys[c] = (F.when(~blank, col), t)
-    wide = df.agg(*aggs)
-    names = [c for c, _ in types]
-    stats = _long(wide, names, {"n_rows": "n_rows", "n_null": "nn{}", "bad": "bad{}",
-                                "lo": "lo{}", "hi": "hi{}"})
-    distinct = _distinct_counts(df, text_keys)
+        keep = ~is_null_or_blank(col, t)
+        if t in INTEGRAL or t == "boolean":
+            lv, dv, sv = col.cast("long"), nd, ns
+        elif t in FLOATING or t.startswith("decimal"):
+            lv, dv, sv = nl, col.cast("double"), ns
+        else:                                   # text (and dates/times, which never parse)
+            lv, dv, sv = nl, nd, col.cast("string")
+        structs.append(F.struct(F.lit(i).alias("a"), F.when(keep, lv).alias("lv"),
+                                F.when(keep, dv).alias("dv"), F.when(keep, sv).alias("sv")))
+    long = df.select(F.inline(F.array(*structs)))
+    groups = long.groupBy("a", "lv", "dv", "sv").agg(F.count(F.lit(1)).alias("cnt"))
+    present = F.col("lv").isNotNull() | F.col("dv").isNotNull() | F.col("sv").isNotNull()
+    num = F.coalesce(F.col("lv").cast("double"), F.col("dv"), try_double(F.col("sv")))
+    per = groups.groupBy("a").agg(
+        F.sum("cnt").alias("n_rows"),
+        F.sum(F.when(~present, F.col("cnt")).otherwise(0)).alias("n_null"),
+        F.count(F.when(present, 1)).alias("n_distinct"),
+        F.count(F.when(present & num.isNull(), 1)).alias("bad"),
+        F.min(F.when(present, num)).alias("lo"), F.max(F.when(present, num)).alias("hi"))
+    # every requested column gets a row, even for an empty input
+    allcols = df.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("a"))
+    j = allcols.join(F.broadcast(per) if len(names) <= 100_000 else per, "a", "left")
+    n_null = F.coalesce(F.col("n_null"), F.lit(0)).cast("long")
     ok_bounds = F.col("bad") == 0
-    return (stats.join(distinct, "attribute", "left")
-            .select("attribute",
-                    F.when(ok_bounds, finite_or_null(F.col("lo"))).alias("min"),
-                    F.when(ok_bounds, finite_or_null(F.col("hi"))).alias("max"),
-                    F.col("n_null"),
-                    (F.coalesce(F.col("n_distinct"), F.lit(0))
-                     + F.when(F.col("n_null") > 0, 1).otherwise(0)).cast("long").alias("n_uniq"),
-                    F.try_divide(F.col("n_null").cast("double"), F.col("n_rows")).alias("perc_null")))
+    return j.select(
+        F.element_at(F.array(*[F.lit(n) for n in names]), F.col("a") + 1).alias("attribute"),
+        F.when(ok_bounds, finite_or_null(F.col("lo"))).alias("min"),
+        F.when(ok_bounds, finite_or_null(F.col("hi"))).alias("max"),
+        n_null.alias("n_null"),
+        (F.coalesce(F.col("n_distinct"), F.lit(0)) + F.when(n_null > 0, 1).otherwise(0))
+        .cast("long").alias("n_uniq"),
+        F.try_divide(n_null.cast("double"), F.col("n_rows")).alias("perc_null"))
 
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
