@@ -202,3 +202,13 @@ def flip_shift_images(df: DataFrame, pixels: str, width: int, bits: Column,
         return F.when(ok, F.element_at(arr, (rr * width + cc + 1).cast("int")).cast("double")) \
                 .otherwise(F.lit(0.0))
     return df.withColumn(pixels, F.transform(arr, move))
+
+
+def unflatten(long_df: DataFrame, key: str, pos: str = "pos", value: str = "value",
+              out: str = "pixels") -> DataFrame:
+    """Long pixels back to one array per image, in position order.  A
+    group is one image (width x height values), so it is bounded."""
+    return (long_df.groupBy(key)
+            .agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"),
+                                                      F.col(value).alias("v")))).alias("_px"))
+            .select(key, F.transform("_px", lambda s: s["v"]).alias(out)))

@@ -113,3 +113,22 @@ def test_sparse_filter_matches_numpy(spark):
     Fhat = NFs.T / np.linalg.norm(NFs.T, axis=1)[:, None]
     for i in (0, 7, 29):
         assert got[i] == pytest.approx(Fhat[i])
+
+
+def test_flatten_roundtrip(spark):
+    df = spark.createDataFrame([(1, [3.0, 1.0, 2.0, 0.5]), (2, [0.0, 0.0, 1.0, 1.0])],
+                               "k long, px array<double>")
+    back = {r["k"]: r["pixels"] for r in images.unflatten(images.flatten_long(df, "k", "px"),
+                                                          "k").collect()}
+    assert back == {1: [3.0, 1.0, 2.0, 0.5], 2: [0.0, 0.0, 1.0, 1.0]}
+
+
+def test_callable_activation_with_arguments(spark):
+    from tessera.functions import scalar as S
+    df = spark.createDataFrame([(2.0,)], "x double")
+    leaky = lambda c, slope: F.when(c > 0, c).otherwise(c * slope)
+    assert df.select(S.activation(leaky, "x", slope=0.1)).first()[0] == 2.0
+    W, b = np.eye(1), np.zeros(1)
+    v = spark.createDataFrame([(1, [-1.0])], "id long, v array<double>")
+    out = hidden.dense_layer(v, "v", W, b, act=leaky, slope=0.5).first()["hidden"]
+    assert out == [-0.5]
