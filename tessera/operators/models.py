@@ -161,6 +161,22 @@ def repeated_holdout_scores(df: DataFrame, key: str, label: str, estimator: Esti
     return df.sparkSession.createDataFrame(rows, "repeat int, score double")
 
 
+def cv_per_dataset(df: DataFrame, dataset: str, key: str, label: str, estimator: Estimator,
+                   k: int = 11) -> DataFrame:
+    """S5 + V1: the benchmark loop over numbered datasets (one file each,
+    read together with ``io.read_numbered``): stratified k folds inside each
+    dataset, a fresh fit per fold.  Returns (dataset, fold, score).  The
+    dataset list is the number of input files, so it is small."""
+    from tessera.operators.validate import stratified_folds
+    df = cut_lineage(df)
+    out = None
+    for d in sorted(r[0] for r in df.select(dataset).distinct().collect()):
+        part = stratified_folds(df.where(F.col(dataset) == d), key, label, k)
+        sc = cv_scores(part, estimator, label).withColumn(dataset, F.lit(d))
+        out = sc if out is None else out.unionByName(sc)
+    return out
+
+
 def compare_models(df: DataFrame, estimators: dict, label: str = "label",
                    fold: str = "fold") -> DataFrame:
     """V8: fold scores for every named estimator."""

@@ -143,3 +143,23 @@ def test_unfitted_pipeline_roundtrip(spark):
     back = Pipeline.load(os.path.join(d, "p"))
     rs, bc = back.getStages()
     assert rs.getOrDefault("lower") == -10.0 and bc.getOrDefault("shift") == 1.0
+
+
+def test_numbered_datasets_cv(spark):
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+    from tessera.operators import models
+    d = tempfile.mkdtemp(prefix="tessera-num-")
+    rng = np.random.default_rng(0)
+    for n in (1, 2):
+        with open(os.path.join(d, f"{n}.data"), "w") as fh:
+            for i in range(60):
+                y = i % 2
+                fh.write(f"{y},{rng.normal() + 3 * y:.4f},{rng.normal():.4f}\n")
+    df = io.read_numbered(spark, os.path.join(d, "*.data"), "label double, a double, b double")
+    df = df.withColumn("rid", F.monotonically_increasing_id())
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    scores = models.cv_per_dataset(df, "dataset", "rid", "label", models.gaussian_nb(), k=3)
+    per = {r["dataset"]: r["n"] for r in scores.groupBy("dataset").agg(F.count("*").alias("n")).collect()}
+    assert per == {1: 3, 2: 3}
+    assert scores.agg(F.min("score")).first()[0] > 0.7
