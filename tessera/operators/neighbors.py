@@ -35,7 +35,8 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, vec: str, k: int
          .withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.lit(RB)).cast("int"))
          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1)))))
     carry_fields = [(c, dict(ref.dtypes)[c]) for c in carry]
-    schema = ", ".join(["_qid long", "_rid long", "dist double"]
+    qtype, rtype = dict(query.dtypes)[qkey], dict(ref.dtypes)[rkey]
+    schema = ", ".join([f"_qid {qtype}", f"_rid {rtype}", "dist double"]
                        + [f"{c} {t}" for c, t in carry_fields])
 
     def topk(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:

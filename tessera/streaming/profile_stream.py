@@ -57,7 +57,7 @@ def stream_profile(stream: DataFrame, cols, on_progress=None) -> DataFrame:
     spark = stream.sparkSession
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = F.col(c).try_cast("double")     # text columns give null bounds, not an error
         aggs += [F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).cast("long").alias(f"nn{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
                  F.approx_count_distinct(F.col(c)).alias(f"ad{i}")]

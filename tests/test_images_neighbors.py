@@ -132,3 +132,13 @@ def test_callable_activation_with_arguments(spark):
     v = spark.createDataFrame([(1, [-1.0])], "id long, v array<double>")
     out = hidden.dense_layer(v, "v", W, b, act=leaky, slope=0.5).first()["hidden"]
     assert out == [-0.5]
+
+
+def test_knn_string_keys(spark):
+    rows = [(f"q{i}", [float(i), 0.0]) for i in range(3)]
+    refs = [(f"r{i}", int(i % 2), [float(i) + 0.1, 0.0]) for i in range(5)]
+    q = spark.createDataFrame(rows, "id string, v array<double>")
+    r = spark.createDataFrame(refs, "rid string, label int, v array<double>")
+    nn = neighbors.knn(q, r, "id", "rid", "v", k=1, carry=("label",))
+    got = {x["id"]: x["ref_id"] for x in nn.collect()}
+    assert got == {"q0": "r0", "q1": "r1", "q2": "r2"}
