@@ -72,6 +72,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is invisible to other executors
+            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS/S3/NFS) "
+                             "before running on a cluster")
         root = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not sc.getCheckpointDir():
