@@ -400,7 +400,9 @@ def correlation_matrix(df: DataFrame, cols=None, method: str = "pearson") -> Dat
     stable.  Pairs of null-free columns share per-column terms; only pairs
     touching a nullable column carry masked terms.  A constant column gives
     null (no division by zero under ANSI).  Spearman correlates average
-    ranks from a distributed rank table.
+    ranks from a distributed rank table; each column is ranked once over its
+    non-null values, so for a pair with nulls the ranks are not re-taken over
+    the pair's common rows as pandas does (identical when there are no nulls).
     """
     cols = list(cols) if cols is not None else [c for c, t in df.dtypes if _is_numeric(t)]
     t = dict(df.dtypes)

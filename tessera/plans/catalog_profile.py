@@ -85,6 +85,17 @@ def correlation_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("a", "b", F.round("corr", 9).alias("corr"))
 
 
+SPEARMAN_COLUMNS = ["l_quantity", "l_extendedprice", "net_price", "l_discount", "l_tax"]
+
+
+def correlation_spearman(spark: SparkSession, sf: str) -> DataFrame:
+    """A14 with method='spearman' (average ranks, ties shared) on the
+    null-free numeric columns of the correlation fixture."""
+    m = P.correlation_matrix(corr_input(spark, sf).select(*SPEARMAN_COLUMNS), SPEARMAN_COLUMNS,
+                             method="spearman")
+    return m.select("a", "b", F.round("corr", 9).alias("corr"))
+
+
 def feature_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return P.feature_clusters(corr_input(spark, sf), [n for n, _ in CORR_COLUMNS], thresh=0.95)
 
@@ -124,6 +135,7 @@ QUERIES = {
     "distinct_labels": distinct_labels,
     "table_equal": table_equal,
     "correlation_matrix": correlation_matrix,
+    "correlation_spearman": correlation_spearman,
     "feature_clusters": feature_clusters,
     "important_features": important_features,
 }

@@ -204,6 +204,24 @@ def correlation_matrix():
     return C + "SELECT a, b, round(corr, 9) AS corr FROM (" + _corr_pairs_sql() + ")"
 
 
+def correlation_spearman():
+    cols = ["l_quantity", "l_extendedprice", "net_price", "l_discount", "l_tax"]
+    ranks = ", ".join(
+        f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}"
+        for c in cols)
+    parts = []
+    for a in cols:
+        for b in cols:
+            if a == b:
+                expr = f"CASE WHEN var_pop({a}) > 0 THEN 1.0 END"
+            else:
+                expr = (f"CASE WHEN var_pop({a}) > 0 AND var_pop({b}) > 0 THEN "
+                        f"covar_pop({a}, {b}) / sqrt(var_pop({a}) * var_pop({b})) END")
+            parts.append(f"SELECT '{a}' AS a, '{b}' AS b, CAST({expr} AS DOUBLE) AS corr FROM r")
+    return (C + f", r AS (SELECT {ranks} FROM c)\n"
+            + "SELECT a, b, round(corr, 9) AS corr FROM (" + _union(parts) + ")")
+
+
 def _clusters_cte(thresh=0.95):
     names = [n for n, _ in CORR_COLUMNS]
     vals = ", ".join(f"('{n}', {i})" for i, n in enumerate(names))
@@ -249,6 +267,7 @@ SQL = {name: fn() for name, fn in [
     ("label_counts", label_counts), ("value_counts", value_counts),
     ("value_counts_long", value_counts_long), ("class_distribution", class_distribution),
     ("distinct_labels", distinct_labels), ("table_equal", table_equal),
-    ("correlation_matrix", correlation_matrix), ("feature_clusters", feature_clusters),
+    ("correlation_matrix", correlation_matrix), ("correlation_spearman", correlation_spearman),
+    ("feature_clusters", feature_clusters),
     ("important_features", important_features),
 ]}
