@@ -21,31 +21,41 @@ def hash_order(key: str, seed: int = 0) -> Column:
     return F.xxhash64(F.col(key), F.lit(seed))
 
 
+def _attach(df: DataFrame, key: str, narrow: DataFrame, cols) -> DataFrame:
+    """Join per-key results computed on a narrow projection back to the full
+    rows (null-safe on the key; broadcast only when the result is small).
+    Wide rows cross the network once and are never checkpointed."""
+    side = narrow.select(F.col(key).alias("_k"), *cols)
+    return (df.join(broadcast_if_small(side), F.col(key).eqNullSafe(F.col("_k")))
+            .drop("_k"))
+
+
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 10,
                      order: Column | None = None, out: str = "fold") -> DataFrame:
     """fold = (position of the row inside its class) mod k, positions
-    taken in ``order`` (default: the key).  Each fold holds floor or ceil of
-    class_size / k rows of every class."""
+    taken in ``order`` (default: the key, which must be unique).  Each fold
+    holds floor or ceil of class_size / k rows of every class.  Positions
+    are computed on (key, label, order) only."""
     if k < 2:
         raise ValueError("k must be >= 2")
     o = order if order is not None else F.col(key)
-    with_o = df.withColumn("_ord", o)
-    numbered = within_group_numbers(with_o, [label], ["_ord", key], out_col="_rn")
-    return numbered.withColumn(out, (F.col("_rn") % k).cast("int")).drop("_rn", "_ord")
+    narrow = df.select(key, label, o.alias("_ord"))
+    numbered = within_group_numbers(narrow, [label], ["_ord", key], out_col="_rn")
+    return _attach(df, key, numbered, [(F.col("_rn") % k).cast("int").alias(out)])
 
 
 def stratified_holdout(df: DataFrame, key: str, label: str, train_frac: float = 0.15,
                        order: Column | None = None, out: str = "is_train") -> DataFrame:
     """Per class, the first floor(train_frac * class_size) rows in
-    (hash) order are training rows."""
+    (hash) order are training rows (computed on the narrow projection)."""
     o = order if order is not None else hash_order(key)
-    numbered = within_group_numbers(df.withColumn("_ord", o), [label], ["_ord", key],
-                                    out_col="_rn")
-    sizes = df.groupBy(F.col(label).alias("_lab")).agg(F.count(F.lit(1)).alias("_n"))
+    narrow = df.select(key, label, o.alias("_ord"))
+    numbered = within_group_numbers(narrow, [label], ["_ord", key], out_col="_rn")
+    sizes = narrow.groupBy(F.col(label).alias("_lab")).agg(F.count(F.lit(1)).alias("_n"))
     # one row per class; null is a class too, so the join is null-safe
-    return (numbered.join(broadcast_if_small(sizes), F.col(label).eqNullSafe(F.col("_lab")))
-            .withColumn(out, (F.col("_rn") + 1) <= F.floor(F.col("_n") * train_frac))
-            .drop("_rn", "_ord", "_n", "_lab"))
+    flagged = (numbered.join(broadcast_if_small(sizes), F.col(label).eqNullSafe(F.col("_lab")))
+               .withColumn(out, (F.col("_rn") + 1) <= F.floor(F.col("_n") * train_frac)))
+    return _attach(df, key, flagged, [out])
 
 
 def holdout_split(df: DataFrame, key: str, test_frac: float, seed: int = 0,
