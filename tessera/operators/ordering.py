@@ -51,6 +51,9 @@ def row_numbers(df: DataFrame, order_cols: list, out_col: str = "row_id",
         out_col, (F.col("_p") + start).cast("long")).drop("_p")
 
 
+MAX_SMALL_GROUPS = 10_000
+
+
 def within_group_numbers(df: DataFrame, group_cols: list, order_cols: list,
                          out_col: str = "rn") -> DataFrame:
     """Zero-based row number inside each group, in ``order_cols`` order.
@@ -61,10 +64,15 @@ def within_group_numbers(df: DataFrame, group_cols: list, order_cols: list,
     """
     numbered = global_prefix(df, [*group_cols, *order_cols], out_col="_g")
     # a group starts after every row of the groups sorted before it: a
-    # prefix over the (one row per group) count table, also distributed
-    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    starts = global_prefix(counts, list(group_cols), weight="_n", out_col="_start").select(
-        *[F.col(c).alias(f"_s_{c}") for c in group_cols], "_start")
+    # prefix over the (one row per group) count table.  Few groups (checked)
+    # -> one small window over that table; many -> the distributed prefix.
+    counts = cut_lineage(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")))
+    if counts.limit(MAX_SMALL_GROUPS + 1).count() <= MAX_SMALL_GROUPS:
+        before = Window.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    else:
+        starts = global_prefix(counts, list(group_cols), weight="_n", out_col="_start")
+    starts = starts.select(*[F.col(c).alias(f"_s_{c}") for c in group_cols], "_start")
     cond = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in group_cols]   # null is a group too
     return (numbered.join(broadcast_if_small(starts), cond)
             .withColumn(out_col, (F.col("_g") - F.col("_start")).cast("long"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import within_group_numbers
-from tessera.session import broadcast_if_small
+from tessera.session import broadcast_if_small, cut_lineage
 
 
 def hash_order(key: str, seed: int = 0) -> Column:
@@ -25,7 +25,9 @@ def _attach(df: DataFrame, key: str, narrow: DataFrame, cols) -> DataFrame:
     """Join per-key results computed on a narrow projection back to the full
     rows (null-safe on the key; broadcast only when the result is small).
     Wide rows cross the network once and are never checkpointed."""
-    side = narrow.select(F.col(key).alias("_k"), *cols)
+    # the narrow (key, result) table is written once: its size check and the
+    # join then read it instead of recomputing the numbering
+    side = cut_lineage(narrow.select(F.col(key).alias("_k"), *cols))
     return (df.join(broadcast_if_small(side), F.col(key).eqNullSafe(F.col("_k")))
             .drop("_k"))
 
