@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, quality, simhash
+from tessera.llm import bpe, embed_dedup, hmm, mixing, pii, quality, secret_scan, simhash
 from tessera.session import table
 
 
@@ -15,6 +15,18 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.fit_and_score(table(spark, sf_dir, "documents"))
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op3_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,6 +39,16 @@ def op8_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_figures(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_golay, op6_bpe_round_trip, op8_quality_perplexity)}
+def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_hmm_language_model, op2_personal_data, op3_poisson_mixture, op5_simhash_golay, op6_bpe_round_trip,
+    op8_quality_perplexity, op9_secret_ledger, op10_spherical_caps)}
 
 SQL: dict[str, str] = {}
