@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, embed_dedup, hmm, mixing, pii, quality, secret_scan, simhash
+from tessera.llm import bpe, embed_dedup, hmm, html_text, mixing, pii, quality, secret_scan, simhash
 from tessera.session import table
 
 
@@ -35,6 +35,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op7_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_figures(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_hmm_language_model, op2_personal_data, op3_poisson_mixture, op5_simhash_golay, op6_bpe_round_trip,
-    op8_quality_perplexity, op9_secret_ledger, op10_spherical_caps)}
+    op7_host_paths, op8_quality_perplexity, op9_secret_ledger, op10_spherical_caps)}
 
 SQL: dict[str, str] = {}
