@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, embed_dedup, hmm, html_text, mixing, pii, quality, secret_scan, simhash
+from tessera.llm import bpe, chat, embed_dedup, hmm, html_text, mixing, pii, quality, secret_scan, simhash
 from tessera.session import table
 
 
@@ -27,6 +27,10 @@ def op3_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
 
+def op4_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_hmm_language_model, op2_personal_data, op3_poisson_mixture, op5_simhash_golay, op6_bpe_round_trip,
-    op7_host_paths, op8_quality_perplexity, op9_secret_ledger, op10_spherical_caps)}
+    op1_hmm_language_model, op2_personal_data, op3_poisson_mixture, op4_transcript_roles,
+    op5_simhash_golay, op6_bpe_round_trip, op7_host_paths, op8_quality_perplexity, op9_secret_ledger, op10_spherical_caps)}
 
 SQL: dict[str, str] = {}
