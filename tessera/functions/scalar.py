@@ -169,6 +169,8 @@ ACTIVATIONS = {
     "gaussian": gaussian,
     "multiquadric": multiquadric,
     "polyharmonic": polyharmonic,
+    "softabs": soft_abs,
+    "identity": _c,
 }
 
 
@@ -197,6 +199,8 @@ def np_activation(name: str):
         "hardlim": lambda x: (x > 0).astype(float),
         "gaussian": lambda x: np.exp(-x * x),
         "multiquadric": lambda x: np.sqrt(1.0 + x * x),
+        "polyharmonic": lambda x: (x + 1e-8) ** 2 * np.log(x + 1e-8),
+        "softabs": lambda x: np.sqrt(x * x + 1e-8),
         "identity": lambda x: x,
     }
     if callable(name):

@@ -24,7 +24,48 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalar import np_activation
 
-MAX_GRAM_WIDTH = 4096   # h: h*h doubles per fold reach the driver
+#: Widest layer whose h x h sums (per fold) may reach the driver; ``max_width``
+#: arguments raise it where the driver has the memory.
+MAX_GRAM_WIDTH = 4096
+
+
+def check_width(width: int, max_width: int = MAX_GRAM_WIDTH) -> None:
+    """Raise before any job runs if a layer's sums would not fit the driver."""
+    if width > max_width:
+        raise ValueError(f"a layer of {width} units needs sums of {width} x {width} numbers on the driver; "
+                         f"the limit is max_width={max_width}")
+
+
+def _labels(df: DataFrame, label: str) -> list:
+    """The distinct labels in the order of their own type; null is no class."""
+    return sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())
+
+
+def _one_hot(classes: list):
+    index = {c: i for i, c in enumerate(classes)}
+
+    def target(X, t):
+        out = np.zeros((len(t), len(classes)))
+        for row, value in enumerate(t):
+            if value in index:
+                out[row, index[value]] = 1.0
+        return out
+    return target
+
+
+def _with_class(df: DataFrame, vec: str, scores_fn, classes: list, kind, out: str) -> DataFrame:
+    """``df`` with the class of the highest score, in the label's own type."""
+    from pyspark.sql.types import StructField, StructType
+    schema = StructType([*df.schema.fields, StructField(out, kind)])
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf.copy()
+            best = np.argmax(scores_fn(_np(list(pdf[vec]))), axis=1) if len(pdf) else []
+            pdf[out] = pd.Series([classes[i] for i in best], index=pdf.index,
+                                 dtype=None if len(pdf) else "object")
+            yield pdf
+    return df.mapInPandas(run, schema)
 
 
 def _np(vals) -> np.ndarray:
@@ -32,8 +73,9 @@ def _np(vals) -> np.ndarray:
 
 
 def gram_sums(df: DataFrame, vec: str, hidden_fn, target_fn=None, fold: str | None = None,
-              target_col: str | None = None) -> dict:
-    """Sufficient statistics per fold (fold None -> key 0).
+              target_col: str | None = None, max_width: int = MAX_GRAM_WIDTH) -> dict:
+    """Sufficient statistics per fold (fold None -> key 0).  A wider layer
+    than ``max_width`` fails in its task, before anything is collected.
 
     ``hidden_fn(X) -> H`` and ``target_fn(X, t) -> Y`` run inside tasks on
     numpy blocks (``t`` is the ``target_col`` values, if any).  Returns
@@ -53,6 +95,7 @@ def gram_sums(df: DataFrame, vec: str, hidden_fn, target_fn=None, fold: str | No
                 H = hidden_fn(X)
                 Y = target_fn(X, part["_t"].to_numpy() if target_col else None) \
                     if target_fn else X
+                check_width(H.shape[1], max_width)
                 a = acc.setdefault(int(f), {"n": 0, "sh": 0, "sy": 0, "hh": 0, "hy": 0, "yy": 0})
                 a["n"] += len(X)
                 a["sh"] = a["sh"] + H.sum(0)
@@ -74,6 +117,8 @@ def gram_sums(df: DataFrame, vec: str, hidden_fn, target_fn=None, fold: str | No
         if rows:
             yield pd.DataFrame(rows, columns=["fold", "part", "i", "v"])
 
+    # every task sends one h x h block, so there are no more tasks than cores
+    src = src.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
     partial = src.mapInPandas(emit, "fold int, part string, i int, v array<double>")
     summed = (partial.withColumn("v", array_to_vector("v"))
               .groupBy("fold", "part", "i").agg(Summarizer.sum(F.col("v")).alias("v"))
@@ -85,8 +130,6 @@ def gram_sums(df: DataFrame, vec: str, hidden_fn, target_fn=None, fold: str | No
     for f, parts in out.items():
         hh = np.stack([parts["hh"][i] for i in sorted(parts["hh"])])
         hy = np.stack([parts["hy"][i] for i in sorted(parts["hy"])])
-        if hh.shape[0] > MAX_GRAM_WIDTH:
-            raise ValueError("hidden layer too wide for a driver-side solve")
         res[f] = dict(n=float(parts["n"][0][0]), yy=float(parts["yy"][0][0]), sh=parts["sh"][0],
                       sy=parts["sy"][0], hh=hh, hy=hy)
     return res
@@ -168,6 +211,7 @@ class ElmAutoEncoder:
         self.alphas = list(alphas) if alphas is not None else list(np.logspace(-5, 5, 11))
 
     def fit(self, df: DataFrame, vec: str, key: str):
+        check_width(self.k)
         d = df.select(F.max(F.size(vec))).first()[0]
         rs = np.random.default_rng(self.seed)
         P = rs.normal(size=(d, self.k))
@@ -212,15 +256,14 @@ class ElmClassifier:
         return W, rs.normal(size=self.n_hidden)
 
     def fit(self, df: DataFrame, vec: str, label: str):
-        self.classes_ = sorted(r[0] for r in df.select(label).distinct().collect())
-        cls = np.asarray(self.classes_)
+        check_width(self.n_hidden)
+        self.classes_, self.label_type_ = _labels(df, label), df.schema[label].dataType
+        df = df.where(F.col(label).isNotNull())
         d = df.select(F.max(F.size(vec))).first()[0]
         W, b = self._weights(d)
         act = np_activation(self.activation)
         self.W_, self.b_ = W, b
-
-        def target(X, t):
-            return (np.asarray(t)[:, None] == cls[None, :]).astype(float)
+        target = _one_hot(self.classes_)
         stats = _total(gram_sums(df, vec, lambda X: act(X @ W + b), target, target_col=label))
         # minimum-norm least squares through the pseudo-inverse of H'H
         self.beta_ = np.linalg.pinv(stats["hh"] + self.alpha * np.eye(len(b))) @ stats["hy"]
@@ -228,20 +271,8 @@ class ElmClassifier:
 
     def predict(self, df: DataFrame, vec: str, out: str = "pred") -> DataFrame:
         act = np_activation(self.activation)
-        W, b, beta, cls = self.W_, self.b_, self.beta_, np.asarray(self.classes_)
-        from pyspark.sql.types import LongType, StructField, StructType
-        schema = StructType(list(df.schema.fields) + [StructField(out, LongType())])
-
-        def run(batches):
-            for pdf in batches:
-                pdf = pdf.copy()
-                if len(pdf):
-                    scores = act(_np(list(pdf[vec])) @ W + b) @ beta
-                    pdf[out] = cls[np.argmax(scores, axis=1)].astype("int64")
-                else:
-                    pdf[out] = pd.Series([], dtype="int64")
-                yield pdf
-        return df.mapInPandas(run, schema)
+        W, b, beta = self.W_, self.b_, self.beta_
+        return _with_class(df, vec, lambda X: act(X @ W + b) @ beta, self.classes_, self.label_type_, out)
 
 
 # ------------------------------------------------ stacked ELM-AE
@@ -259,7 +290,9 @@ class DeepElmAutoEncoder:
     slope ``slopes[i]``; beta by Procrustes when widths are equal, by
     pseudo-inverse when C = 0, by ridge otherwise; the next input is
     X beta' (equal widths) or sigmoid(slope * X beta').  One Gram pass per
-    layer plus one for the output layer."""
+    layer plus one for the output layer.  The output layer is fitted to the
+    classes of ``label`` or to the numbers of the array column ``target``
+    (by default the input itself), which ``reconstruct_values`` returns."""
 
     def __init__(self, widths, C, slopes, seed: int = 1):
         self.widths, self.C, self.slopes, self.seed = list(widths), list(C), list(slopes), seed
@@ -271,11 +304,13 @@ class DeepElmAutoEncoder:
             Z = T if self.same_[i] else 1.0 / (1.0 + np.exp(-self.slopes[i] * T))
         return Z
 
-    def fit(self, df: DataFrame, vec: str, label: str):
+    def fit(self, df: DataFrame, vec: str, label: str | None = None, target: str | None = None):
+        check_width(max(self.widths, default=0))
         rs = np.random.default_rng(self.seed)
+        if label is not None:
+            self.classes_, self.label_type_ = _labels(df, label), df.schema[label].dataType
+            df = df.where(F.col(label).isNotNull())
         d = df.select(F.max(F.size(vec))).first()[0]
-        self.classes_ = sorted(r[0] for r in df.select(label).distinct().collect())
-        cls = np.asarray(self.classes_)
         dims = [d] + self.widths
         self.W_, self.same_ = [], []
         for i in range(len(self.widths)):
@@ -292,11 +327,9 @@ class DeepElmAutoEncoder:
             s = _total(gram_sums(df, vec, hidden, lambda X, t, upto=upto: self._forward(X, upto)))
             same = h_out == h_in
             if same:
-                Cm = s["hy"]                       # H'Z
-                _, _, V1h = np.linalg.svd(Cm.T @ Cm)
-                U2, _, _ = np.linalg.svd(Cm @ Cm.T)
-                beta = U2 @ V1h                    # Q = U2 V1'
-
+                # orthogonal Procrustes: the nearest rotation of H onto Z
+                u, _, vt = np.linalg.svd(s["hy"])
+                beta = u @ vt
             elif self.C[i] == 0:
                 beta = np.linalg.pinv(s["hh"]) @ s["hy"]
             else:
@@ -304,10 +337,11 @@ class DeepElmAutoEncoder:
             self.W_.append(beta)
             self.same_.append(same)
         L = len(self.widths)
-
-        def target(X, t):
-            return (np.asarray(t)[:, None] == cls[None, :]).astype(float)
-        s = _total(gram_sums(df, vec, lambda X: self._forward(X, L), target, target_col=label))
+        if label is not None:
+            wanted, column = _one_hot(self.classes_), label
+        else:
+            wanted, column = (lambda X, t: X if t is None else _np(list(t))), target
+        s = _total(gram_sums(df, vec, lambda X: self._forward(X, L), wanted, target_col=column))
         c = self.C[L] if len(self.C) > L else 0
         if c == 0:
             self.out_ = np.linalg.pinv(s["hh"]) @ s["hy"]
@@ -316,20 +350,15 @@ class DeepElmAutoEncoder:
         return self
 
     def reconstruct(self, df: DataFrame, vec: str, out: str = "pred") -> DataFrame:
-        L, outW, cls = len(self.widths), self.out_, np.asarray(self.classes_)
-        from pyspark.sql.types import LongType, StructField, StructType
-        schema = StructType(list(df.schema.fields) + [StructField(out, LongType())])
-
-        def run(batches):
-            for pdf in batches:
-                pdf = pdf.copy()
-                if len(pdf):
-                    R = self._forward(_np(list(pdf[vec])), L) @ outW
-                    pdf[out] = cls[np.argmax(R, axis=1)].astype("int64")
-                else:
-                    pdf[out] = pd.Series([], dtype="int64")
-                yield pdf
-        return df.mapInPandas(run, schema)
+        """The class that the output layer scores highest."""
+        L, outW = len(self.widths), self.out_
+        return _with_class(df, vec, lambda X: self._forward(X, L) @ outW, self.classes_, self.label_type_, out)
+
+    def reconstruct_values(self, df: DataFrame, vec: str, out: str = "values") -> DataFrame:
+        """The numbers that the output layer gives, as an array."""
+        L, outW = len(self.widths), self.out_
+        d = self.W_[0].shape[1] if self.W_ else outW.shape[0]
+        return matmul_layer(df, vec, np.eye(d), act=lambda X: self._forward(X, L) @ outW, out=out)
 
 
 # --------------------------------------------------------- PCA / rotation
@@ -360,23 +389,25 @@ def pca_transform(df: DataFrame, vec: str, mu, comps, out: str = "pcs") -> DataF
     return matmul_layer(df, vec, comps, b=-(np.asarray(mu) @ comps), out=out)
 
 
-def rotation_matrix(mu, cov, n_subsets: int, seed: int = 0):
-    """Z-score the features, split them into random subsets, PCA of
-    each subset (from the shared covariance) written into an NF x NF
-    matrix; later subsets overwrite earlier ones, as in the source."""
+def rotation_matrix(mu, cov, n_subsets: int | None = None, seed: int = 0):
+    """Z-score the features, draw random subsets of them (which may
+    overlap), and write the components of each subset's PCA, one per row, from
+    the shared covariance into an NF x NF matrix; a later subset overwrites
+    what it shares with an earlier one.  Without ``n_subsets`` their number is
+    drawn between 2 and 2 + NF / 3; sizes are drawn between 1 and NF."""
     rs = np.random.default_rng(seed)
     nf = len(mu)
     sd = np.sqrt(np.clip(np.diag(cov), 0, None))
     sd = np.where(sd > 0, sd, 1.0)
     corr = cov / np.outer(sd, sd)
     R = np.zeros((nf, nf))
-    perm = rs.permutation(nf)
-    for idx in np.array_split(perm, max(1, n_subsets)):
-        if len(idx) == 0:
-            continue
+    if n_subsets is None:
+        n_subsets = int(round(2 + nf / 3 * rs.random()))
+    for _ in range(max(1, n_subsets)):
+        size = int(1 + round((nf - 1) * rs.random()))
+        idx = np.sort(rs.permutation(nf)[:size])
         vals, vecs = np.linalg.eigh(corr[np.ix_(idx, idx)])
-        vecs = vecs[:, np.argsort(vals)[::-1]]
-        R[np.ix_(idx, idx)] = vecs
+        R[np.ix_(idx, idx)] = vecs[:, np.argsort(vals)[::-1]].T
     # z-scoring folded in: ((x - mu) / sd) R = x (R / sd) - (mu / sd) R
     M = R / sd[:, None]
     return M, -(mu / sd) @ R

@@ -1,10 +1,10 @@
 """Random hidden layers and fixed-weight feature maps.
 
 Weights and centres are model parameters whose size is fixed by the layer
-width (n_hidden x n_features), never by the data; they are inlined as
-literal arrays so the per-row work is a projection inside whole-stage code
-generation.  Layer statistics that depend on all rows (RBF input range, the
-sparse-filter feature norms) come from one aggregate each.
+width (n_hidden x n_features), never by the data; they travel with the task
+and every batch of rows is one matrix product.  Layer statistics that depend
+on all rows (RBF input range, the sparse-filter feature norms) come from one
+aggregate each.
 """
 
 from __future__ import annotations
@@ -15,26 +15,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import activation, array_dot, array_sqdist, literal_array
-
-MAX_INLINE_WEIGHTS = 2_000_000  # literal cells; wider layers go through mapInPandas
-
-
-def _check_size(n_hidden: int, n_features: int):
-    if n_hidden * n_features > MAX_INLINE_WEIGHTS:
-        raise ValueError(f"layer {n_hidden}x{n_features} is too wide to inline; "
-                         "use elm.gram_pass / mapInPandas path")
-
+from tessera.functions.scalar import activation, literal_array
 
 def dense_layer(df: DataFrame, vec: str, W: np.ndarray, b: np.ndarray, act="tanh",
                 out: str = "hidden", **act_args) -> DataFrame:
     """f(x . W_j + b_j) for every unit j, as an array column.
-    ``W`` has shape (n_features, n_hidden)."""
+    ``W`` has shape (n_features, n_hidden); any width is one matrix product
+    per Arrow batch.  A ``Column -> Column`` activation is applied to the
+    products afterwards."""
+    from tessera.operators.elm import matmul_layer
     W = np.asarray(W, dtype=float)
-    _check_size(W.shape[1], W.shape[0])
-    units = [activation(act, array_dot(vec, literal_array(W[:, j])) + F.lit(float(b[j])),
-                        **act_args) for j in range(W.shape[1])]
-    return df.withColumn(out, F.array(*units))
+    if callable(act):
+        linear = matmul_layer(df, vec, W, b, out=out)
+        return linear.withColumn(out, F.transform(F.col(out), lambda x: act(x, **act_args)))
+    if act_args:
+        linear = matmul_layer(df, vec, W, b, out=out)
+        return linear.withColumn(out, F.transform(F.col(out), lambda x: activation(act, x, **act_args)))
+    return matmul_layer(df, vec, W, b, act=act, out=out)
 
 
 def random_layer_weights(n_features: int, n_hidden: int, seed: int = 0):
@@ -44,10 +41,7 @@ def random_layer_weights(n_features: int, n_hidden: int, seed: int = 0):
 
 
 def class_centres(df: DataFrame, label: str, vec: str) -> dict:
-    """Per-class mean vectors (classes x dims numbers) for use as centres.
-    The class count and width are checked before anything is collected."""
-    shape = df.agg(F.countDistinct(label).alias("k"), F.max(F.size(vec)).alias("d")).first()
-    _check_size(int(shape["k"] or 0), int(shape["d"] or 0))
+    """Per-class mean vectors (classes x dims numbers) for use as centres."""
     long = df.select(label, F.posexplode(vec).alias("pos", "v"))
     rows = long.groupBy(label, "pos").agg(F.avg(F.col("v").cast("double")).alias("m")).collect()
     out: dict = {}
@@ -72,27 +66,31 @@ def uniform_centres(df: DataFrame, vec: str, n_hidden: int, seed: int = 0) -> np
     return rs.uniform(float(r[0]), float(r[1]), size=(n_hidden, width))
 
 
-def rbf_layer(df: DataFrame, vec: str, centres, radius: float | None = None,
-              kind: str = "gaussian", gamma: float = 1.0, out: str = "rbf") -> DataFrame:
-    """f(||x - c_j|| / r) for every centre, as an array column;
-    centres are a bounded parameter, so this is a projection, not a join."""
+def rbf_layer(df: DataFrame, vec: str, centres, radius=None, kind="gaussian", gamma: float = 1.0,
+              out: str = "rbf") -> DataFrame:
+    """f(||x - c_j|| / r_j) for every centre, as an array column.
+    ``radius`` is one number, or one per centre; ``kind`` is a name or a
+    ``Column -> Column`` callable of the scaled distance.  Centres are a
+    parameter of the layer, so this is a projection, not a join; distances
+    are computed per Arrow batch."""
+    from tessera.functions.scalar import gaussian, multiquadric, polyharmonic
+    from tessera.operators.elm import matmul_layer
     C = np.asarray(centres, dtype=float)
-    _check_size(C.shape[0], C.shape[1])
-    r = radius if radius is not None else rbf_radius(C)
-    acts = []
-    for j in range(C.shape[0]):
-        x = F.sqrt(array_sqdist(vec, literal_array(C[j]))) / F.lit(r)
-        if kind == "gaussian":
-            a = F.exp(-gamma * (x * x))
-        elif kind == "multiquadric":
-            a = F.sqrt(1.0 + (gamma * x) * (gamma * x))
-        elif kind == "polyharmonic":
-            from tessera.functions.scalar import polyharmonic
-            a = polyharmonic(x, int(gamma))
-        else:
-            raise ValueError(f"unknown RBF kind {kind!r}")
-        acts.append(a)
-    return df.withColumn(out, F.array(*acts))
+    r = np.broadcast_to(np.asarray(radius if radius is not None else rbf_radius(C), dtype=float), (len(C),))
+    kinds = {"gaussian": lambda x: gaussian(x, gamma), "multiquadric": lambda x: multiquadric(x, gamma),
+             "polyharmonic": lambda x: polyharmonic(x, int(gamma))}
+    if not callable(kind) and kind not in kinds:
+        raise ValueError(f"unknown RBF kind {kind!r}; choose from {sorted(kinds)} or pass a callable")
+
+    def scaled(X):
+        D = np.empty((len(X), len(C)))
+        for j in range(len(C)):
+            D[:, j] = np.sqrt(((X - C[j]) ** 2).sum(1)) / r[j]
+        return D
+
+    fn = kind if callable(kind) else kinds[kind]
+    dist = matmul_layer(df, vec, np.eye(C.shape[1]), act=scaled, out=out)
+    return dist.withColumn(out, F.transform(F.col(out), fn))
 
 
 def sparse_filter_activation(df: DataFrame, vec: str, W: np.ndarray, out: str = "sf") -> DataFrame:
@@ -101,20 +99,18 @@ def sparse_filter_activation(df: DataFrame, vec: str, W: np.ndarray, out: str =
     input, then each row by its L2 norm.  The feature norms are one
     aggregate (n_out numbers); as in the source, the result depends on the
     rows passed in."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    from tessera.operators.elm import matmul_layer
     W = np.asarray(W, dtype=float)
-    _check_size(W.shape[0], W.shape[1])
-    v = F.col(vec)
-    n = F.size(v)
-    mean = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double")) / n
-    centred = F.zip_with(v, F.array_repeat(mean, n), lambda x, m: x.cast("double") - m)
-    fs = F.array(*[F.sqrt(F.pow(array_dot(centred, literal_array(W[f])), 2) + 1e-8)
-                   for f in range(W.shape[0])])
-    staged = df.withColumn("_fs", fs)
-    norms = staged.select(F.posexplode("_fs").alias("f", "x")).groupBy("f").agg(
-        F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n")).collect()
-    nv = np.zeros(W.shape[0])
-    for r in norms:
-        nv[r["f"]] = r["n"]
+
+    def soft(X):
+        return np.sqrt(((X - X.mean(1, keepdims=True)) @ W.T) ** 2 + 1e-8)
+
+    staged = matmul_layer(df, vec, np.eye(W.shape[1]), act=soft, out="_fs")
+    row = staged.select(Summarizer.normL2(array_to_vector("_fs")).alias("n")).first()["n"]
+    nv = np.asarray(row) if row is not None and len(row) else np.ones(W.shape[0])
     nf = F.zip_with(F.col("_fs"), literal_array(nv), lambda a, b: a / b)
     staged = staged.withColumn("_nf", nf)
     row_norm = F.sqrt(F.aggregate(F.col("_nf"), F.lit(0.0), lambda acc, x: acc + x * x))
@@ -127,7 +123,7 @@ def exemplar_centres(df: DataFrame, key: str, vec: str, n_hidden: int, seed: int
     """M15 ``use_exemplars``: n_hidden rows of the data, by hash order, as
     centres (n_hidden is the layer width, so the collected block is bounded)."""
     if df.limit(n_hidden).count() < n_hidden:
-        raise ValueError("n_hidden must be <= n_samples when using exemplars")
+        raise ValueError(f"fewer than {n_hidden} rows to take exemplar centres from")
     rows = (df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
             .select(vec).limit(n_hidden).collect())
     return np.array([np.asarray(r[0], dtype=float) for r in rows])

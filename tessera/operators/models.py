@@ -117,7 +117,7 @@ def feature_group_cv(df: DataFrame, groups, label: str, estimator: Estimator, ar
     """V7: one CV per feature group (groups are dim ranges or index lists);
     titles must match the groups in number."""
     if titles is not None and len(titles) != len(groups):
-        raise ValueError("Length of titles must be equal to length of feature groups")
+        raise ValueError(f"{len(groups)} feature groups need as many titles, got {len(titles)}")
     titles = titles or [str(i) for i in range(len(groups))]
     scores = {}
     for t, g in zip(titles, groups):
@@ -390,60 +390,110 @@ def stack_blend(df: DataFrame, key: str, label: str, base: dict, fold: str = "fo
 
 
 # --------------------------------------------------------- rotation forest
+#: How often the candidate of each rank may be drawn.
+RANK_WEIGHTS = [13, 8, 5, 3, 2, 1, 1]
+
+
 def fibonacci_weights(n: int) -> list[float]:
-    """Fibonacci weights for n ranked members (best gets the largest)."""
-    fib = [1, 1]
-    while len(fib) < n:
-        fib.append(fib[-1] + fib[-2])
-    w = fib[:n][::-1]
-    s = float(sum(w))
-    return [x / s for x in w]
+    """Draw weights of n ranked candidates, the best first: the leading
+    ``RANK_WEIGHTS``, and 1 for every further rank."""
+    w = [RANK_WEIGHTS[i] if i < len(RANK_WEIGHTS) else 1 for i in range(n)]
+    return [x / sum(w) for x in w]
 
 
-class RotationForest:
-    """C17: members are fresh base models on rotated features.  Candidate
-    base estimators are ranked by hold-out accuracy, each member's type is
-    drawn with Fibonacci weights by rank, each member gets its own rotation
-    (random feature subsets, PCA per subset from one shared covariance)
-    and its own fit; prediction = mode vote (ties -> lowest label)."""
+class ElmMember:
+    """An ELM classifier in the form that ensembles take: ``copy``, ``fit`` on
+    a vector column, and a model whose ``transform`` adds ``prediction``."""
+
+    def __init__(self, features: str = "features", label: str = "label", **settings):
+        self.features, self.label, self.settings = features, label, settings
+
+    def copy(self):
+        return ElmMember(self.features, self.label, **self.settings)
+
+    def fit(self, df: DataFrame):
+        from tessera.operators.elm import ElmClassifier
+        arrays = df.withColumn("_elm", vector_to_array(self.features))
+        self.model_ = ElmClassifier(**self.settings).fit(arrays.select("_elm", self.label), "_elm", self.label)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        arrays = df.withColumn("_elm", vector_to_array(self.features)).drop(self.features)
+        return self.model_.predict(arrays, "_elm", "prediction").drop("_elm")
+
 
-    def __init__(self, candidates: dict, n: int = 23, n_subsets: int = 3, seed: int = 0):
+class NeighbourMember:
+    """Nearest-neighbour votes in the form that ensembles take."""
+
+    def __init__(self, k: int = 3, weights: str = "distance", key: str = "key", features: str = "features",
+                 label: str = "label"):
+        self.settings = dict(k=k, weights=weights, key=key, features=features, label=label)
+        self.k, self.weights, self.key, self.features, self.label = k, weights, key, features, label
+
+    def copy(self):
+        return NeighbourMember(**self.settings)
+
+    def fit(self, df: DataFrame):
+        self.rows_ = cut_lineage(df.select(self.key, self.label, vector_to_array(self.features).alias("_v")))
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from tessera.operators.neighbors import knn, weighted_vote
+        q = df.select(self.key, vector_to_array(self.features).alias("_v"))
+        near = knn(q, self.rows_, self.key, self.key, "_v", k=self.k, carry=[self.label])
+        vote = weighted_vote(near, self.key, self.label, self.weights)
+        return df.join(vote.withColumnRenamed("pred", "prediction"), self.key, "left")
+
+
+class RotationForest:
+    """C17: members are fresh base models on rotated features.  30% of the
+    rows (by hash) only rank the candidates: each is fitted on four fifths of
+    them and scored on the last fifth.  Each member's kind is drawn with
+    weights by rank, gets its own rotation (random feature subsets, PCA per
+    subset from one shared covariance) and is fitted on the other 70%;
+    prediction = mode vote (ties -> lowest label).  Without ``n_subsets``
+    their number is drawn for each member."""
+
+    def __init__(self, candidates: dict, n: int = 23, n_subsets: int | None = None, seed: int = 0):
         self.candidates, self.n, self.n_subsets, self.seed = candidates, n, n_subsets, seed
 
     def fit(self, df: DataFrame, array_col: str, label: str = "label", key: str = "key"):
         from tessera.operators.elm import covariance, matmul_layer, rotation_matrix
         rs = random.Random(self.seed)
         df = cut_lineage(df)
-        hold = F.pmod(F.xxhash64(F.col(key), F.lit(self.seed)), F.lit(10)) < 3
+        part = F.pmod(F.xxhash64(F.col(key), F.lit(self.seed)), F.lit(100))
         vec = with_vector(df, array_col)
         scores = {}
         for name, est in self.candidates.items():
-            m = est.copy().fit(vec.where(~hold))
-            scores[name] = accuracy_of(m.transform(vec.where(hold)), label)
+            m = est.copy().fit(vec.where(part < 24))
+            scores[name] = accuracy_of(m.transform(vec.where((part >= 24) & (part < 30))), label)
         ranked = sorted(scores, key=lambda k: (-scores[k], k))
         weights = fibonacci_weights(len(ranked))
         mu, cov = covariance(df, array_col)
+        rest = df.where(part >= 30)
         self.members_ = []
         for i in range(self.n):
             kind = rs.choices(ranked, weights=weights)[0]
             M, b = rotation_matrix(mu, cov, self.n_subsets, seed=self.seed * 1000 + i)
-            rot = matmul_layer(df, array_col, M, b, out="_rot")
+            rot = matmul_layer(rest, array_col, M, b, out="_rot")
             model = self.candidates[kind].copy().fit(with_vector(rot, "_rot"))
             self.members_.append((kind, M, b, model))
         return self
 
     def predict(self, df: DataFrame, array_col: str, key: str) -> DataFrame:
+        """Every member adds its vote to the row; the vote is counted in the
+        row, so nothing is shuffled or scanned again."""
         from tessera.operators.elm import matmul_layer
-        votes = None
+        cur, names = df.select(key, array_col), []
         for i, (_, M, b, model) in enumerate(self.members_):
-            rot = with_vector(matmul_layer(df.select(key, array_col), array_col, M, b, out="_rot"),
-                              "_rot")
-            p = model.transform(rot).select(key, F.col("prediction").cast("int").alias("vote"))
-            votes = p if votes is None else votes.unionByName(p)
-        counted = votes.groupBy(key, "vote").agg(F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy(key).orderBy(F.desc("n"), F.asc("vote"))
-        return (counted.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1)
-                .select(key, F.col("vote").alias("prediction")))
+            rot = with_vector(matmul_layer(cur, array_col, M, b, out="_rot"), "_rot")
+            names.append(f"_vote{i}")
+            cur = model.transform(rot).withColumn(names[-1], F.col("prediction").cast("int")).select(
+                key, array_col, *names)
+        votes = F.array_sort(F.filter(F.array(*names), lambda v: v.isNotNull()))
+        tally = F.transform(F.array_distinct(votes), lambda v: F.struct(
+            F.size(F.filter(votes, lambda x: x == v)).alias("n"), (-v).alias("low")))
+        return cur.select(key, (-F.array_max(tally)["low"]).alias("prediction"))
 
 
 def mlp(layers, seed: int = 0, **kw) -> MultilayerPerceptronClassifier:

@@ -54,15 +54,14 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, vec: str, k: int
         for s in range(0, len(qid), 64):
             diff = Q[s:s + 64, None, :] - Rm[None, :, :]
             d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-            if exclude_self:
-                d = np.where(qid[s:s + 64, None] == rid[None, :], np.inf, d)
+            d[np.isnan(d)] = np.inf                      # as far away as can be, but not lost
             idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
-            for row, cols in enumerate(idx):
-                for j in cols:
-                    if np.isfinite(d[row, j]):
-                        out.append((qid[s + row], rid[j], d[row, j],
-                                    *[carried[c][j] for c in carry]))
-        return pd.DataFrame(out, columns=["_qid", "_rid", "dist", *carry])
+            pick = idx.ravel()
+            part = {"_qid": np.repeat(qid[s:s + 64], kk), "_rid": rid[pick],
+                    "dist": np.take_along_axis(d, idx, 1).ravel(), **{c: carried[c][pick] for c in carry}}
+            part = pd.DataFrame(part)
+            out.append(part[part["_qid"] != part["_rid"]] if exclude_self else part)
+        return pd.concat(out, ignore_index=True)
 
     cand = q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInPandas(topk, schema)
     w = Window.partitionBy("_qid").orderBy("dist", "_rid")   # k x RB rows per query

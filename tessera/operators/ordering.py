@@ -44,14 +44,33 @@ def global_prefix(df: DataFrame, order_cols: list, weight: str | None = None,
             .drop("_pid", "_off", "_w"))
 
 
-def row_numbers(df: DataFrame, order_cols: list, out_col: str = "row_id",
-                start: int = 1) -> DataFrame:
-    """Consecutive ids ``start..start+n-1`` in an explicit order."""
-    return global_prefix(df, order_cols, out_col="_p").withColumn(
-        out_col, (F.col("_p") + start).cast("long")).drop("_p")
+def global_positions(df: DataFrame, order_cols: list, out_col: str) -> DataFrame:
+    """Add ``out_col``: the row's zero-based place in the global order of
+    ``order_cols``, which must include a unique key to be repeatable.
+
+    One range shuffle, one sort inside the ranges and one written table;
+    ``monotonically_increasing_id`` then numbers the rows of each range, and
+    the sizes of the ranges (a row per partition) give the offsets."""
+    numbered = cut_lineage(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+                           .withColumn("_at", F.monotonically_increasing_id()))
+    low = (1 << 33) - 1
+    sizes = numbered.groupBy(F.shiftright("_at", 33).alias("_pid")).agg(F.max(F.col("_at").bitwiseAND(low)).alias("last"))
+    offset, offsets = 0, {}
+    for r in sorted(sizes.collect()):            # one row per range partition
+        offsets[r["_pid"]] = offset
+        offset += r["last"] + 1
+    side = df.sparkSession.createDataFrame(list(offsets.items()), "_pid long, _off long")
+    return (numbered.withColumn("_pid", F.shiftright("_at", 33)).join(F.broadcast(side), "_pid")
+            .withColumn(out_col, F.col("_off") + F.col("_at").bitwiseAND(low)).drop("_pid", "_off", "_at"))
 
 
-MAX_SMALL_GROUPS = 10_000
+def row_numbers(df: DataFrame, order_cols: list, out_col: str = "row_id",
+                start: int = 1) -> DataFrame:
+    """Consecutive ids ``start..start+n-1`` in an explicit order.
+    Rows that tie on the order are told apart by a hash of all columns."""
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+    return global_positions(tied, [*order_cols, "_tie"], "_p").withColumn(
+        out_col, (F.col("_p") + start).cast("long")).drop("_p", "_tie")
 
 
 def within_group_numbers(df: DataFrame, group_cols: list, order_cols: list,
@@ -59,20 +78,12 @@ def within_group_numbers(df: DataFrame, group_cols: list, order_cols: list,
     """Zero-based row number inside each group, in ``order_cols`` order.
 
     Equivalent to ``row_number() over (partition by group order by ..) - 1``
-    but a hot group is spread over many tasks: global prefix over
-    (group, order) minus the group's start offset (one row per group).
+    but a hot group is spread over many tasks: the place in the global order
+    of (group, order) minus the place of the group's first row (one row per
+    group).
     """
-    numbered = global_prefix(df, [*group_cols, *order_cols], out_col="_g")
-    # a group starts after every row of the groups sorted before it: a
-    # prefix over the (one row per group) count table.  Few groups (checked)
-    # -> one small window over that table; many -> the distributed prefix.
-    counts = cut_lineage(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")))
-    if counts.limit(MAX_SMALL_GROUPS + 1).count() <= MAX_SMALL_GROUPS:
-        before = Window.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
-        starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    else:
-        starts = global_prefix(counts, list(group_cols), weight="_n", out_col="_start")
-    starts = starts.select(*[F.col(c).alias(f"_s_{c}") for c in group_cols], "_start")
+    numbered = global_positions(df, [*group_cols, *order_cols], "_g")
+    starts = numbered.groupBy(*[F.col(c).alias(f"_s_{c}") for c in group_cols]).agg(F.min("_g").alias("_start"))
     cond = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in group_cols]   # null is a group too
     return (numbered.join(broadcast_if_small(starts), cond)
             .withColumn(out_col, (F.col("_g") - F.col("_start")).cast("long"))
@@ -80,19 +91,21 @@ def within_group_numbers(df: DataFrame, group_cols: list, order_cols: list,
 
 
 def average_ranks(long_df: DataFrame, group_col: str, value_col: str,
-                  out_col: str = "avg_rank") -> DataFrame:
+                  out_col: str = "avg_rank", weight: str | None = None) -> DataFrame:
     """Average (fractional) rank of each distinct value inside each group,
     1-based, ties share ``first + (ties-1)/2``.  Input is long form
     ``(group, value, ...)``; output is ``(group, value, n, avg_rank)`` with
-    one row per distinct value (nulls excluded)."""
+    one row per distinct value (nulls excluded).  ``weight`` names a column
+    that says how many rows a row stands for."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = (long_df.where(F.col(value_col).isNotNull())
-              .groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("n")))
+              .groupBy(group_col, value_col).agg(n.alias("n")))
     pref = global_prefix(counts, [group_col, value_col], weight="n", out_col="_before")
     # rows of earlier groups are subtracted with a per-group offset (one
     # row per group, e.g. per column of a rank correlation)
     sizes = counts.groupBy(group_col).agg(F.sum("n").alias("_gn"))
     first = global_prefix(sizes, [group_col], weight="_gn", out_col="_gstart").drop("_gn")
-    return (pref.join(F.broadcast(first), group_col)
+    return (pref.join(broadcast_if_small(first), group_col)
             .withColumn(out_col, (F.col("_before") - F.col("_gstart")).cast("double")
                         + (F.col("n") + 1) / 2.0)
             .drop("_before", "_gstart"))

@@ -25,6 +25,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import nan_to_null
+
 
 class _Cols(HasInputCols, HasOutputCols):
     def _out(self):
@@ -135,22 +137,33 @@ def pixel_scale(c, factor: float = 255.0):
 
 
 # ------------------------------------------------------------- encodings
+def label_classes(df: DataFrame, label: str) -> DataFrame:
+    """(label, index): the distinct labels in the order of their own type,
+    numbered from 0.  Null is not a class.  Fit once, then ``label_apply``."""
+    from pyspark.sql import Window
+    found = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct()
+    # the window runs over one row per class
+    return found.withColumn("index", F.row_number().over(Window.orderBy("label")) - 1)
+
+
+def label_apply(df: DataFrame, classes: DataFrame, label: str, out: str = "label_idx") -> DataFrame:
+    """``df`` with the index of its label; null for a null or unseen label."""
+    from tessera.session import broadcast_if_small
+    side = classes.select(F.col("label").alias("_label"), F.col("index").cast("int").alias(out))
+    return df.join(broadcast_if_small(side), F.col(label) == F.col("_label"), "left").drop("_label")
+
+
 def label_encode(df: DataFrame, label: str, out: str = "label_idx") -> DataFrame:
-    """M7: sorted labels -> 0..k-1 (StringIndexer, alphabetical)."""
-    from pyspark.ml.feature import StringIndexer
-    idx = StringIndexer(inputCol=label, outputCol=out, stringOrderType="alphabetAsc",
-                        handleInvalid="keep").fit(df)
-    return idx.transform(df).withColumn(out, F.col(out).cast("int"))
+    """M7: sorted labels -> 0..k-1, sorted in their own type; null stays null."""
+    return label_apply(df, label_classes(df, label), label, out)
 
 
 def label_binarize(df: DataFrame, label: str, classes=None, prefix: str = "is_") -> DataFrame:
-    """M8: one 0/1 column per class (class list is small and read once);
-    a two-class label gives a single column for the larger class."""
+    """M8: one 0/1 column per class (the list of classes, which becomes the
+    list of columns, is read once unless given); a two-class label gives a
+    single column for the larger class.  Null is no class and has null flags."""
     if classes is None:
-        max_classes = 10_000            # one output column per class: a bounded list
-        found = df.select(label).distinct().limit(max_classes + 1).collect()
-        if len(found) > max_classes:
-            raise ValueError(f"more than {max_classes} classes; pass `classes` explicitly")
+        found = df.where(F.col(label).isNotNull()).select(label).distinct().collect()
         classes = sorted(r[0] for r in found)
     if len(classes) == 2:
         classes = classes[1:]
@@ -169,20 +182,22 @@ def boxcox_expr(x, lam: float, shift: float = 0.0):
 
 def boxcox_loglik(df: DataFrame, cols, lambdas, shift: float = 0.0) -> DataFrame:
     """Box-Cox log-likelihood of every (column, lambda) in ONE aggregate:
-    llf = (lam - 1) * sum(ln(x+c)) - n/2 * ln(var_pop(y_lam)).
+    llf = (lam - 1) * sum(ln(x+c)) - n/2 * ln(var_pop(y_lam)), where n counts
+    the column's values (nulls and NaN aside).
     ``lambdas`` is one grid for all columns or a dict column -> grid."""
     grids = lambdas if isinstance(lambdas, dict) else {c: list(lambdas) for c in cols}
-    aggs = [F.count(F.lit(1)).alias("n")]
+    types, aggs = dict(df.dtypes), []
     for i, c in enumerate(cols):
-        aggs.append(F.sum(F.ln(F.col(c) + F.lit(shift))).alias(f"sl{i}"))
+        x = nan_to_null(F.col(c), types[c])
+        aggs += [F.count(x).alias(f"n{i}"), F.sum(F.ln(x + F.lit(shift))).alias(f"sl{i}")]
         for j, lam in enumerate(grids[c]):
-            aggs.append(F.var_pop(boxcox_expr(c, lam, shift)).alias(f"v{i}_{j}"))
+            aggs.append(F.var_pop(boxcox_expr(x, lam, shift)).alias(f"v{i}_{j}"))
     wide = df.agg(*aggs)
     structs = []
     for i, c in enumerate(cols):
         for j, lam in enumerate(grids[c]):
             llf = (F.lit(lam - 1.0) * F.col(f"sl{i}")
-                   - F.col("n") / 2.0 * F.ln(F.col(f"v{i}_{j}")))
+                   - F.col(f"n{i}") / 2.0 * F.ln(F.col(f"v{i}_{j}")))
             structs.append(F.struct(F.lit(c).alias("attribute"), F.lit(float(lam)).alias("lambda"),
                                     llf.alias("llf")))
     return wide.select(F.inline(F.array(*structs)))
@@ -205,10 +220,12 @@ class BoxCoxModel(Model, _Cols, DefaultParamsReadable, DefaultParamsWritable):
 
 class BoxCox(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
     """M9: per column lambda by maximum likelihood on the training data,
-    reused on new data.  Two aggregate passes, each scoring a lambda grid for
-    every column at once: a coarse grid on [-2, 2], then a fine grid around
-    each column's best point (resolution 0.01; the source's optimiser is
-    continuous -- the grid is our stated approximation)."""
+    reused on new data.  Aggregate passes, each scoring a lambda grid for
+    every column at once: a coarse grid on [-2, 2], further out for columns
+    whose maximum lies there, then a fine grid around each column's best point
+    (resolution 0.01; the source's optimiser is continuous -- the grid is our
+    stated approximation).  Nulls and NaN are left out; a value that is not
+    positive after the shift is an error."""
 
     shift = Param(Params._dummy(), "shift", "added before transform", TypeConverters.toFloat)
 
@@ -233,8 +250,28 @@ class BoxCox(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
 
     def _fit(self, df):
         cols = self.getInputCols()
+        types = dict(df.dtypes)
+        least = df.agg(*[F.min(nan_to_null(F.col(c), types[c])).alias(f"m{i}")
+                         for i, c in enumerate(cols)]).first()
+        for c, m in zip(cols, least):
+            if m is not None and m + self._shift <= 0:
+                raise ValueError(f"Box-Cox needs positive values: the least of {c} plus the shift is {m + self._shift}")
         coarse = [round(-2 + 0.1 * k, 10) for k in range(41)]
         b1 = self._best(df, cols, {c: coarse for c in cols})
+        edge, reach = [c for c in cols if abs(b1[c]) >= 2], 2.0
+        while edge and reach < 1e3:     # the maximum lies outside: look further out on that side
+            step, side = reach / 10, {c: math.copysign(1.0, b1[c]) for c in edge}
+            wider = {c: [round(side[c] * (reach + step * k), 10) for k in range(11)] for c in edge}
+            found = self._best(df, edge, wider)
+            reach *= 2
+            edge = [c for c in edge if abs(found[c]) >= reach]
+            b1.update(found)
+        if reach > 2.0:                 # narrow the wide steps down to 0.1
+            for width in (1.0, 0.1):
+                wide = [c for c in cols if abs(b1[c]) > 2]
+                if wide:
+                    b1.update(self._best(df, wide, {c: [round(b1[c] + reach / 10 * width * k / 10, 10)
+                                                        for k in range(-10, 11)] for c in wide}))
         fine = {c: [round(b1[c] + 0.01 * k, 10) for k in range(-10, 11)] for c in cols}
         b2 = self._best(df, cols, fine)
         return BoxCoxModel(cols, self._out(), [b2[c] for c in cols], self._shift)
@@ -299,18 +336,23 @@ def top_vocabulary(counts: DataFrame, term: str = "term", count: str = "tf",
 
 # ----------------------------------------------------------- ANOVA F test
 def anova_f(long_df: DataFrame, feature: str, label: str, value: str) -> DataFrame:
-    """T5: one-way ANOVA F per feature from (feature, label, value) rows:
-    per (feature, class) count/sum/sum of squares, then per feature."""
+    """T5: one-way ANOVA F per feature from (feature, label, value) rows.
+
+    Counts, means and central moments per (feature, class) are combined
+    around each feature's mean, so large means cost no digits.  A feature
+    that is constant within every class but not between them has F = +inf."""
+    from pyspark.sql import Window
     g = long_df.groupBy(feature, label).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"),
-        F.sum(F.col(value) * F.col(value)).alias("ss"))
-    per = g.groupBy(feature).agg(
-        F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("S"),
-        F.sum("ss").alias("SS"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B"))
-    ssb = F.col("B") - F.col("S") * F.col("S") / F.col("N")
-    ssw = F.col("SS") - F.col("B")
-    f = F.try_divide(ssb / (F.col("k") - 1), ssw / (F.col("N") - F.col("k")))
-    return per.select(feature, f.alias("f_score"))
+        F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).where("n > 0")
+    of = Window.partitionBy(feature)              # one row per class
+    mean = F.sum(F.col("n") * F.col("m")).over(of) / F.sum("n").over(of)
+    per = g.withColumn("d", F.col("m") - mean).groupBy(feature).agg(
+        F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"),
+        F.sum(F.col("n") * F.col("d") * F.col("d")).alias("ssb"),
+        F.sum(F.col("n") * F.col("v")).alias("ssw"))
+    f = F.try_divide(F.try_divide("ssb", F.col("k") - 1), F.try_divide("ssw", F.col("N") - F.col("k")))
+    perfect = (F.col("ssw") == 0) & (F.col("ssb") > 0) & (F.col("N") > F.col("k"))
+    return per.select(feature, F.when(perfect, F.lit(math.inf)).otherwise(f).alias("f_score"))
 
 
 def select_k_best(scores: DataFrame, feature: str, k: int) -> DataFrame:

@@ -49,7 +49,7 @@ def _q(c: str):
 
 # ------------------------------------------------------------ null / inf
 def _count_if(cond):
-    return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("long")
+    return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("long")
 
 
 def null_inf_counts(df: DataFrame, cols=None) -> DataFrame:
@@ -71,7 +71,7 @@ def null_inf_counts(df: DataFrame, cols=None) -> DataFrame:
 
 
 def _frac_or_count(counts: DataFrame, col: str, percent: bool, out: str) -> DataFrame:
-    v = (F.col(col) / F.col("n_rows")) if percent else F.col(col)
+    v = F.try_divide(F.col(col), F.col("n_rows")) if percent else F.col(col)
     return counts.select("attribute", v.alias(out))
 
 
@@ -95,8 +95,8 @@ def null_inf_profile(df: DataFrame, cols=None, sort: bool = True,
     """Both profiles from the same single aggregate."""
     c = null_inf_counts(df, cols)
     if percent:
-        res = c.select("attribute", (F.col("n_null") / F.col("n_rows")).alias("null_frac"),
-                       (F.col("n_inf") / F.col("n_rows")).alias("inf_frac"))
+        res = c.select("attribute", F.try_divide("n_null", "n_rows").alias("null_frac"),
+                       F.try_divide("n_inf", "n_rows").alias("inf_frac"))
         key = "null_frac"
     else:
         res = c.select("attribute", "n_null", "n_inf")
@@ -107,7 +107,7 @@ def null_inf_profile(df: DataFrame, cols=None, sort: bool = True,
 def null_columns(df: DataFrame, frac: float = 0.8, cols=None) -> DataFrame:
     """A2: columns whose null fraction is >= frac (inclusive)."""
     c = null_inf_counts(df, cols)
-    return c.where((F.col("n_rows") > 0) & (F.col("n_null") / F.col("n_rows") >= frac)) \
+    return c.where(F.try_divide("n_null", "n_rows") >= frac) \
             .select("attribute")
 
 
@@ -160,7 +160,7 @@ def _distinct_counts(df: DataFrame, values: dict) -> DataFrame:
         v = c[0]
         if t in INTEGRAL or t == "boolean":
             return v.cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
-        if t in FLOATING or t.startswith("decimal"):
+        if t in FLOATING:
             return F.lit(None).cast("long"), v.cast("double"), F.lit(None).cast("string")
         return F.lit(None).cast("long"), F.lit(None).cast("double"), v.cast("string")
     names = list(values)
@@ -210,9 +210,10 @@ def column_summary(df: DataFrame, cols=None) -> DataFrame:
         keep = ~is_null_or_blank(col, t)
         if t in INTEGRAL or t == "boolean":
             lv, dv, sv = col.cast("long"), nd, ns
-        elif t in FLOATING or t.startswith("decimal"):
+        elif t in FLOATING:
             lv, dv, sv = nl, col.cast("double"), ns
-        else:                                   # text (and dates/times, which never parse)
+        else:      # text, dates and times (which never parse), and decimals: a column
+            # has one scale, so equal decimals print alike and no digit is lost
             lv, dv, sv = nl, nd, col.cast("string")
         structs.append(F.struct(F.lit(i).alias("a"), F.when(keep, lv).alias("lv"),
                                 F.when(keep, dv).alias("dv"), F.when(keep, sv).alias("sv")))
@@ -246,19 +247,17 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(_q(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def column_summary_capped(df: DataFrame, cols=None, cap: int = 1000,
-                          approx_margin: float = 4.0) -> DataFrame:
+def column_summary_capped(df: DataFrame, cols=None, cap: int = 1000) -> DataFrame:
     """The big-file summary.  Values are text, stripped; blank = null.
 
     * min/max only when every non-blank value parses as a float;
     * n_uniq over parsed values (whole column numeric) or stripped text, with
-      the blank value counted once; shown as ``'> cap'`` above the cap.
+      the blank value counted once; shown as ``'> cap'`` above the cap, which
+      an exact count decides.
 
-    Columns already typed as numbers skip the text round trip (their text
-    always parses back to the same number; only null is blank).  Columns
-    whose HyperLogLog estimate is above ``approx_margin * cap`` are reported
-    as ``'> cap'`` without an exact distinct (the estimate would have to be
-    75% off to be wrong); every other column gets an exact count.
+    Bounds and null counts are one wide aggregate.  Columns already typed as
+    numbers skip the text round trip (their text always parses back to the
+    same number; only null is blank).
     """
     names = list(cols) if cols is not None else list(df.columns)
     types = dict(df.dtypes)
@@ -271,41 +270,34 @@ def column_summary_capped(df: DataFrame, cols=None, cap: int = 1000,
         return is_trimmed_blank(_q(c)), try_double(s), s
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(names):
-        blank, num, s = parts(c)
-        key = num if s is None else s
+        blank, num, _ = parts(c)
         aggs += [
             _count_if(blank).alias(f"nn{i}"),
             _count_if(~blank & num.isNull()).alias(f"bad{i}"),
             F.min(F.when(~blank, num)).alias(f"lo{i}"),
             F.max(F.when(~blank, num)).alias(f"hi{i}"),
-            F.approx_count_distinct(F.when(~blank, key), 0.05).alias(f"ap{i}"),
         ]
-    wide = df.agg(*aggs)
-    stats = _long(wide, names, {"n_rows": "n_rows", "n_null": "nn{}", "bad": "bad{}",
-                                "lo": "lo{}", "hi": "hi{}", "approx": "ap{}"}).cache()
-    rows = stats.select("attribute", "bad", "approx").collect()  # one row per column
-    numeric = {r["attribute"]: r["bad"] == 0 for r in rows}
-    exact_cols = [r["attribute"] for r in rows if r["approx"] <= approx_margin * cap]
+    w = df.agg(*aggs).first().asDict()             # a few numbers per column
     keys = {}
-    for c in exact_cols:
+    for i, c in enumerate(names):
         blank, num, s = parts(c)
-        keys[c] = (F.when(~blank, num), "double") if numeric[c] else (F.when(~blank, s), "string")
-    if keys:
-        distinct = _distinct_counts(df, keys)
-    else:
-        distinct = df.sparkSession.createDataFrame([], "attribute string, n_distinct long")
+        if types[c].startswith("decimal"):
+            keys[c] = (_q(c), types[c])
+        else:
+            keys[c] = (F.when(~blank, num), "double") if w[f"bad{i}"] == 0 else (F.when(~blank, s), "string")
+    stats = df.sparkSession.createDataFrame(
+        [(c, w["n_rows"], w[f"nn{i}"], w[f"bad{i}"], w[f"lo{i}"], w[f"hi{i}"]) for i, c in enumerate(names)],
+        "attribute string, n_rows long, n_null long, bad long, lo double, hi double")
     total = (F.coalesce(F.col("n_distinct"), F.lit(0))
              + F.when(F.col("n_null") > 0, 1).otherwise(0))
-    exact = F.col("n_distinct").isNotNull() | F.col("attribute").isin(exact_cols)
-    n_uniq = F.when(exact & (total <= cap), total.cast("string")).otherwise(F.lit(f"> {cap}"))
+    n_uniq = F.when(total <= cap, total.cast("string")).otherwise(F.lit(f"> {cap}"))
     numeric_col = F.col("bad") == 0
-    out = (stats.join(distinct, "attribute", "left")
-           .select("attribute",
-                   F.when(numeric_col, finite_or_null(F.col("lo"))).alias("min"),
-                   F.when(numeric_col, finite_or_null(F.col("hi"))).alias("max"),
-                   F.col("n_null"), n_uniq.alias("n_uniq"),
-                   F.try_divide(F.col("n_null").cast("double"), F.col("n_rows")).alias("perc_null")))
-    return out
+    return (stats.join(_distinct_counts(df, keys), "attribute", "left")
+            .select("attribute",
+                    F.when(numeric_col, finite_or_null(F.col("lo"))).alias("min"),
+                    F.when(numeric_col, finite_or_null(F.col("hi"))).alias("max"),
+                    F.col("n_null"), n_uniq.alias("n_uniq"),
+                    F.try_divide(F.col("n_null").cast("double"), F.col("n_rows")).alias("perc_null")))
 
 
 def label_counts_capped(df: DataFrame, label: str, cap: int = 1000) -> DataFrame | None:
@@ -333,6 +325,15 @@ def value_counts_long(df: DataFrame, cols) -> DataFrame:
             .groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
+def value_index(df: DataFrame, cols) -> DataFrame:
+    """The value counts of many columns as a sorted index: columns in
+    their given order, then most frequent first, ties by value."""
+    place = F.element_at(F.map_from_arrays(F.array(*[F.lit(c) for c in cols]),
+                                           F.array(*[F.lit(i) for i in range(len(cols))])), F.col("attribute"))
+    return (value_counts_long(df, cols).withColumn("_place", place)
+            .orderBy("_place", F.desc("n"), "value").drop("_place"))
+
+
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """(label, n, frac).  The window runs over the grouped result, one
     row per class."""
@@ -357,9 +358,11 @@ def table_equal(a: DataFrame, b: DataFrame, keys: list[str],
                 decimals: int | None = None) -> DataFrame:
     """Keyed comparison -> one row (n_left, n_right, n_diff, equal).
 
-    Both sides are tagged and unioned, then grouped by key: one shuffle,
-    no join, and duplicate keys never multiply.  NaN equals NaN; numbers are
-    rounded half-to-even to ``decimals`` first when given.
+    Both sides are tagged and unioned, then grouped by the whole row and by
+    key: no join, duplicate keys never multiply, and values are compared
+    themselves, not by a hash.  NaN equals NaN and null equals null; numbers
+    are rounded half-to-even to ``decimals`` first when given.  Two empty
+    tables are equal.
     """
     if sorted(a.columns) != sorted(b.columns):
         return a.sparkSession.createDataFrame(
@@ -371,22 +374,27 @@ def table_equal(a: DataFrame, b: DataFrame, keys: list[str],
     def norm(c):
         col = _q(c)
         if decimals is not None and _is_numeric(t[c]):
-            col = F.bround(col.cast("double"), decimals)
+            return F.bround(col.cast("double"), decimals)
+        if t[c].startswith("map"):                 # maps cannot be grouped; their sorted entries can
+            return F.array_sort(F.map_entries(col))
         return col
 
     def tagged(df, side):
-        h = F.xxhash64(*[norm(c) for c in values]) if values else F.lit(0)
-        return df.select(*[_q(k) for k in keys], F.lit(side).alias("_side"), h.alias("_h"))
+        return df.select(*[_q(k).alias(f"k{i}") for i, k in enumerate(keys)],
+                         *[norm(c).alias(f"v{i}") for i, c in enumerate(values)],
+                         F.lit(side).cast("long").alias("side"))
 
+    ks = [f"k{i}" for i in range(len(keys))]
     u = tagged(a, 0).unionByName(tagged(b, 1))
-    per_key = u.groupBy(*keys).agg(
-        F.sum(1 - F.col("_side")).alias("na"), F.sum("_side").alias("nb"),
-        F.sum(F.when(F.col("_side") == 0, F.col("_h").cast("decimal(38,0)"))).alias("ha"),
-        F.sum(F.when(F.col("_side") == 1, F.col("_h").cast("decimal(38,0)"))).alias("hb"))
-    differs = (F.col("na") != F.col("nb")) | ~F.col("ha").eqNullSafe(F.col("hb"))
+    # equal rows of a key must be as many on the left as on the right
+    rows = u.groupBy(*ks, *[f"v{i}" for i in range(len(values))]).agg(
+        F.sum(1 - F.col("side")).alias("na"), F.sum("side").alias("nb"))
+    per_key = rows.groupBy(*ks).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"),
+                                    F.max(F.col("na") != F.col("nb")).alias("differs"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return per_key.agg(
-        F.sum("na").cast("long").alias("n_left"), F.sum("nb").cast("long").alias("n_right"),
-        _count_if(differs).alias("n_diff")).withColumn(
+        zero("na").alias("n_left"), zero("nb").alias("n_right"),
+        _count_if(F.col("differs")).alias("n_diff")).withColumn(
         "equal", (F.col("n_left") == F.col("n_right")) & (F.col("n_diff") == 0))
 
 
@@ -400,16 +408,16 @@ def correlation_matrix(df: DataFrame, cols=None, method: str = "pearson") -> Dat
     stable.  Pairs of null-free columns share per-column terms; only pairs
     touching a nullable column carry masked terms.  A constant column gives
     null (no division by zero under ANSI).  Spearman correlates average
-    ranks from a distributed rank table; each column is ranked once over its
-    non-null values, so for a pair with nulls the ranks are not re-taken over
-    the pair's common rows as pandas does (identical when there are no nulls).
+    ranks from a distributed rank table: a column is ranked once for all pairs
+    of null-free columns, and anew over the common rows of each pair that
+    touches a column with nulls.
     """
     cols = list(cols) if cols is not None else [c for c, t in df.dtypes if _is_numeric(t)]
     t = dict(df.dtypes)
     base = df.select(*[nan_to_null(_q(c), t[c]).cast("double").alias(c) for c in cols])
     if method == "spearman":
-        base = _rank_columns(base, cols)
-    elif method != "pearson":
+        return _spearman(base, cols)
+    if method != "pearson":
         raise ValueError("method must be 'pearson' or 'spearman' (kendall needs all pairs)")
     p1 = base.agg(F.count(F.lit(1)).alias("n"),
                   *[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)],
@@ -475,6 +483,52 @@ def _rank_columns(base: DataFrame, cols) -> DataFrame:
             .drop("_rid"))
 
 
+def _spearman(base: DataFrame, cols: list[str]) -> DataFrame:
+    """Long Spearman matrix of double columns (nulls, no NaN)."""
+    counts = base.agg(F.count(F.lit(1)).alias("n"),
+                      *[F.count(_q(c)).alias(f"k{i}") for i, c in enumerate(cols)]).first()
+    full = [c for i, c in enumerate(cols) if counts[f"k{i}"] == counts["n"]]
+    rows = {}
+    if len(full) > 1:
+        ranked = correlation_matrix(_rank_columns(base.select(*map(_q, full)), full), full)
+        rows = {(r["a"], r["b"]): r["corr"] for r in ranked.collect()}  # one row per pair of columns
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:] if (a, b) not in rows]
+    if pairs:
+        rows |= _spearman_pairs(base, pairs)
+    out = [(a, b, rows[a, b] if (a, b) in rows else rows[b, a]) for a in cols for b in cols]
+    return base.sparkSession.createDataFrame(out, "a string, b string, corr double")
+
+
+def _spearman_pairs(base: DataFrame, pairs: list[tuple[str, str]]) -> dict:
+    """Spearman of each pair over the rows where both have a value.  Rows
+    become counts of (pair, x, y); ranks join on the pair and the value."""
+    cells = F.array(*[F.struct(F.lit(i).alias("pair"), _q(a).alias("x"), _q(b).alias("y"))
+                      for i, (a, b) in enumerate(pairs)])
+    both = (base.select(F.inline(cells)).where("x is not null and y is not null")
+            .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("m")))
+    from tessera.session import cut_lineage
+    both = cut_lineage(both)
+    ranks = average_ranks(both.select(F.inline(F.array(
+        F.struct((2 * F.col("pair")).alias("side"), F.col("x").alias("value"), "m"),
+        F.struct((2 * F.col("pair") + 1).alias("side"), F.col("y").alias("value"), "m")))),
+        "side", "value", weight="m")
+    rx = ranks.where("side % 2 = 0").select((F.col("side") / 2).cast("int").alias("pair"),
+                                            F.col("value").alias("x"), F.col("avg_rank").alias("rx"))
+    ry = ranks.where("side % 2 = 1").select(((F.col("side") - 1) / 2).cast("int").alias("pair"),
+                                            F.col("value").alias("y"), F.col("avg_rank").alias("ry"))
+    # ranks of a pair of n rows centre on (n + 1) / 2
+    n = both.groupBy("pair").agg(F.sum("m").alias("n"))
+    j = both.join(rx, ["pair", "x"]).join(ry, ["pair", "y"]).join(F.broadcast(n), "pair")
+    u, v, m = F.col("rx") - (F.col("n") + 1) / 2, F.col("ry") - (F.col("n") + 1) / 2, F.col("m")
+    sums = j.groupBy("pair").agg(F.sum(m * u * v).alias("uv"), F.sum(m * u * u).alias("uu"),
+                                 F.sum(m * v * v).alias("vv")).collect()  # one row per pair of columns
+    out = {p: None for p in pairs}
+    for r in sums:
+        if r["uu"] > 0 and r["vv"] > 0:
+            out[pairs[r["pair"]]] = r["uv"] / math.sqrt(r["uu"] * r["vv"])
+    return out
+
+
 def feature_clusters(df: DataFrame, cols=None, thresh: float = 0.95,
                      method: str = "pearson") -> DataFrame:
     """Clusters of columns joined by ``corr >= thresh`` (signed, so two

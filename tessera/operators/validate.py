@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import within_group_numbers
-from tessera.session import broadcast_if_small, cut_lineage
+from tessera.session import broadcast_if_small
 
 
 def hash_order(key: str, seed: int = 0) -> Column:
@@ -23,13 +23,10 @@ def hash_order(key: str, seed: int = 0) -> Column:
 
 def _attach(df: DataFrame, key: str, narrow: DataFrame, cols) -> DataFrame:
     """Join per-key results computed on a narrow projection back to the full
-    rows (null-safe on the key; broadcast only when the result is small).
-    Wide rows cross the network once and are never checkpointed."""
-    # the narrow (key, result) table is written once: its size check and the
-    # join then read it instead of recomputing the numbering
-    side = cut_lineage(narrow.select(F.col(key).alias("_k"), *cols))
-    return (df.join(broadcast_if_small(side), F.col(key).eqNullSafe(F.col("_k")))
-            .drop("_k"))
+    rows (null-safe on the key; Spark broadcasts the result if its measured
+    size allows).  Wide rows cross the network once, never checkpointed."""
+    side = narrow.select(F.col(key).alias("_k"), *cols)
+    return df.join(side, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 10,
@@ -62,9 +59,12 @@ def stratified_holdout(df: DataFrame, key: str, label: str, train_frac: float =
 
 def holdout_split(df: DataFrame, key: str, test_frac: float, seed: int = 0,
                   bucket: Column | None = None, out: str = "is_test") -> DataFrame:
-    """V4: random hold-out by hashing the key into 1000 buckets."""
-    b = bucket if bucket is not None else F.pmod(hash_order(key, seed), F.lit(1000))
-    return df.withColumn(out, b < F.lit(int(round(test_frac * 1000))))
+    """V4: random hold-out of the given share by the key's hash, compared
+    with the share at full precision.  ``bucket`` (0 to 999) replaces it."""
+    if bucket is not None:
+        return df.withColumn(out, bucket < F.lit(test_frac * 1000))
+    u = F.shiftrightunsigned(hash_order(key, seed), 11).cast("double") / float(1 << 53)
+    return df.withColumn(out, u < F.lit(float(test_frac)))
 
 
 def repeated_holdout(df: DataFrame, key: str, test_frac: float = 0.3, n: int = 4):

@@ -39,7 +39,9 @@ def gbt_ovr(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def logreg(spark: SparkSession, sf: str) -> DataFrame:
-    return _predict(models.logistic(C=1.0, n=400, maxIter=100), spark, sf)
+    train, test, _ = _split(spark, sf)
+    fitted = models.logistic(C=1.0, n=train.count(), maxIter=100).fit(train)
+    return fitted.transform(test).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
 def linear_svm_ovr(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +60,8 @@ def stack_blend(spark: SparkSession, sf: str) -> DataFrame:
         "et_entropy": models.extra_trees(numTrees=20, impurity="entropy", labelCol="y", seed=0),
         "gbt": GBTClassifier(maxIter=5, maxDepth=4, subsamplingRate=0.5, labelCol="y", seed=0),
     }
-    out = models.stack_blend(f, "vec_id", "y", base, test=f)
+    # fold 0 is the test set; the others are the blend's folds
+    out = models.stack_blend(f.where("fold != 0"), "vec_id", "y", base, test=f.where("fold = 0"))
     return out.select("vec_id", F.round("p_stretch", 9).alias("p_stretch"))
 
 
@@ -121,7 +124,9 @@ def rotation_forest(spark: SparkSession, sf: str) -> DataFrame:
         "tree": DecisionTreeClassifier(maxDepth=6, seed=0),
         "nb": models.gaussian_nb(),
         "logit": LogisticRegression(maxIter=50),
-    }, n=5, n_subsets=4, seed=0).fit(f.where(F.col("fold") != 0), "embedding", "label", "vec_id")
+        "elm": models.ElmMember(n_hidden=100, density=1),
+        "knn": models.NeighbourMember(k=3, key="vec_id"),
+    }, n=5, seed=0).fit(f.where(F.col("fold") != 0), "embedding", "label", "vec_id")
     return rf.predict(f.where(F.col("fold") == 0), "embedding", "vec_id")
 
 

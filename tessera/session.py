@@ -1,13 +1,14 @@
 """Session helpers: building a session for tests/bench and locating the
 shared checkpoint folder.
 
-On a cluster the checkpoint folder comes from ``spark.checkpoint.dir`` (a
-shared file system path set by whoever launches the job).  Only when it is
-unset -- local runs and tests -- do we pick a scratch folder ourselves.
+The checkpoint folder comes from ``spark.checkpoint.dir`` (a shared file
+system path set by whoever launches the job).  Only when it is unset is a
+folder below the session's warehouse used.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -67,16 +68,15 @@ def cluster_conf(input_bytes: int, total_cores: int,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint root, setting a scratch one only when the
-    session has none (local runs, tests)."""
+    """Return the shared checkpoint root, setting one below the warehouse only
+    when the session has none."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local"):
-            # a machine-local folder is invisible to other executors
-            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS/S3/NFS) "
-                             "before running on a cluster")
-        root = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        # next to the warehouse: the one folder that every session has on its
+        # default file system, which executors share on a cluster
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        root = f"{warehouse}/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
@@ -134,4 +134,5 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
+    atexit.register(lambda: os.path.exists(path) and os.unlink(path))
     _SHIPPED.add(sc.applicationId)

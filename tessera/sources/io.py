@@ -41,12 +41,17 @@ def read_label_first(spark: SparkSession, path: str, n_features: int,
 def read_positional(spark: SparkSession, path: str, schema: T.StructType | str,
                     skip_prefix: str | None = None) -> DataFrame:
     """Fixed-layout rows; lines whose first field starts with
-    ``skip_prefix`` (a header) are dropped."""
-    df = spark.read.schema(schema).option("header", False).csv(path)
-    if skip_prefix:
-        first = df.columns[0]
-        df = df.where(~F.coalesce(F.col(first).cast("string").startswith(skip_prefix), F.lit(False)))
-    return df
+    ``skip_prefix`` (a header) are dropped.  The first field is read as text
+    for that, so a header before a number or a time stamp is seen, and then
+    takes its declared type (null if it does not parse)."""
+    declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    if not skip_prefix:
+        return spark.read.schema(declared).option("header", False).csv(path)
+    first = declared.fields[0]
+    raw = T.StructType([T.StructField(first.name, T.StringType()), *declared.fields[1:]])
+    df = spark.read.schema(raw).option("header", False).csv(path)
+    df = df.where(~F.coalesce(F.col(f"`{first.name}`").startswith(skip_prefix), F.lit(False)))
+    return df.withColumn(first.name, F.col(f"`{first.name}`").try_cast(first.dataType))
 
 
 def read_numbered(spark: SparkSession, pattern: str, schema: T.StructType | str,
@@ -58,12 +63,20 @@ def read_numbered(spark: SparkSession, pattern: str, schema: T.StructType | str,
 
 
 # ------------------------------------------------------------ summaries
-def save_summary(summary: DataFrame, label_counts: DataFrame | None, path: str) -> None:
-    """Summary table, row count and label counts as three Parquet tables."""
+def save_summary(summary: DataFrame, label_counts: DataFrame | None, path: str,
+                 n_rows: int | None = None) -> None:
+    """Summary table, row count and label counts as three Parquet tables.
+    The row count is ``n_rows``, or else the summary's ``n_rows`` column, the
+    sum of the label counts, or what a column's null count and share imply."""
     summary.write.mode("overwrite").parquet(f"{path}/summary")
-    n = summary.sparkSession.createDataFrame([], "n_rows long")
-    if "n_rows" in summary.columns:
+    if n_rows is not None:
+        n = summary.sparkSession.createDataFrame([(int(n_rows),)], "n_rows long")
+    elif "n_rows" in summary.columns:
         n = summary.select(F.max("n_rows").alias("n_rows"))
+    elif label_counts is not None:
+        n = label_counts.select(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"))
+    else:
+        n = summary.select(F.max(F.bround(F.try_divide("n_null", "perc_null"))).cast("long").alias("n_rows"))
     n.write.mode("overwrite").parquet(f"{path}/meta")
     if label_counts is not None:
         label_counts.write.mode("overwrite").parquet(f"{path}/label_counts")
@@ -100,12 +113,13 @@ def write_submission(df: DataFrame, path: str, id_col: str, label_col: str,
 
 
 def class_columns(df: DataFrame, id_col: str, prob_col: str, classes) -> DataFrame:
-    """Id + one probability column per class, columns in sorted class
-    order (``classes`` lists the labels in model index order)."""
+    """Id + one probability column per class, columns in the order of
+    the class labels' own type (``classes`` lists the labels in model index
+    order)."""
     from pyspark.ml.functions import vector_to_array
     arr = vector_to_array(prob_col) if dict(df.dtypes)[prob_col] != "array<double>" \
         else F.col(prob_col)
-    cols = [arr[i].alias(str(c)) for i, c in sorted(enumerate(classes), key=lambda t: str(t[1]))]
+    cols = [arr[i].alias(str(c)) for i, c in sorted(enumerate(classes), key=lambda t: t[1])]
     return df.select(F.col(id_col).alias("id"), *cols)
 
 

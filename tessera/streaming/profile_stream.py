@@ -13,22 +13,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import nan_to_null
 from tessera.session import scratch_path
 
 
 def file_stream(spark: SparkSession, directory: str, name: str, schema=None,
-                max_files: int = 1) -> DataFrame:
+                max_files: int | None = None) -> DataFrame:
     """A file source over ``directory`` restricted to files matching ``name``
     (e.g. ``events.parquet``); schema taken from a batch read if not given."""
     if schema is None:
         schema = spark.read.parquet(f"{directory.rstrip('/')}/{name}").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", name)
-            .option("maxFilesPerTrigger", max_files).parquet(directory))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(directory)
 
 
-def _run(agg: DataFrame, to_rows, spark: SparkSession, label: str, on_progress=None) -> str:
-    out = scratch_path(spark, f"{label}-out")
-    ckpt = scratch_path(spark, f"{label}-ckpt")
+def _run(agg: DataFrame, to_rows, spark: SparkSession, label: str, on_progress=None,
+         path: str | None = None) -> str:
+    """Run over what is there.  With ``path`` (shared storage) the result and
+    the query's checkpoint stay below it, and the next run goes on from them."""
+    out = f"{path}/result" if path else scratch_path(spark, f"{label}-out")
+    ckpt = f"{path}/checkpoint" if path else scratch_path(spark, f"{label}-ckpt")
 
     def write(batch: DataFrame, _epoch: int):
         to_rows(batch).write.mode("overwrite").parquet(out)
@@ -36,31 +42,34 @@ def _run(agg: DataFrame, to_rows, spark: SparkSession, label: str, on_progress=N
     q = (agg.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    if on_progress is not None and q.lastProgress:
-        on_progress(q.lastProgress)          # R3: progress of the last batch
+    if on_progress is not None:
+        for p in q.recentProgress:           # R3: progress of every batch
+            on_progress(p)
     return out
 
 
-def stream_value_counts(stream: DataFrame, col: str, on_progress=None) -> DataFrame:
-    """R2: running value -> count, complete mode."""
+def stream_value_counts(stream: DataFrame, col: str, on_progress=None, path: str | None = None) -> DataFrame:
+    """R2: running value -> count, complete mode.  Given a ``path``, a later
+    run continues the counts there with the files that are new."""
     spark = stream.sparkSession
     agg = stream.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    path = _run(agg, lambda b: b, spark, "value-counts", on_progress)
+    path = _run(agg, lambda b: b, spark, "value-counts", on_progress, path)
     return spark.read.parquet(path)
 
 
-def stream_profile(stream: DataFrame, cols, on_progress=None) -> DataFrame:
+def stream_profile(stream: DataFrame, cols, on_progress=None, path: str | None = None) -> DataFrame:
     """Running row count, null count, min and max per column (one state
     row), reported as (attribute, n_rows, n_null, min, max).  Distinct counts
     use HyperLogLog (exact distinct is not a streaming aggregate) and are in
-    ``n_distinct_approx``."""
-    spark = stream.sparkSession
+    ``n_distinct_approx``.  NaN counts as null, as in the batch profile."""
+    spark, types = stream.sparkSession, dict(stream.dtypes)
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(cols):
-        x = F.col(c).try_cast("double")     # text columns give null bounds, not an error
-        aggs += [F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).cast("long").alias(f"nn{i}"),
+        v = nan_to_null(F.col(c), types[c])
+        x = v.try_cast("double")     # text columns give null bounds, not an error
+        aggs += [F.sum(F.when(v.isNull(), 1).otherwise(0)).cast("long").alias(f"nn{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.approx_count_distinct(F.col(c)).alias(f"ad{i}")]
+                 F.approx_count_distinct(v).alias(f"ad{i}")]
     agg = stream.agg(*aggs)
 
     def to_rows(b: DataFrame) -> DataFrame:
@@ -69,5 +78,5 @@ def stream_profile(stream: DataFrame, cols, on_progress=None) -> DataFrame:
                      F.col(f"nn{i}").alias("n_null"), F.col(f"lo{i}").alias("min"),
                      F.col(f"hi{i}").alias("max"), F.col(f"ad{i}").alias("n_distinct_approx"))
             for i, c in enumerate(cols)])))
-    path = _run(agg, to_rows, spark, "profile", on_progress)
+    path = _run(agg, to_rows, spark, "profile", on_progress, path)
     return spark.read.parquet(path)
