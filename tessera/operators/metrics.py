@@ -39,19 +39,17 @@ def confusion_matrix(df: DataFrame, y: str, yhat: str) -> DataFrame:
 def classification_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """Per class precision, recall, F1, support; zero when undefined
     (a class never predicted or never true)."""
-    cm = confusion_matrix(df, y, yhat)
-    truth = cm.groupBy(F.col("actual").alias("label")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
-    pred = cm.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("n_pred"))
-    j = truth.join(pred, "label", "full_outer")
-    tp = F.coalesce(F.col("tp"), F.lit(0)).cast("double")
-    sup = F.coalesce(F.col("support"), F.lit(0))
-    npred = F.coalesce(F.col("n_pred"), F.lit(0))
-    precision = F.when(npred > 0, tp / npred).otherwise(0.0)
-    recall = F.when(sup > 0, tp / sup).otherwise(0.0)
-    return (j.select("label", precision.alias("precision"), recall.alias("recall"),
-                     sup.cast("long").alias("support"))
+    hit = F.col("actual").eqNullSafe(F.col("predicted"))
+    cells = confusion_matrix(df, y, yhat).select(F.inline(F.array(
+        F.struct(F.col("actual").alias("label"), F.col("n").alias("true"), F.lit(0).cast("long").alias("pred"),
+                 F.when(hit, F.col("n")).otherwise(F.lit(0).cast("long")).alias("tp")),
+        F.struct(F.col("predicted").cast(df.schema[y].dataType).alias("label"), F.lit(0).cast("long").alias("true"),
+                 F.col("n").alias("pred"), F.lit(0).cast("long").alias("tp")))))
+    per = cells.groupBy("label").agg(F.sum("true").alias("support"), F.sum("pred").alias("n_pred"),
+                                     F.sum("tp").cast("double").alias("tp")).where("label is not null")
+    precision = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0)
+    recall = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
+    return (per.select("label", precision.alias("precision"), recall.alias("recall"), "support")
             .withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                      2 * F.col("precision") * F.col("recall")
                                      / (F.col("precision") + F.col("recall"))).otherwise(0.0)))

@@ -402,69 +402,57 @@ def table_equal(a: DataFrame, b: DataFrame, keys: list[str],
 def correlation_matrix(df: DataFrame, cols=None, method: str = "pearson") -> DataFrame:
     """Long correlation matrix (a, b, corr), pairwise-complete.
 
-    Two cheap passes of plain sums (map-side partial aggregation, no
-    per-row divisions): pass 1 gives each column's mean and null count;
-    pass 2 sums mean-shifted products, so the moments are numerically
-    stable.  Pairs of null-free columns share per-column terms; only pairs
-    touching a nullable column carry masked terms.  A constant column gives
-    null (no division by zero under ANSI).  Spearman correlates average
-    ranks from a distributed rank table: a column is ranked once for all pairs
-    of null-free columns, and anew over the common rows of each pair that
-    touches a column with nulls.
+    Pearson takes two passes.  The first gives each column's mean; the second
+    sums, per task and in numpy, the products of the mean-shifted values, of
+    their squares and of the presence flags, so every pair has its count,
+    sums and squares over its common rows and the moments are numerically
+    stable at any number of columns.  Only p x p sums reach the driver.  A
+    constant column gives null (no division by zero under ANSI).
+
+    Spearman correlates average ranks from a distributed rank table: a column
+    is ranked once for all pairs of null-free columns, and anew over the
+    common rows of each pair that touches a column with nulls.  Kendall is
+    the exact tau-b of each pair's common rows.
     """
     cols = list(cols) if cols is not None else [c for c, t in df.dtypes if _is_numeric(t)]
     t = dict(df.dtypes)
     base = df.select(*[nan_to_null(_q(c), t[c]).cast("double").alias(c) for c in cols])
     if method == "spearman":
         return _spearman(base, cols)
+    if method == "kendall":
+        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+        tau = _kendall_pairs(base, pairs)
+        return df.sparkSession.createDataFrame(
+            [(a, b, tau[a, b] if (a, b) in tau else tau[b, a]) for a in cols for b in cols],
+            "a string, b string, corr double")
     if method != "pearson":
-        raise ValueError("method must be 'pearson' or 'spearman' (kendall needs all pairs)")
-    p1 = base.agg(F.count(F.lit(1)).alias("n"),
-                  *[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-                  *[F.count(_q(c)).alias(f"k{i}") for i, c in enumerate(cols)]).first()
-    n_all = p1["n"]
-    shift = [p1[f"m{i}"] if p1[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
-    nullable = [p1[f"k{i}"] < n_all for i in range(len(cols))]
-    x = [(_q(c) - F.lit(shift[i])) for i, c in enumerate(cols)]
-    aggs = []
-    for i in range(len(cols)):                       # shared per-column terms
-        aggs += [F.sum(x[i]).alias(f"s{i}"), F.sum(x[i] * x[i]).alias(f"q{i}"),
-                 F.count(x[i]).alias(f"n{i}")]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    for i, j in pairs:
-        aggs.append(F.sum(x[i] * x[j]).alias(f"x{i}_{j}"))
-        if nullable[i] or nullable[j]:
-            both = _q(cols[i]).isNotNull() & _q(cols[j]).isNotNull()
-            xi, xj = F.when(both, x[i]), F.when(both, x[j])
-            aggs += [F.count(xi).alias(f"n{i}_{j}"), F.sum(xi).alias(f"sa{i}_{j}"),
-                     F.sum(xj).alias(f"sb{i}_{j}"), F.sum(xi * xi).alias(f"qa{i}_{j}"),
-                     F.sum(xj * xj).alias(f"qb{i}_{j}")]
-    # one row of sums (a few numbers per column pair) -> the p x p matrix on
-    # the driver; as a Spark projection this single row needs a generated
-    # method beyond the JVM's 64 KB limit
-    w = base.agg(*aggs).first().asDict()
-
-    def pearson(n, sa, sb, qa, qb, xab):
-        if not n:
-            return None
-        va, vb = qa - sa * sa / n, qb - sb * sb / n
-        if not (va > 0 and vb > 0):
-            return None
-        return (xab - sa * sb / n) / math.sqrt(va * vb)
-
+        raise ValueError("method must be 'pearson', 'spearman' or 'kendall'")
+    from tessera.operators.elm import gram_sums
+    p = len(cols)
+    means = base.agg(*[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    shifted = F.array(*[F.coalesce(_q(c) - F.lit(means[i] if means[i] is not None else 0.0),
+                                   F.lit(math.nan)) for i, c in enumerate(cols)])
+
+    def blocks(X):
+        import numpy as np
+        there = ~np.isnan(X)
+        Z = np.where(there, X, 0.0)
+        return np.hstack([Z, there.astype(float), Z * Z])
+
+    stats = gram_sums(base.select(shifted.alias("_x")), "_x", blocks, lambda X, _: X[:, :1] * 0.0,
+                      max_width=3 * p)
     rows = []
-    for i in range(len(cols)):
-        n, sa, qa = w[f"n{i}"], w[f"s{i}"], w[f"q{i}"]
-        ok = bool(n) and (qa - sa * sa / n) > 0
-        rows.append((cols[i], cols[i], 1.0 if ok else None))
-    for i, j in pairs:
-        if nullable[i] or nullable[j]:
-            r = pearson(w[f"n{i}_{j}"], w[f"sa{i}_{j}"], w[f"sb{i}_{j}"], w[f"qa{i}_{j}"],
-                        w[f"qb{i}_{j}"], w[f"x{i}_{j}"])
-        else:
-            r = pearson(w[f"n{i}"], w[f"s{i}"], w[f"s{j}"], w[f"q{i}"], w[f"q{j}"],
-                        w[f"x{i}_{j}"])
-        rows += [(cols[i], cols[j], r), (cols[j], cols[i], r)]
+    hh = stats[0]["hh"] if stats else None
+    for i in range(p):
+        for j in range(p):
+            r = None
+            if hh is not None:
+                n, sa, sb = hh[p + i, p + j], hh[i, p + j], hh[j, p + i]
+                va = hh[2 * p + i, p + j] - sa * sa / n if n else 0.0
+                vb = hh[2 * p + j, p + i] - sb * sb / n if n else 0.0
+                if va > 0 and vb > 0:
+                    r = 1.0 if i == j else float((hh[i, j] - sa * sb / n) / math.sqrt(va * vb))
+            rows.append((cols[i], cols[j], r))
     return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
 
 
@@ -499,16 +487,18 @@ def _spearman(base: DataFrame, cols: list[str]) -> DataFrame:
     return base.sparkSession.createDataFrame(out, "a string, b string, corr double")
 
 
-def _spearman_pairs(base: DataFrame, pairs: list[tuple[str, str]]) -> dict:
-    """Spearman of each pair over the rows where both have a value.  Rows
-    become counts of (pair, x, y); ranks join on the pair and the value."""
-    cells = F.array(*[F.struct(F.lit(i).alias("pair"), _q(a).alias("x"), _q(b).alias("y"))
-                      for i, (a, b) in enumerate(pairs)])
-    both = (base.select(F.inline(cells)).where("x is not null and y is not null")
-            .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("m")))
+def _pair_cells(base: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Written counts m of (pair, x, y) over the rows where both have a value."""
     from tessera.session import cut_lineage
-    both = cut_lineage(both)
-    ranks = average_ranks(both.select(F.inline(F.array(
+    cells = F.array(*[F.struct(F.lit(i).alias("pair"), (_q(a) + F.lit(0.0)).alias("x"),
+                               (_q(b) + F.lit(0.0)).alias("y")) for i, (a, b) in enumerate(pairs)])
+    return cut_lineage(base.select(F.inline(cells)).where("x is not null and y is not null")
+                       .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("m")))
+
+
+def _with_pair_ranks(cells: DataFrame) -> DataFrame:
+    """``cells`` with the average ranks rx and ry of their values in the pair."""
+    ranks = average_ranks(cells.select(F.inline(F.array(
         F.struct((2 * F.col("pair")).alias("side"), F.col("x").alias("value"), "m"),
         F.struct((2 * F.col("pair") + 1).alias("side"), F.col("y").alias("value"), "m")))),
         "side", "value", weight="m")
@@ -516,9 +506,15 @@ def _spearman_pairs(base: DataFrame, pairs: list[tuple[str, str]]) -> dict:
                                             F.col("value").alias("x"), F.col("avg_rank").alias("rx"))
     ry = ranks.where("side % 2 = 1").select(((F.col("side") - 1) / 2).cast("int").alias("pair"),
                                             F.col("value").alias("y"), F.col("avg_rank").alias("ry"))
+    return cells.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
+
+
+def _spearman_pairs(base: DataFrame, pairs: list[tuple[str, str]]) -> dict:
+    """Spearman of each pair over the rows where both have a value."""
+    cells = _pair_cells(base, pairs)
     # ranks of a pair of n rows centre on (n + 1) / 2
-    n = both.groupBy("pair").agg(F.sum("m").alias("n"))
-    j = both.join(rx, ["pair", "x"]).join(ry, ["pair", "y"]).join(F.broadcast(n), "pair")
+    n = cells.groupBy("pair").agg(F.sum("m").alias("n"))
+    j = _with_pair_ranks(cells).join(F.broadcast(n), "pair")
     u, v, m = F.col("rx") - (F.col("n") + 1) / 2, F.col("ry") - (F.col("n") + 1) / 2, F.col("m")
     sums = j.groupBy("pair").agg(F.sum(m * u * v).alias("uv"), F.sum(m * u * u).alias("uu"),
                                  F.sum(m * v * v).alias("vv")).collect()  # one row per pair of columns
@@ -529,6 +525,48 @@ def _spearman_pairs(base: DataFrame, pairs: list[tuple[str, str]]) -> dict:
     return out
 
 
+def _kendall_pairs(base: DataFrame, pairs: list[tuple[str, str]]) -> dict:
+    """Kendall's tau-b of each pair without comparing rows with each other.
+
+    A discordant pair of rows has x before and y after.  Their y ranks first
+    differ in one bit, so they meet in one group of the bits above it, the
+    earlier row with a 1 and the later one with a 0.  Rows go once into each
+    of the log2(n) groups, and a running count in the order of x gives the
+    1s before every 0; it is summed across tasks by ``global_prefix``."""
+    from tessera.operators.ordering import global_prefix
+    from tessera.session import cut_lineage
+    cells = _pair_cells(base, pairs)
+    choose = lambda c: F.sum((F.col(c) * (F.col(c) - 1) / 2).cast("decimal(38,1)"))
+    ranked = cut_lineage(_with_pair_ranks(cells).select(
+        "pair", (2 * F.col("rx")).cast("long").alias("rx"), (2 * F.col("ry")).cast("long").alias("ry"), "m"))
+    total = {r["pair"]: r for r in ranked.groupBy("pair").agg(
+        F.sum("m").alias("n"), choose("m").alias("both"), F.max("ry").alias("top")).collect()}
+    ties = {}
+    for side in ("rx", "ry"):
+        sizes = ranked.groupBy("pair", side).agg(F.sum("m").alias("k"))
+        ties[side] = {r["pair"]: r["t"] for r in sizes.groupBy("pair").agg(choose("k").alias("t")).collect()}
+    levels = max((r["top"].bit_length() for r in total.values()), default=1)
+    bits = ranked.withColumn("b", F.explode(F.array(*[F.lit(i) for i in range(levels)])))
+    one = F.expr("shiftright(ry, b) & 1")
+    groups = bits.groupBy("pair", "b", F.expr("shiftright(ry, b + 1)").alias("g"), "rx").agg(
+        F.sum(F.when(one == 1, F.col("m")).otherwise(0)).alias("ones"),
+        F.sum(F.when(one == 0, F.col("m")).otherwise(0)).alias("zeros"))
+    before = global_prefix(groups, ["pair", "b", "g", "rx"], weight="ones", out_col="before")
+    per_group = before.groupBy("pair", "b", "g").agg(
+        F.sum((F.col("zeros") * F.col("before")).cast("decimal(38,0)")).alias("reach"),
+        F.sum("zeros").alias("zeros"), F.min("before").alias("start"))
+    swapped = {r["pair"]: r["d"] for r in per_group.groupBy("pair").agg(F.sum(
+        F.col("reach") - (F.col("zeros") * F.col("start")).cast("decimal(38,0)")).alias("d")).collect()}
+    out = {p: None for p in pairs}
+    for i, r in total.items():
+        n0 = r["n"] * (r["n"] - 1) // 2
+        nx, ny, nxy, d = (int(v) for v in (ties["rx"][i], ties["ry"][i], r["both"], swapped.get(i, 0)))
+        if n0 > nx and n0 > ny:
+            c = n0 - nx - ny + nxy - d
+            out[pairs[i]] = (c - d) / (math.sqrt(n0 - nx) * math.sqrt(n0 - ny))
+    return out
+
+
 def feature_clusters(df: DataFrame, cols=None, thresh: float = 0.95,
                      method: str = "pearson") -> DataFrame:
     """Clusters of columns joined by ``corr >= thresh`` (signed, so two

@@ -231,7 +231,7 @@ def _oof(spark, sf, with_dists=False):
 
 
 def oof_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return _oof(spark, sf).select("vec_id", "label", "fold", "pred_all", "pred_first_half")
+    return _oof(spark, sf).select("vec_id", "label", "fold", "pred_all", "pred_first_half", "pred_second_half")
 
 
 def soft_vote(spark: SparkSession, sf: str) -> DataFrame:

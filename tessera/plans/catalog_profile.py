@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import profile as P
+from tessera.operators.ordering import row_numbers
 from tessera.plans.fixtures import CORR_COLUMNS, corr_input, profile_input
 from tessera.session import table
 
@@ -85,17 +86,40 @@ def correlation_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("a", "b", F.round("corr", 9).alias("corr"))
 
 
-SPEARMAN_COLUMNS = ["l_quantity", "l_extendedprice", "net_price", "l_discount", "l_tax"]
+def correlation_spearman(spark: SparkSession, sf: str) -> DataFrame:
+    """A14 with method='spearman' (average ranks, ties shared) on all columns
+    of the correlation fixture, with nulls, an opposite and a constant."""
+    m = P.correlation_matrix(corr_input(spark, sf), [n for n, _ in CORR_COLUMNS], method="spearman")
+    return m.select("a", "b", F.round("corr", 9).alias("corr"))
 
 
-def correlation_spearman(spark: SparkSession, sf: str) -> DataFrame:
-    """A14 with method='spearman' (average ranks, ties shared) on the
-    null-free numeric columns of the correlation fixture."""
-    m = P.correlation_matrix(corr_input(spark, sf).select(*SPEARMAN_COLUMNS), SPEARMAN_COLUMNS,
-                             method="spearman")
+def correlation_kendall(spark: SparkSession, sf: str) -> DataFrame:
+    """A14 with method='kendall' on suppliers and a column with nulls."""
+    s = table(spark, sf, "supplier").select(
+        F.col("s_nationkey").cast("double").alias("nation"), F.col("s_acctbal").alias("balance"),
+        F.when(F.col("s_nationkey") % 3 != 0, F.floor(F.col("s_acctbal") / 1000)).cast("double").alias("sparse"))
+    m = P.correlation_matrix(s, ["nation", "balance", "sparse"], method="kendall")
     return m.select("a", "b", F.round("corr", 9).alias("corr"))
 
 
+def value_index(spark: SparkSession, sf: str) -> DataFrame:
+    """T9 with the place of every row in the index."""
+    idx = P.value_index(table(spark, sf, "lineitem"), ["l_linestatus", "l_returnflag"])
+    return row_numbers(idx.withColumn("col", (F.col("attribute") != "l_linestatus").cast("int")),
+                       ["col", F.desc("n"), "value"], "place").select("place", "attribute", "value", "n")
+
+
+def row_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """1..n in order of price, then key."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return row_numbers(o, ["o_totalprice", "o_orderkey"], "row_id")
+
+
+def table_equal_unkeyed(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return P.table_equal_unkeyed(li, perturbed_lineitem(li), decimals=2)
+
+
 def feature_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return P.feature_clusters(corr_input(spark, sf), [n for n, _ in CORR_COLUMNS], thresh=0.95)
 
@@ -136,6 +160,10 @@ QUERIES = {
     "table_equal": table_equal,
     "correlation_matrix": correlation_matrix,
     "correlation_spearman": correlation_spearman,
+    "correlation_kendall": correlation_kendall,
+    "value_index": value_index,
+    "row_ids": row_ids,
+    "table_equal_unkeyed": table_equal_unkeyed,
     "feature_clusters": feature_clusters,
     "important_features": important_features,
 }

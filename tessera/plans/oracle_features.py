@@ -188,7 +188,8 @@ preds AS (SELECT vec_id, y, fold,
 
 SQL["oof_matrix"] = f"""
 WITH {OOF}
-SELECT vec_id, y AS label, fold, p_all AS pred_all, p_first_half AS pred_first_half FROM preds"""
+SELECT vec_id, y AS label, fold, p_all AS pred_all, p_first_half AS pred_first_half,
+       p_second_half AS pred_second_half FROM preds"""
 
 SQL["soft_vote"] = f"""
 WITH {OOF},

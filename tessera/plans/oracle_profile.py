@@ -205,21 +205,63 @@ def correlation_matrix():
 
 
 def correlation_spearman():
-    cols = ["l_quantity", "l_extendedprice", "net_price", "l_discount", "l_tax"]
-    ranks = ", ".join(
-        f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}"
-        for c in cols)
+    """Ranks are taken anew over the common rows of every pair."""
+    names = [n for n, _ in CORR_COLUMNS]
+    parts = []
+    for i, a in enumerate(names):
+        for b in names[i:]:
+            both = f"SELECT {a} AS x, {b} AS y FROM c WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+            rank = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
+            expr = ("CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN "
+                    "covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) END")
+            for l, r in {(a, b), (b, a)}:
+                parts.append(f"SELECT '{l}' AS a, '{r}' AS b, CAST({expr} AS DOUBLE) AS corr FROM (SELECT "
+                             f"{rank.format('x')} AS x, {rank.format('y')} AS y FROM ({both}))")
+    return C + "SELECT a, b, round(corr, 9) AS corr FROM (" + _union(parts) + ")"
+
+
+def correlation_kendall():
+    cols = {"nation": "CAST(s_nationkey AS DOUBLE)", "balance": "s_acctbal",
+            "sparse": "CASE WHEN s_nationkey % 3 <> 0 THEN CAST(floor(s_acctbal / 1000) AS DOUBLE) END"}
     parts = []
     for a in cols:
         for b in cols:
-            if a == b:
-                expr = f"CASE WHEN var_pop({a}) > 0 THEN 1.0 END"
-            else:
-                expr = (f"CASE WHEN var_pop({a}) > 0 AND var_pop({b}) > 0 THEN "
-                        f"covar_pop({a}, {b}) / sqrt(var_pop({a}) * var_pop({b})) END")
-            parts.append(f"SELECT '{a}' AS a, '{b}' AS b, CAST({expr} AS DOUBLE) AS corr FROM r")
-    return (C + f", r AS (SELECT {ranks} FROM c)\n"
-            + "SELECT a, b, round(corr, 9) AS corr FROM (" + _union(parts) + ")")
+            parts.append(
+                f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN sum(abs(sign(p.{a} - q.{a}))) > 0 "
+                f"AND sum(abs(sign(p.{b} - q.{b}))) > 0 THEN sum(sign(p.{a} - q.{a}) * sign(p.{b} - q.{b})) "
+                f"/ sqrt(sum(abs(sign(p.{a} - q.{a}))) * sum(abs(sign(p.{b} - q.{b})))) END AS corr "
+                f"FROM s p JOIN s q ON p.{a} IS NOT NULL AND p.{b} IS NOT NULL "
+                f"AND q.{a} IS NOT NULL AND q.{b} IS NOT NULL")
+    select = ", ".join(f"{e} AS {n}" for n, e in cols.items())
+    return (f"WITH s AS (SELECT {select} FROM supplier)\nSELECT a, b, round(CAST(corr AS DOUBLE), 9) AS corr FROM ("
+            + _union(parts) + ")")
+
+
+def value_index():
+    parts = [f"SELECT {i} AS col, '{c}' AS attribute, {c} AS value, count(*) AS n FROM lineitem "
+             f"WHERE {c} IS NOT NULL GROUP BY {c}" for i, c in enumerate(["l_linestatus", "l_returnflag"])]
+    return ("SELECT row_number() OVER (ORDER BY col, n DESC, value) AS place, attribute, value, n FROM ("
+            + _union(parts) + ")")
+
+
+def row_ids():
+    return ("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS row_id "
+            "FROM orders")
+
+
+def table_equal_unkeyed():
+    li = "SELECT * FROM lineitem"
+    moved = ("SELECT * REPLACE (l_extendedprice + 0.004 AS l_extendedprice, CASE WHEN "
+             "l_discount = 0.05 AND l_returnflag = 'A' THEN l_quantity + 1 ELSE l_quantity END AS l_quantity) "
+             "FROM lineitem")
+    r2 = "round_even"
+    nums = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    norm = ", ".join(f"{r2}(CAST({c} AS DOUBLE), 2) AS {c}" for c in nums)
+    return (f"WITH l AS (SELECT * REPLACE ({norm}) FROM ({li})), r AS (SELECT * REPLACE ({norm}) FROM ({moved})),\n"
+            "a AS (SELECT count(*) AS k FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r)),\n"
+            "b AS (SELECT count(*) AS k FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l))\n"
+            "SELECT (SELECT count(*) FROM l) AS n_left, (SELECT count(*) FROM r) AS n_right, a.k AS n_only_left, "
+            "b.k AS n_only_right, a.k = 0 AND b.k = 0 AS equal FROM a, b")
 
 
 def _clusters_cte(thresh=0.95):
@@ -268,6 +310,8 @@ SQL = {name: fn() for name, fn in [
     ("value_counts_long", value_counts_long), ("class_distribution", class_distribution),
     ("distinct_labels", distinct_labels), ("table_equal", table_equal),
     ("correlation_matrix", correlation_matrix), ("correlation_spearman", correlation_spearman),
+    ("correlation_kendall", correlation_kendall), ("value_index", value_index), ("row_ids", row_ids),
+    ("table_equal_unkeyed", table_equal_unkeyed),
     ("feature_clusters", feature_clusters),
     ("important_features", important_features),
 ]}
