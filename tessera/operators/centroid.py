@@ -12,6 +12,8 @@ model, not of the data, and is checked before it is broadcast.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,12 @@ def fold_class_means(df: DataFrame, label: str, vec: str, fold: str,
                      fold_ids=None) -> DataFrame:
     """(fold, means: array<struct<label, mean array<double>>>) where the means
     of fold f are fitted on every row outside fold f."""
-    long = df.select(F.col(fold).alias("_f"), F.col(label).alias("_y"),
-                     F.posexplode(F.col(vec)).alias("_pos", "_v"))
-    sums = long.groupBy("_f", "_y", "_pos").agg(F.sum(F.col("_v").cast("double")).alias("_s"),
-                                                F.count(F.lit(1)).alias("_n"))
+    # vectors are summed as vectors; only the (fold, class) sums are exploded
+    vectors = df.select(F.col(fold).alias("_f"), F.col(label).alias("_y"),
+                        array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    per = vectors.groupBy("_f", "_y").agg(Summarizer.sum(F.col("_v")).alias("_s"),
+                                          F.count(F.lit(1)).alias("_n"))
+    sums = per.select("_f", "_y", "_n", F.posexplode(vector_to_array("_s")).alias("_pos", "_s"))
     tot = sums.groupBy("_y", "_pos").agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
     # fold ids are a model parameter (k values); every (fold, class, pos)
     # cell is produced by exploding them, including classes absent from a fold

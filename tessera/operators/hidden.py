@@ -42,12 +42,12 @@ def random_layer_weights(n_features: int, n_hidden: int, seed: int = 0):
 
 def class_centres(df: DataFrame, label: str, vec: str) -> dict:
     """Per-class mean vectors (classes x dims numbers) for use as centres."""
-    long = df.select(label, F.posexplode(vec).alias("pos", "v"))
-    rows = long.groupBy(label, "pos").agg(F.avg(F.col("v").cast("double")).alias("m")).collect()
-    out: dict = {}
-    for r in rows:
-        out.setdefault(r[label], {})[r["pos"]] = r["m"]
-    return {k: np.array([v[i] for i in sorted(v)]) for k, v in sorted(out.items())}
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    vectors = df.where(F.col(label).isNotNull()).select(
+        label, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    rows = vectors.groupBy(label).agg(Summarizer.mean(F.col("_v")).alias("m")).collect()
+    return {r[label]: np.asarray(r["m"]) for r in sorted(rows, key=lambda r: r[label])}
 
 
 def rbf_radius(centres: np.ndarray) -> float:

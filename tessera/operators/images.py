@@ -119,51 +119,59 @@ def rotation_angles(key: str, seed: int = 0, max_deg: int = 17) -> Column:
 
 def rotate_images(df: DataFrame, key: str, pixels: str, width: int, seed: int = 0,
                   max_deg: int = 17, copies: int = 1, low: float = 0.15,
-                  high: float = 0.8) -> DataFrame:
+                  high: float = 0.8, angles: list[Column] | None = None) -> DataFrame:
     """Original + ``copies`` rotated copies (angle from a hash of the key
-    and the copy number), thresholded.  Bilinear interpolation about the
-    image centre, zero outside; the source library uses cubic splines, so
-    values differ slightly at edges."""
+    and the copy number, or the given ``angles`` in degrees), thresholded.
+    Bilinear interpolation about the image centre, zero outside; the source
+    library uses cubic splines, so values differ slightly at edges.  The
+    images of a batch are rotated together."""
     import numpy as np
     import pandas as pd
 
     others = [c for c in df.columns if c not in (pixels,)]
-    angles = [rotation_angles(key, seed + 7919 * i, max_deg).alias(f"_a{i}") for i in range(copies)]
+    if angles is None:
+        angles = [rotation_angles(key, seed + 7919 * i, max_deg) for i in range(copies)]
+    copies = len(angles)
+    angles = [a.cast("double").alias(f"_a{i}") for i, a in enumerate(angles)]
     src = df.select(*others, F.transform(pixels, lambda x: x.cast("double")).alias(pixels), *angles)
     from pyspark.sql.types import IntegerType
     out_schema = (src.drop(*[f"_a{i}" for i in range(copies)]).schema
                   .add("copy", IntegerType()))
 
-    def rotate(img: np.ndarray, deg: float) -> np.ndarray:
-        h = img.size // width
-        im = img.reshape(h, width)
-        t = math.radians(deg)
+    def rotate(im: np.ndarray, deg: np.ndarray) -> np.ndarray:
+        n, h = len(im), im.shape[1]
+        t = np.radians(deg)[:, None, None]
         cy, cx = (h - 1) / 2.0, (width - 1) / 2.0
         yy, xx = np.mgrid[0:h, 0:width]
         # inverse map: source coordinates of each output pixel
-        sx = math.cos(t) * (xx - cx) + math.sin(t) * (yy - cy) + cx
-        sy = -math.sin(t) * (xx - cx) + math.cos(t) * (yy - cy) + cy
+        sx = np.cos(t) * (xx - cx) + np.sin(t) * (yy - cy) + cx
+        sy = -np.sin(t) * (xx - cx) + np.cos(t) * (yy - cy) + cy
         x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
         fx, fy = sx - x0, sy - y0
-        out = np.zeros_like(im, dtype=float)
+        which, out = np.arange(n)[:, None, None], np.zeros(im.shape)
         for dy, wy in ((0, 1 - fy), (1, fy)):
             for dx, wx in ((0, 1 - fx), (1, fx)):
                 X, Y = x0 + dx, y0 + dy
                 ok = (X >= 0) & (X < width) & (Y >= 0) & (Y < h)
-                v = np.zeros_like(out)
-                v[ok] = im[Y[ok], X[ok]]
-                out += v * wx * wy
+                v = im[which, np.clip(Y, 0, h - 1), np.clip(X, 0, width - 1)]
+                out += np.where(ok, v, 0.0) * wx * wy
         out = np.where(out < low, 0.0, out)
-        out = np.where(out >= high, 1.0, out)
-        return out.ravel()
+        return np.where(out >= high, 1.0, out)
 
     def fn(batches):
         for pdf in batches:
             parts = [pdf[others + [pixels]].assign(copy=0)]
+            flat = [np.asarray(p, dtype=float) for p in pdf[pixels]]
+            sizes = np.array([len(p) for p in flat])
             for i in range(copies):
-                rot = pdf[others].copy()
-                rot[pixels] = [rotate(np.asarray(p, dtype=float), a)
-                               for p, a in zip(pdf[pixels], pdf[f"_a{i}"])]
+                rot, out = pdf[others].copy(), [None] * len(flat)
+                for size in set(sizes.tolist()):          # images of one size together
+                    at = np.flatnonzero(sizes == size)
+                    im = np.stack([flat[j] for j in at]).reshape(len(at), size // width, width)
+                    done = rotate(im, pdf[f"_a{i}"].to_numpy()[at]).reshape(len(at), size)
+                    for j, row in zip(at, done):
+                        out[j] = row
+                rot[pixels] = pd.Series(out, index=rot.index, dtype=object)
                 rot["copy"] = i + 1
                 parts.append(rot)
             yield pd.concat(parts, ignore_index=True)

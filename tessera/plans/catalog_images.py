@@ -63,7 +63,11 @@ def union_augmented(spark: SparkSession, sf: str) -> DataFrame:
 def rotate_images(spark: SparkSession, sf: str) -> DataFrame:
     emb = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     scaled = emb.withColumn("embedding", F.transform("embedding", lambda x: (x + 0.6) / 1.2))
-    return images.rotate_images(scaled, "vec_id", "embedding", WIDTH, seed=42)
+    # angles of -17 to 17 degrees that SQL can draw too
+    turn = F.pmod(F.pmod(F.col("vec_id") * 2654435761 + 42, F.lit(4294967291)), F.lit(35)) - 17
+    out = images.rotate_images(scaled, "vec_id", "embedding", WIDTH, angles=[turn])
+    return out.select("vec_id", "label", "copy", F.posexplode("embedding").alias("pos", "v")).select(
+        "vec_id", "label", "copy", "pos", F.round("v", 6).alias("value"))
 
 
 def knn_classify(spark: SparkSession, sf: str) -> DataFrame:

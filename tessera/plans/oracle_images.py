@@ -124,3 +124,22 @@ SELECT src.vec_id, src.pos,
 FROM src CROSS JOIN st
 LEFT JOIN el e2 ON e2.vec_id = src.vec_id AND e2.pos = src.rr * 8 + src.cc
                  AND src.rr BETWEEN 0 AND 7 AND src.cc BETWEEN 0 AND 7"""
+
+_PIXEL = "CASE WHEN {x} BETWEEN 0 AND 7 AND {y} BETWEEN 0 AND 7 THEN im[{y} * 8 + {x} + 1] ELSE 0.0 END"
+_CORNERS = " + ".join(
+    "(" + _PIXEL.format(x=f"(x0 + {dx})", y=f"(y0 + {dy})") + f") * {'fx' if dx else '(1 - fx)'} * {'fy' if dy else '(1 - fy)'}"
+    for dy in (0, 1) for dx in (0, 1))
+
+SQL["rotate_images"] = f"""
+WITH e AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: (x + 0.6) / 1.2) AS im,
+       radians(((vec_id * 2654435761 + 42) % 4294967291) % 35 - 17.0) AS t FROM embeddings),
+p AS (SELECT vec_id, label, im, t, unnest(range(64)) AS pos FROM e),
+s AS (SELECT *, cos(t) * (pos % 8 - 3.5) + sin(t) * (pos // 8 - 3.5) + 3.5 AS sx,
+      -sin(t) * (pos % 8 - 3.5) + cos(t) * (pos // 8 - 3.5) + 3.5 AS sy FROM p),
+c AS (SELECT *, CAST(floor(sx) AS BIGINT) AS x0, CAST(floor(sy) AS BIGINT) AS y0, sx - floor(sx) AS fx,
+      sy - floor(sy) AS fy FROM s),
+v AS (SELECT vec_id, label, pos, {_CORNERS} AS v FROM c)
+SELECT vec_id, label, CAST(0 AS INTEGER) AS copy, CAST(pos AS INTEGER) AS pos, round(im[pos + 1], 6) AS value FROM p
+UNION ALL
+SELECT vec_id, label, CAST(1 AS INTEGER), CAST(pos AS INTEGER),
+       round(CASE WHEN v < 0.15 THEN 0.0 WHEN v >= 0.8 THEN 1.0 ELSE v END, 6) FROM v"""
