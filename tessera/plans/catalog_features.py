@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
-from tessera.operators import centroid, features, metrics, validate
+from tessera.operators import centroid, elm, features, metrics, validate
 from tessera.session import cut_lineage, table
 
 R9 = 9
@@ -221,6 +225,25 @@ def holdout_split(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "is_test")
 
 
+# ------------------------------------------------------------- Gram sums
+def pca_covariance(spark: SparkSession, sf: str) -> DataFrame:
+    """The covariance that PCA and the rotations are solved from."""
+    _, cov = elm.covariance(table(spark, sf, "embeddings").select("embedding"), "embedding")
+    rows = [(i, j, float(v)) for i, row in enumerate(cov) for j, v in enumerate(row)]
+    return spark.createDataFrame(rows, "i int, j int, cov double").select("i", "j", _r(F.col("cov"), 9).alias("cov"))
+
+
+GRAM_UNITS = 6
+
+
+def elm_gram_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """H'H of a hidden layer whose weights a formula gives."""
+    W = np.array([[math.sin(7 * i + 3 * j + 1) for j in range(GRAM_UNITS)] for i in range(64)])
+    stats = elm.gram_sums(table(spark, sf, "embeddings").select("embedding"), "embedding", lambda X: np.tanh(X @ W))
+    rows = [(i, j, float(v)) for i, row in enumerate(stats[0]["hh"]) for j, v in enumerate(row)]
+    return spark.createDataFrame(rows, "i int, j int, hh double").select("i", "j", _r(F.col("hh"), 6).alias("hh"))
+
+
 # -------------------------------------------------------------- ensembles
 MODELS = {"all": None, "first_half": (0, 32), "second_half": (32, 64)}
 
@@ -296,6 +319,8 @@ QUERIES = {
     "stratified_folds": stratified_folds,
     "stratified_holdout": stratified_holdout,
     "holdout_split": holdout_split,
+    "pca_covariance": pca_covariance,
+    "elm_gram_sums": elm_gram_sums,
     "oof_matrix": oof_matrix,
     "soft_vote": soft_vote,
     "majority_vote": majority_vote,

@@ -60,6 +60,12 @@ def union_augmented(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.sum(px), 6).alias("pixel_sum"))
 
 
+def flatten_images(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per pixel."""
+    emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return images.flatten_long(emb, "vec_id", "embedding").withColumn("value", F.col("value").cast("double"))
+
+
 def rotate_images(spark: SparkSession, sf: str) -> DataFrame:
     emb = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     scaled = emb.withColumn("embedding", F.transform("embedding", lambda x: (x + 0.6) / 1.2))
@@ -132,6 +138,7 @@ QUERIES = {
     "downsample_images": downsample_images,
     "crop_images": crop_images,
     "union_augmented": union_augmented,
+    "flatten_images": flatten_images,
     "rotate_images": rotate_images,
     "knn_classify": knn_classify,
     "rbf_activations": rbf_activations,

@@ -225,3 +225,16 @@ SQL["top_models"] = f"""WITH {SCORES}
 SELECT title, mean, rank FROM (
   SELECT title, mean, CAST(row_number() OVER (ORDER BY mean DESC, title) AS INTEGER) AS rank
   FROM summary) WHERE rank <= 2"""
+
+_VECTORS = """WITH e AS (SELECT vec_id, CAST(v AS DOUBLE) AS v, CAST(pos AS INTEGER) AS pos
+  FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings))"""
+
+SQL["pca_covariance"] = f"""{_VECTORS}
+SELECT a.pos AS i, b.pos AS j, round(covar_pop(a.v, b.v), 9) AS cov
+FROM e a JOIN e b USING (vec_id) GROUP BY a.pos, b.pos"""
+
+SQL["elm_gram_sums"] = f"""{_VECTORS},
+h AS (SELECT vec_id, unit, tanh(sum(v * sin(7 * pos + 3 * unit + 1))) AS h
+      FROM e, (SELECT CAST(unnest(range(6)) AS INTEGER) AS unit) GROUP BY vec_id, unit)
+SELECT a.unit AS i, b.unit AS j, round(sum(a.h * b.h), 6) AS hh
+FROM h a JOIN h b USING (vec_id) GROUP BY a.unit, b.unit"""

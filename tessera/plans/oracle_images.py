@@ -143,3 +143,7 @@ SELECT vec_id, label, CAST(0 AS INTEGER) AS copy, CAST(pos AS INTEGER) AS pos, r
 UNION ALL
 SELECT vec_id, label, CAST(1 AS INTEGER), CAST(pos AS INTEGER),
        round(CASE WHEN v < 0.15 THEN 0.0 WHEN v >= 0.8 THEN 1.0 ELSE v END, 6) FROM v"""
+
+SQL["flatten_images"] = """
+SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS value
+FROM embeddings"""
