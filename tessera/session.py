@@ -76,16 +76,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         # next to the warehouse: the one folder that every session has on its
         # default file system, which executors share on a cluster
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        root = f"{warehouse}/_checkpoints"
+        root = f"{warehouse}/_checkpoints/{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.checkpoint.dir", root)
+        _drop_at_exit(spark, root)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+_SCRATCH: dict[str, str] = {}
+
+
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Create a folder that goes when the application's JVM ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint root for written tables."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared checkpoint root for written tables.  The
+    application's scratch folder goes when it ends."""
+    root, app = ensure_checkpoint_dir(spark), spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        folder = f"{root}/scratch-{uuid.uuid4().hex[:12]}"
+        _drop_at_exit(spark, folder)
+        _SCRATCH[app] = folder
+    return f"{_SCRATCH[app]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
