@@ -70,11 +70,24 @@ def utf8(batch: pa.RecordBatch, col: str) -> list[bytes]:
     return [x or b"" for x in batch.column(col).cast(pa.binary()).to_pylist()]
 
 
+def _bytes(side: DataFrame) -> Column:
+    """About the bytes that a row takes in memory."""
+    total = F.lit(16)
+    for f in side.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        else:
+            total = total + 8
+    return total
+
+
 def beside(df: DataFrame, side: DataFrame, on: Column, how: str = "left",
-           max_bytes: int = 8 << 20, row_bytes: int = 64) -> DataFrame:
-    """Join a small table: broadcast only if its counted rows fit
-    ``max_bytes``, else a shuffle join, whose hot keys AQE splits."""
-    most = max_bytes // row_bytes
-    if side.limit(most + 1).count() <= most:
-        side = F.broadcast(side)
-    return df.join(side, on, how)
+           max_bytes: int = 8 << 20) -> DataFrame:
+    """Join a table that is mostly small (written before, as it is read
+    twice): broadcast only if its measured bytes are at most ``max_bytes``,
+    else a shuffle join, whose hot keys AQE splits."""
+    size = side.agg(F.coalesce(F.sum(_bytes(side).cast("long")), F.lit(0))).first()[0]
+    return df.join(F.broadcast(side) if size <= max_bytes else side, on, how)

@@ -44,7 +44,7 @@ from tessera.llm.graph import components, in_units, whole_units
 FILTERS = 32
 LEAST_FILTERS = 24
 PER_FILTER = 32
-MOST = 2048
+MOST = 1024
 SMALL = 16
 SEED = 71
 
@@ -109,23 +109,33 @@ def _usable(col: str):
             & F.exists(x, lambda v: v != 0))
 
 
-def _padded(filters: pa.ChunkedArray) -> np.ndarray:
-    """Lists of filters as rows of one array, -1 behind the shorter ones."""
-    arr = filters.combine_chunks()
-    size = np.diff(arr.offsets.to_numpy())
-    out = np.full((len(size), int(size.max(initial=1))), -1, np.int64)
-    out[np.arange(out.shape[1])[None, :] < size[:, None]] = arr.flatten().to_numpy()
-    return out
-
-
-def _first_meeting(f: np.ndarray, i: np.ndarray, j: np.ndarray, now: np.ndarray) -> np.ndarray:
-    """Whether pairs (i, j) share no filter before ``now``."""
-    ok = np.ones(len(i), bool)
-    for s in range(0, len(i), 16384):
-        a, b, t = f[i[s:s + 16384]], f[j[s:s + 16384]], now[s:s + 16384]
-        early = (a >= 0) & (a < t[:, None])
-        ok[s:s + 16384] = ~((a[:, :, None] == b[:, None, :]) & early[:, :, None]).any((1, 2))
-    return ok
+class Meetings:
+    """The sorted filters of a block's rows, to tell where two rows first meet."""
+
+    def __init__(self, filters: pa.ChunkedArray):
+        arr = filters.combine_chunks()
+        self.flat = arr.flatten().to_numpy().astype(np.int64)
+        self.start = np.asarray(arr.offsets)[:-1].astype(np.int64) - arr.offsets[0].as_py()
+        size = np.diff(np.asarray(arr.offsets))
+        self.base = int(self.flat.max(initial=0)) + 1
+        # row and filter in one number; sorted, as rows and their filters are
+        self.codes = np.repeat(np.arange(len(size), dtype=np.int64), size) * self.base + self.flat
+
+    def first(self, i: np.ndarray, j: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """Whether rows i and j share no filter before ``now``, a filter of both."""
+        early = np.searchsorted(self.codes, i * self.base + now) - self.start[i]
+        out, ends = np.ones(len(i), bool), np.cumsum(early)
+        at = 0
+        while at < len(i):  # so many filters at a time
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20))))
+            n = early[at:to]
+            pair = np.repeat(np.arange(at, to), n)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[i[at:to]], n)
+            wanted = j[pair] * self.base + self.flat[place]
+            found = np.minimum(np.searchsorted(self.codes, wanted), len(self.codes) - 1)
+            out[pair[self.codes[found] == wanted]] = False
+            at = to
+        return out
 
 
 def _compare(t: pa.Table, cosine: float) -> tuple[np.ndarray, ...]:
@@ -133,7 +143,7 @@ def _compare(t: pa.Table, cosine: float) -> tuple[np.ndarray, ...]:
     unit, node = t["unit"].to_numpy(), t["node"].to_numpy()
     members, now = t["members"].to_numpy(), t["filter"].to_numpy()
     part, same = t["part"].to_numpy(), t["same"].to_numpy(zero_copy_only=False)
-    f = _padded(t["filters"])
+    meet = Meetings(t["filters"])
     vec = t["embedding"].combine_chunks()
     x_flat, off = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64), vec.offsets.to_numpy()
     starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
@@ -146,7 +156,7 @@ def _compare(t: pa.Table, cosine: float) -> tuple[np.ndarray, ...]:
         x = unit_vectors(x_flat[off[0]:off[-1]].reshape(len(unit), -1))
 
     def count(i, j):
-        first = _first_meeting(f, i, j, now[i])
+        first = meet.first(i, j, now[i])
         i, j = i[first], j[first]
         np.add.at(added, i, members[j])
         np.add.at(added, j, members[i])

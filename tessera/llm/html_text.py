@@ -309,8 +309,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
         F.col("host").alias("path_host"), "path")
     src = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host(url).alias("host"),
                        F.col(source).cast("string").alias("html"))
-    # paths are as long as a page nests deep; count them at a generous size
-    joined = beside(src, paths, F.col("host").eqNullSafe(F.col("path_host")), row_bytes=512)
+    joined = beside(src, paths, F.col("host").eqNullSafe(F.col("path_host")))
 
     def make():
         return lambda b: [pa.array([main_text(x or "", p) for x, p in zip(

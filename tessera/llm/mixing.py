@@ -97,7 +97,7 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, t
                                parts.alias(names["parts"]),
                                poisson_cdf(F.col("rate") / parts).alias(names["cdf"])), "rates")
     keep = [x for x in docs.columns if x.lower() not in (copy.lower(), order_key.lower())]
-    out = beside(docs, side, F.col(source).cast("string").eqNullSafe(c["rate_source"]), "inner", row_bytes=1024)
+    out = beside(docs, side, F.col(source).cast("string").eqNullSafe(c["rate_source"]), "inner")
     out = out.withColumn(names["key"], F.coalesce(F.col(doc_id).cast("string"), F.sha2(whole_text(text), 256)))
     out = out.withColumn(names["count"], drawn(c["key"], c["parts"], c["cdf"], seed))
     out = out.filter(c["count"] > 0).select(

@@ -161,7 +161,7 @@ def _all_spans(rows: DataFrame, support: int, confidence: float, rounds: int) ->
              .groupBy("row").agg(F.collect_list(F.struct(
                  "start", (-F.col("best.k")).alias("kind"), "end")).alias("new")))
     found = stored(found.withColumnRenamed("row", "found_row"), "found")
-    out = beside(rows.drop("candidates"), found, F.col("row") == F.col("found_row"), row_bytes=256)
+    out = beside(rows.drop("candidates"), found, F.col("row") == F.col("found_row"))
     return out.withColumn("spans", F.array_sort(F.concat(
         "base", F.coalesce("new", F.array().cast(SPANS))))).drop("new", "found_row")
 
