@@ -1,12 +1,12 @@
 """Exact k-nearest neighbours (J3, W4, C9) and distance-weighted votes.
 
-Exact search needs every query compared with every reference row, but it
-never materialises the pairs: queries and references are cut into blocks of
-bounded size, each (query block, reference block) cell meets once in a
-co-grouped ``applyInPandas`` task, and only the k best candidates per query
-and cell leave the task.  The final top-k per query merges k x (reference
-blocks) candidates.  Shuffled rows: n_q x R + n_r x Q (R, Q = block counts),
-not n_q x n_r.
+References are dealt to the cells of a bounded set of pivots.  A query first
+meets part of its nearest cell, which bounds the distance of its k-th
+neighbour; then it is sent only to the cells that the bound cannot rule out
+(by the triangle inequality, from the distance to the pivot and the cell's
+radius).  Cells are cut into parts of bounded size, and the queries of a part
+into blocks, so a hot cell is spread over tasks; the pairs are never
+materialised, and only the k best candidates per query and part leave a task.
 """
 
 from __future__ import annotations
@@ -17,55 +17,142 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _stack(col):
+    import numpy as np
+    return np.stack(col.map(lambda a: np.asarray(a, dtype=float)).to_numpy())
+
+
+def _distances(Q, R):
+    import numpy as np
+    out = np.empty((len(Q), len(R)))
+    for s in range(0, len(Q), 64):
+        diff = Q[s:s + 64, None, :] - R[None, :, :]
+        out[s:s + 64] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    out[np.isnan(out)] = np.inf                      # as far away as can be, but not lost
+    return out
+
+
+def _by_number(numbers: dict, default: int = 1):
+    """A Column that looks a cell number up in a short table."""
+    if not numbers:
+        return F.lit(default)
+    table = F.array(*[F.lit(int(numbers.get(i, default))) for i in range(max(numbers) + 1)])
+    return F.coalesce(F.get(table, F.col("_cell")), F.lit(default))
+
+
 def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, vec: str, k: int = 3,
-        block_rows: int = 4096, exclude_self: bool = False, carry=()) -> DataFrame:
+        block_rows: int = 4096, exclude_self: bool = False, carry=(), pivots: int = 1024) -> DataFrame:
     """Top-k euclidean neighbours: (qkey, rkey as ``ref_id``, dist, rank,
-    *carry) with ties broken by the reference key."""
+    *carry) with ties broken by the reference key.  ``pivots`` bounds the
+    number of cells (and the vectors that every task holds)."""
     import numpy as np
     import pandas as pd
 
-    n_q, n_r = query.count(), ref.count()
-    QB = max(1, math.ceil(n_q / block_rows))
-    RB = max(1, math.ceil(n_r / block_rows))
-    q = (query.select(F.col(qkey).alias("_qid"), F.col(vec).alias("_v"))
-         .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(QB)).cast("int"))
-         .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(RB - 1)))))
-    r = (ref.select(F.col(rkey).alias("_rid"), F.col(vec).alias("_v"),
-                    *[F.col(c).alias(f"_c_{c}") for c in carry])
-         .withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.lit(RB)).cast("int"))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1)))))
-    carry_fields = [(c, dict(ref.dtypes)[c]) for c in carry]
+    from tessera.session import cut_lineage
+
+    kk = k + (1 if exclude_self else 0)
     qtype, rtype = dict(query.dtypes)[qkey], dict(ref.dtypes)[rkey]
-    schema = ", ".join([f"_qid {qtype}", f"_rid {rtype}", "dist double"]
-                       + [f"{c} {t}" for c, t in carry_fields])
+    vtype = "array<double>"
+    q = query.select(F.col(qkey).alias("_qid"), F.col(vec).cast(vtype).alias("_v"))
+    r = ref.select(F.col(rkey).alias("_rid"), F.col(vec).cast(vtype).alias("_v"),
+                   *[F.col(c).alias(f"_c_{c}") for c in carry])
+    n_cells = min(pivots, max(1, math.ceil(ref.count() / block_rows)))
+    finite = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
+    chosen = [] if n_cells == 1 else r.where(finite).orderBy(F.xxhash64("_rid"), "_rid").limit(n_cells).collect()
+    centres = np.array([row["_v"] for row in chosen]) if len(chosen) > 1 else None
 
-    def topk(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+    def dealt(batches):
+        for pdf in batches:
+            pdf = pdf.copy()
+            if centres is None or not len(pdf):
+                pdf["_cell"], pdf["_d"] = 0, math.inf
+            else:
+                d = _distances(_stack(pdf["_v"]), centres)
+                pdf["_cell"] = d.argmin(1)
+                pdf["_d"] = d.min(1)
+            yield pdf.astype({"_cell": "int32", "_d": "float64"})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema.fields)
+    rows = r.mapInPandas(dealt, f"{schema}, _cell int, _d double")
+    rows = cut_lineage(rows) if centres is not None else rows
+    cells = {c["_cell"]: c for c in rows.groupBy("_cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("_d").alias("radius")).collect()}      # at most ``pivots`` rows
+    parts = {c: math.ceil(x["n"] / block_rows) for c, x in cells.items()}
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_rid"), _by_number(parts)).cast("int"))
+    carry_fields = [(c, dict(ref.dtypes)[c]) for c in carry]
+    out_schema = ", ".join([f"_qid {qtype}", f"_rid {rtype}", "dist double"]
+                           + [f"`{c}` {t}" for c, t in carry_fields])
+
+    def nearest(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if qp.empty or rp.empty:
-            return pd.DataFrame({n: [] for n in ["_qid", "_rid", "dist"] + list(carry)})
-        Q = np.stack(qp["_v"].map(lambda a: np.asarray(a, dtype=float)).to_numpy())
-        Rm = np.stack(rp["_v"].map(lambda a: np.asarray(a, dtype=float)).to_numpy())
-        rid = rp["_rid"].to_numpy()
-        qid = qp["_qid"].to_numpy()
+            return pd.DataFrame({n: [] for n in ["_qid", "_rid", "dist", *carry]})
+        qid, rid = qp["_qid"].to_numpy(), rp["_rid"].to_numpy()
         order = np.argsort(rid, kind="stable")          # ties -> smaller reference key
-        Rm, rid = Rm[order], rid[order]
+        rid, R = rid[order], _stack(rp["_v"])[order]
         carried = {c: rp[f"_c_{c}"].to_numpy()[order] for c in carry}
-        kk = min(k + (1 if exclude_self else 0), len(rid))
-        out = []
-        for s in range(0, len(qid), 64):
-            diff = Q[s:s + 64, None, :] - Rm[None, :, :]
-            d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-            d[np.isnan(d)] = np.inf                      # as far away as can be, but not lost
-            idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
+        out, Q, most = [], _stack(qp["_v"]), min(kk, len(rid))
+        for s in range(0, len(qid), 256):
+            d = _distances(Q[s:s + 256], R)
+            idx = np.argsort(d, axis=1, kind="stable")[:, :most]
             pick = idx.ravel()
-            part = {"_qid": np.repeat(qid[s:s + 64], kk), "_rid": rid[pick],
-                    "dist": np.take_along_axis(d, idx, 1).ravel(), **{c: carried[c][pick] for c in carry}}
-            part = pd.DataFrame(part)
+            part = pd.DataFrame({"_qid": np.repeat(qid[s:s + 256], most), "_rid": rid[pick],
+                                 "dist": np.take_along_axis(d, idx, 1).ravel(),
+                                 **{c: carried[c][pick] for c in carry}})
             out.append(part[part["_qid"] != part["_rid"]] if exclude_self else part)
         return pd.concat(out, ignore_index=True)
 
-    cand = q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInPandas(topk, schema)
-    w = Window.partitionBy("_qid").orderBy("dist", "_rid")   # k x RB rows per query
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    def search(visits: DataFrame, where: DataFrame) -> DataFrame:
+        """Candidates of the visits (_qid, _v, _cell, _part), blocks of queries
+        meeting parts of cells."""
+        busy = {c["_cell"]: math.ceil(c["n"] / block_rows) for c in visits.groupBy("_cell", "_part").agg(
+            F.count(F.lit(1)).alias("n")).groupBy("_cell").agg(F.max("n").alias("n")).collect()}
+        blocks = _by_number(busy)
+        left = visits.withColumn("_block", F.pmod(F.xxhash64("_qid"), blocks).cast("int"))
+        right = where.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        key = ["_cell", "_part", "_block"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(nearest, out_schema)
+
+    if centres is None:
+        all_parts = parts.get(0, 1)
+        visits = q.withColumn("_cell", F.lit(0)).withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), F.lit(all_parts - 1))))
+        found = search(visits, rows)
+    else:
+        enough = np.array([i for i, c in cells.items() if c["n"] >= kk] or [max(cells, key=lambda c: cells[c]["n"])])
+
+        def first(batches):
+            for pdf in batches:
+                pdf = pdf.copy()
+                d = _distances(_stack(pdf["_v"]), centres[enough]) if len(pdf) else np.zeros((0, 1))
+                pdf["_cell"] = enough[d.argmin(1)] if len(pdf) else []
+                pdf["_part"] = 0
+                yield pdf.astype({"_cell": "int32", "_part": "int32"})
+
+        tried = search(q.mapInPandas(first, f"_qid {qtype}, _v {vtype}, _cell int, _part int"),
+                       rows.where("_part = 0"))
+        bound = tried.groupBy("_qid").agg(F.sort_array(F.collect_list("dist")).alias("near")).select(
+            F.col("_qid").alias("_bid"), F.get("near", F.lit(k - 1)).alias("_bound"))
+        number = np.array(sorted(cells))
+        radius = np.array([cells[c]["radius"] for c in number])
+
+        def again(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                d = _distances(_stack(pdf["_v"]), centres[number])
+                most = pdf["_bound"].fillna(math.inf).to_numpy(dtype=float)[:, None]
+                reach = d * (1 - 1e-9) - radius[None, :]
+                row, col = np.nonzero(~(reach > most))       # unknown distances rule nothing out
+                out = pdf.iloc[row][["_qid", "_v"]].copy()
+                out["_cell"] = number[col].astype("int32")
+                yield out.reset_index(drop=True)
+
+        bounded = q.join(bound, F.col("_qid").eqNullSafe(F.col("_bid")), "left").select("_qid", "_v", "_bound")
+        visits = bounded.mapInPandas(again, f"_qid {qtype}, _v {vtype}, _cell int")
+        visits = cut_lineage(visits.withColumn("_part", F.explode(F.sequence(F.lit(0), _by_number(parts) - 1))))
+        found = search(visits, rows)
+    w = Window.partitionBy("_qid").orderBy("dist", "_rid")   # k candidates from each part that was met
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .withColumnRenamed("_qid", qkey).withColumnRenamed("_rid", "ref_id"))
 
 

@@ -232,3 +232,31 @@ def test_stream_counts_nan_as_null_and_resumes(spark, tmp_path):
     assert got() == {"a": 2, "b": 1} and seen
     one.coalesce(1).write.mode("append").parquet(str(src))
     assert got() == {"a": 4, "b": 2}
+
+
+@pytest.mark.parametrize("self_too", [False, True])
+def test_pruned_search_equals_brute_force(spark, self_too):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 5)) * 8
+    x = centres[rng.integers(0, 6, 700)] + rng.normal(size=(700, 5))
+    x[11] = x[12]
+    ref = spark.createDataFrame([(i, v.tolist(), i % 4) for i, v in enumerate(x)], "r long, v array<double>, y int")
+    if self_too:
+        q, rows = ref.select(F.col("r").alias("q"), "v"), x
+    else:
+        rows = centres[rng.integers(0, 6, 90)] + rng.normal(size=(90, 5)) * 3
+        q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "q long, v array<double>")
+    got = neighbors.knn(q, ref, "q", "r", "v", k=3, block_rows=40, exclude_self=self_too, carry=["y"]).collect()
+    d = np.sqrt(((rows[:, None, :] - x[None]) ** 2).sum(-1))
+    if self_too:
+        np.fill_diagonal(d, np.inf)
+    want = {(i, int(j), n + 1, int(j) % 4) for i in range(len(rows))
+            for n, j in enumerate(np.lexsort((np.arange(700), d[i]))[:3])}
+    assert {(r["q"], r["ref_id"], r["rank"], r["y"]) for r in got} == want
+
+
+def test_every_row_finds_itself_whatever_the_cells(spark):
+    x = np.random.default_rng(9).normal(size=(600, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    got = neighbors.knn(df, df.withColumnRenamed("k", "r"), "k", "r", "v", k=1, block_rows=50)
+    assert got.count() == got.where("k = ref_id").count() == 600
