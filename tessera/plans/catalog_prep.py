@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import prep
-from tessera.session import cut_lineage, table
+from tessera.session import table
 
 SCALE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "const_col"]
 
@@ -86,13 +86,8 @@ def tfidf_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def tfidf_text(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    # tokenise the whole texts once; every later step reads the (doc, term,
-    # tf) table from the checkpoint folder instead of re-tokenising
-    counts = cut_lineage(prep.term_counts(docs, "doc_id", "text"))
-    vocab = prep.top_vocabulary(counts, max_features=10000)
-    in_vocab = counts.join(F.broadcast(vocab), "term")     # vocab <= 10,000 rows by construction
-    idf = prep.smooth_idf(in_vocab, "doc_id", "term", n_docs=docs.count())
-    out = prep.tfidf_transform(in_vocab, idf, "doc_id", "term", known_terms=10000)
+    vocab = prep.text_vocabulary(docs, "text", max_features=10000)
+    out = prep.tfidf_text(docs, "doc_id", "text", vocab, docs.count())
     return out.select("doc_id", "term", F.round("weight", 9).alias("weight"))
 
 
