@@ -67,6 +67,16 @@ def accuracy_of(pred: DataFrame, label: str = "label", prediction: str = "predic
     return pred.agg(F.avg((F.col(label) == F.col(prediction)).cast("double"))).first()[0]
 
 
+def _together(spark, fn, items, parallelism: int = 4) -> list:
+    """``fn`` of every item in order, several Spark jobs at a time."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+    items = list(items)
+    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(fn), items)
+
+
 def cv_scores(df: DataFrame, estimator: Estimator, label: str = "label", fold: str = "fold",
               metric: str = "accuracy") -> DataFrame:
     """V1/V2: score of a fresh fit per fold (train on the other folds).
@@ -75,11 +85,12 @@ def cv_scores(df: DataFrame, estimator: Estimator, label: str = "label", fold: s
     df = cut_lineage(df)      # k fits reuse the input; never recompute its lineage
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName=metric)
-    rows = []
-    for f in folds:
+
+    def score(f):
         model = estimator.copy().fit(df.where(F.col(fold) != f))
-        rows.append((int(f), float(ev.evaluate(model.transform(df.where(F.col(fold) == f))))))
-    return spark.createDataFrame(rows, "fold int, score double")
+        return int(f), float(ev.evaluate(model.transform(df.where(F.col(fold) == f))))
+
+    return spark.createDataFrame(_together(spark, score, folds), "fold int, score double")
 
 
 def oof_predict(df: DataFrame, key: str, estimator: Estimator, fold: str = "fold",
@@ -88,15 +99,17 @@ def oof_predict(df: DataFrame, key: str, estimator: Estimator, fold: str = "fold
     fold; output (key, fold, prediction, probability array)."""
     df = cut_lineage(df)
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    parts = []
-    for f in folds:
+
+    def predict(f):
         model = estimator.copy().fit(df.where(F.col(fold) != f))
         p = model.transform(df.where(F.col(fold) == f))
         cols = [key, fold, "prediction"]
         if prob_col in p.columns:
             p = p.withColumn(prob_col, vector_to_array(prob_col))
             cols.append(prob_col)
-        parts.append(p.select(*cols))
+        return p.select(*cols)
+
+    parts = _together(df.sparkSession, predict, folds)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -137,13 +150,15 @@ def shuffle_split_scores(df: DataFrame, key: str, label: str, estimator: Estimat
     source stratified on a global)."""
     from tessera.operators.validate import hash_order, stratified_holdout
     df = cut_lineage(df)
-    rows = []
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    for i in range(n):
+
+    def score(i):
         split = stratified_holdout(df, key, label, train_frac, order=hash_order(key, 4 * i))
         model = estimator.copy().fit(split.where("is_train"))
-        rows.append((i, float(ev.evaluate(model.transform(split.where("NOT is_train"))))))
-    return df.sparkSession.createDataFrame(rows, "repeat int, score double")
+        return i, float(ev.evaluate(model.transform(split.where("NOT is_train"))))
+
+    return df.sparkSession.createDataFrame(_together(df.sparkSession, score, range(n)),
+                                           "repeat int, score double")
 
 
 def repeated_holdout_scores(df: DataFrame, key: str, label: str, estimator: Estimator,
@@ -153,11 +168,13 @@ def repeated_holdout_scores(df: DataFrame, key: str, label: str, estimator: Esti
     from tessera.operators.validate import holdout_split
     df = cut_lineage(df)
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    rows = []
-    for i in range(n):
+
+    def score(i):
         split = holdout_split(df, key, test_frac, seed=4 * i)
         model = estimator.copy().fit(split.where("NOT is_test"))
-        rows.append((i, float(ev.evaluate(model.transform(split.where("is_test"))))))
+        return i, float(ev.evaluate(model.transform(split.where("is_test"))))
+
+    rows = _together(df.sparkSession, score, range(n))
     return df.sparkSession.createDataFrame(rows, "repeat int, score double")
 
 
@@ -334,13 +351,15 @@ def blocked_day_cv(df: DataFrame, day: str, reg_factory, key: str, y0: str, y1:
     against round(y0 + y1 + 1).  Returns (fold, rmsle)."""
     from tessera.operators.metrics import rmsle
     df = cut_lineage(df)
-    rows = []
-    for d in range(start, stop + 1):
+
+    def score(d):
         test_mask = F.col(day).isin(d, d + 1)
         model = reg_factory().fit(df.where(~test_mask))
         pred = model.with_raw(df.where(test_mask)).withColumn(
             "prediction", F.greatest(F.bround("raw", 0), F.lit(0.0)))
-        rows.append((d, float(rmsle(pred, "prediction", y0, y1).first()["rmsle"])))
+        return d, float(rmsle(pred, "prediction", y0, y1).first()["rmsle"])
+
+    rows = _together(df.sparkSession, score, range(start, stop + 1))
     return df.sparkSession.createDataFrame(rows, "fold int, rmsle double")
 
 
@@ -351,33 +370,30 @@ def stack_blend(df: DataFrame, key: str, label: str, base: dict, fold: str = "fo
     the fold models; a logistic blend is fitted on the OOF columns and its
     test probabilities are linearly stretched to [0, 1].
 
-    Every fold model is applied to all rows in a chain of row-wise
-    transforms; a row keeps the probability of the model that did not see
-    it.  No per-fold union and no join on the key."""
+    A fold's model scores only that fold and, in a chain of row-wise
+    transforms, the test rows; what is written per base model is the key and
+    one score, and those narrow tables are joined on the key."""
     from tessera.operators.features import minmax_stretch
     df = cut_lineage(df)
-    same = test is None
-    test = df if same else cut_lineage(test)
+    test = df if test is None else cut_lineage(test)
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    train_cur, test_cur = df, test
     names = list(base)
+    train_cur = test_cur = None
     for name, est in base.items():
-        oof = None
-        tmean = None
+        oof = tmean = None
+        scored = test
         for f in folds:
             tag = f"{name}_{f}"
             m = _renamed(est.copy().fit(df.where(F.col(fold) != f)), tag)
             p1 = vector_to_array(f"_prob_{tag}")[1]
-            train_cur = _drop_outputs(m.transform(train_cur).withColumn(f"_o_{tag}", p1), tag)
-            test_cur = _drop_outputs(m.transform(test_cur).withColumn(f"_t_{tag}", p1), tag)
-            pick = F.when(F.col(fold) == f, F.col(f"_o_{tag}"))
-            oof = pick if oof is None else F.coalesce(oof, pick)
+            part = m.transform(df.where(F.col(fold) == f)).select(key, label, p1.alias(name))
+            oof = part if oof is None else oof.unionByName(part)
+            scored = _drop_outputs(m.transform(scored).withColumn(f"_t_{tag}", p1), tag)
             tmean = F.col(f"_t_{tag}") if tmean is None else tmean + F.col(f"_t_{tag}")
-        # keep the chains shallow: one lineage cut per base model
-        keep_t = [c for c in train_cur.columns if not c.startswith("_o_")]
-        keep_s = [c for c in test_cur.columns if not c.startswith("_t_")]
-        train_cur = cut_lineage(train_cur.withColumn(name, oof).select(*keep_t, name))
-        test_cur = cut_lineage(test_cur.withColumn(name, tmean / len(folds)).select(*keep_s, name))
+        oof = cut_lineage(oof)
+        mean = cut_lineage(scored.select(key, (tmean / len(folds)).alias(name)))
+        train_cur = oof if train_cur is None else train_cur.join(oof.drop(label), key)
+        test_cur = mean if test_cur is None else test_cur.join(mean, key)
     # the blend's inputs (key + one column per base model) are written once:
     # its iterations must not re-run every chained base-model transform
     oof_table = cut_lineage(train_cur.select(key, label, *names))
