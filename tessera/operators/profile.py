@@ -48,6 +48,21 @@ def _q(c: str):
 
 
 # ------------------------------------------------------------ null / inf
+def _flat(c, t: str):
+    """A column that can be compared and printed: maps as sorted entries."""
+    return F.array_sort(F.map_entries(c)) if t.startswith("map") else c
+
+
+def _text(c, t: str):
+    """Text that is equal for equal values: nested values as JSON, bytes as
+    hex, everything else as Spark prints it."""
+    if t == "binary":
+        return F.concat(F.lit("x"), F.hex(c))      # the letter keeps it from reading as a number
+    if t.startswith(("array", "map", "struct")):
+        return F.when(c.isNotNull(), F.to_json(F.struct(_flat(c, t).alias("v"))))
+    return c.cast("string")
+
+
 def _count_if(cond):
     return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("long")
 
@@ -116,11 +131,10 @@ def uninformative_columns(df: DataFrame, cols=None) -> DataFrame:
     """A1: exactly one distinct non-null value.  min == max over non-null
     values is the same test and needs no distinct at all.  All-null columns
     are not returned."""
-    types = [(c, t) for c, t in _types(df, cols)
-             if not t.startswith(("array", "map", "struct", "binary"))]
+    types = _types(df, cols)
     aggs = []
     for i, (c, t) in enumerate(types):
-        v = nan_to_null(_q(c), t)
+        v = _flat(nan_to_null(_q(c), t), t)
         aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     wide = df.agg(*aggs).select(*[
         (F.col(f"lo{i}").isNotNull() & (F.col(f"lo{i}") == F.col(f"hi{i}"))).alias(f"k{i}")
@@ -199,8 +213,7 @@ def column_summary(df: DataFrame, cols=None) -> DataFrame:
     pairs cross the network); each statistic is then a small aggregate over
     a column's distinct values.
     """
-    types = [(c, t) for c, t in _types(df, cols)
-             if not t.startswith(("array", "map", "struct", "binary"))]
+    types = _types(df, cols)
     names = [c for c, _ in types]
     nl, nd, ns = (F.lit(None).cast("long"), F.lit(None).cast("double"),
                   F.lit(None).cast("string"))
@@ -212,9 +225,9 @@ def column_summary(df: DataFrame, cols=None) -> DataFrame:
             lv, dv, sv = col.cast("long"), nd, ns
         elif t in FLOATING:
             lv, dv, sv = nl, col.cast("double"), ns
-        else:      # text, dates and times (which never parse), and decimals: a column
-            # has one scale, so equal decimals print alike and no digit is lost
-            lv, dv, sv = nl, nd, col.cast("string")
+        else:      # text, dates and times and nested values (which never parse), and
+            # decimals: a column has one scale, so equal ones print alike in full
+            lv, dv, sv = nl, nd, _text(col, t)
         structs.append(F.struct(F.lit(i).alias("a"), F.when(keep, lv).alias("lv"),
                                 F.when(keep, dv).alias("dv"), F.when(keep, sv).alias("sv")))
     long = df.select(F.inline(F.array(*structs)))
@@ -266,8 +279,8 @@ def column_summary_capped(df: DataFrame, cols=None, cap: int = 1000) -> DataFram
         t = types[c]
         if _is_numeric(t):   # booleans stay text: 'true' does not parse as a float
             return _q(c).isNull(), _q(c).cast("double"), None
-        s = F.trim(_q(c).cast("string"))
-        return is_trimmed_blank(_q(c)), try_double(s), s
+        s = F.trim(_text(_q(c), t))
+        return is_trimmed_blank(s), try_double(s), s
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(names):
         blank, num, _ = parts(c)

@@ -260,3 +260,13 @@ def test_every_row_finds_itself_whatever_the_cells(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
     got = neighbors.knn(df, df.withColumnRenamed("k", "r"), "k", "r", "v", k=1, block_rows=50)
     assert got.count() == got.where("k = ref_id").count() == 600
+
+
+def test_nested_and_binary_columns_are_profiled(spark):
+    df = spark.createDataFrame(
+        [([1, 2], {"a": 1, "b": 2}, bytearray(b"x"), (1, "p")), ([1, 2], {"b": 2, "a": 1}, bytearray(b"y"), (1, "p")),
+         (None, None, None, None)], "a array<int>, m map<string,int>, b binary, s struct<i:int,t:string>")
+    assert {r["attribute"] for r in profile.uninformative_columns(df).collect()} == {"a", "m", "s"}
+    for summary in (profile.column_summary(df), profile.column_summary_capped(df)):
+        got = {r["attribute"]: (r["n_null"], int(r["n_uniq"]), r["min"]) for r in summary.collect()}
+        assert got == {"a": (1, 2, None), "m": (1, 2, None), "b": (1, 3, None), "s": (1, 2, None)}
