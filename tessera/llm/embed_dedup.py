@@ -18,7 +18,9 @@ exactly 0.93, 1 pair in 4,000 shares no filter among 8,000 vectors and 2 in
 1,000 among 200,000; closer pairs are missed less.  A pair counts in the first filter it shares, so nothing is
 counted twice and pairs need not be listed: a group yields link counts and
 links that span it.  Groups above ``MOST`` vectors are cut into pairs of parts
-over several tasks.  Equal vectors are one class with a number of members.
+over several tasks; with pairs tested for their first meeting a bounded
+number at a time, that keeps a task's memory bounded.  Equal vectors are one
+class with a number of members.
 
 Defined results: a null label, and a vector that is null, empty, all zeros or
 holds a null, NaN or infinity, links with nothing.  Vectors of different
