@@ -334,55 +334,6 @@ def top_vocabulary(counts: DataFrame, term: str = "term", count: str = "tf",
     return totals.orderBy(F.desc("_total"), F.asc(term)).limit(max_features).select(term)
 
 
-def text_tokens(text: str, pattern: str = TOKEN_PATTERN):
-    """The tokens of a text column, in order, as an array column."""
-    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), 0)
-
-
-def text_vocabulary(docs: DataFrame, text: str, max_features: int = 10000,
-                    pattern: str = TOKEN_PATTERN) -> DataFrame:
-    """M6: (term, total, df) of the ``max_features`` most frequent terms (ties
-    alphabetically; the cap is the feature).  Occurrences and documents are
-    counted in one grouped pass that combines before its shuffle; no text
-    crosses the network."""
-    tokens = docs.select(text_tokens(text, pattern).alias("t"))
-    rows = tokens.select(F.inline(F.concat(
-        F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
-        F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("n"),
-                                                              F.lit(1).alias("d"))))))
-    counts = rows.groupBy("term").agg(F.sum("n").alias("total"), F.sum("d").alias("df"))
-    return counts.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
-
-
-def tfidf_text(docs: DataFrame, doc: str, text: str, vocabulary: DataFrame, n_docs: int,
-               pattern: str = TOKEN_PATTERN, out: str = "weight") -> DataFrame:
-    """M6: (doc, term, weight) of whole texts: tf * (ln((1+n)/(1+df)) + 1),
-    L2-normalised per document.  A document is counted, weighted and
-    normalised in its own row; only the capped vocabulary travels."""
-    idf = {r["term"]: math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in vocabulary.collect()}
-    src = docs.select(F.col(doc), text_tokens(text, pattern).alias("_t"))
-
-    def run(batches):
-        from collections import Counter
-
-        import pyarrow as pa
-        for b in batches:
-            rows, terms, weights = [], [], []
-            for i, tokens in enumerate(b.column(1).to_pylist()):
-                tf = Counter(x for x in tokens or () if x in idf)
-                w = {t: n * idf[t] for t, n in tf.items()}
-                norm = math.sqrt(sum(x * x for x in w.values()))
-                rows += [i] * len(w)
-                terms += w
-                weights += [x / norm if norm > 0 else 0.0 for x in w.values()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()),
-                 pa.array(weights, pa.float64())], names=[doc, "term", out])
-
-    kind = docs.schema[doc].dataType.simpleString()
-    return src.mapInArrow(run, f"`{doc}` {kind}, term string, `{out}` double")
-
-
 # ----------------------------------------------------------- ANOVA F test
 def anova_f(long_df: DataFrame, feature: str, label: str, value: str) -> DataFrame:
     """T5: one-way ANOVA F per feature from (feature, label, value) rows.
