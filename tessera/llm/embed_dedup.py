@@ -6,18 +6,20 @@ codewords, its direction the two joined and scaled to length one.  List
 decoding finds all filters whose direction exceeds a vector by the cap height
 ``alpha`` without visiting the others: a first half can only take part if it
 exceeds with the best second half, and the other way round.  The height is
-that of a cap holding ``filters`` of the code's directions for a vector, and
+that of a cap holding ``n_filters`` of the code's directions for a vector, and
 the code grows with the number of vectors, so a filter holds about
-``per_filter`` of them at every size.  A vector above fewer than
-``least_filters`` directions takes its best ones.  Vectors with a label and a
+``PER_FILTER`` of them at every size.  The cap gets higher as the table grows
+and two near vectors share fewer of their filters, so each vector takes more
+of them.  A vector above fewer than three quarters of ``n_filters``
+directions takes its best ones.  Vectors with a label and a
 filter in common are compared in double precision.
 
-Two vectors of cosine 0.93 share each filter of either with probability of
-about one half.  Measured on random pairs in 64 dimensions at a cosine of
-exactly 0.93, 1 pair in 4,000 shares no filter among 8,000 vectors and 2 in
-1,000 among 200,000; closer pairs are missed less.  A pair counts in the first filter it shares, so nothing is
+Two vectors of cosine 0.93 share each filter of either with probability 0.56
+among 8,000 vectors and 0.27 among 100 million.  Simulated misses at that
+cosine are in the README for tables of every size; closer pairs are missed
+less.  A pair counts in the first filter it shares, so nothing is
 counted twice and pairs need not be listed: a group yields link counts and
-links that span it.  Groups above ``MOST`` vectors are cut into pairs of parts
+links that span it; a row carries its filters up to the group's.  Groups above ``MOST`` vectors are cut into pairs of parts
 over several tasks; with pairs tested for their first meeting a bounded
 number at a time, that keeps a task's memory bounded.  Equal vectors are one
 class with a number of members.
@@ -43,9 +45,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_arrow, prepare, stored
 from tessera.llm.graph import components, in_units, whole_units
 
+#: Filters of a vector among up to ``FEW`` vectors, and the power of the table's size they grow with above.
 FILTERS = 32
 LEAST_FILTERS = 24
+FEW = 8000
+GROWTH = 0.14
 PER_FILTER = 32
+#: Products of vectors and codewords held at a time.
+CELLS = 1 << 22
 MOST = 1024
 SMALL = 16
 SEED = 71
@@ -61,18 +68,24 @@ def cap_height(dim: int, share: float) -> float:
     return float(t[np.searchsorted(area / area[-1], min(max(share, 0.0), 1.0))])
 
 
+def n_filters(n_vectors: int) -> int:
+    """The filters of a vector that keep the share of missed pairs level."""
+    return math.ceil(FILTERS * max(1.0, n_vectors / FEW) ** GROWTH)
+
+
 @lru_cache(maxsize=4)
 def product_code(dim: int, n_vectors: int) -> tuple:
     """(rotation, codewords of the first half, of the second, threshold)."""
     rng = np.random.default_rng(SEED + dim)
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    size = max(8, math.ceil(math.sqrt(n_vectors * FILTERS / PER_FILTER)))
+    filters = n_filters(n_vectors)
+    size = max(8, math.ceil(math.sqrt(n_vectors * filters / PER_FILTER)))
     half = [dim // 2, dim - dim // 2] if dim > 1 else [0, 1]
     code = []
     for d in half:
         c = rng.standard_normal((size, d))
         code.append(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300) / math.sqrt(2))
-    return rotation, code[0], code[1], cap_height(dim, FILTERS / size ** 2)
+    return rotation, code[0], code[1], cap_height(dim, filters / size ** 2)
 
 
 def unit_vectors(x: np.ndarray) -> np.ndarray:
@@ -85,20 +98,22 @@ def list_decode(x: np.ndarray, n_vectors: int) -> list[np.ndarray]:
     rotation, c1, c2, alpha = product_code(x.shape[1], n_vectors)
     turned = x @ rotation
     h = x.shape[1] // 2
-    first, second = turned[:, :h] @ c1.T, turned[:, h:] @ c2.T
     size, out = len(c2), []
-    for a, b in zip(first, second):
+    least = LEAST_FILTERS * n_filters(n_vectors) // FILTERS
+    rows = max(1, CELLS // size)
+    products = ((turned[k:k + rows, :h] @ c1.T, turned[k:k + rows, h:] @ c2.T) for k in range(0, len(x), rows))
+    for a, b in (pair for block in products for pair in zip(*block)):
         height = alpha
         while True:
             i, j = np.flatnonzero(a >= height - b.max()), np.flatnonzero(b >= height - a.max())
             both = a[i][:, None] + b[j][None, :]
             over = both >= height
-            if over.sum() >= min(LEAST_FILTERS, size * size):
+            if over.sum() >= min(least, size * size):
                 break
             height -= 0.05
         if height < alpha:  # lowered: only the best ones
-            over = both >= np.partition(both[over], -LEAST_FILTERS)[-LEAST_FILTERS] \
-                if over.sum() > LEAST_FILTERS else over
+            over = both >= np.partition(both[over], -least)[-least] \
+                if over.sum() > least else over
         r, c = np.nonzero(over)
         out.append(np.sort(i[r] * size + j[c]).astype(np.int64))
     return out
@@ -112,7 +127,7 @@ def _usable(col: str):
 
 
 class Meetings:
-    """The sorted filters of a block's rows, to tell where two rows first meet."""
+    """The sorted filters of a block's rows up to their group's, to tell where two rows first meet."""
 
     def __init__(self, filters: pa.ChunkedArray):
         arr = filters.combine_chunks()
@@ -212,7 +227,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         F.count(F.lit(1)).alias("members"), F.min("vec_id").alias("least")), "vectors")
     total = classes.count()
 
-    # filters below 2**31, as up to two thousand million vectors have, take four bytes
+    # filters below 2**31, as some six hundred million vectors have, take four bytes
     kind = "int" if len(product_code(2, total)[2]) ** 2 < 1 << 31 else "long"
 
     def make():
@@ -235,7 +250,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     listed = map_arrow(classes, make, [("filters", f"array<{kind}>")], ["node", "label", "embedding", "members"])
     rows = listed.select("node", "label", "embedding", "members", "filters",
-                         F.explode("filters").alias("filter"))
+                         F.posexplode("filters").alias("place", "filter"))
+    rows = rows.withColumn("filters", F.slice("filters", F.lit(1), F.col("place") + 1)).drop("place")
     rows = rows.withColumn("key", F.xxhash64("label", "filter"))
     dealt = in_units(rows, "key", "node", MOST).select(
         "unit", "part", "same", "node", "members", "filter", "filters", "embedding")

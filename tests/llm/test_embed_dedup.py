@@ -102,6 +102,18 @@ def test_recall_at_the_threshold(spark):
     assert len(hard) > 300 and np.mean([got[int(i)] == 1 for i in hard]) >= 0.998
 
 
+def test_misses_stay_level_as_the_table_grows():
+    """Pairs of cosine 0.93 that share no filter, among ten million vectors."""
+    rng = np.random.default_rng(5)
+    x = embed_dedup.unit_vectors(rng.standard_normal((4000, 64)))
+    u = rng.standard_normal((4000, 64))
+    u = embed_dedup.unit_vectors(u - (u * x).sum(1, keepdims=True) * x)
+    y = 0.93 * x + math.sqrt(1 - 0.93 ** 2) * u
+    found = [embed_dedup.list_decode(v, 10_000_000) for v in (x, y)]
+    missed = sum(not len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*found))
+    assert missed <= 12
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embed_dedup.near_duplicates(df).count() == 0
