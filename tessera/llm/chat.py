@@ -8,8 +8,10 @@ whether it asks, its length and its shape.  All probabilities are counted by
 Spark over transcripts with known roles.  Viterbi recovers the states, and the
 turns are rendered in one canonical form.
 
-A conversation is cut into segments of ``TURNS`` turns, and no task ever holds
-more than one of them whole.  The result is still the best path over the whole
+A conversation is cut into segments by the place of its turns in their order,
+whatever their numbers: at most ``TURNS`` turns and, but for its last text,
+``BYTES`` bytes.  Long conversations are ordered over many tasks, and no task
+ever holds more than one segment whole.  The result is still the best path over the whole
 conversation: each segment yields the best score from every state to every
 state, these small tables are chained per conversation, and each segment is
 decoded with the states found at its ends.  A segment's first line counts as
@@ -33,10 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow, prepare, stored
+from tessera.operators.ordering import global_prefix
+from tessera.session import broadcast_if_small
 
 ROLES = ("system", "user", "assistant")
-#: Turns of a conversation that one task holds at most.
+#: Turns of a conversation, and bytes of their texts, that one task holds at most.
 TURNS = 2000
+BYTES = 1 << 20
 #: Words that may mark a speaker; which role they mean is learned.
 MARKERS = ("system", "context", "note", "user", "human", "question", "q", "instruction", "prompt", "customer",
            "assistant", "ai", "bot", "model", "response", "answer", "a", "agent")
@@ -152,12 +157,27 @@ def render(lines: list[str], states: list[int], continued: bool = False) -> str:
 
 def segments(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
              text: Column | str = "text") -> DataFrame:
-    """(conv_id, segment, turns) with ``TURNS`` turns each, in order."""
+    """(conv_id, segment, turns) with up to ``TURNS`` turns each, in order."""
     t = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
     src = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"),
                        F.lower(F.col(role).cast("string")).alias("role"), t.alias("text"))
-    loose = -1 - F.pmod(F.xxhash64("role", "text"), F.lit(64))  # turns without a number come first
-    src = src.withColumn("segment", F.coalesce(F.floor(F.col("turn") / TURNS), loose).cast("long"))
+    # a turn counts as one and as its text's share of BYTES, so one sum bounds both
+    src = src.withColumn("weight", 1 + F.floor(F.octet_length("text") * F.lit(TURNS) / BYTES).cast("long"))
+    long = stored(src.groupBy("conv_id").agg(F.sum("weight").alias("n")).filter(F.col("n") > TURNS)
+                  .select(F.col("conv_id").alias("long_id")), "long")
+    if long.isEmpty():
+        src = src.withColumn("segment", F.lit(0).cast("long"))
+    else:
+        same = F.col("conv_id").eqNullSafe(F.col("long_id"))
+        rest = src.join(broadcast_if_small(long), same, "left_anti").withColumn("segment", F.lit(0).cast("long"))
+        # rows that tie on all columns are alike, so any order of them will do
+        tied = src.join(broadcast_if_small(long), same, "left_semi").withColumn(
+            "tie", F.monotonically_increasing_id())
+        placed = global_prefix(tied, ["conv_id", "turn", "role", "text", "tie"], "weight", "place")
+        starts = placed.groupBy(F.col("conv_id").alias("long_id")).agg(F.min("place").alias("start"))
+        placed = placed.join(broadcast_if_small(starts), same).withColumn(
+            "segment", F.floor((F.col("place") - F.col("start")) / TURNS).cast("long"))
+        src = rest.unionByName(placed.select(*rest.columns))
     grouped = src.groupBy("conv_id", "segment").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     return grouped.withColumn("turns", F.transform("turns", lambda x: F.struct(

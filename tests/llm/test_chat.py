@@ -79,3 +79,16 @@ def test_nulls_ties_and_empty_table(spark):
     got = chat.format_conversations(frame(spark, data)).collect()
     assert sum(r["true_turns"] for r in got) == len(data)
     assert chat.format_conversations(frame(spark, []).filter("false")).count() == 0
+
+
+def test_segments_are_bounded_whatever_the_turn_numbers(spark, monkeypatch):
+    monkeypatch.setattr(chat, "TURNS", 10)
+    monkeypatch.setattr(chat, "BYTES", 1000)
+    data = [(None, 0, "user", f"text {i % 40}") for i in range(95)] + [(None, None, "user", "same")] * 45
+    data += [(1, 3, "assistant", f"{i} " + "x" * 400) for i in range(12)] + [(2, t, "user", "hi") for t in range(8)]
+    by = {}
+    for r in chat.segments(frame(spark, data)).orderBy("conv_id", "segment").collect():
+        assert len(r["turns"]) <= 10 and sum(len(t["text"]) for t in r["turns"][:-1]) <= 1000
+        by.setdefault(r["conv_id"], []).extend((t["role"], t["text"]) for t in r["turns"])
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])
+    assert by == {c: [(r[2], r[3]) for r in sorted((x for x in data if x[0] == c), key=key)] for c in (None, 1, 2)}
