@@ -76,8 +76,42 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id"""
 
 
+def prefix_trie() -> str:
+    """Every prefix as text, grouped; subtrees by the smallest members' own prefixes."""
+    poly = 0xEDB88320
+    step = f"list_reduce(list_prepend(xor(crc, CAST(byte AS BIGINT)), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, {poly} * (x & 1)))"
+    crc = (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), "
+           f"lambda s: CAST(ord(s) AS BIGINT))), lambda crc, byte: {step}), 4294967295)")
+    return f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+    coalesce(text, '')) - 1 AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, {crc} % 6 AS h, c - c % 100 AS b FROM (SELECT DISTINCT c FROM t)),
+head AS (SELECT ids.c, t.p, role, text FROM ids JOIN t ON t.c = ids.b AND t.p < ids.h),
+shift AS (SELECT ids.c, ids.h, count(head.p) AS k FROM ids LEFT JOIN head ON head.c = ids.c GROUP BY ids.c, ids.h),
+seq AS (SELECT * FROM head UNION ALL
+  SELECT t.c, t.p - shift.h + shift.k AS p, role, text FROM t JOIN shift ON shift.c = t.c WHERE t.p >= shift.h),
+path AS (SELECT c, p + 1 AS d, length(text) AS chars, string_agg(sha256(length(role) || ':' || role || text), '')
+    OVER (PARTITION BY c ORDER BY p) AS k FROM seq
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+size AS (SELECT c, max(d) AS n FROM path GROUP BY c),
+node AS (SELECT k, d, min(path.c) AS conv_id, count(*) AS n, max(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(path.c AS VARCHAR), ',' ORDER BY path.c) FILTER (WHERE d = size.n), '')) AS ends
+  FROM path JOIN size ON size.c = path.c GROUP BY k, d),
+kids AS (SELECT left(k, length(k) - 64) AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+weight AS (SELECT node.k, d, conv_id, (n - 1) * chars AS saved, kids.k IS NULL AS leaf
+  FROM (SELECT * FROM node) node LEFT JOIN (SELECT k FROM kids) kids ON kids.k = node.k),
+sub AS (SELECT path.k, count(*) FILTER (WHERE leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved
+  FROM weight JOIN path ON path.c = weight.conv_id AND path.d <= weight.d GROUP BY path.k)
+SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+  sub.n_leaves, sub.saved AS saved_tokens, node.ends AS ends_sha256
+FROM node JOIN sub ON sub.k = node.k LEFT JOIN kids ON kids.k = node.k
+  LEFT JOIN node up ON node.d > 0 AND up.k = left(node.k, length(node.k) - 64)"""
+
+
 SQL = {
     "op3_poisson_mixture": poisson_mixture(),
     "op9_secret_ledger": secret_ledger(),
     "op10_spherical_caps": spherical_caps(),
+    "op11_prefix_trie": prefix_trie(),
 }
