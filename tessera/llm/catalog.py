@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, embed_dedup, hmm, html_text, mixing, pii, prefix_trie, quality, secret_scan, simhash
+from tessera.llm import (
+    bpe, chat, embed_dedup, hmm, html_text, mixing, pii, prefix_trie, quality, secret_scan, simhash, toxicity)
 from tessera.llm.oracle import SQL  # noqa: F401  (the twins, for the driver)
 from tessera.session import table
 
@@ -60,7 +61,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_toxicity_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hmm_language_model, op2_personal_data, op3_poisson_mixture, op4_transcript_roles,
     op5_simhash_golay, op6_bpe_round_trip, op7_host_paths, op8_quality_perplexity, op9_secret_ledger, op10_spherical_caps,
-    op11_prefix_trie)}
+    op11_prefix_trie, op12_toxicity_ngrams)}
