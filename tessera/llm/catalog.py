@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import (
-    bpe, chat, embed_dedup, hmm, html_text, mixing, pii, prefix_trie, quality, secret_scan, simhash, toxicity)
+    bpe, chat, embed_dedup, hmm, html_text, mixing, pii, prefix_trie, quality, secret_scan, simhash, token_align, toxicity)
 from tessera.llm.oracle import SQL  # noqa: F401  (the twins, for the driver)
 from tessera.session import table
 
@@ -65,7 +65,15 @@ def op12_toxicity_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    voc = token_align.vocabularies(public_tokenizers.path("byte_bpe_50k.json"),
+                                   public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    return token_align.align(table(spark, sf_dir, "documents"), voc)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hmm_language_model, op2_personal_data, op3_poisson_mixture, op4_transcript_roles,
     op5_simhash_golay, op6_bpe_round_trip, op7_host_paths, op8_quality_perplexity, op9_secret_ledger, op10_spherical_caps,
-    op11_prefix_trie, op12_toxicity_ngrams)}
+    op11_prefix_trie, op12_toxicity_ngrams, op13_token_alignment)}
