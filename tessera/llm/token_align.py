@@ -43,6 +43,8 @@ from tessera.llm.common import map_arrow, prepare, stored, whole_text
 
 #: Ends of a run, bytes of tokens handled at a time, and pairs of a slice.
 RUN, CHUNK, SLICE = 64, 2 << 20, 4 << 20
+#: White space in a row from which a text is cut into pre-tokens here.
+BLANK = 1000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -90,13 +92,23 @@ class Vocabularies:
         return "<u2" if max(len(self.a), len(self.b)) <= 1 << 16 else "<u4"
 
     def encoders(self) -> tuple[Callable[[str], list[int]], Callable[[list[str]], list[list[int]]]]:
+        import regex
         import sentencepiece
         import tiktoken
 
         a = tiktoken.Encoding("a", pat_str=self.pattern, mergeable_ranks={t: i for i, t in enumerate(self.a)},
                               special_tokens={})
         b = sentencepiece.SentencePieceProcessor(model_proto=self.model)
-        return a.encode_ordinary, lambda texts: b.encode(texts, num_threads=1)
+        find, blank = regex.compile(self.pattern).findall, regex.compile(r"\s{%d}" % BLANK).search
+        piece = a._encode_single_piece
+
+        def encode_a(text: str) -> list[int]:
+            if not blank(text):
+                return a.encode_ordinary(text)
+            # the library's own search recurses over a run of white space
+            return [i for pre in find(text) for i in piece(pre.encode())]
+
+        return encode_a, lambda texts: b.encode(texts, num_threads=1)
 
 
 def vocabularies(a_path: str, b_path: str, pattern: str) -> Vocabularies:

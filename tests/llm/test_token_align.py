@@ -136,3 +136,18 @@ def test_empty_table(spark, voc):
 def test_vocabulary_bytes(voc):
     assert voc.a[:3] == [b"!", b'"', b"#"] and voc.dtype == "<u2" and len(set(voc.a)) == len(voc.a)
     assert sorted(ta.byte_alphabet().values()) == list(range(256))
+
+
+@pytest.mark.parametrize("text", [" " * 300000, "x" + "\n \t" * 100000 + "y", "a" * 300000, "ab1 " * 50000, "." * 100000])
+def test_very_long_texts(voc, text):
+    encode_a, encode_b = voc.encoders()
+    whole = (" " + text).encode()
+    assert b"".join(voc.a[i] for i in encode_a(" " + text)) == whole
+    assert b"".join(voc.b[i] for i in encode_b([text])[0]) == whole
+
+
+def test_long_white_space_is_encoded_as_by_the_library(voc):
+    encode_a, _ = voc.encoders()
+    t, _ = tokenizers()
+    for text in (" x" + " " * 1500 + "y z", "\n" * 2000 + "it's", " " * 1001):
+        assert encode_a(text) == t.encode(text, add_special_tokens=False).ids
