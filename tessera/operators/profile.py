@@ -163,36 +163,6 @@ def binary_columns(df: DataFrame, cols=None) -> DataFrame:
 
 
 # ------------------------------------------------------------- summaries
-def _distinct_counts(df: DataFrame, values: dict) -> DataFrame:
-    """Exact distinct non-null count per attribute from the long form.
-
-    ``values`` maps attribute -> Column.  Values travel in typed slots
-    (long / double / string) so numbers are never formatted as text;
-    grouping normalises -0.0 and NaN the way a Python set does."""
-    def slot(c):
-        t = c[1]
-        v = c[0]
-        if t in INTEGRAL or t == "boolean":
-            return v.cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
-        if t in FLOATING:
-            return F.lit(None).cast("long"), v.cast("double"), F.lit(None).cast("string")
-        return F.lit(None).cast("long"), F.lit(None).cast("double"), v.cast("string")
-    names = list(values)
-    structs = []
-    for i, n in enumerate(names):
-        spec = values[n]
-        lv, dv, sv = slot(spec if isinstance(spec, tuple) else (spec, "string"))
-        # a small int tags the column: cheaper to hash than the name
-        structs.append(F.struct(F.lit(i).alias("a"), lv.alias("lv"), dv.alias("dv"),
-                                sv.alias("sv")))
-    long = df.select(F.inline(F.array(*structs)))
-    present = F.col("lv").isNotNull() | F.col("dv").isNotNull() | F.col("sv").isNotNull()
-    counts = (long.where(present).distinct()
-              .groupBy("a").agg(F.count(F.lit(1)).alias("n_distinct")))
-    name_of = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("a") + 1)
-    return counts.select(name_of.alias("attribute"), "n_distinct")
-
-
 def _as_text_key(c, t: str):
     """Text form for value counts of mixed columns; -0.0 folds into 0.0."""
     if t in FLOATING:
@@ -252,7 +222,8 @@ def column_summary(df: DataFrame, cols=None) -> DataFrame:
         n_null.alias("n_null"),
         (F.coalesce(F.col("n_distinct"), F.lit(0)) + F.when(n_null > 0, 1).otherwise(0))
         .cast("long").alias("n_uniq"),
-        F.try_divide(n_null.cast("double"), F.col("n_rows")).alias("perc_null"))
+        F.try_divide(n_null.cast("double"), F.col("n_rows")).alias("perc_null"),
+        F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
 
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
@@ -260,64 +231,119 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(_q(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Groups of tasks whose capped sets are merged before the last merge.
+MERGE_GROUPS = 1024
+
+
+def set_bits(cap: int) -> int:
+    """Log2 of the size up to which a capped set is exact: at least twice the
+    cap, so a count past it can't read as one below the cap."""
+    bits = max((2 * (cap + 1) - 1).bit_length(), 4)
+    if not 1 <= cap or bits > 26:
+        raise ValueError(f"cap must be between 1 and {(1 << 25) - 1}, not {cap}")
+    return bits
+
+
+def capped_cells(types: list[tuple[str, str]]) -> list[tuple]:
+    """(blank, number, text) of each column, as the big-file summary reads
+    it.  Numbers have no text; decimals have both, since theirs is exact."""
+    out = []
+    for c, t in types:
+        if _is_numeric(t):      # booleans stay text: 'true' does not parse as a float
+            out.append((_q(c).isNull(), _q(c).cast("double"),
+                        _q(c).cast("string") if t.startswith("decimal") else F.lit(None).cast("string")))
+        else:
+            s = F.trim(_text(_q(c), t))
+            out.append((is_trimmed_blank(s), try_double(s), s))
+    return out
+
+
+def capped_stats(blank, num, text, cap: int) -> list:
+    """Aggregates of one column's cells.  The value sets are theta sketches:
+    below ``2 ** set_bits(cap)`` values they hold every distinct 64-bit hash
+    and count exactly; beyond it they keep the smallest hashes and no more, so
+    a set takes the same bytes in a task, in the shuffle and in a stream's
+    state whatever it has read.  Two of m values share a hash with a chance of
+    m^2 / 2^64."""
+    bits = F.lit(set_bits(cap))
+    return [F.count(F.lit(1)).alias("n_rows"), _count_if(blank).alias("n_null"),
+            _count_if(~blank & num.isNull()).alias("bad"),
+            F.min(F.when(~blank, num)).alias("lo"), F.max(F.when(~blank, num)).alias("hi"),
+            F.theta_sketch_agg(F.when(~blank, num), bits).alias("nums"),
+            F.theta_sketch_agg(F.when(~blank, text), bits).alias("texts")]
+
+
+def capped_result(per: DataFrame, types: list[tuple[str, str]], cap: int, estimate: str | None = None) -> DataFrame:
+    """The summary from one row of ``capped_stats`` per column number ``a``;
+    columns without a row (no input) get counts of zero.  ``estimate`` names a
+    column for the distinct non-null values, exact to ``2 ** set_bits(cap)``."""
+    names = [c for c, _ in types]
+    allcols = per.sparkSession.createDataFrame(
+        [(i, c, t.startswith("decimal")) for i, (c, t) in enumerate(types)], "i int, attribute string, exact boolean")
+    j = allcols.join(F.broadcast(per) if len(names) <= 10_000 else per, F.col("i") == F.col("a"), "left")
+    numeric = F.coalesce(F.col("bad"), F.lit(0)) == 0
+    n_null = F.coalesce("n_null", F.lit(0)).cast("long")
+    n = F.theta_sketch_estimate(F.when(numeric & ~F.col("exact"), F.col("nums")).otherwise(F.col("texts")))
+    total = F.coalesce(n, F.lit(0)) + F.when(n_null > 0, 1).otherwise(0)
+    return j.select(
+        "attribute", F.when(numeric, finite_or_null(F.col("lo"))).alias("min"),
+        F.when(numeric, finite_or_null(F.col("hi"))).alias("max"), n_null.alias("n_null"),
+        F.when(total <= cap, total.cast("string")).otherwise(F.lit(f"> {cap}")).alias("n_uniq"),
+        F.try_divide(n_null.cast("double"), F.col("n_rows")).alias("perc_null"),
+        F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
+        *([] if estimate is None else [F.coalesce(n, F.lit(0)).alias(estimate)]))
+
+
+def capped_sets(df: DataFrame, cols=None, cap: int = 1000, groups: int = MERGE_GROUPS) -> DataFrame:
+    """One row of ``capped_stats`` per column (number ``a``), in one scan.
+
+    A task keeps a set per column and sends one row with all of them; ``groups``
+    tasks merge those, and each column's sets meet in a task of their own, so
+    no task reads more than its share of the tasks' rows."""
+    types = _types(df, cols)
+    bits = F.lit(set_bits(cap))
+    stats = ["n_rows", "n_null", "bad", "lo", "hi", "nums", "texts"]
+    aggs = [agg.alias(f"{k}{i}") for i, cell in enumerate(capped_cells(types))
+            for k, agg in zip(stats, capped_stats(*cell, cap))]
+    group = "group"
+    while group.lower() in {c.lower() for c in df.columns}:
+        group += "_"
+    wide = (df.withColumn(group, F.pmod(F.spark_partition_id(), F.lit(groups)))
+            .groupBy(group).agg(*aggs))
+    rows = wide.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("a"), *[F.col(f"{k}{i}").alias(k) for k in stats]) for i in range(len(types))])))
+    return rows.groupBy("a").agg(
+        *[F.sum(k).cast("long").alias(k) for k in stats[:3]], F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        *[F.theta_union_agg(k, bits).alias(k) for k in stats[5:]])
+
+
 def column_summary_capped(df: DataFrame, cols=None, cap: int = 1000) -> DataFrame:
     """The big-file summary.  Values are text, stripped; blank = null.
 
     * min/max only when every non-blank value parses as a float;
     * n_uniq over parsed values (whole column numeric) or stripped text, with
-      the blank value counted once; shown as ``'> cap'`` above the cap, which
-      an exact count decides.
+      the blank value counted once; shown as ``'> cap'`` above the cap;
+    * n_rows, for the summary store.
 
-    Bounds and null counts are one wide aggregate.  Columns already typed as
-    numbers skip the text round trip (their text always parses back to the
+    One scan with bounded sets (``capped_sets``): whatever a column holds, a
+    task sends at most 2 ** (set_bits(cap) + 1) hashes for it.  Columns typed
+    as numbers skip the text round trip (their text always parses back to the
     same number; only null is blank).
     """
-    names = list(cols) if cols is not None else list(df.columns)
-    types = dict(df.dtypes)
-
-    def parts(c):
-        t = types[c]
-        if _is_numeric(t):   # booleans stay text: 'true' does not parse as a float
-            return _q(c).isNull(), _q(c).cast("double"), None
-        s = F.trim(_text(_q(c), t))
-        return is_trimmed_blank(s), try_double(s), s
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for i, c in enumerate(names):
-        blank, num, _ = parts(c)
-        aggs += [
-            _count_if(blank).alias(f"nn{i}"),
-            _count_if(~blank & num.isNull()).alias(f"bad{i}"),
-            F.min(F.when(~blank, num)).alias(f"lo{i}"),
-            F.max(F.when(~blank, num)).alias(f"hi{i}"),
-        ]
-    w = df.agg(*aggs).first().asDict()             # a few numbers per column
-    keys = {}
-    for i, c in enumerate(names):
-        blank, num, s = parts(c)
-        if types[c].startswith("decimal"):
-            keys[c] = (_q(c), types[c])
-        else:
-            keys[c] = (F.when(~blank, num), "double") if w[f"bad{i}"] == 0 else (F.when(~blank, s), "string")
-    stats = df.sparkSession.createDataFrame(
-        [(c, w["n_rows"], w[f"nn{i}"], w[f"bad{i}"], w[f"lo{i}"], w[f"hi{i}"]) for i, c in enumerate(names)],
-        "attribute string, n_rows long, n_null long, bad long, lo double, hi double")
-    total = (F.coalesce(F.col("n_distinct"), F.lit(0))
-             + F.when(F.col("n_null") > 0, 1).otherwise(0))
-    n_uniq = F.when(total <= cap, total.cast("string")).otherwise(F.lit(f"> {cap}"))
-    numeric_col = F.col("bad") == 0
-    return (stats.join(_distinct_counts(df, keys), "attribute", "left")
-            .select("attribute",
-                    F.when(numeric_col, finite_or_null(F.col("lo"))).alias("min"),
-                    F.when(numeric_col, finite_or_null(F.col("hi"))).alias("max"),
-                    F.col("n_null"), n_uniq.alias("n_uniq"),
-                    F.try_divide(F.col("n_null").cast("double"), F.col("n_rows")).alias("perc_null")))
+    return capped_result(capped_sets(df, cols, cap), _types(df, cols), cap)
 
 
 def label_counts_capped(df: DataFrame, label: str, cap: int = 1000) -> DataFrame | None:
     """Label counts of the big-file summary; ``None`` when the label has more
-    than ``cap`` distinct values (as the source does)."""
-    n = df.select(F.trim(_q(label).cast("string")).alias("v")).distinct().limit(cap + 1).count()
-    if n > cap:
+    than ``cap`` distinct values (as the source does), null and blank being
+    values of their own.  The capped set decides before anything is grouped."""
+    v = F.trim(_q(label).cast("string"))
+    n = df.select(v.alias("v")).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS))).groupBy("g").agg(
+        F.theta_sketch_agg("v", F.lit(set_bits(cap))).alias("s"), F.max((F.col("v") == "").cast("int")).alias("blank"),
+        F.max(F.col("v").isNull().cast("int")).alias("null"))
+    r = n.agg(F.theta_sketch_estimate(F.theta_union_agg("s", F.lit(set_bits(cap)))).alias("n"),
+              F.max("blank").alias("blank"), F.max("null").alias("null")).first()
+    if (r["n"] or 0) + (r["blank"] or 0) + (r["null"] or 0) > cap:
         return None
     return label_counts(df, label)
 

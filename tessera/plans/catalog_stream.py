@@ -5,9 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.streaming.profile_stream import file_stream, stream_profile, stream_value_counts
-
-PROFILE_COLS = ["event_id", "user_id", "value"]
+from tessera.streaming.profile_stream import file_stream, stream_profile, stream_summary, stream_value_counts
 
 
 def stream_value_counts_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -15,11 +13,15 @@ def stream_value_counts_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_profile_q(spark: SparkSession, sf: str) -> DataFrame:
-    prof = stream_profile(file_stream(spark, sf, "events.parquet"), PROFILE_COLS)
-    return prof.select("attribute", "n_rows", "n_null", "min", "max")
+    return stream_profile(file_stream(spark, sf, "events.parquet")).drop("n_distinct_approx")
+
+
+def stream_label_counts_q(spark: SparkSession, sf: str) -> DataFrame:
+    return stream_summary(file_stream(spark, sf, "events.parquet"), ["value"], label="event_type")[1]
 
 
 QUERIES = {
     "stream_value_counts": stream_value_counts_q,
     "stream_profile": stream_profile_q,
+    "stream_label_counts": stream_label_counts_q,
 }

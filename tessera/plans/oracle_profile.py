@@ -108,7 +108,7 @@ def column_summary():
     return P + ("SELECT attribute, CASE WHEN bad = 0 THEN " + _finite("lo") + " END AS min,"
                 " CASE WHEN bad = 0 THEN " + _finite("hi") + " END AS max,"
                 " n_null, CAST(nd + CASE WHEN n_null > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_uniq,"
-                " CAST(n_null AS DOUBLE) / n_rows AS perc_null FROM (" + _union(parts) + ")")
+                " CAST(n_null AS DOUBLE) / n_rows AS perc_null, n_rows FROM (" + _union(parts) + ")")
 
 
 def column_summary_capped(cap: int = 1000):
@@ -131,7 +131,7 @@ def column_summary_capped(cap: int = 1000):
     return P + ("SELECT attribute, CASE WHEN bad = 0 THEN " + _finite("lo") + " END AS min,"
                 " CASE WHEN bad = 0 THEN " + _finite("hi") + " END AS max, n_null,"
                 f" CASE WHEN {total} > {cap} THEN '> {cap}' ELSE CAST({total} AS VARCHAR) END AS n_uniq,"
-                " CAST(n_null AS DOUBLE) / n_rows AS perc_null FROM (" + _union(parts) + ")")
+                " CAST(n_null AS DOUBLE) / n_rows AS perc_null, n_rows FROM (" + _union(parts) + ")")
 
 
 def label_counts():

@@ -72,7 +72,7 @@ def save_summary(summary: DataFrame, label_counts: DataFrame | None, path: str,
     if n_rows is not None:
         n = summary.sparkSession.createDataFrame([(int(n_rows),)], "n_rows long")
     elif "n_rows" in summary.columns:
-        n = summary.select(F.max("n_rows").alias("n_rows"))
+        n = summary.select(F.coalesce(F.max("n_rows"), F.lit(0)).cast("long").alias("n_rows"))
     elif label_counts is not None:
         n = label_counts.select(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"))
     else:

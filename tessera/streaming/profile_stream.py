@@ -1,21 +1,64 @@
 """Stateful stream jobs (R1-R3): running column profile and running value
 counts with Structured Streaming.
 
-Both are streaming aggregations in ``complete`` mode; each micro-batch's
-full result is written by ``foreachBatch`` to a table under the shared
-checkpoint folder (overwrite = idempotent on replay, so a retried batch
-never double counts), next to the query's own checkpoint.  The state is
-one row (profile) or one row per distinct value (counts).
+Both are keyed streaming aggregations.  Their state lives in Spark's state
+store and is updated by each micro-batch; each batch's result is written by
+``foreachBatch`` to a table under the shared checkpoint folder (overwrite =
+idempotent on replay, so a retried batch never double counts), next to the
+query's own checkpoint.  A query listener reports the progress of every batch
+as it ends, however many there are.
 """
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tessera.functions.scalar import nan_to_null
+from tessera.operators import profile
 from tessera.session import scratch_path
 
+#: Seconds to wait for a finished query's last progress event.
+LISTENER_WAIT = 60
+
+
+class BatchProgress(StreamingQueryListener):
+    """Passes the progress of every batch of one named query on, in
+    order.  An error of the callback is kept and raised by ``wait``."""
+
+    def __init__(self, name: str, on_progress):
+        self.name, self.on_progress = name, on_progress
+        self.run_id, self.ended, self.error = None, threading.Event(), None
+
+    def onQueryStarted(self, event):
+        if event.name == self.name:
+            self.run_id = str(event.runId)
+
+    def onQueryProgress(self, event):
+        if event.progress.name == self.name and self.error is None:
+            try:
+                self.on_progress(event.progress)
+            except Exception as e:      # a listener's own errors are only logged
+                self.error = e
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        if str(event.runId) == self.run_id:
+            self.ended.set()
+
+    def wait(self) -> None:
+        """Events arrive after the query's own end: wait for the last one."""
+        if not self.ended.wait(LISTENER_WAIT):
+            raise TimeoutError(f"no end of {self.name} was reported")
+        if self.error is not None:
+            raise self.error
+
 
 def file_stream(spark: SparkSession, directory: str, name: str, schema=None,
                 max_files: int | None = None) -> DataFrame:
@@ -29,22 +72,25 @@ def file_stream(spark: SparkSession, directory: str, name: str, schema=None,
     return reader.parquet(directory)
 
 
-def _run(agg: DataFrame, to_rows, spark: SparkSession, label: str, on_progress=None,
-         path: str | None = None) -> str:
+def _run(agg: DataFrame, spark: SparkSession, label: str, on_progress=None, path: str | None = None) -> str:
     """Run over what is there.  With ``path`` (shared storage) the result and
     the query's checkpoint stay below it, and the next run goes on from them."""
     out = f"{path}/result" if path else scratch_path(spark, f"{label}-out")
     ckpt = f"{path}/checkpoint" if path else scratch_path(spark, f"{label}-ckpt")
-
-    def write(batch: DataFrame, _epoch: int):
-        to_rows(batch).write.mode("overwrite").parquet(out)
-
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    if on_progress is not None:
-        for p in q.recentProgress:           # R3: progress of every batch
-            on_progress(p)
+    name = f"{label}-{uuid.uuid4().hex[:12]}"
+    listener = BatchProgress(name, on_progress) if on_progress is not None else None
+    if listener is not None:
+        spark.streams.addListener(listener)
+    try:
+        q = (agg.writeStream.outputMode("complete").queryName(name)
+             .foreachBatch(lambda batch, _epoch: batch.write.mode("overwrite").parquet(out))
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+        if listener is not None:
+            listener.wait()
+    finally:
+        if listener is not None:
+            spark.streams.removeListener(listener)
     return out
 
 
@@ -53,30 +99,43 @@ def stream_value_counts(stream: DataFrame, col: str, on_progress=None, path: str
     run continues the counts there with the files that are new."""
     spark = stream.sparkSession
     agg = stream.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    path = _run(agg, lambda b: b, spark, "value-counts", on_progress, path)
-    return spark.read.parquet(path)
-
-
-def stream_profile(stream: DataFrame, cols, on_progress=None, path: str | None = None) -> DataFrame:
-    """Running row count, null count, min and max per column (one state
-    row), reported as (attribute, n_rows, n_null, min, max).  Distinct counts
-    use HyperLogLog (exact distinct is not a streaming aggregate) and are in
-    ``n_distinct_approx``.  NaN counts as null, as in the batch profile."""
-    spark, types = stream.sparkSession, dict(stream.dtypes)
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for i, c in enumerate(cols):
-        v = nan_to_null(F.col(c), types[c])
-        x = v.try_cast("double")     # text columns give null bounds, not an error
-        aggs += [F.sum(F.when(v.isNull(), 1).otherwise(0)).cast("long").alias(f"nn{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.approx_count_distinct(v).alias(f"ad{i}")]
-    agg = stream.agg(*aggs)
-
-    def to_rows(b: DataFrame) -> DataFrame:
-        return b.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("attribute"), F.col("n_rows").alias("n_rows"),
-                     F.col(f"nn{i}").alias("n_null"), F.col(f"lo{i}").alias("min"),
-                     F.col(f"hi{i}").alias("max"), F.col(f"ad{i}").alias("n_distinct_approx"))
-            for i, c in enumerate(cols)])))
-    path = _run(agg, to_rows, spark, "profile", on_progress, path)
-    return spark.read.parquet(path)
+    return spark.read.schema(agg.schema).parquet(_run(agg, spark, "value-counts", on_progress, path))
+
+
+def stream_summary(stream: DataFrame, cols=None, label: str | None = None, cap: int = 1000, on_progress=None,
+                   path: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The big-file summary as a running profile, and the label counts.
+
+    Equal to ``profile.column_summary_capped`` and ``label_counts_capped`` over
+    all that the stream has delivered, NaN read as null; ``n_distinct_approx``
+    is the value sets' own count, exact beyond the cap too up to twice the cap.
+    Every cell of a row goes to its
+    column's key, and the state holds per column its counts, bounds and capped
+    value sets (bounded, and exact to the cap), and a count per distinct label.
+    Tasks add up their own cells first, so a batch sends a row per task and
+    column.  The label counts are ``None`` without a label or beyond the cap.
+    Given a ``path``, a later run goes on with the files that are new."""
+    spark, types = stream.sparkSession, profile._types(stream, cols)
+    no_label = F.lit(None).cast("string")
+    read = stream.withColumns({c: nan_to_null(F.col(f"`{c}`"), t) for c, t in types if t in profile.FLOATING})
+    cells = [F.struct(F.lit(i).alias("a"), no_label.alias("label"), blank.alias("blank"), num.alias("num"), text.alias("text"))
+             for i, (blank, num, text) in enumerate(profile.capped_cells(types))]
+    labels = []
+    if label is not None:
+        labels = [F.struct(F.lit(-1).alias("a"), F.col(f"`{label}`").cast("string").alias("label"), F.lit(False).alias("blank"),
+                           F.lit(None).cast("double").alias("num"), no_label.alias("text"))]
+    long = read.select(F.inline(F.array(*cells, *labels)))
+    agg = long.groupBy("a", "label").agg(*profile.capped_stats(F.col("blank"), F.col("num"), F.col("text"), cap))
+    state = spark.read.schema(agg.schema).parquet(_run(agg, spark, "profile", on_progress, path))
+    summary = profile.capped_result(state.filter("a >= 0").drop("label"), types, cap, "n_distinct_approx")
+    if label is None:
+        return summary, None
+    counts = state.filter("a = -1").select("label", F.col("n_rows").alias("n"))
+    # stripped values that differ, as the batch form counts them
+    over = counts.select(F.trim("label").alias("v")).distinct().limit(cap + 1).count() > cap
+    return summary, None if over else counts
+
+
+def stream_profile(stream: DataFrame, cols=None, on_progress=None, path: str | None = None, cap: int = 1000) -> DataFrame:
+    """The summary of ``stream_summary`` alone."""
+    return stream_summary(stream, cols, None, cap, on_progress, path)[0]
