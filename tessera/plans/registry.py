@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-CATALOGS = ["profile", "features", "prep", "images", "models", "stream"]
+CATALOGS = ["profile", "features", "prep", "images", "models", "trees", "stream"]
 
 
 def all_queries() -> dict:
