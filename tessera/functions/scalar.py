@@ -84,12 +84,19 @@ def label_suffix(c: Colish) -> Column:
 
 
 def clip(c: Colish, lo: float | None = None, hi: float | None = None) -> Column:
-    c = _c(c)
+    """Null and NaN stay as they are."""
+    x = c = _c(c)
     if lo is not None:
         c = F.greatest(c, F.lit(lo))
     if hi is not None:
         c = F.least(c, F.lit(hi))
-    return c
+    return _of_number(x, c)
+
+
+def _of_number(x: Column, value: Column) -> Column:
+    """``value`` where x is a number, else x: ``greatest`` and ``least`` skip
+    nulls and put NaN above all numbers."""
+    return F.when(x.isNull() | F.isnan(x.cast("double")), x).otherwise(value)
 
 
 def threshold_value(c: Colish, low: float = 0.15, high: float = 0.8) -> Column:
@@ -117,12 +124,13 @@ def sigmoid(c: Colish, slope: float = 1.0) -> Column:
 
 
 def relu(c: Colish) -> Column:
-    return F.greatest(_c(c), F.lit(0.0))
+    c = _c(c)
+    return _of_number(c, F.greatest(c, F.lit(0.0)))
 
 
 def tribas(c: Colish) -> Column:
     """clip(1-|x|, 0, 1)."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.abs(_c(c))))
+    return clip(1.0 - F.abs(_c(c)), 0.0, 1.0)
 
 
 def hardlim(c: Colish) -> Column:

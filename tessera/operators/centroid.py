@@ -23,9 +23,11 @@ MAX_BROADCAST_CELLS = 50_000_000  # folds * classes * dims doubles (~400 MB)
 def fold_class_means(df: DataFrame, label: str, vec: str, fold: str,
                      fold_ids=None) -> DataFrame:
     """(fold, means: array<struct<label, mean array<double>>>) where the means
-    of fold f are fitted on every row outside fold f."""
+    of fold f are fitted on every row outside fold f.  Rows with a null label
+    or vector are not fitted on."""
     # vectors are summed as vectors; only the (fold, class) sums are exploded
-    vectors = df.select(F.col(fold).alias("_f"), F.col(label).alias("_y"),
+    known = df.where(F.col(label).isNotNull() & F.col(vec).isNotNull())
+    vectors = known.select(F.col(fold).alias("_f"), F.col(label).alias("_y"),
                         array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
     per = vectors.groupBy("_f", "_y").agg(Summarizer.sum(F.col("_v")).alias("_s"),
                                           F.count(F.lit(1)).alias("_n"))
@@ -64,7 +66,9 @@ def nearest_mean_oof(df: DataFrame, key: str, label: str, vec: str, fold: str,
                      models: dict | None = None, with_dists: bool = False,
                      keep=()) -> DataFrame:
     """Out-of-fold predictions of every row by the nearest training-class
-    mean (ties -> smallest label), one column ``pred_<model>`` per model.
+    mean (ties -> smallest label), one column ``pred_<model>`` per model.  A
+    null vector is predicted as null; a null label is predicted like any other
+    row, as its label is no class.
 
     ``models`` maps a name to a dimension range ``(lo, hi)`` or None (all
     dims).  The mean of a slice is the slice of the mean, so one means table
@@ -78,7 +82,7 @@ def nearest_mean_oof(df: DataFrame, key: str, label: str, vec: str, fold: str,
     means = fold_class_means(df, label, vec, fold, fold_ids)
     n_cells = len(fold_ids) * (st["c"] or 0) * (st["w"] or 0)   # upper bound of the table
     side = F.broadcast(means) if n_cells <= MAX_BROADCAST_CELLS else means
-    res = df.join(side, fold)
+    res = df.join(side, fold, "left")      # a fold may have nothing to learn from
     out_cols = [key, label, fold, *keep]
     for name, dims in models.items():
         if dims is None:
@@ -89,7 +93,7 @@ def nearest_mean_oof(df: DataFrame, key: str, label: str, vec: str, fold: str,
             m = F.transform("means", lambda s: F.struct(
                 s["label"].alias("label"), F.slice(s["mean"], lo + 1, hi - lo).alias("mean")))
         res = res.withColumn(f"dists_{name}", class_distances(v, m)) \
-                 .withColumn(f"pred_{name}", F.array_min(f"dists_{name}")["label"])
+                 .withColumn(f"pred_{name}", F.when(F.col(vec).isNotNull(), F.array_min(f"dists_{name}")["label"]))
         out_cols.append(f"pred_{name}")
         if with_dists:
             out_cols.append(f"dists_{name}")

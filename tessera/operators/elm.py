@@ -8,9 +8,9 @@ per matrix row.  A grouped ``Summarizer.sum`` adds them up on the JVM; only
 the summed h x h and h x t blocks reach the driver, where numpy solves the
 small systems.  Their size depends on the layer width, which is checked.
 
-Ridge strength is chosen by k-fold error computed from the same fold sums
-(fit on total - fold, score the fold in closed form); the reference library
-uses an efficient leave-one-out rule instead -- stated, not hidden.
+Ridge strength is chosen by the exact leave-one-out error of every candidate
+(one decomposition of the Gram matrix and one more pass), or by k-fold error
+from fold sums (fit on total - fold, score the fold in closed form).
 """
 
 from __future__ import annotations
@@ -61,9 +61,10 @@ def _with_class(df: DataFrame, vec: str, scores_fn, classes: list, kind, out: st
     def run(batches):
         for pdf in batches:
             pdf = pdf.copy()
-            best = np.argmax(scores_fn(_np(list(pdf[vec]))), axis=1) if len(pdf) else []
-            pdf[out] = pd.Series([classes[i] for i in best], index=pdf.index,
-                                 dtype=None if len(pdf) else "object")
+            known = pdf[vec].notna().to_numpy()
+            best = iter(np.argmax(scores_fn(_np(list(pdf[vec][known]))), axis=1) if known.any() else [])
+            got = [classes[next(best)] if k else None for k in known]     # null for a null vector
+            pdf[out] = pd.Series(got, index=pdf.index, dtype=object)
             yield pdf
     return df.mapInPandas(run, schema)
 
@@ -85,7 +86,7 @@ def gram_sums(df: DataFrame, vec: str, hidden_fn, target_fn=None, fold: str | No
     cols.append((F.col(fold) if fold else F.lit(0)).cast("int").alias("_f"))
     if target_col:
         cols.append(F.col(target_col).alias("_t"))
-    src = df.select(*cols)
+    src = df.select(*cols).where(F.col("_x").isNotNull())
 
     def emit(batches):
         acc: dict = {}
@@ -154,6 +155,43 @@ def ridge_solve(s: dict, alpha: float, intercept: bool = True):
     return B, my - mh @ B
 
 
+def leave_one_out(df: DataFrame, vec: str, hidden_fn, alphas, stats: dict, target_fn=None,
+                  target_col: str | None = None) -> dict[float, float]:
+    """Mean squared leave-one-out error of the ridge of Y on H (with an
+    intercept) for every alpha, from ``_total`` Gram sums and one more pass.
+
+    With H'H = V diag(w) V' (centred), a row's leverage is
+    1/n + sum (h v_j)^2 / (w_j + alpha), and its error when left out is its
+    residual over one minus its leverage.  One decomposition serves all alphas,
+    and a task emits one sum for each.  A leverage of 1 (a row that alone fixes
+    a coefficient) has no such error, and the alpha gets infinity."""
+    n, mh, my = stats["n"], stats["sh"] / stats["n"], stats["sy"] / stats["n"]
+    w, V = np.linalg.eigh(stats["hh"] - n * np.outer(mh, mh))
+    w, along = np.clip(w, 0.0, None), V.T @ (stats["hy"] - n * np.outer(mh, my))
+    shrink = 1.0 / np.maximum(w[None, :] + np.asarray(alphas, dtype=float)[:, None], 1e-300)   # alphas x h
+
+    def errors(batches):
+        total = np.zeros(len(shrink))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            X = _np(list(pdf["_x"]))
+            Y = target_fn(X, pdf["_t"].to_numpy() if target_col else None) if target_fn else X
+            Z = (hidden_fn(X) - mh) @ V
+            rest = 1.0 - 1.0 / n - (Z * Z) @ shrink.T
+            for i in range(len(shrink)):
+                residual = Y - my - (Z * shrink[i]) @ along
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    lost = (residual ** 2).sum(1) / rest[:, i] ** 2
+                total[i] += np.where(rest[:, i] > 1e-12, lost, np.inf).sum()
+        yield pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "e": total})
+
+    cols = [F.col(vec).alias("_x"), *([F.col(target_col).alias("_t")] if target_col else [])]
+    src = df.select(*cols).where(F.col("_x").isNotNull())
+    got = {r["i"]: r["e"] for r in src.mapInPandas(errors, "i int, e double").groupBy("i").agg(F.sum("e").alias("e")).collect()}
+    return {float(a): got[i] / (n * len(my)) for i, a in enumerate(alphas)}
+
+
 def fold_sse(train: dict, test: dict, B: np.ndarray, c: np.ndarray) -> float:
     """sum over the test fold of ||y - (hB + c)||^2 from sums only."""
     # ||y||^2 - 2 y.(hB + c) + ||hB + c||^2, summed
@@ -190,10 +228,11 @@ def matmul_layer(df: DataFrame, vec: str, M: np.ndarray, b=None, act="identity",
 
     def run(batches):
         for pdf in batches:
-            X = _np(list(pdf[vec])) if len(pdf) else np.zeros((0, M.shape[0]))
-            Z = fn(X @ M + bias) if len(pdf) else np.zeros((0, M.shape[1]))
+            known = pdf[vec].notna().to_numpy()
+            Z = iter(fn(_np(list(pdf[vec][known])) @ M + bias) if known.any() else [])
             pdf = pdf.copy()
-            pdf[out] = list(Z)
+            # null for a null vector
+            pdf[out] = pd.Series([next(Z) if k else None for k in known], index=pdf.index, dtype=object)
             yield pdf
     return df.mapInPandas(run, schema)
 
@@ -201,28 +240,34 @@ def matmul_layer(df: DataFrame, vec: str, M: np.ndarray, b=None, act="identity",
 # ------------------------------------------------------------ ELM AE
 class ElmAutoEncoder:
     """Random (QR-orthogonal) projection -> activation H; ridge of X on H
-    over ``alphas`` (k-fold choice); transform = f(X C) with C the ridge
+    over ``alphas``, chosen by the leave-one-out error, or by the error over
+    ``folds`` parts of the keys if their number is given; transform = f(X C) with C the ridge
     coefficients (no intercept in transform, as in the source)."""
 
     def __init__(self, k: int = 60, activation: str = "tanh", alphas=None,
-                 orthogonal: bool = True, seed: int = 0, folds: int = 5):
-        self.k, self.activation, self.orthogonal, self.seed, self.folds = \
-            k, activation, orthogonal, seed, folds
+                 orthogonal: bool = True, seed: int = 0, folds: int | None = None, max_width: int = MAX_GRAM_WIDTH):
+        self.k, self.activation, self.orthogonal, self.seed, self.folds, self.max_width = \
+            k, activation, orthogonal, seed, folds, max_width
         self.alphas = list(alphas) if alphas is not None else list(np.logspace(-5, 5, 11))
 
     def fit(self, df: DataFrame, vec: str, key: str):
-        check_width(self.k)
+        check_width(self.k, self.max_width)
         d = df.select(F.max(F.size(vec))).first()[0]
         rs = np.random.default_rng(self.seed)
         P = rs.normal(size=(d, self.k))
         if self.orthogonal:
             if self.k > d:
-                raise ValueError("Cannot orthogonalize with more components than features")
+                raise ValueError(f"an orthogonal projection of {d} features has {d} components at most, not {self.k}")
             P, _ = np.linalg.qr(P)
         act = np_activation(self.activation)
-        folded = df.withColumn("_fold", F.pmod(F.xxhash64(F.col(key)), F.lit(self.folds)))
-        stats = gram_sums(folded, vec, lambda X: act(X @ P), None, fold="_fold")
-        self.alpha_ = choose_alpha(stats, self.alphas)
+        fold = F.lit(0) if self.folds is None else F.pmod(F.xxhash64(F.col(key)), F.lit(self.folds))
+        folded = df.withColumn("_fold", fold)
+        stats = gram_sums(folded, vec, lambda X: act(X @ P), None, fold="_fold", max_width=self.max_width)
+        if self.folds is None:
+            self.errors_ = leave_one_out(df, vec, lambda X: act(X @ P), self.alphas, _total(stats))
+            self.alpha_ = min(self.errors_, key=lambda a: (self.errors_[a], a))
+        else:
+            self.alpha_ = choose_alpha(stats, self.alphas)
         B, _ = ridge_solve(_total(stats), self.alpha_)       # (k x d)
         self.components_ = B.T                                 # d x k: X C
         self.projection_ = P
@@ -238,9 +283,9 @@ class ElmClassifier:
     squares read-out to one-hot targets; prediction = arg-max class."""
 
     def __init__(self, n_hidden: int = 1000, activation: str = "tanh", rank: int | None = None,
-                 density="auto", seed: int = 0, alpha: float = 1e-8):
-        self.n_hidden, self.activation, self.rank, self.density, self.seed, self.alpha = \
-            n_hidden, activation, rank, density, seed, alpha
+                 density="auto", seed: int = 0, alpha: float = 1e-8, max_width: int = MAX_GRAM_WIDTH):
+        self.n_hidden, self.activation, self.rank, self.density, self.seed, self.alpha, self.max_width = \
+            n_hidden, activation, rank, density, seed, alpha, max_width
 
     def _weights(self, d: int):
         rs = np.random.default_rng(self.seed)
@@ -256,7 +301,7 @@ class ElmClassifier:
         return W, rs.normal(size=self.n_hidden)
 
     def fit(self, df: DataFrame, vec: str, label: str):
-        check_width(self.n_hidden)
+        check_width(self.n_hidden, self.max_width)
         self.classes_, self.label_type_ = _labels(df, label), df.schema[label].dataType
         df = df.where(F.col(label).isNotNull())
         d = df.select(F.max(F.size(vec))).first()[0]
@@ -264,7 +309,8 @@ class ElmClassifier:
         act = np_activation(self.activation)
         self.W_, self.b_ = W, b
         target = _one_hot(self.classes_)
-        stats = _total(gram_sums(df, vec, lambda X: act(X @ W + b), target, target_col=label))
+        stats = _total(gram_sums(df, vec, lambda X: act(X @ W + b), target, target_col=label,
+                                 max_width=self.max_width))
         # minimum-norm least squares through the pseudo-inverse of H'H
         self.beta_ = np.linalg.pinv(stats["hh"] + self.alpha * np.eye(len(b))) @ stats["hy"]
         return self
@@ -294,8 +340,9 @@ class DeepElmAutoEncoder:
     classes of ``label`` or to the numbers of the array column ``target``
     (by default the input itself), which ``reconstruct_values`` returns."""
 
-    def __init__(self, widths, C, slopes, seed: int = 1):
+    def __init__(self, widths, C, slopes, seed: int = 1, max_width: int = MAX_GRAM_WIDTH):
         self.widths, self.C, self.slopes, self.seed = list(widths), list(C), list(slopes), seed
+        self.max_width = max_width
 
     def _forward(self, X: np.ndarray, upto: int) -> np.ndarray:
         Z = X
@@ -305,7 +352,7 @@ class DeepElmAutoEncoder:
         return Z
 
     def fit(self, df: DataFrame, vec: str, label: str | None = None, target: str | None = None):
-        check_width(max(self.widths, default=0))
+        check_width(max(self.widths, default=0), self.max_width)
         rs = np.random.default_rng(self.seed)
         if label is not None:
             self.classes_, self.label_type_ = _labels(df, label), df.schema[label].dataType
@@ -324,7 +371,8 @@ class DeepElmAutoEncoder:
             def hidden(X, A=A, bias=bias, slope=slope, upto=upto):
                 Z = self._forward(X, upto)
                 return 1.0 / (1.0 + np.exp(-slope * (Z @ A.T + bias)))
-            s = _total(gram_sums(df, vec, hidden, lambda X, t, upto=upto: self._forward(X, upto)))
+            s = _total(gram_sums(df, vec, hidden, lambda X, t, upto=upto: self._forward(X, upto),
+                                 max_width=self.max_width))
             same = h_out == h_in
             if same:
                 # orthogonal Procrustes: the nearest rotation of H onto Z
@@ -341,7 +389,8 @@ class DeepElmAutoEncoder:
             wanted, column = _one_hot(self.classes_), label
         else:
             wanted, column = (lambda X, t: X if t is None else _np(list(t))), target
-        s = _total(gram_sums(df, vec, lambda X: self._forward(X, L), wanted, target_col=column))
+        s = _total(gram_sums(df, vec, lambda X: self._forward(X, L), wanted, target_col=column,
+                             max_width=self.max_width))
         c = self.C[L] if len(self.C) > L else 0
         if c == 0:
             self.out_ = np.linalg.pinv(s["hh"]) @ s["hy"]
@@ -362,18 +411,22 @@ class DeepElmAutoEncoder:
 
 
 # --------------------------------------------------------- PCA / rotation
-def covariance(df: DataFrame, vec: str):
-    """(mean, population covariance) from one Gram pass."""
-    s = _total(gram_sums(df, vec, lambda X: X, lambda X, t: X))
+def covariance(df: DataFrame, vec: str, max_width: int = MAX_GRAM_WIDTH):
+    """(mean, population covariance) from one Gram pass.  Null vectors don't
+    count; without any vector there is none, and ValueError is raised."""
+    stats = gram_sums(df, vec, lambda X: X, lambda X, t: X, max_width=max_width)
+    if not stats:
+        raise ValueError(f"no vector in {vec!r} to take a covariance of")
+    s = _total(stats)
     n = s["n"]
     mu = s["sh"] / n
     return mu, s["hh"] / n - np.outer(mu, mu)
 
 
-def pca_components(df: DataFrame, vec: str, k: int | None = None):
+def pca_components(df: DataFrame, vec: str, k: int | None = None, max_width: int = MAX_GRAM_WIDTH):
     """Centred PCA (all components by default, no whitening):
     returns (mean, components as columns, explained variance)."""
-    mu, cov = covariance(df, vec)
+    mu, cov = covariance(df, vec, max_width)
     vals, vecs = np.linalg.eigh(cov)
     order = np.argsort(vals)[::-1]
     vals, vecs = vals[order], vecs[:, order]

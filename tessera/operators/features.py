@@ -12,6 +12,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import nan_to_null
+
 
 def pairwise_features(df: DataFrame, cols, kinds=("sum", "abs_diff"),
                       sep: str = "_") -> DataFrame:
@@ -45,7 +47,8 @@ def datetime_features(df: DataFrame, ts_col: str, base_year: int = 2011) -> Data
 
 def column_range(df: DataFrame, col: str) -> tuple:
     """One-row aggregate -> (min, max) on the driver (two numbers)."""
-    r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    x = nan_to_null(F.col(f"`{col}`"), dict(df.dtypes)[col])
+    r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     return r["lo"], r["hi"]
 
 
@@ -56,7 +59,7 @@ def minmax_stretch(df: DataFrame, col: str, out: str | None = None) -> DataFrame
     out = out or f"{col}_stretch"
     if lo is None or hi is None or hi == lo:
         return df.withColumn(out, F.lit(None).cast("double"))
-    return df.withColumn(out, (F.col(col) - F.lit(float(lo))) / F.lit(float(hi - lo)))
+    return df.withColumn(out, (F.col(f"`{col}`") - F.lit(float(lo))) / F.lit(float(hi - lo)))
 
 
 def linear_combination(a: str, b: str, weight: float = 1.0) -> Column:

@@ -51,9 +51,13 @@ def class_centres(df: DataFrame, label: str, vec: str) -> dict:
 
 
 def rbf_radius(centres: np.ndarray) -> float:
-    """Default radius: max pairwise centre distance / sqrt(2 * n_centres)."""
+    """Default radius: max pairwise centre distance / sqrt(2 * n_centres).
+    Centres that are all equal, or one alone, have no distance to take it
+    from: ValueError asks for a radius."""
     c = np.asarray(centres, dtype=float)
     d = np.sqrt(((c[:, None, :] - c[None, :, :]) ** 2).sum(-1))
+    if not d.max() > 0:
+        raise ValueError("the centres do not differ, so pass a radius")
     return float(d.max() / math.sqrt(2.0 * len(c)))
 
 
@@ -98,7 +102,7 @@ def sparse_filter_activation(df: DataFrame, vec: str, W: np.ndarray, out: str =
     absolute value, divide each feature by its L2 norm over all rows of the
     input, then each row by its L2 norm.  The feature norms are one
     aggregate (n_out numbers); as in the source, the result depends on the
-    rows passed in."""
+    rows passed in.  A null vector gives null."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
@@ -109,8 +113,10 @@ def sparse_filter_activation(df: DataFrame, vec: str, W: np.ndarray, out: str =
         return np.sqrt(((X - X.mean(1, keepdims=True)) @ W.T) ** 2 + 1e-8)
 
     staged = matmul_layer(df, vec, np.eye(W.shape[1]), act=soft, out="_fs")
-    row = staged.select(Summarizer.normL2(array_to_vector("_fs")).alias("n")).first()["n"]
-    nv = np.asarray(row) if row is not None and len(row) else np.ones(W.shape[0])
+    # grouped, as an ungrouped summary of no rows is an error
+    row = staged.where(F.col("_fs").isNotNull()).groupBy(F.lit("all").alias("_g")).agg(
+        Summarizer.normL2(array_to_vector("_fs")).alias("n")).first()
+    nv = np.asarray(row["n"]) if row is not None else np.ones(W.shape[0])
     nf = F.zip_with(F.col("_fs"), literal_array(nv), lambda a, b: a / b)
     staged = staged.withColumn("_nf", nf)
     row_norm = F.sqrt(F.aggregate(F.col("_nf"), F.lit(0.0), lambda acc, x: acc + x * x))

@@ -161,11 +161,12 @@ def rotate_images(df: DataFrame, key: str, pixels: str, width: int, seed: int =
     def fn(batches):
         for pdf in batches:
             parts = [pdf[others + [pixels]].assign(copy=0)]
-            flat = [np.asarray(p, dtype=float) for p in pdf[pixels]]
-            sizes = np.array([len(p) for p in flat])
+            # a null image has no size and stays null
+            flat = [None if p is None else np.asarray(p, dtype=float) for p in pdf[pixels]]
+            sizes = np.array([-1 if p is None else len(p) for p in flat])
             for i in range(copies):
                 rot, out = pdf[others].copy(), [None] * len(flat)
-                for size in set(sizes.tolist()):          # images of one size together
+                for size in set(sizes.tolist()) - {-1}:   # images of one size together
                     at = np.flatnonzero(sizes == size)
                     im = np.stack([flat[j] for j in at]).reshape(len(at), size // width, width)
                     done = rotate(im, pdf[f"_a{i}"].to_numpy()[at]).reshape(len(at), size)
@@ -181,10 +182,11 @@ def rotate_images(df: DataFrame, key: str, pixels: str, width: int, seed: int =
 
 def normalise_images(df: DataFrame, pixels: str) -> DataFrame:
     """G8 normalisation: subtract the dataset mean pixel value and divide by
-    the dataset std (one aggregate; two numbers reach the driver)."""
+    the dataset std (one aggregate; two numbers reach the driver).  A null
+    image stays null; a table without pixels stays as it is, as doubles."""
     st = df.select(F.explode(pixels).alias("v")).agg(F.avg("v").alias("m"),
                                                      F.stddev_pop("v").alias("s")).first()
-    m, s = float(st["m"]), float(st["s"]) or 1.0
+    m, s = float(st["m"] or 0.0), float(st["s"] or 0.0) or 1.0
     return df.withColumn(pixels, F.transform(pixels, lambda x: (x.cast("double") - m) / s))
 
 

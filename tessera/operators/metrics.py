@@ -6,22 +6,31 @@ data is scanned once and only per-class partial counts cross the network.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import clip, nan_to_null
+
+
+def _number(c: str) -> Column:
+    """The column as a double, NaN read as null."""
+    return nan_to_null(F.col(f"`{c}`").cast("double"), "double")
+
 
 def log_loss_binary(df: DataFrame, p: str, y: str, eps: float = 1e-15) -> DataFrame:
-    """Mean binary cross-entropy with p clipped to [eps, 1-eps]."""
-    pc = F.least(F.greatest(F.col(p).cast("double"), F.lit(eps)), F.lit(1.0 - eps))
-    yy = F.col(y).cast("double")
+    """Mean binary cross-entropy with p clipped to [eps, 1-eps].  Rows
+    whose p or y is null or NaN are not scored and don't count in ``n``; with
+    no scored row the loss is null."""
+    pc, yy = clip(_number(p), eps, 1.0 - eps), _number(y)
     term = yy * F.ln(pc) + (1.0 - yy) * F.ln(1.0 - pc)
-    return df.agg((-F.avg(term)).alias("log_loss"), F.count(F.lit(1)).alias("n"))
+    return df.agg((-F.avg(term)).alias("log_loss"), F.count(term).alias("n"))
 
 
 def log_loss_multi(df: DataFrame, p_true: str, eps: float = 1e-15) -> DataFrame:
-    """Mean of -ln p(true class), clipped."""
-    pc = F.least(F.greatest(F.col(p_true).cast("double"), F.lit(eps)), F.lit(1.0 - eps))
-    return df.agg((-F.avg(F.ln(pc))).alias("log_loss"), F.count(F.lit(1)).alias("n"))
+    """Mean of -ln p(true class), clipped; a null or NaN p is not scored
+    and doesn't count in ``n``."""
+    pc = clip(_number(p_true), eps, 1.0 - eps)
+    return df.agg((-F.avg(F.ln(pc))).alias("log_loss"), F.count(pc).alias("n"))
 
 
 def accuracy(df: DataFrame, y: str, yhat: str) -> DataFrame:
@@ -56,9 +65,10 @@ def classification_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 
 def rmsle(df: DataFrame, pred: str, y0: str, y1: str) -> DataFrame:
-    """sqrt(mean((ln(p+1) - ln(round_half_even(y0+y1+1)))^2))."""
-    d = F.ln(F.col(pred) + 1) - F.ln(F.bround(F.col(y0) + F.col(y1) + 1, 0))
-    return df.agg(F.sqrt(F.avg(d * d)).alias("rmsle"), F.count(F.lit(1)).alias("n"))
+    """sqrt(mean((ln(p+1) - ln(round_half_even(y0+y1+1)))^2)) over the
+    rows where all three are numbers, which ``n`` counts."""
+    d = F.ln(_number(pred) + 1) - F.ln(F.bround(_number(y0) + _number(y1) + 1, 0))
+    return df.agg(F.sqrt(F.avg(d * d)).alias("rmsle"), F.count(d).alias("n"))
 
 
 def score_summary(scores: DataFrame, group: str, score: str) -> DataFrame:

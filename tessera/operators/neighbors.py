@@ -44,7 +44,8 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, vec: str, k: int
         block_rows: int = 4096, exclude_self: bool = False, carry=(), pivots: int = 1024) -> DataFrame:
     """Top-k euclidean neighbours: (qkey, rkey as ``ref_id``, dist, rank,
     *carry) with ties broken by the reference key.  ``pivots`` bounds the
-    number of cells (and the vectors that every task holds)."""
+    number of cells (and the vectors that every task holds).  A null vector is
+    no reference and, as a query, has no neighbours and no row."""
     import numpy as np
     import pandas as pd
 
@@ -53,10 +54,10 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, vec: str, k: int
     kk = k + (1 if exclude_self else 0)
     qtype, rtype = dict(query.dtypes)[qkey], dict(ref.dtypes)[rkey]
     vtype = "array<double>"
-    q = query.select(F.col(qkey).alias("_qid"), F.col(vec).cast(vtype).alias("_v"))
+    q = query.select(F.col(qkey).alias("_qid"), F.col(vec).cast(vtype).alias("_v")).where("_v is not null")
     r = ref.select(F.col(rkey).alias("_rid"), F.col(vec).cast(vtype).alias("_v"),
-                   *[F.col(c).alias(f"_c_{c}") for c in carry])
-    n_cells = min(pivots, max(1, math.ceil(ref.count() / block_rows)))
+                   *[F.col(c).alias(f"_c_{c}") for c in carry]).where("_v is not null")
+    n_cells = min(pivots, max(1, math.ceil(r.count() / block_rows)))
     finite = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
     chosen = [] if n_cells == 1 else r.where(finite).orderBy(F.xxhash64("_rid"), "_rid").limit(n_cells).collect()
     centres = np.array([row["_v"] for row in chosen]) if len(chosen) > 1 else None
@@ -85,7 +86,7 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, vec: str, k: int
 
     def nearest(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if qp.empty or rp.empty:
-            return pd.DataFrame({n: [] for n in ["_qid", "_rid", "dist", *carry]})
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in ["_qid", "_rid", "dist", *carry]})
         qid, rid = qp["_qid"].to_numpy(), rp["_rid"].to_numpy()
         order = np.argsort(rid, kind="stable")          # ties -> smaller reference key
         rid, R = rid[order], _stack(rp["_v"])[order]

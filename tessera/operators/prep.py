@@ -37,8 +37,10 @@ class _Cols(HasInputCols, HasOutputCols):
 
 
 def _stats(df: DataFrame, cols, *fns) -> list[list[float]]:
-    """One aggregate -> per function, a list of values per column."""
-    aggs = [fn(F.col(c)).alias(f"{k}_{i}") for k, fn in enumerate(fns) for i, c in enumerate(cols)]
+    """One aggregate -> per function, a list of values per column (NaN read
+    as null; None for a column without a number)."""
+    types = dict(df.dtypes)
+    aggs = [fn(nan_to_null(F.col(f"`{c}`"), types[c])).alias(f"{k}_{i}") for k, fn in enumerate(fns) for i, c in enumerate(cols)]
     row = df.agg(*aggs).first()
     return [[row[f"{k}_{i}"] for i in range(len(cols))] for k in range(len(fns))]
 
@@ -58,7 +60,7 @@ class PopulationStandardScalerModel(Model, _Cols, DefaultParamsReadable, Default
         exprs = []
         for c, o, mu, sd in zip(self.getInputCols(), self._out(), m, s):
             scale = sd if sd and sd > 0 else 1.0
-            exprs.append(((F.col(c) - F.lit(mu)) / F.lit(scale)).alias(o))
+            exprs.append(((F.col(f"`{c}`") - F.lit(mu)) / F.lit(scale)).alias(o))
         return df.select("*", *exprs)
 
 
@@ -98,8 +100,10 @@ class RangeScalerModel(Model, _Cols, DefaultParamsReadable, DefaultParamsWritabl
         exprs = []
         for c, o, mn, mx in zip(self.getInputCols(), self._out(), self.getOrDefault(self.mins),
                                 self.getOrDefault(self.maxs)):
-            x = F.col(c)
-            if eps >= 0:   # M3: divides by max + eps, not by the range
+            x = F.col(f"`{c}`")
+            if math.isnan(mn):       # no number was fitted on
+                e = F.lit(None).cast("double")
+            elif eps >= 0:   # M3: divides by max + eps, not by the range
                 e = (x - F.lit(mn)) / F.lit(mx + eps)
             else:          # M2: constant column -> lower bound
                 rng = (mx - mn) if mx != mn else 1.0
@@ -110,7 +114,8 @@ class RangeScalerModel(Model, _Cols, DefaultParamsReadable, DefaultParamsWritabl
 
 class RangeScaler(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
     """M2 min-max scaling to [lower, upper]; with ``eps`` >= 0, M3's
-    ``(x - min) / (max + eps)``."""
+    ``(x - min) / (max + eps)``.  NaN doesn't count in the bounds; a column
+    without a number has none (kept as NaN) and gives nulls."""
 
     lower = Param(Params._dummy(), "lower", "output lower bound", TypeConverters.toFloat)
     upper = Param(Params._dummy(), "upper", "output upper bound", TypeConverters.toFloat)
@@ -126,8 +131,8 @@ class RangeScaler(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable
         cols = self.getInputCols()
         mins, maxs = _stats(df, cols, F.min, F.max)
         g = self.getOrDefault
-        return RangeScalerModel(cols, self._out(), [float(x) for x in mins],
-                                [float(x) for x in maxs], g(self.lower), g(self.upper),
+        return RangeScalerModel(cols, self._out(), [math.nan if x is None else float(x) for x in mins],
+                                [math.nan if x is None else float(x) for x in maxs], g(self.lower), g(self.upper),
                                 g(self.eps))
 
 
@@ -339,9 +344,11 @@ def anova_f(long_df: DataFrame, feature: str, label: str, value: str) -> DataFra
     """T5: one-way ANOVA F per feature from (feature, label, value) rows.
 
     Counts, means and central moments per (feature, class) are combined
-    around each feature's mean, so large means cost no digits.  A feature
-    that is constant within every class but not between them has F = +inf."""
+    around each feature's mean, so large means cost no digits.  Null and NaN
+    values and rows with a null label are left out.  A feature that is constant within every class but not between them has F = +inf."""
     from pyspark.sql import Window
+    long_df = long_df.where(F.col(label).isNotNull()).withColumn(
+        value, nan_to_null(F.col(value).cast("double"), "double"))
     g = long_df.groupBy(feature, label).agg(
         F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).where("n > 0")
     of = Window.partitionBy(feature)              # one row per class

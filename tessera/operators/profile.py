@@ -393,6 +393,12 @@ def dtype_counts(df: DataFrame) -> dict[str, int]:
 
 
 # ---------------------------------------------------------- table equality
+def _rounded(c, t: str, decimals: int):
+    """Half-to-even rounding; integers and decimals in their own type, as a
+    double can't hold them all."""
+    return F.bround(c.cast("double") if t in FLOATING else c, decimals)
+
+
 def table_equal(a: DataFrame, b: DataFrame, keys: list[str],
                 decimals: int | None = None) -> DataFrame:
     """Keyed comparison -> one row (n_left, n_right, n_diff, equal).
@@ -413,7 +419,7 @@ def table_equal(a: DataFrame, b: DataFrame, keys: list[str],
     def norm(c):
         col = _q(c)
         if decimals is not None and _is_numeric(t[c]):
-            return F.bround(col.cast("double"), decimals)
+            return _rounded(col, t[c], decimals)
         if t[c].startswith("map"):                 # maps cannot be grouped; their sorted entries can
             return F.array_sort(F.map_entries(col))
         return col
@@ -660,7 +666,7 @@ def table_equal_unkeyed(a: DataFrame, b: DataFrame, decimals: int | None = None)
     cols = sorted(a.columns)
 
     def norm(df):
-        return df.select(*[(F.bround(_q(c).cast("double"), decimals) if decimals is not None
+        return df.select(*[(_rounded(_q(c), t[c], decimals) if decimals is not None
                             and _is_numeric(t[c]) else _q(c)).alias(c) for c in cols])
     na, nb = norm(a), norm(b)
     only_a = na.exceptAll(nb).count()

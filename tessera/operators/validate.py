@@ -24,16 +24,20 @@ def hash_order(key: str, seed: int = 0) -> Column:
 def _attach(df: DataFrame, key: str, narrow: DataFrame, cols) -> DataFrame:
     """Join per-key results computed on a narrow projection back to the full
     rows (null-safe on the key; Spark broadcasts the result if its measured
-    size allows).  Wide rows cross the network once, never checkpointed."""
+    size allows).  Wide rows cross the network once, never checkpointed.  Rows
+    that share a key (null is one too) share the least of their results, so
+    none is multiplied."""
     side = narrow.select(F.col(key).alias("_k"), *cols)
+    side = side.groupBy("_k").agg(*[F.min(c).alias(c) for c in side.columns[1:]])
     return df.join(side, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 10,
                      order: Column | None = None, out: str = "fold") -> DataFrame:
     """fold = (position of the row inside its class) mod k, positions
-    taken in ``order`` (default: the key, which must be unique).  Each fold
-    holds floor or ceil of class_size / k rows of every class.  Positions
+    taken in ``order`` (default: the key).  With unique keys each fold holds
+    floor or ceil of class_size / k rows of every class; rows that repeat a
+    key all go to one fold.  Positions
     are computed on (key, label, order) only."""
     if k < 2:
         raise ValueError("k must be >= 2")

@@ -244,6 +244,18 @@ def elm_gram_sums(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "i int, j int, hh double").select("i", "j", _r(F.col("hh"), 6).alias("hh"))
 
 
+LOO_ALPHAS = [0.01, 1.0, 100.0, 10000.0]
+
+
+def loo_ridge_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Leave-one-out error of every alpha, for a unit whose weights a formula gives."""
+    w = np.array([[math.sin(7 * i + 1)] for i in range(64)])
+    emb, hide = table(spark, sf, "embeddings").select("embedding"), lambda X: np.tanh(X @ w)
+    stats = elm._total(elm.gram_sums(emb, "embedding", hide))
+    errors = elm.leave_one_out(emb, "embedding", hide, LOO_ALPHAS, stats)
+    return spark.createDataFrame(list(errors.items()), "alpha double, error double").withColumn("error", _r(F.col("error"), 9))
+
+
 # -------------------------------------------------------------- ensembles
 MODELS = {"all": None, "first_half": (0, 32), "second_half": (32, 64)}
 
@@ -321,6 +333,7 @@ QUERIES = {
     "holdout_split": holdout_split,
     "pca_covariance": pca_covariance,
     "elm_gram_sums": elm_gram_sums,
+    "loo_ridge_errors": loo_ridge_errors,
     "oof_matrix": oof_matrix,
     "soft_vote": soft_vote,
     "majority_vote": majority_vote,

@@ -238,3 +238,12 @@ h AS (SELECT vec_id, unit, tanh(sum(v * sin(7 * pos + 3 * unit + 1))) AS h
       FROM e, (SELECT CAST(unnest(range(6)) AS INTEGER) AS unit) GROUP BY vec_id, unit)
 SELECT a.unit AS i, b.unit AS j, round(sum(a.h * b.h), 6) AS hh
 FROM h a JOIN h b USING (vec_id) GROUP BY a.unit, b.unit"""
+
+SQL["loo_ridge_errors"] = f"""{_VECTORS},
+h AS (SELECT vec_id, tanh(sum(v * sin(7 * pos + 1))) AS h FROM e GROUP BY vec_id),
+c AS (SELECT vec_id, h - avg(h) OVER () AS h, count(*) OVER () AS n FROM h),
+y AS (SELECT vec_id, pos, v - avg(v) OVER (PARTITION BY pos) AS y FROM e),
+g AS (SELECT pos, sum(h * h) AS w, sum(h * y) AS hy FROM c JOIN y USING (vec_id) GROUP BY pos),
+a AS (SELECT unnest([0.01, 1.0, 100.0, 10000.0]::DOUBLE[]) AS alpha)
+SELECT alpha, round(avg(power((y - h * hy / (w + alpha)) / (1 - 1.0::DOUBLE / n - h * h / (w + alpha)), 2)), 9) AS error
+FROM c JOIN y USING (vec_id) JOIN g USING (pos), a GROUP BY alpha"""
