@@ -7,6 +7,14 @@ neighbour; then it is sent only to the cells that the bound cannot rule out
 radius).  Cells are cut into parts of bounded size, and the queries of a part
 into blocks, so a hot cell is spread over tasks; the pairs are never
 materialised, and only the k best candidates per query and part leave a task.
+
+In many dimensions cells rule out little.  There, vectors are turned onto the
+orthogonal basis of the references' covariance, in which few leading
+coordinates hold most of a distance.  The distance over these, with the norms
+of the rest, bounds a pair's distance from both sides; a block's pairs are
+bounded by one matrix product, and only pairs whose lower bound does not pass
+the query's k-th distance so far are measured in full.  Distances that are
+returned always come from the vectors as given.
 """
 
 from __future__ import annotations
@@ -32,6 +40,85 @@ def _distances(Q, R):
     return out
 
 
+class Bounds:
+    """Lower bounds of distances from leading coordinates on an orthogonal
+    basis.  Rotation keeps lengths up to rounding, which ``SLACK`` covers."""
+
+    SLACK = 1e-9
+
+    def __init__(self, basis, lead: int):
+        self.basis, self.lead = basis, lead
+
+    def turned(self, X):
+        """(leading coordinates, norm of the rest, norm) of each row."""
+        import numpy as np
+        Z = X @ self.basis
+        return Z[:, :self.lead], np.linalg.norm(Z[:, self.lead:], axis=1), np.linalg.norm(X, axis=1)
+
+    def lower(self, q, r):
+        """A lower bound of every pair's squared distance: the leading part
+        and the difference of the norms of the rest."""
+        import numpy as np
+        (a, rest_a, norm_a), (b, rest_b, norm_b) = q, r
+        lead = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+        size = norm_a.max(initial=0.0) ** 2 + norm_b.max(initial=0.0) ** 2      # scale of the rounding
+        return np.maximum(lead, 0) + (rest_a[:, None] - rest_b[None, :]) ** 2 - self.SLACK * size
+
+
+def basis_of(rows: DataFrame, vec: str, lead: int | None = None) -> Bounds | None:
+    """The basis of the rows' covariance, largest spread first; None if they
+    have fewer than ``LEAST_DIMS`` dimensions or differ in length."""
+    import numpy as np
+
+    from tessera.operators.elm import MAX_GRAM_WIDTH, covariance
+    least, d = rows.select(F.min(F.size(vec)), F.max(F.size(vec))).first()
+    if d is None or least != d or d < LEAST_DIMS or d > MAX_GRAM_WIDTH:
+        return None
+    values, vectors = np.linalg.eigh(covariance(rows, vec)[1])
+    return Bounds(vectors[:, np.argsort(values)[::-1]], lead or max(4, d // 4))
+
+
+#: Fewer dimensions are measured in full at once.
+LEAST_DIMS = 16
+
+
+def k_nearest(Q, R, k: int, bounds: Bounds | None = None):
+    """Per row of Q the places and distances of its k nearest rows of R, equal
+    distances by place, and how many pairs were measured in full.  Rows with
+    values that are not finite are measured against all."""
+    import numpy as np
+    k = min(k, len(R))
+    finite_q, finite_r = np.isfinite(Q).all(1), np.isfinite(R).all(1)
+    if bounds is None or len(R) <= 2 * k or not finite_r.all():
+        d = _distances(Q, R)
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        return near, np.take_along_axis(d, near, 1), d.size
+    near, dist = np.empty((len(Q), k), np.int64), np.empty((len(Q), k))
+    measured = 0
+    for rows, known in ((np.flatnonzero(~finite_q), False), (np.flatnonzero(finite_q), True)):
+        if not len(rows):
+            continue
+        if not known:
+            near[rows], dist[rows], n = k_nearest(Q[rows], R, k)
+            measured += n
+            continue
+        low = bounds.lower(bounds.turned(Q[rows]), bounds.turned(R))
+        first = np.argpartition(low, k - 1, axis=1)[:, :k]
+        diff = Q[rows][:, None, :] - R[first]
+        most = np.einsum("ijk,ijk->ij", diff, diff).max(axis=1)         # k pairs are this near
+        i, j = np.nonzero(low <= most[:, None])
+        measured += first.size + len(i)
+        d = np.empty(len(i))
+        for s in range(0, len(i), 1 << 16):
+            part = Q[rows[i[s:s + (1 << 16)]]] - R[j[s:s + (1 << 16)]]
+            d[s:s + (1 << 16)] = np.sqrt(np.einsum("ij,ij->i", part, part))
+        order = np.lexsort((j, d, i))
+        starts = np.searchsorted(i[order], np.arange(len(rows)))
+        pick = order[starts[:, None] + np.arange(k)]
+        near[rows], dist[rows] = j[pick], d[pick]
+    return near, dist, measured
+
+
 def _by_number(numbers: dict, default: int = 1):
     """A Column that looks a cell number up in a short table."""
     if not numbers:
@@ -41,11 +128,14 @@ def _by_number(numbers: dict, default: int = 1):
 
 
 def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, vec: str, k: int = 3,
-        block_rows: int = 4096, exclude_self: bool = False, carry=(), pivots: int = 1024) -> DataFrame:
+        block_rows: int = 4096, exclude_self: bool = False, carry=(), pivots: int = 1024, bound: bool = True,
+        measured=None) -> DataFrame:
     """Top-k euclidean neighbours: (qkey, rkey as ``ref_id``, dist, rank,
     *carry) with ties broken by the reference key.  ``pivots`` bounds the
     number of cells (and the vectors that every task holds).  A null vector is
-    no reference and, as a query, has no neighbours and no row."""
+    no reference and, as a query, has no neighbours and no row.  ``bound``
+    rules pairs out by bounds first; ``measured``, an accumulator, is given the
+    number of pairs that were measured in full."""
     import numpy as np
     import pandas as pd
 
@@ -59,6 +149,7 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, vec: str, k: int
                    *[F.col(c).alias(f"_c_{c}") for c in carry]).where("_v is not null")
     n_cells = min(pivots, max(1, math.ceil(r.count() / block_rows)))
     finite = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
+    bounds = basis_of(r.where(finite), "_v") if bound else None
     chosen = [] if n_cells == 1 else r.where(finite).orderBy(F.xxhash64("_rid"), "_rid").limit(n_cells).collect()
     centres = np.array([row["_v"] for row in chosen]) if len(chosen) > 1 else None
 
@@ -93,11 +184,12 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, vec: str, k: int
         carried = {c: rp[f"_c_{c}"].to_numpy()[order] for c in carry}
         out, Q, most = [], _stack(qp["_v"]), min(kk, len(rid))
         for s in range(0, len(qid), 256):
-            d = _distances(Q[s:s + 256], R)
-            idx = np.argsort(d, axis=1, kind="stable")[:, :most]
+            idx, d, n = k_nearest(Q[s:s + 256], R, most, bounds)
+            if measured is not None:
+                measured.add(n)
             pick = idx.ravel()
             part = pd.DataFrame({"_qid": np.repeat(qid[s:s + 256], most), "_rid": rid[pick],
-                                 "dist": np.take_along_axis(d, idx, 1).ravel(),
+                                 "dist": d.ravel(),
                                  **{c: carried[c][pick] for c in carry}})
             out.append(part[part["_qid"] != part["_rid"]] if exclude_self else part)
         return pd.concat(out, ignore_index=True)
