@@ -229,20 +229,24 @@ class Page:
 
     def best(self) -> int:
         """The container that holds the page's main text (0: the whole page)."""
-        w = self.weights()
+        return self.choose(self.weights())[0]
+
+    def choose(self, w: list[int]) -> tuple[int, bool]:
+        """The best container by the elements' weights, and whether its own
+        tag or class says that it is the main text."""
         total = max(w[0], 1)
         free = [i for i in range(1, len(w)) if not self.drop[i]]
         for tag, share in (("article", 0.25), ("main", 0.25)):
             some = [i for i in free if self.tag[i] == tag and w[i] >= share * total]
             if some:
-                return max(some, key=lambda i: (w[i], -i))
+                return max(some, key=lambda i: (w[i], -i)), True
         boxes = [i for i in free if self.tag[i] in ("div", "section", "td", "center")]
         named = [i for i in boxes if w[i] >= 0.5 * total
                  and {x.lower() for x in _WORD.findall(self.label[i].partition(".")[2])} & _MAIN_WORDS]
         if named:
-            return max(named, key=lambda i: (w[i], -i))
+            return max(named, key=lambda i: (w[i], -i)), True
         most = [i for i in boxes if w[i] >= 0.85 * total]
-        return max(most, default=0)  # the innermost starts last
+        return max(most, default=0), False  # the innermost starts last
 
     def text(self, roots: list[int]) -> str:
         """The blocks of undropped text inside ``roots``."""
@@ -260,6 +264,10 @@ class Page:
         return "\n\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
 
+#: Share of a marked container's text that the host's path must hold.
+SHARE = 0.5
+
+
 def best_path(source: str) -> tuple[str, int]:
     """The generalised path of a page's best container and its weight."""
     page = Page(source)
@@ -268,11 +276,15 @@ def best_path(source: str) -> tuple[str, int]:
 
 
 def main_text(source: str, path: str | None) -> str:
-    """The text at ``path``, or in the best container if there is none."""
+    """The text at ``path``, the host's.  The page's own best container is
+    taken instead if the page has no such path, or if that container is marked
+    as main text and the path holds less than ``SHARE`` of its text: then the
+    page has another template than its host's most pages."""
     page = Page(source)
+    w = page.weights()
+    best, marked = page.choose(w)
     roots = page.at_path(path) if path else []
-    if not roots:
-        best = page.best()
+    if not roots or marked and sum(max(w[i], 0) for i in roots) < SHARE * w[best]:
         roots = [best] if best else []
     return page.text(roots)
 
@@ -284,7 +296,9 @@ def host(url: str):
 
 
 def host_paths(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """(host, path, votes): the path with the most votes of each host."""
+    """(host, path, votes): the path with the most votes of each host, the one
+    that sorts first on ties.  Pages without a host are of no common origin and
+    don't vote."""
     prepare(pages.sparkSession)
 
     def make():
@@ -294,7 +308,7 @@ def host_paths(pages: DataFrame, url: str = "url", source: str = "html") -> Data
 
         return run
 
-    src = pages.select(host(url).alias("host"), F.col(source).cast("string").alias("html"))
+    src = pages.select(host(url).alias("host"), F.col(source).cast("string").alias("html")).filter("host is not null")
     votes = map_arrow(src, make, [("path", "string"), ("weight", "long")], ["host"])
     votes = votes.filter("path <> '' and weight > 0").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
     # most votes first, then the path that sorts first

@@ -56,3 +56,56 @@ def test_hosts_agree_on_a_path(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_text.extract(df).count() == 0
+
+
+STRAP = "<body><div><p>short strap line</p></div><article><p>%s</p></article></body>"
+LONG = "a long article that says much " * 20
+
+
+def test_path_of_another_template_does_not_drop_the_article(spark):
+    """The host's path is a bare div; some pages hold their text elsewhere."""
+    usual = "<body><div><p>%s</p></div></body>" % LONG
+    rows = [(i, "https://two.org/%d" % i, usual) for i in range(5)] + [(9, "https://two.org/9", STRAP % LONG)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_text.host_paths(df).first()["path"] == "body>div"
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got[9] == LONG.strip() and got[0] == LONG.strip()
+
+
+def test_pages_without_a_host_do_not_vote(spark):
+    rows = [(i, None, "<body><div><p>%s</p></div></body>" % LONG) for i in range(5)] + [(9, "", STRAP % "Short text.")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_text.host_paths(df).collect() == []
+    assert {r["text"] for r in html_text.extract(df).filter("page_id < 9").collect()} == {LONG.strip()}
+
+
+def test_votes_that_tie_go_to_the_first_path(spark):
+    a, b = "<body><div class=b><p>%s</p></div></body>" % LONG, "<body><div class=a><p>%s</p></div></body>" % LONG
+    df = spark.createDataFrame([(1, "http://x.org", a), (2, "http://x.org", b)], "page_id long, url string, html string")
+    r = html_text.host_paths(df).first()
+    assert (r["path"], r["votes"]) == ("body>div.a", 1)
+
+
+def test_all_pages_equal_a_plain_count_of_votes(spark):
+    """The Spark job against one loop over all pages."""
+    import re
+    from collections import Counter, defaultdict
+
+    from tessera.session import table
+
+    pages = table(spark, "/root/testdata/sf0.001", "pages")
+    rows = pages.collect()
+    votes = defaultdict(Counter)
+
+    def host(url):
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
+        return m and m.group(1).lower()
+
+    for r in rows:
+        path, weight = html_text.best_path(r["html"] or "")
+        if host(r["url"]) and path and weight:
+            votes[host(r["url"])][path] += 1
+    first = {h: min(c, key=lambda p: (-c[p], p)) for h, c in votes.items()}
+    want = {r["page_id"]: html_text.main_text(r["html"] or "", first.get(host(r["url"]))) for r in rows}
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got == want and sum(map(bool, got.values())) > 0.9 * len(got)
