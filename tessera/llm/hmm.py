@@ -6,7 +6,7 @@ its last bytes), and within the class with add-one probability from its count,
 one unit being kept for unseen words.  Baum-Welch trains the latent states:
 tasks run the scaled forward-backward recursion over windows of the training
 texts and emit expected counts, Spark adds them up, and the driver normalises
-them.  The rounds take a growing share of the texts, the last one all of them.
+them.  Every round takes all training texts.
 A text's likelihood is exact: one scaled forward recursion over all of its
 tokens, whatever its length.
 
@@ -17,8 +17,8 @@ symbol, from as many tasks as there are cores.
 
 Defined results: null and empty texts consist of the end token alone.  A null
 id belongs to the training texts.  Repeated rows count each time and are scored
-alike.  Without training texts every count is zero and the states stay as they
-were set up.  An empty table gives an empty result.  Columns besides the named
+alike.  A round that gathers no count (no training texts) leaves the states as
+they were.  An empty table gives an empty result.  Columns besides the named
 ones are ignored, whatever their names.
 """
 
@@ -44,8 +44,8 @@ CLASSES = 4096
 END = FREQUENT + CLASSES
 SYMBOLS = END + 1
 WINDOW = 256
-#: Sixteenths of the training texts that each round of Baum-Welch takes.
-ROUNDS = (1, 1, 2, 2, 4, 8, 16)
+#: Sixteenths of the training texts that each round of Baum-Welch takes: all.
+ROUNDS = (16,) * 7
 #: Weight of the words' overall frequencies in each state, in tokens.
 PRIOR = 200.0
 _FLUSH = 400_000
@@ -338,7 +338,8 @@ def train(encoded: DataFrame, symbol_counts: np.ndarray, states: int = STATES,
         full = np.zeros((SYMBOLS + states + 1, states))
         if got.num_rows:
             full[got["symbol"].to_numpy()] = np.stack([got[c].to_numpy() for c in cols], axis=1)
-        model = maximise(full[-1], full[SYMBOLS:-1], full[:SYMBOLS], symbol_counts)
+        if full[:SYMBOLS].any():      # without counts all states would become alike, for good
+            model = maximise(full[-1], full[SYMBOLS:-1], full[:SYMBOLS], symbol_counts)
         sent.unpersist()
     return model
 

@@ -145,3 +145,18 @@ def test_no_training_texts_and_empty_table(spark):
     assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (True, 3, 0, 0, 0.0)
     assert r["score"] < 0
     assert hmm.fit_and_score(df.filter("false")).count() == 0
+
+
+def test_a_round_without_counts_keeps_the_states(spark):
+    """States that became alike could never part again."""
+    counts = np.zeros(hmm.SYMBOLS)
+    counts[:5] = 7
+    start = hmm.set_up(counts, 3)
+    none = spark.createDataFrame([], "part int, symbols binary")
+    kept = hmm.train(none, counts, 3, (16, 16))
+    assert np.array_equal(kept.emit, start.emit) and np.array_equal(kept.move, start.move)
+    assert not np.allclose(kept.emit[:, 0], kept.emit[:, 1])
+
+
+def test_every_round_takes_all_texts():
+    assert set(hmm.ROUNDS) == {16} and len(hmm.ROUNDS) == 7
