@@ -208,6 +208,42 @@ def boxcox_loglik(df: DataFrame, cols, lambdas, shift: float = 0.0) -> DataFrame
     return wide.select(F.inline(F.array(*structs)))
 
 
+def boxcox_slopes(df: DataFrame, lambdas: dict, centre: dict, shift: float = 0.0) -> DataFrame:
+    """(attribute, slope, curvature) of the Box-Cox log-likelihood of each
+    column at its own lambda, all in one aggregate.
+
+    With u = ln(x + shift) less its mean ``centre`` and z = (e^(lambda u) - 1)
+    / lambda, the likelihood is -n/2 ln var(z) and a constant, so its slope is
+    -n cov(z, z') / var(z); the derivatives z' and z'' by lambda are taken from
+    their series where lambda u is small.  Null where var(z) is 0."""
+    types, aggs = dict(df.dtypes), []
+    for i, (c, lam) in enumerate(lambdas.items()):
+        u = F.ln(nan_to_null(F.col(f"`{c}`"), types[c]) + F.lit(shift)) - F.lit(float(centre[c]))
+        t, near = F.lit(float(lam)) * u, []
+        for k in (1, 2, 3):        # z, z', z'' = u^k times a series in t
+            coefficients = {1: (1, 1 / 2, 1 / 6, 1 / 24, 1 / 120, 1 / 720), 2: (1 / 2, 1 / 3, 1 / 8, 1 / 30, 1 / 144, 1 / 840),
+                            3: (1 / 3, 1 / 4, 1 / 10, 1 / 36, 1 / 168, 1 / 960)}[k]
+            poly = F.lit(coefficients[-1])
+            for a in reversed(coefficients[:-1]):
+                poly = poly * t + F.lit(float(a))
+            near.append(poly * F.pow(u, F.lit(float(k))))
+        if lam:
+            e, inv = F.exp(t), 1.0 / lam
+            far = [F.expm1(t) * inv, (e * (t - 1) + 1) * inv ** 2, (e * (t * t - 2 * t + 2) - 2) * inv ** 3]
+            z = [F.when(F.abs(t) < 0.02, n).otherwise(f) for n, f in zip(near, far)]
+        else:
+            z = near
+        aggs += [F.count(u).alias(f"n{i}"), F.var_pop(z[0]).alias(f"v{i}"), F.covar_pop(z[0], z[1]).alias(f"a{i}"),
+                 F.var_pop(z[1]).alias(f"b{i}"), F.covar_pop(z[0], z[2]).alias(f"c{i}")]
+    structs = []
+    for i, c in enumerate(lambdas):
+        n, v, a, b, d = (F.col(f"{k}{i}") for k in "nvabc")
+        ratio = F.when(v > 0, a / v)
+        structs.append(F.struct(F.lit(c).alias("attribute"), (-n * ratio).alias("slope"),
+                                F.when(v > 0, -n * ((b + d) / v - 2 * ratio * ratio)).alias("curvature")))
+    return df.agg(*aggs).select(F.inline(F.array(*structs)))
+
+
 class BoxCoxModel(Model, _Cols, DefaultParamsReadable, DefaultParamsWritable):
     lambdas = Param(Params._dummy(), "lambdas", "fitted lambdas", TypeConverters.toListFloat)
     shift = Param(Params._dummy(), "shift", "added before transform", TypeConverters.toFloat)
@@ -225,12 +261,18 @@ class BoxCoxModel(Model, _Cols, DefaultParamsReadable, DefaultParamsWritable):
 
 class BoxCox(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
     """M9: per column lambda by maximum likelihood on the training data,
-    reused on new data.  Aggregate passes, each scoring a lambda grid for
-    every column at once: a coarse grid on [-2, 2], further out for columns
-    whose maximum lies there, then a fine grid around each column's best point
-    (resolution 0.01; the source's optimiser is continuous -- the grid is our
-    stated approximation).  Nulls and NaN are left out; a value that is not
-    positive after the shift is an error."""
+    reused on new data.  Newton's method on the likelihood's slope, for all
+    columns together: one aggregate a step gives every column's slope and
+    curvature at its own lambda.  A step that leaves the bracket of the root,
+    or has no use for its curvature, is replaced by halving (or by doubling
+    while the bracket is open).  A column is done when its slope is below
+    ``SLOPE`` or its bracket is as narrow as a double allows.
+
+    Nulls and NaN are left out; a value that is not positive after the shift is
+    an error; a column with no two different values keeps lambda 1, and a
+    maximum beyond +-``FARTHEST`` is given as that bound."""
+
+    SLOPE, FARTHEST, STEPS = 1e-7, 1024.0, 100
 
     shift = Param(Params._dummy(), "shift", "added before transform", TypeConverters.toFloat)
 
@@ -243,16 +285,6 @@ class BoxCox(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
     def _shift(self) -> float:
         return self.getOrDefault(self.shift)
 
-    def _best(self, df, cols, grids: dict) -> dict:
-        rows = boxcox_loglik(df, cols, grids, self._shift).collect()  # cols x grid numbers
-        best = {}
-        for r in rows:
-            if r["llf"] is None or math.isnan(r["llf"]):
-                continue
-            if r["attribute"] not in best or r["llf"] > best[r["attribute"]][1]:
-                best[r["attribute"]] = (r["lambda"], r["llf"])
-        return {c: best.get(c, (1.0, None))[0] for c in cols}
-
     def _fit(self, df):
         cols = self.getInputCols()
         types = dict(df.dtypes)
@@ -261,25 +293,42 @@ class BoxCox(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
         for c, m in zip(cols, least):
             if m is not None and m + self._shift <= 0:
                 raise ValueError(f"Box-Cox needs positive values: the least of {c} plus the shift is {m + self._shift}")
-        coarse = [round(-2 + 0.1 * k, 10) for k in range(41)]
-        b1 = self._best(df, cols, {c: coarse for c in cols})
-        edge, reach = [c for c in cols if abs(b1[c]) >= 2], 2.0
-        while edge and reach < 1e3:     # the maximum lies outside: look further out on that side
-            step, side = reach / 10, {c: math.copysign(1.0, b1[c]) for c in edge}
-            wider = {c: [round(side[c] * (reach + step * k), 10) for k in range(11)] for c in edge}
-            found = self._best(df, edge, wider)
-            reach *= 2
-            edge = [c for c in edge if abs(found[c]) >= reach]
-            b1.update(found)
-        if reach > 2.0:                 # narrow the wide steps down to 0.1
-            for width in (1.0, 0.1):
-                wide = [c for c in cols if abs(b1[c]) > 2]
-                if wide:
-                    b1.update(self._best(df, wide, {c: [round(b1[c] + reach / 10 * width * k / 10, 10)
-                                                        for k in range(-10, 11)] for c in wide}))
-        fine = {c: [round(b1[c] + 0.01 * k, 10) for k in range(-10, 11)] for c in cols}
-        b2 = self._best(df, cols, fine)
-        return BoxCoxModel(cols, self._out(), [b2[c] for c in cols], self._shift)
+        logs = df.agg(*[F.avg(F.ln(nan_to_null(F.col(f"`{c}`"), types[c]) + F.lit(self._shift))).alias(f"m{i}")
+                        for i, c in enumerate(cols)]).first()
+        centre = {c: m for c, m in zip(cols, logs) if m is not None}
+        lam, done = {c: 1.0 for c in cols}, set(cols) - set(centre)
+        low, high = {c: -math.inf for c in cols}, {c: math.inf for c in cols}
+        for _ in range(self.STEPS):
+            todo = [c for c in cols if c not in done]
+            if not todo:
+                break
+            for r in boxcox_slopes(df, {c: lam[c] for c in todo}, centre, self._shift).collect():
+                c, slope, curve = r["attribute"], r["slope"], r["curvature"]
+                if slope is None:                      # one value only: any lambda will do
+                    done.add(c)
+                elif not math.isfinite(slope):         # powers out of range: back towards 0
+                    low[c], high[c] = (max(low[c], -abs(lam[c])), min(high[c], abs(lam[c])))
+                    lam[c] = (low[c] + high[c]) / 2 if math.isfinite(low[c] + high[c]) else lam[c] / 2
+                elif abs(slope) <= self.SLOPE:
+                    done.add(c)
+                else:
+                    if slope > 0:
+                        low[c] = lam[c]
+                    else:
+                        high[c] = lam[c]
+                    lam[c] = self._next(lam[c], slope, curve, low[c], high[c])
+                    if abs(lam[c]) >= self.FARTHEST or high[c] - low[c] <= 4e-16 * max(1.0, abs(lam[c])):
+                        done.add(c)
+        return BoxCoxModel(cols, self._out(), [lam[c] for c in cols], self._shift)
+
+    def _next(self, at: float, slope: float, curve: float, low: float, high: float) -> float:
+        newton = at - slope / curve if curve is not None and curve < 0 else math.nan
+        if low < newton < high and abs(newton - at) <= max(1.0, 2 * abs(at)):
+            return newton
+        if math.isfinite(low) and math.isfinite(high):
+            return (low + high) / 2
+        step = max(1.0, abs(at))
+        return max(-self.FARTHEST, min(self.FARTHEST, at + (step if slope > 0 else -step)))
 
 
 # ---------------------------------------------------------------- TF-IDF

@@ -74,6 +74,13 @@ def boxcox_loglik(spark: SparkSession, sf: str) -> DataFrame:
     return ll.select("attribute", "lambda", F.round("llf", 3).alias("llf"))
 
 
+def boxcox_fit(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_tax")
+    model = prep.BoxCox(li.columns, shift=1.0).fit(li)
+    return spark.createDataFrame(list(zip(li.columns, model.getOrDefault("lambdas"))), "attribute string, lambda double") \
+        .withColumn("lambda", F.round("lambda", 6))
+
+
 def tfidf_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Count columns: orders per (customer, priority); TF-IDF per customer."""
     o = table(spark, sf, "orders")
@@ -146,6 +153,7 @@ QUERIES = {
     "label_binarize": label_binarize,
     "boxcox_transform": boxcox_transform,
     "boxcox_loglik": boxcox_loglik,
+    "boxcox_fit": boxcox_fit,
     "tfidf_counts": tfidf_counts,
     "tfidf_text": tfidf_text,
     "anova_f_scores": anova_f_scores,

@@ -71,6 +71,19 @@ def _boxcox_loglik():
 
 SQL["boxcox_loglik"] = _boxcox_loglik()
 
+# the optimum by halving, on the slope as a difference quotient's limit: z and its derivative
+SQL["boxcox_fit"] = """
+WITH RECURSIVE x AS (SELECT c, ln(v + 1.0) - avg(ln(v + 1.0)) OVER (PARTITION BY c) AS u FROM (
+  SELECT 'l_quantity' AS c, CAST(l_quantity AS DOUBLE) AS v FROM lineitem UNION ALL
+  SELECT 'l_extendedprice', CAST(l_extendedprice AS DOUBLE) FROM lineitem UNION ALL
+  SELECT 'l_tax', CAST(l_tax AS DOUBLE) FROM lineitem)),
+s AS (SELECT c, CAST(-8.1 AS DOUBLE) AS lo, CAST(8.3 AS DOUBLE) AS hi, 0 AS i FROM (SELECT DISTINCT c FROM x)
+  UNION ALL
+  SELECT c, CASE WHEN cov < 0 THEN mid ELSE lo END, CASE WHEN cov < 0 THEN hi ELSE mid END, i + 1 FROM (
+    SELECT s.c, lo, hi, i, (lo + hi) / 2 AS mid, (SELECT covar_pop((exp(m * u) - 1) / m, (exp(m * u) * (m * u - 1) + 1) / (m * m))
+      FROM (SELECT u, (s.lo + s.hi) / 2 AS m FROM x WHERE x.c = s.c)) AS cov FROM s WHERE i < 40))
+SELECT c AS attribute, round((lo + hi) / 2, 6) AS lambda FROM s WHERE i = 40"""
+
 SQL["tfidf_counts"] = """
 WITH c AS (SELECT o_custkey, o_orderpriority AS term, count(*) AS tf FROM orders GROUP BY 1, 2),
 n AS (SELECT count(DISTINCT o_custkey) AS n FROM c),

@@ -175,3 +175,31 @@ def test_leave_one_out_equals_refitting(spark):
         assert got[a] == pytest.approx(np.mean(lost), rel=1e-8)
     ae = elm.ElmAutoEncoder(k=2, alphas=alphas).fit(df.withColumn("id", F.monotonically_increasing_id()), "x", "id")
     assert ae.alpha_ == min(ae.errors_, key=ae.errors_.get)
+
+
+def test_boxcox_slope_vanishes_at_the_fit(spark):
+    """Plain numpy likelihood, its slope by differences and at the optimum."""
+    rng = np.random.default_rng(5)
+    cols = {"a": np.exp(rng.normal(size=400)), "b": rng.gamma(2.0, size=400) + 0.01, "c": (rng.normal(size=400) + 9) ** 3,
+            "d": rng.uniform(0.5, 1.5, size=400), "one": np.full(400, 2.0)}
+    df = spark.createDataFrame([tuple(float(v[i]) for v in cols.values()) for i in range(400)], list(cols))
+    df = df.unionByName(spark.createDataFrame([(None, NAN, None, None, None)], df.schema))
+    model = prep.BoxCox(list(cols), shift=0.0).fit(df)
+
+    def llf(x, lam):
+        z = np.log(x) if lam == 0 else (x ** lam - 1) / lam
+        return (lam - 1) * np.log(x).sum() - len(x) / 2 * np.log(z.var())
+
+    fitted = dict(zip(cols, model.getOrDefault("lambdas")))
+    assert fitted["one"] == 1.0
+    centre = {c: float(np.log(x).mean()) for c, x in cols.items()}
+    got = {r["attribute"]: r for r in prep.boxcox_slopes(df, fitted, centre).collect()}
+    for c in "abcd":
+        assert abs(got[c]["slope"]) < 1e-6 and got[c]["curvature"] < 0
+        assert llf(cols[c], fitted[c]) >= max(llf(cols[c], fitted[c] + d) for d in (-1e-3, 1e-3))
+    for lam in (-1.5, 1e-5, 0.0, 0.4):
+        for r in prep.boxcox_slopes(df, {c: lam for c in "abcd"}, centre).collect():
+            x, h = cols[r["attribute"]], 1e-4
+            assert r["slope"] == pytest.approx((llf(x, lam + h) - llf(x, lam - h)) / (2 * h), rel=1e-3, abs=1e-2)
+            assert r["curvature"] == pytest.approx((llf(x, lam + h) - 2 * llf(x, lam) + llf(x, lam - h)) / h ** 2, rel=5e-2, abs=1.0)
+    assert prep.BoxCox(["a"], shift=0.0).fit(df.filter("false")).getOrDefault("lambdas") == [1.0]
