@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import nan_to_null
+from tessera.operators.ordering import global_positions
 
 
 def pairwise_features(df: DataFrame, cols, kinds=("sum", "abs_diff"),
@@ -96,10 +97,48 @@ def shuffle_rows(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
 
 
-def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """N rows without replacement, chosen by hash order (the limit is
-    the sampling operator itself)."""
-    return shuffle_rows(df, key, seed).limit(n)
+#: Bits of the order value that a round of ``sample_rows`` splits by, and the
+#: rows at the threshold from which they are numbered.
+ROUND_BITS, FEW_ROWS = 12, 100_000
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0, order: Column | None = None) -> DataFrame:
+    """Exactly n rows without replacement (all if there are fewer), those
+    first in a hash order of the key; ``order`` replaces the hash by a long
+    from 0 to 2^63 - 1.
+
+    Rounds count the rows of 4,096 ranges of the order value, each inside the
+    range where the n-th row lies, until that range holds few rows.  Rows
+    below it are taken by a filter, and only those inside it are numbered, over
+    many tasks; so no task holds the sample, whatever n is.  Rows that tie are
+    ordered by key, then by a hash of all columns."""
+    h = F.shiftrightunsigned(F.xxhash64(F.col(f"`{key}`"), F.lit(seed)), 1) if order is None else order
+    if n <= 0:
+        return df.where(F.lit(False))
+    bits, prefix, taken = 0, 0, 0
+    while True:
+        here = h.isNotNull() if not bits else F.shiftright(h, 63 - bits) == prefix
+        more = min(63, bits + ROUND_BITS)
+        counts = df.where(here).groupBy(F.shiftright(h, 63 - more).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        for p, count in sorted(map(tuple, counts.collect())):       # at most 2^ROUND_BITS rows
+            if taken + count >= n:
+                bits, prefix = more, p
+                break
+            taken += count
+        else:
+            return df if not bits else df.where(F.shiftright(h, 63 - bits) <= prefix)
+        if count <= FEW_ROWS or bits == 63 or taken + count == n:
+            break
+    at = F.shiftright(h, 63 - bits)
+    if taken + count == n:
+        return df.where(at <= prefix)
+    place = "place"
+    while place.lower() in {c.lower() for c in df.columns}:
+        place += "_"
+    names = [f"{place}_{i}" for i in range(3)]
+    edge = df.where(at == prefix).withColumns({names[0]: h, names[1]: F.col(f"`{key}`"), names[2]: F.xxhash64(*[f"`{c}`" for c in df.columns])})
+    last = global_positions(edge, names, place).where(F.col(place) < n - taken).select(*[f"`{c}`" for c in df.columns])
+    return df.where(at < prefix).unionByName(last)
 
 
 def feature_union(df: DataFrame, array_cols, out: str = "union") -> DataFrame:

@@ -344,17 +344,14 @@ def smooth_idf(long_df: DataFrame, doc: str, term: str, count: str = "tf",
 
 
 def tfidf_transform(long_df: DataFrame, idf: DataFrame, doc: str, term: str,
-                    count: str = "tf", out: str = "weight", max_broadcast_terms: int = 2_000_000,
-                    known_terms: int | None = None) -> DataFrame:
+                    count: str = "tf", out: str = "weight", max_bytes: int = 64 << 20) -> DataFrame:
     """M5: tf * idf, then L2 norm per document (terms missing from the
     fitted vocabulary are dropped, as a fitted vectorizer does).  The idf
-    table is broadcast only below ``max_broadcast_terms`` rows."""
+    table is broadcast only if its measured bytes are at most ``max_bytes``."""
     from pyspark.sql import Window
-    # the idf table is broadcast only with a proven size: a known vocabulary
-    # cap, else a count of its rows
-    n_terms = known_terms if known_terms is not None else idf.count()
-    side = F.broadcast(idf) if n_terms <= max_broadcast_terms else idf
-    w = long_df.join(side, term).withColumn("_w", F.col(count) * F.col("idf"))
+
+    from tessera.session import broadcast_if_small
+    w = long_df.join(broadcast_if_small(idf, max_bytes), term).withColumn("_w", F.col(count) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
     return w.select(doc, term, F.when(norm > 0, F.col("_w") / norm).otherwise(0.0).alias(out))
 

@@ -244,6 +244,13 @@ def elm_gram_sums(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "i int, j int, hh double").select("i", "j", _r(F.col("hh"), 6).alias("hh"))
 
 
+def sample_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """1,000 events by an order that SQL can hash too."""
+    ev = table(spark, sf, "events").select("event_id", "user_id", "value")
+    order = F.conv(F.substring(F.md5(F.concat(F.lit("7|"), F.col("event_id").cast("string"))), 1, 15), 16, 10).cast("long")
+    return features.sample_rows(ev, "event_id", 1000, order=order)
+
+
 LOO_ALPHAS = [0.01, 1.0, 100.0, 10000.0]
 
 
@@ -334,6 +341,7 @@ QUERIES = {
     "pca_covariance": pca_covariance,
     "elm_gram_sums": elm_gram_sums,
     "loo_ridge_errors": loo_ridge_errors,
+    "sample_rows": sample_rows,
     "oof_matrix": oof_matrix,
     "soft_vote": soft_vote,
     "majority_vote": majority_vote,

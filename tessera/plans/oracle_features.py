@@ -247,3 +247,7 @@ g AS (SELECT pos, sum(h * h) AS w, sum(h * y) AS hy FROM c JOIN y USING (vec_id)
 a AS (SELECT unnest([0.01, 1.0, 100.0, 10000.0]::DOUBLE[]) AS alpha)
 SELECT alpha, round(avg(power((y - h * hy / (w + alpha)) / (1 - 1.0::DOUBLE / n - h * h / (w + alpha)), 2)), 9) AS error
 FROM c JOIN y USING (vec_id) JOIN g USING (pos), a GROUP BY alpha"""
+
+SQL["sample_rows"] = """
+SELECT event_id, user_id, value FROM (SELECT *, row_number() OVER (
+  ORDER BY CAST('0x' || substr(md5('7|' || event_id), 1, 15) AS BIGINT), event_id) AS k FROM events) WHERE k <= 1000"""

@@ -3,17 +3,21 @@ shared checkpoint folder.
 
 The checkpoint folder comes from ``spark.checkpoint.dir`` (a shared file
 system path set by whoever launches the job).  Only when it is unset is a
-folder below the session's warehouse used.
+folder below the session's warehouse used, and on a cluster only if that is
+not a local disk.
 """
 
 from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -67,15 +71,22 @@ def cluster_conf(input_bytes: int, total_cores: int,
     }
 
 
+def require_shared(scheme: str, master: str) -> None:
+    """Raise where written tables would land on each machine's own disk."""
+    if scheme == "file" and not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: "
+                           "the warehouse is on a local disk")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint root, setting one below the warehouse only
     when the session has none."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        # next to the warehouse: the one folder that every session has on its
-        # default file system, which executors share on a cluster
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(warehouse)
+        require_shared(path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme(), sc.master)
         root = f"{warehouse}/_checkpoints/{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.checkpoint.dir", root)
         _drop_at_exit(spark, root)
@@ -116,16 +127,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast a per-group side table only after checking its row count.
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes that a row takes in memory."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        else:
+            total = total + 8
+    return total
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast a per-group side table only if its measured bytes allow.
 
     Joining a one-row-per-group table on a low-cardinality key (a class
     label) with a shuffle would send a hot group's rows to one task; a
-    broadcast keeps the big side where it is.  Above ``max_rows`` the plain
+    broadcast keeps the big side where it is.  Above ``max_bytes`` the plain
     join stays (keys are then many, and AQE splits skewed partitions)."""
-    from pyspark.sql import functions as F
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = df.agg(F.coalesce(F.sum(row_bytes(df).cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 _SHIPPED: set = set()
