@@ -12,10 +12,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import activation, literal_array
+from tessera.session import scratch_path
+
 
 def dense_layer(df: DataFrame, vec: str, W: np.ndarray, b: np.ndarray, act="tanh",
                 out: str = "hidden", **act_args) -> DataFrame:
@@ -125,6 +128,107 @@ def sparse_filter_activation(df: DataFrame, vec: str, W: np.ndarray, out: str =
             .drop("_fs", "_nf"))
 
 
+def sparse_filter_objective(rows: DataFrame, vec: str, W: np.ndarray) -> tuple[float, np.ndarray]:
+    """(sum of all activations, its gradient by W) of ``sparse_filter_activation``.
+
+    Two passes: the feature norms over all rows; then, with these known, each
+    row's activations and what flows back through both normalisations.  A
+    feature's own norm depends on all rows, so its share of the gradient is the
+    sum of the rows' flows times a second sum, which comes out of the same
+    pass.  Only sums of the shape of W leave the tasks."""
+    W = np.asarray(W, dtype=float)
+    m, d = W.shape
+    src = rows.select(F.col(f"`{vec}`").cast("array<double>").alias("_x")).where("_x is not null")
+
+    def soft(batch):
+        X = np.stack([np.asarray(v, dtype=float) for v in batch["_x"]])
+        X = X - X.mean(1, keepdims=True)
+        A = X @ W.T
+        return X, A, np.sqrt(A * A + 1e-8)
+
+    def added(part, width):
+        """Rows (j, v) of every task, summed by j on the JVM."""
+        def run(batches):
+            total = np.zeros((m, width))
+            for batch in batches:
+                if len(batch):
+                    total += part(batch)
+            yield pd.DataFrame({"j": np.arange(m, dtype=np.int32), "v": list(total)})
+
+        cells = src.mapInPandas(run, "j int, v array<double>").select("j", F.posexplode("v").alias("pos", "v"))
+        out = np.zeros((m, width))
+        for r in cells.groupBy("j", "pos").agg(F.sum("v").alias("v")).collect():       # the shape of W
+            out[r["j"], r["pos"]] = r["v"]
+        return out
+
+    norms = np.sqrt(added(lambda b: (soft(b)[2] ** 2).sum(0)[:, None], 1)[:, 0])
+    if not norms.all():
+        raise ValueError(f"no vector in {vec!r} to learn from")
+
+    def back(batch):
+        X, A, soft_abs = soft(batch)
+        G = soft_abs / norms
+        size = np.sqrt((G * G).sum(1, keepdims=True))
+        H = G / size
+        flow = (1.0 - H * H.sum(1, keepdims=True)) / size
+        slope = A / soft_abs
+        return np.hstack([H.sum(0)[:, None], (flow * G).sum(0)[:, None], (flow * slope).T @ X, (G * slope).T @ X])
+
+    sums = added(back, 2 + 2 * d)
+    gradient = (sums[:, 2:2 + d] - sums[:, 1:2] * sums[:, 2 + d:]) / norms[:, None]
+    return float(sums[:, 0].sum()), gradient
+
+
+def fit_sparse_filter(df: DataFrame, vec: str, n_out: int, iterations: int = 50, memory: int = 10, seed: int = 0,
+                      tolerance: float = 1e-6) -> tuple[np.ndarray, list[float]]:
+    """M18's weights (n_out x n_in) and the objective after every step, by a
+    limited-memory quasi-Newton method: the last ``memory`` steps stand for the
+    curvature, and a step is halved until the objective falls as far as the
+    slope promises (a share of 1e-4).  The vectors are written once; null ones
+    are left out."""
+    path = scratch_path(df.sparkSession, "sparse-filter")
+    df.select(F.col(f"`{vec}`").cast("array<double>").alias(vec)).where(F.col(f"`{vec}`").isNotNull()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    width = rows.select(F.max(F.size(f"`{vec}`"))).first()[0]
+    if width is None:
+        raise ValueError(f"no vector in {vec!r} to learn from")
+    W = np.random.default_rng(seed).normal(size=(n_out, width))
+    value, grad = sparse_filter_objective(rows, vec, W)
+    values, past = [value], []
+    for _ in range(iterations):
+        if np.abs(grad).max() <= tolerance * max(1.0, abs(value)):
+            break
+        step = -grad
+        coefficients = []
+        for s, y in reversed(past):
+            a = (s * step).sum() / (s * y).sum()
+            coefficients.append(a)
+            step = step - a * y
+        if past:
+            s, y = past[-1]
+            step = step * ((s * y).sum() / (y * y).sum())
+        else:
+            step = step / max(np.abs(grad).sum(), 1e-300)
+        for (s, y), a in zip(past, reversed(coefficients)):
+            step = step + s * (a - (y * step).sum() / (s * y).sum())
+        slope, size = (grad * step).sum(), 1.0
+        if slope >= 0:                       # the curvature so far misleads: go downhill
+            step, slope, past = -grad, -(grad * grad).sum(), []
+        while size > 1e-12:
+            new_value, new_grad = sparse_filter_objective(rows, vec, W + size * step)
+            if new_value <= value + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break                            # no descent is left at this precision
+        s, y = size * step, new_grad - grad
+        if (s * y).sum() > 1e-12 * (y * y).sum():
+            past = [*past, (s, y)][-memory:]
+        W, value, grad = W + s, new_value, new_grad
+        values.append(value)
+    return W, values
+
+
 def exemplar_centres(df: DataFrame, key: str, vec: str, n_hidden: int, seed: int = 0):
     """M15 ``use_exemplars``: n_hidden rows of the data, by hash order, as
     centres (n_hidden is the layer width, so the collected block is bounded)."""

@@ -203,3 +203,29 @@ def test_boxcox_slope_vanishes_at_the_fit(spark):
             assert r["slope"] == pytest.approx((llf(x, lam + h) - llf(x, lam - h)) / (2 * h), rel=1e-3, abs=1e-2)
             assert r["curvature"] == pytest.approx((llf(x, lam + h) - 2 * llf(x, lam) + llf(x, lam - h)) / h ** 2, rel=5e-2, abs=1.0)
     assert prep.BoxCox(["a"], shift=0.0).fit(df.filter("false")).getOrDefault("lambdas") == [1.0]
+
+
+def test_sparse_filter_gradient_and_descent(spark):
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5))
+    df = spark.createDataFrame([(x.tolist(),) for x in X] + [(None,)], "v array<double>").repartition(3)
+    W = rng.normal(size=(3, 5))
+
+    def objective(W):
+        Z = X - X.mean(1, keepdims=True)
+        f = np.sqrt((Z @ W.T) ** 2 + 1e-8)
+        g = f / np.sqrt((f * f).sum(0))
+        return (g / np.sqrt((g * g).sum(1, keepdims=True))).sum()
+
+    value, grad = hidden.sparse_filter_objective(df, "v", W)
+    assert value == pytest.approx(objective(W), rel=1e-12)
+    for i in range(3):
+        for j in range(5):
+            step = np.zeros_like(W)
+            step[i, j] = 1e-6
+            assert grad[i, j] == pytest.approx((objective(W + step) - objective(W - step)) / 2e-6, rel=1e-4, abs=1e-5)
+    fitted, values = hidden.fit_sparse_filter(df, "v", 3, iterations=6, seed=1)
+    assert len(values) > 3 and all(b < a for a, b in zip(values, values[1:]))
+    assert values[-1] == pytest.approx(objective(fitted), rel=1e-9)
+    with pytest.raises(ValueError, match="no vector"):
+        hidden.fit_sparse_filter(df.filter("false"), "v", 3)
