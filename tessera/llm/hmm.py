@@ -271,26 +271,33 @@ def expected_counts(seqs: list[np.ndarray], m: States) -> tuple[np.ndarray, np.n
     """Baum-Welch counts of sequences: starts, moves and emissions."""
     k = len(m.start)
     _, flat, at = _side_by_side(seqs)
-    steps = len(at) - 1
-    alpha, scale = np.empty((len(flat), k)), np.empty(len(flat))
+    flat, steps = flat.astype(np.intp), len(at) - 1
     b = m.emit[flat]
+    alpha, inverse, ones = np.empty((len(flat), k)), np.empty((len(flat), 1)), np.ones(k)
     for t in range(steps):
         s, e = at[t], at[t + 1]
-        a = m.start * b[s:e] if not t else (alpha[at[t - 1]:at[t - 1] + e - s] @ m.move) * b[s:e]
-        scale[s:e] = a.sum(1)
-        alpha[s:e] = a / scale[s:e, None]
-    xi, beta = np.zeros((k, k)), None
+        a = alpha[s:e]
+        if t:
+            np.matmul(alpha[at[t - 1]:at[t - 1] + e - s], m.move, out=a)
+            a *= b[s:e]
+        else:
+            np.multiply(m.start, b[s:e], out=a)
+        np.divide(1.0, (a @ ones)[:, None], out=inverse[s:e])
+        a *= inverse[s:e]
+    b *= inverse
+    xi, beta, back = np.zeros((k, k)), None, np.ascontiguousarray(m.move.T)
     for t in range(steps - 1, -1, -1):
         s, e = at[t], at[t + 1]
         now = np.ones((e - s, k))
         if beta is not None:
             n = len(beta)
-            ahead = b[e:e + n] * beta / scale[e:e + n, None]
+            ahead = b[e:e + n]
+            ahead *= beta
             xi += alpha[s:s + n].T @ ahead
-            now[:n] = ahead @ m.move.T
+            np.matmul(ahead, back, out=now[:n])
         beta = now
         alpha[s:e] *= beta  # from here on the posterior of the states
-    emission = np.stack([np.bincount(flat, alpha[:, j], SYMBOLS) for j in range(k)], axis=1)
+    emission = np.stack([np.bincount(flat, c, SYMBOLS) for c in np.ascontiguousarray(alpha.T)], axis=1)
     return alpha[:at[1]].sum(0), xi * m.move, emission
 
 
