@@ -113,6 +113,40 @@ def test_contexts_discover_unseen_numbers(spark):
     assert got[0]["spans"] == brute(PERSONAL, contexts()[0][1])
 
 
+def test_one_sided_and_distant_contexts(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    rows = [(i, f"{word()} Tel +1 (2{i:02d}) 555-01{i:02d} {word()}") for i in range(60)]
+    rows += [(100, "please Tel 555-867-9999"), (101, "Tel 555-867-9998"), (102, "555-867-9997 seen"),
+             (103, "+1 555 111 2222\nTel 555-867-9996"), (104, "Tel " + "- " * 100 + "555-867-9995 end"),
+             (105, "Tel 555a867b9994")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "phone:11:23" and got[101] == "phone:4:16" and got[102] == ""
+    assert got[103] == "phone:0:15,phone:20:32" and got[104] == "phone:204:216" and got[105] == ""
+    # a single word with fewer numbers behind it is not enough
+    few = spark.createDataFrame(rows[:pii.SUPPORT * pii.NARROW - 1] + rows[60:61], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in pii.report(few).collect()}[100] == ""
+
+
+def test_contexts_equal_brute_force(spark):
+    rng = random.Random(11)
+    bits = ["Ab", "c", "é", "x1", "a@b", "7", "-", "- " * 60, ".", "\n", "\t", "w" * 120]
+    texts = [rng.choice(["", " "]).join(rng.choice([" ", "  "]) + rng.choice(bits) for _ in range(rng.randrange(12)))
+             for _ in range(300)] + ["", "9"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    tokens = matches(F.col("t"), pii.TOKENS)
+    for r in df.select("t", F.when(tokens.isNotNull(), pii._contexts(tokens)).alias("c")).collect():
+        items, places, at = ["^"], [], 0
+        for m in re.finditer(pii.TOKENS, r["t"]):
+            items += re.findall(r"[^\W\d_]+", r["t"][at:m.start()].lower())
+            places.append(len(items))
+            items.append("#")
+            at = m.end()
+        items += [*re.findall(r"[^\W\d_]+", r["t"][at:].lower()), "$"]
+        want = [(items[max(p - 2, 0):p], items[p + 1:p + 3]) for p in places]
+        assert [(c["before"], c["after"]) for c in r["c"] or []] == want, r["t"]
+
+
 def test_pattern_scores_equal_brute_force(spark):
     rng = random.Random(3)
     edges = sorted({(rng.randrange(12), rng.randrange(60)) for _ in range(150)})
