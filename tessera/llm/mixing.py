@@ -4,17 +4,19 @@ A source's rate is the mean number of copies of its documents that brings its
 share of all text (code points, plus one for each document) to its weight.  A
 document's count is a Poisson variable of that mean: a number in (0, 1) hashed
 from a seed and the document's id goes through the inverse of the source's
-distribution.  Each document is exploded by its count, and the copies are
-dealt out and sorted by a hash, which shuffles them globally.  Everything is
-built from Spark SQL functions; no state or random generator is involved, so a
-lost task draws the same counts again.
+distribution.  The counts are written once with their documents.  Each document
+is exploded by its count, one of many copies in runs of ``RUN`` that are dealt
+over all tasks first; the copies are then sorted by a hash, which shuffles them
+globally.  Everything is built from Spark SQL functions; no state or random
+generator is involved, so a lost task draws the same counts again.
 
 Defined results: a null source is a source of its own (``None`` among the
 weights).  A source without a weight, or with weight 0, has rate 0.  Without
 weights every source weighs the same.  A null id is replaced by the digest of
 the text; rows with one id draw the same count.  Null and empty texts count as
 one code point.  An empty table gives an empty result.  All columns pass
-through, whatever their names.
+through, whatever their names, but for one that has the name asked for the
+number of the copy or for its hash: name these otherwise to keep it.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SEED = 20240607
 #: Larger means are drawn as sums of Poisson variables with means up to this.
 PART = 32.0
 BITS = 52
+#: Copies of a document that one task makes from one row.
+RUN = 256
 
 
 def hashed(*parts: Column) -> Column:
@@ -88,7 +92,7 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, t
     """The copies of ``docs`` in their shuffled order, with the number of each
     copy (from 1) and the hash that orders them."""
     names, taken = {}, [*docs.columns, copy, order_key]
-    for n in ("rate", "parts", "cdf", "key", "count", "rate_source"):
+    for n in ("rate", "parts", "cdf", "key", "count", "run", "rate_source"):
         names[n] = fresh([*taken, *names.values()], f"_{n}")
     c = {k: F.col(v) for k, v in names.items()}
     rates = source_rates(docs, weights, total, source, text)
@@ -96,11 +100,19 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, t
     side = stored(rates.select(F.col("source").alias(names["rate_source"]), F.col("rate").alias(names["rate"]),
                                parts.alias(names["parts"]),
                                poisson_cdf(F.col("rate") / parts).alias(names["cdf"])), "rates")
-    keep = [x for x in docs.columns if x.lower() not in (copy.lower(), order_key.lower())]
+    keep = ["`" + x.replace("`", "``") + "`" for x in docs.columns
+            if x.lower() not in (copy.lower(), order_key.lower())]
     out = beside(docs, side, F.col(source).cast("string").eqNullSafe(c["rate_source"]), "inner")
     out = out.withColumn(names["key"], F.coalesce(F.col(doc_id).cast("string"), F.sha2(whole_text(text), 256)))
     out = out.withColumn(names["count"], drawn(c["key"], c["parts"], c["cdf"], seed))
-    out = out.filter(c["count"] > 0).select(
-        *keep, c["key"], F.explode(F.sequence(F.lit(1), c["count"])).alias(copy))
-    out = out.withColumn(order_key, hashed(F.lit(seed), F.lit("order"), F.col(copy), c["key"]))
+    counted = stored(out.filter(c["count"] > 0).select(*keep, c["key"], c["count"]), "counts")
+
+    def exploded(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+        return rows.select(*keep, c["key"], F.explode(F.sequence(first, last)).alias(copy))
+
+    few = exploded(counted.filter(c["count"] <= RUN), F.lit(1), c["count"])
+    runs = counted.filter(c["count"] > RUN).withColumn(
+        names["run"], F.explode(F.sequence(F.lit(1), c["count"], F.lit(RUN)))).repartition(c["key"], c["run"])
+    many = exploded(runs, c["run"], F.least(c["run"] + (RUN - 1), c["count"]))
+    out = few.unionByName(many).withColumn(order_key, hashed(F.lit(seed), F.lit("order"), F.col(copy), c["key"]))
     return out.orderBy(order_key, names["key"], copy).select(*keep, copy, order_key)

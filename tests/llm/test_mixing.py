@@ -47,6 +47,27 @@ def test_counts_equal_brute_force(spark, weights, total):
     assert [r["order_key"] for r in out] == sorted(r["order_key"] for r in out)
 
 
+@pytest.mark.parametrize("run", [7, 32])
+def test_runs_make_every_copy_once(spark, monkeypatch, run):
+    monkeypatch.setattr(mixing, "RUN", run)
+    rows = [(1, "rare", "one", 0), (1, "rare", "one", 0), (None, None, None, 0),
+            *((i, "x" * 40, "rest", 0) for i in range(2, 60))]
+    out = mixing.replicate(spark.createDataFrame(rows, SCHEMA).drop("copy")).collect()
+    want = sorted((str(i), str(t), c) for i, t, _, n in brute_counts(rows) for c in range(1, n + 1))
+    assert sorted((str(r["doc_id"]), str(r["text"]), r["copy"]) for r in out) == want
+    assert max(r["copy"] for r in out) > 2 * run
+    assert [r["order_key"] for r in out] == sorted(r["order_key"] for r in out)
+
+
+def test_runs_of_one_document_go_to_many_tasks(spark):
+    rows = [(1, "r", "one"), *((i, "x" * 3000, "rest") for i in range(2, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.replicate(df)
+    assert out.filter("doc_id = 1").count() > 50 * mixing.RUN
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1  # only runs of the documents with many copies
+
+
 def test_mean_count_follows_the_rate(spark):
     df = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"),
                                    F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
@@ -59,6 +80,8 @@ def test_clashing_names_and_empty_table(spark):
     out = mixing.replicate(df)
     assert sorted(out.columns) == sorted([*df.columns, "order_key"])  # the number of the copy takes the name
     assert mixing.replicate(df.filter("false")).count() == 0
+    dotted = mixing.replicate(df.withColumnRenamed("copy", "a.b"))
+    assert "a.b" in dotted.columns and {r["a.b"] for r in dotted.collect()} == {9}
 
 
 def test_weights_must_be_numbers(spark):
