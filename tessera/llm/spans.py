@@ -13,7 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLOCK = 256
+#: Lengths of matches are summed in blocks of so many, these in blocks again,
+#: and so on, so a match's place takes few additions however many come before.
+_BLOCK = 32
+_LEVELS = 3
 
 
 @dataclass(frozen=True)
@@ -35,18 +38,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _before(lens: Column, blocks: Column, i: Column) -> Column:
-    """Sum of the first ``i`` of ``lens``; ``blocks`` has the sums of runs of 256."""
-    add = lambda a, x: a + x
-    whole = F.floor(i / _BLOCK).cast("int")
-    return (F.aggregate(F.slice(blocks, F.lit(1), whole), F.lit(0), add)
-            + F.aggregate(F.slice(lens, whole * _BLOCK + 1, i - whole * _BLOCK), F.lit(0), add))
+def _total(lens: Column, start: Column, size: Column) -> Column:
+    return F.aggregate(F.slice(lens, start, size), F.lit(0), lambda a, x: a + x)
 
 
-def _blocks(lens: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(lens) / _BLOCK).cast("int")),
-        lambda b: F.aggregate(F.slice(lens, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda a, x: a + x))
+def _with_levels(lens: Column, body: Callable[[list[Column]], Column], above: int = _LEVELS) -> Column:
+    """``body`` of the list of ``lens``, their sums by blocks, the sums of those by blocks, ..."""
+    if above == 0:
+        return body([lens])
+    sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(lens) / _BLOCK).cast("int")),
+                       lambda b: _total(lens, b * _BLOCK + 1, F.lit(_BLOCK)))
+    return let(sums, lambda up: _with_levels(up, lambda rest: body([lens, *rest]), above - 1))
+
+
+def _before(levels: list[Column], i: Column) -> Column:
+    """Sum of the first ``i`` of the lengths: whole blocks of the highest
+    level, then what is left of a block on each lower one."""
+    out = F.lit(0)
+    for lens in levels[:-1]:
+        up = F.floor(i / _BLOCK).cast("int")
+        rest = (i - up * _BLOCK).cast("int")
+        out = out + F.when(rest > 0, _total(lens, up * _BLOCK + 1, rest)).otherwise(0)
+        i = up
+    return out + F.when(i > 0, _total(levels[-1], F.lit(1), i)).otherwise(0)
 
 
 def matches(text: Column, pattern: str, group: int = 0,
@@ -63,12 +77,12 @@ def matches(text: Column, pattern: str, group: int = 0,
         # piece i and hit i together, so hit i starts after i of these and piece i
         lens = F.zip_with(m["parts"], m["hits"],
                           lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(0)))
-        return let(F.struct(lens.alias("lens"), _blocks(lens).alias("blocks")), lambda s: F.transform(
+        return let(lens, lambda one: _with_levels(one, lambda levels: F.transform(
             m["hits"], lambda h, i: let(
-                _before(s["lens"], s["blocks"], i) + F.length(m["parts"][i]),
+                _before(levels, i) + F.length(m["parts"][i]),
                 lambda at: F.struct(at.alias("start"), (at + F.length(h)).alias("end"), h.alias("hit"),
                                     m["values"][i].alias("value"), m["parts"][i].alias("left"),
-                                    m["parts"][i + 1].alias("right")))))
+                                    m["parts"][i + 1].alias("right"))))))
 
     some = text.rlike(pattern)
     if hint is not None:

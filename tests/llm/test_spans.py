@@ -73,10 +73,10 @@ def test_personal_spans_equal_brute_force(spark):
 
 
 def test_places_of_many_matches(spark):
-    text = "é1" * 1000 + "x"
-    df = spark.createDataFrame([(text,)], "t string")
-    got = df.select(matches(F.col("t"), "[0-9]").alias("m")).first()["m"]
-    assert [(m["start"], m["end"]) for m in got] == [(2 * i + 1, 2 * i + 2) for i in range(1000)]
+    sizes = [1, 31, 32, 33, 1023, 1024, 1025, 40000]
+    df = spark.createDataFrame([(n, "é1" * n + "x") for n in sizes], "n int, t string")
+    for r in df.select("n", matches(F.col("t"), "[0-9]").alias("m")).collect():
+        assert [(m["start"], m["end"]) for m in r["m"]] == [(2 * i + 1, 2 * i + 2) for i in range(r["n"])]
 
 
 def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
