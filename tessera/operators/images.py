@@ -117,14 +117,58 @@ def rotation_angles(key: str, seed: int = 0, max_deg: int = 17) -> Column:
     return (mag * sign).cast("double")
 
 
+def spline_coefficients(im, axis: int):
+    """Coefficients of the cubic B-spline through the samples of an array
+    along ``axis``, mirrored at both ends: a recursive filter forwards and
+    backwards, exact at the ends, over all other axes at once."""
+    import numpy as np
+
+    s = np.moveaxis(np.asarray(im, dtype=float), axis, 0) * 6.0
+    n = len(s)
+    if n == 1:
+        return np.asarray(im, dtype=float)
+    z = np.sqrt(3.0) - 2.0
+    k = np.arange(n, dtype=float)
+    # the endless mirrored signal summed in closed form
+    w = z ** k
+    w[1:-1] += z ** (2 * n - 2 - k[1:-1])
+    c = np.empty_like(s)
+    c[0] = np.tensordot(w, s, 1) / (1.0 - z ** (2 * n - 2))
+    for i in range(1, n):
+        c[i] = s[i] + z * c[i - 1]
+    c[-1] = z / (z * z - 1.0) * (c[-1] + z * c[-2])
+    for i in range(n - 2, -1, -1):
+        c[i] = z * (c[i + 1] - c[i])
+    return np.moveaxis(c, 0, axis)
+
+
+def _cubic_weights(t):
+    """Weights of the four coefficients around a place ``t`` past the second."""
+    u = 1.0 - t
+    return u ** 3 / 6, (4 - 3 * t * t * (2 - t)) / 6, (4 - 3 * u * u * (2 - u)) / 6, t ** 3 / 6
+
+
+def _mirrored(i, n: int):
+    """Indices mirrored about the first and the last of ``n``."""
+    import numpy as np
+
+    if n == 1:
+        return np.zeros_like(i)
+    i = np.mod(i, 2 * n - 2)
+    return np.where(i < n, i, 2 * n - 2 - i)
+
+
 def rotate_images(df: DataFrame, key: str, pixels: str, width: int, seed: int = 0,
                   max_deg: int = 17, copies: int = 1, low: float = 0.15,
-                  high: float = 0.8, angles: list[Column] | None = None) -> DataFrame:
+                  high: float = 0.8, angles: list[Column] | None = None, order: int = 3) -> DataFrame:
     """Original + ``copies`` rotated copies (angle from a hash of the key
     and the copy number, or the given ``angles`` in degrees), thresholded.
-    Bilinear interpolation about the image centre, zero outside; the source
-    library uses cubic splines, so values differ slightly at edges.  The
-    images of a batch are rotated together."""
+    Turned about the image centre, zero outside, by cubic splines (``order``
+    3, as in the source) or bilinear (``order`` 1).  The images of a batch are
+    rotated together.  A null image stays null; a null or NaN pixel makes NaN
+    of the pixels that depend on it, with splines the whole copy."""
+    if order not in (1, 3):
+        raise ValueError(f"order must be 1 (bilinear) or 3 (cubic), not {order}")
     import numpy as np
     import pandas as pd
 
@@ -138,23 +182,42 @@ def rotate_images(df: DataFrame, key: str, pixels: str, width: int, seed: int =
     out_schema = (src.drop(*[f"_a{i}" for i in range(copies)]).schema
                   .add("copy", IntegerType()))
 
-    def rotate(im: np.ndarray, deg: np.ndarray) -> np.ndarray:
-        n, h = len(im), im.shape[1]
-        t = np.radians(deg)[:, None, None]
-        cy, cx = (h - 1) / 2.0, (width - 1) / 2.0
-        yy, xx = np.mgrid[0:h, 0:width]
-        # inverse map: source coordinates of each output pixel
-        sx = np.cos(t) * (xx - cx) + np.sin(t) * (yy - cy) + cx
-        sy = -np.sin(t) * (xx - cx) + np.cos(t) * (yy - cy) + cy
+    def bilinear(im, which, sx, sy):
+        h = im.shape[1]
         x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
         fx, fy = sx - x0, sy - y0
-        which, out = np.arange(n)[:, None, None], np.zeros(im.shape)
+        out = np.zeros(im.shape)
         for dy, wy in ((0, 1 - fy), (1, fy)):
             for dx, wx in ((0, 1 - fx), (1, fx)):
                 X, Y = x0 + dx, y0 + dy
                 ok = (X >= 0) & (X < width) & (Y >= 0) & (Y < h)
                 v = im[which, np.clip(Y, 0, h - 1), np.clip(X, 0, width - 1)]
                 out += np.where(ok, v, 0.0) * wx * wy
+        return out
+
+    def cubic(im, which, sx, sy):
+        h = im.shape[1]
+        c = spline_coefficients(spline_coefficients(im, 1), 2)
+        x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+        wx, wy = _cubic_weights(sx - x0), _cubic_weights(sy - y0)
+        out = np.zeros(im.shape)
+        for j in range(4):
+            Y = _mirrored(y0 + j - 1, h)
+            for i in range(4):
+                out += c[which, Y, _mirrored(x0 + i - 1, width)] * wx[i] * wy[j]
+        inside = (sx >= 0) & (sx <= width - 1) & (sy >= 0) & (sy <= h - 1)
+        return np.where(inside, out, 0.0)
+
+    def rotate(im: np.ndarray, deg: np.ndarray) -> np.ndarray:
+        n, h = len(im), im.shape[1]
+        t = np.radians(deg)[:, None, None]
+        cy, cx = (h - 1) / 2.0, (width - 1) / 2.0
+        yy, xx = np.mgrid[0:h, 0:width]
+        # inverse map: source coordinates of each output pixel
+        sx = np.cos(t) * (xx - cx) + np.sin(t) * (yy - cy) + cx
+        sy = -np.sin(t) * (xx - cx) + np.cos(t) * (yy - cy) + cy
+        which = np.arange(n)[:, None, None]
+        out = cubic(im, which, sx, sy) if order == 3 else bilinear(im, which, sx, sy)
         out = np.where(out < low, 0.0, out)
         return np.where(out >= high, 1.0, out)
 

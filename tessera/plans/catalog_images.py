@@ -66,16 +66,24 @@ def flatten_images(spark: SparkSession, sf: str) -> DataFrame:
     return images.flatten_long(emb, "vec_id", "embedding").withColumn("value", F.col("value").cast("double"))
 
 
-def rotate_images(spark: SparkSession, sf: str) -> DataFrame:
+def _rotated(spark: SparkSession, sf: str, order: int) -> DataFrame:
     emb = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     scaled = emb.withColumn("embedding", F.transform("embedding", lambda x: (x + 0.6) / 1.2))
     # angles of -17 to 17 degrees that SQL can draw too
     turn = F.pmod(F.pmod(F.col("vec_id") * 2654435761 + 42, F.lit(4294967291)), F.lit(35)) - 17
-    out = images.rotate_images(scaled, "vec_id", "embedding", WIDTH, angles=[turn])
+    out = images.rotate_images(scaled, "vec_id", "embedding", WIDTH, angles=[turn], order=order)
     return out.select("vec_id", "label", "copy", F.posexplode("embedding").alias("pos", "v")).select(
         "vec_id", "label", "copy", "pos", F.round("v", 6).alias("value"))
 
 
+def rotate_images(spark: SparkSession, sf: str) -> DataFrame:
+    return _rotated(spark, sf, order=1)
+
+
+def rotate_images_spline(spark: SparkSession, sf: str) -> DataFrame:
+    return _rotated(spark, sf, order=3)
+
+
 def knn_classify(spark: SparkSession, sf: str) -> DataFrame:
     """k=3 distance-weighted vote; queries = fold 0, references = the rest."""
     f = emb_folds(spark, sf)
@@ -140,6 +148,7 @@ QUERIES = {
     "union_augmented": union_augmented,
     "flatten_images": flatten_images,
     "rotate_images": rotate_images,
+    "rotate_images_spline": rotate_images_spline,
     "knn_classify": knn_classify,
     "rbf_activations": rbf_activations,
     "random_layer_fixed": random_layer_fixed,

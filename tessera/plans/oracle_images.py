@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 SQL: dict[str, str] = {}
 
 EL = """el AS (SELECT vec_id, label, CAST(v AS DOUBLE) AS v, CAST(pos AS INTEGER) AS pos
@@ -144,6 +146,35 @@ UNION ALL
 SELECT vec_id, label, CAST(1 AS INTEGER), CAST(pos AS INTEGER),
        round(CASE WHEN v < 0.15 THEN 0.0 WHEN v >= 0.8 THEN 1.0 ELSE v END, 6) FROM v"""
 
+# coefficients = inverse of the spline's sample matrix along rows and columns
+_SAMPLE = np.diag(np.full(8, 4.0)) + np.eye(8, k=1) + np.eye(8, k=-1)
+_SAMPLE[0, 1] = _SAMPLE[7, 6] = 2.0
+_SOLVE = ", ".join(f"({i}, {j}, CAST({v!r} AS DOUBLE))" for i, row in enumerate(np.linalg.inv(_SAMPLE / 6).tolist())
+                   for j, v in enumerate(row))
+_BSPLINE = "CASE WHEN {d} < 1 THEN 2.0 / 3 - {d} * {d} + {d} * {d} * {d} / 2 ELSE (2 - {d}) * (2 - {d}) * (2 - {d}) / 6 END"
+_MIRROR = "CASE WHEN {x} < 0 THEN -{x} WHEN {x} > 7 THEN 14 - {x} ELSE {x} END"
+
+SQL["rotate_images_spline"] = f"""
+WITH e AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: (x + 0.6) / 1.2) AS im,
+       radians(((vec_id * 2654435761 + 42) % 4294967291) % 35 - 17.0) AS t FROM embeddings),
+b(i, j, b) AS (VALUES {_SOLVE}),
+p AS (SELECT vec_id, label, t, pos, im[pos + 1] AS v FROM (SELECT *, unnest(range(64)) AS pos FROM e)),
+across AS (SELECT vec_id, pos // 8 AS r, i AS x, sum(v * b) AS v FROM p JOIN b ON j = pos % 8 GROUP BY ALL),
+coef AS (SELECT vec_id, i AS y, x, sum(v * b) AS v FROM across JOIN b ON j = r GROUP BY ALL),
+s AS (SELECT *, cos(t) * (pos % 8 - 3.5) + sin(t) * (pos // 8 - 3.5) + 3.5 AS sx,
+      -sin(t) * (pos % 8 - 3.5) + cos(t) * (pos // 8 - 3.5) + 3.5 AS sy FROM p),
+tap AS (SELECT vec_id, label, pos, sx, sy, CAST(floor(sx) AS BIGINT) + dx AS x, CAST(floor(sy) AS BIGINT) + dy AS y
+        FROM s, range(-1, 3) a(dx), range(-1, 3) c(dy) WHERE sx BETWEEN 0 AND 7 AND sy BETWEEN 0 AND 7),
+near AS (SELECT vec_id, label, pos, {_BSPLINE.format(d="abs(sx - x)")} AS wx, {_BSPLINE.format(d="abs(sy - y)")} AS wy,
+        {_MIRROR.format(x="x")} AS x, {_MIRROR.format(x="y")} AS y FROM tap),
+v AS (SELECT n.vec_id, pos, sum(wx * wy * coef.v) AS v FROM near n JOIN coef
+      ON coef.vec_id = n.vec_id AND coef.x = n.x AND coef.y = n.y GROUP BY ALL)
+SELECT vec_id, label, CAST(0 AS INTEGER) AS copy, CAST(pos AS INTEGER) AS pos, round(v, 6) AS value FROM p
+UNION ALL
+SELECT p.vec_id, label, CAST(1 AS INTEGER), CAST(p.pos AS INTEGER),
+       round(CASE WHEN coalesce(v.v, 0) < 0.15 THEN 0.0 WHEN v.v >= 0.8 THEN 1.0 ELSE v.v END, 6)
+FROM p LEFT JOIN v ON v.vec_id = p.vec_id AND v.pos = p.pos"""
+
 SQL["flatten_images"] = """
 SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS value
 FROM embeddings"""

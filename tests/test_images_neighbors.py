@@ -60,6 +60,55 @@ def test_rotate_keeps_original_and_thresholds(spark):
     assert all(v == 0.0 or v >= 0.15 for v in rot)
 
 
+def test_spline_coefficients_solve_the_sample_equations():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 8, 40):
+        x = rng.normal(size=(3, n, 2))
+        c = images.spline_coefficients(x, 1)
+        ends = np.concatenate([c[:, 1:2], c, c[:, -2:-1]], axis=1) if n > 1 else np.repeat(c, 3, axis=1)
+        assert np.allclose((ends[:, :-2] + 4 * ends[:, 1:-1] + ends[:, 2:]) / 6, x, atol=1e-12)
+
+
+def test_spline_rotation_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    h, w, turns = 5, 7, [0.0, 11.0, -17.0, 90.0]
+    ims = [rng.uniform(size=h * w) for _ in turns]
+    rows = [(i, list(map(float, im)), a) for i, (im, a) in enumerate(zip(ims, turns))] + [(9, None, 5.0)]
+    df = spark.createDataFrame(rows, "k int, px array<double>, a double")
+    got = {r["k"]: r["px"] for r in images.rotate_images(
+        df, "k", "px", w, angles=[df["a"]], low=-1e9, high=1e9).where("copy = 1").collect()}
+
+    def solved(n):
+        m = np.zeros((n, n))
+        for i in range(n):
+            m[i, i] += 4 / 6
+            for j in (i - 1, i + 1):
+                m[i, abs(j) if j < n else 2 * n - 2 - j] += 1 / 6
+        return np.linalg.inv(m)
+
+    def bump(d):
+        d = abs(d)
+        return 2 / 3 - d * d + d ** 3 / 2 if d < 1 else max(2 - d, 0.0) ** 3 / 6
+
+    for k, (im, a) in enumerate(zip(ims, turns)):
+        c = solved(h) @ im.reshape(h, w) @ solved(w).T
+        t, want = math.radians(a), np.zeros((h, w))
+        for y in range(h):
+            for x in range(w):
+                dx, dy = x - (w - 1) / 2, y - (h - 1) / 2
+                sx = math.cos(t) * dx + math.sin(t) * dy + (w - 1) / 2
+                sy = -math.sin(t) * dx + math.cos(t) * dy + (h - 1) / 2
+                if 0 <= sx <= w - 1 and 0 <= sy <= h - 1:
+                    for v in range(-3, h + 3):
+                        for u in range(-3, w + 3):
+                            cv, cu = abs(v) if v < h else 2 * h - 2 - v, abs(u) if u < w else 2 * w - 2 - u
+                            want[y, x] += c[cv, cu] * bump(sx - u) * bump(sy - v)
+        assert np.allclose(np.reshape(got[k], (h, w)), want, atol=1e-9)
+    assert np.allclose(got[0], ims[0]) and got[9] is None
+    with pytest.raises(ValueError):
+        images.rotate_images(df, "k", "px", w, order=2)
+
+
 def test_knn_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     X = rng.normal(size=(60, 5))
