@@ -162,21 +162,20 @@ def accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(_r(F.col("accuracy")).alias("accuracy"), "n")
 
 
-def _emb_first10(spark, sf):
-    emb = table(spark, sf, "embeddings")
-    logits = F.slice("embedding", 1, 10)
-    return emb.select("vec_id", "label", logits.alias("logits"))
+def _emb_logits(spark, sf):
+    """Every value of a vector as the logit of a class."""
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("logits"))
 
 
 def classification_report(spark: SparkSession, sf: str) -> DataFrame:
-    e = _emb_first10(spark, sf).withColumn("pred", S.argmax_array("logits"))
+    e = _emb_logits(spark, sf).withColumn("pred", S.argmax_array("logits"))
     rep = metrics.classification_report(e, "label", "pred")
     return rep.select("label", _r(F.col("precision")).alias("precision"),
                       _r(F.col("recall")).alias("recall"), _r(F.col("f1")).alias("f1"), "support")
 
 
 def log_loss_multi(spark: SparkSession, sf: str) -> DataFrame:
-    e = _emb_first10(spark, sf)
+    e = _emb_logits(spark, sf)
     e = e.withColumn("p_true", F.element_at(S.softmax_array("logits"), F.col("label") + 1))
     m = metrics.log_loss_multi(e, "p_true")
     return m.select(_r(F.col("log_loss")).alias("log_loss"), "n")
@@ -278,11 +277,10 @@ def oof_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 def soft_vote(spark: SparkSession, sf: str) -> DataFrame:
     o = _oof(spark, sf, with_dists=True)
-    pa = centroid.softmax_neg_dist(F.col("dists_all"))
-    ph = centroid.softmax_neg_dist(F.col("dists_first_half"))
-    # both arrays list classes in the same order (same means table)
-    avg = F.zip_with(pa, ph, lambda a, b: F.struct(((a["p"] + b["p"]) / 2).alias("p"),
-                                                   (-a["label"]).alias("neg_label")))
+    # the arrays list classes in the same order (same means table)
+    p = [centroid.softmax_neg_dist(F.col(f"dists_{m}")) for m in MODELS]
+    avg = F.transform(p[0], lambda x, i: F.struct(
+        (sum((q[i]["p"] for q in p[1:]), x["p"]) / len(p)).alias("p"), (-x["label"]).alias("neg_label")))
     best = F.array_max(avg)
     return o.select("vec_id", (-best["neg_label"]).alias("pred"), _r(best["p"], 6).alias("p_max"))
 

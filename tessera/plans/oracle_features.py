@@ -117,7 +117,7 @@ SELECT round(avg(CASE WHEN y = yhat THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE
 
 SQL["classification_report"] = """
 WITH e AS (SELECT vec_id, label, CAST(list_position(lg, list_max(lg)) - 1 AS INTEGER) AS pred
-           FROM (SELECT vec_id, label, embedding[1:10] AS lg FROM embeddings)),
+           FROM (SELECT vec_id, label, embedding AS lg FROM embeddings)),
 truth AS (SELECT label, count(*) AS support, sum(CASE WHEN label = pred THEN 1 ELSE 0 END) AS tp
           FROM e GROUP BY label),
 pr AS (SELECT pred AS label, count(*) AS n_pred FROM e GROUP BY pred),
@@ -133,7 +133,7 @@ FROM k"""
 
 SQL["log_loss_multi"] = """
 WITH el AS (SELECT vec_id, label, CAST(v AS DOUBLE) AS v, CAST(pos AS INTEGER) AS pos
-  FROM (SELECT vec_id, label, unnest(embedding[1:10]) AS v, unnest(range(10)) AS pos
+  FROM (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos
         FROM embeddings)),
 e AS (SELECT vec_id, label, pos, exp(v - max(v) OVER (PARTITION BY vec_id)) AS ex FROM el),
 p AS (SELECT vec_id, label, pos, ex / sum(ex) OVER (PARTITION BY vec_id) AS p FROM e)
@@ -195,9 +195,10 @@ SQL["soft_vote"] = f"""
 WITH {OOF},
 pm AS (SELECT vec_id, c,
          exp(min(d_all) OVER w - d_all) AS ea,
-         exp(min(d_first_half) OVER w - d_first_half) AS eh
+         exp(min(d_first_half) OVER w - d_first_half) AS eh,
+         exp(min(d_second_half) OVER w - d_second_half) AS es
        FROM d WINDOW w AS (PARTITION BY vec_id)),
-pp AS (SELECT vec_id, c, (ea / sum(ea) OVER w + eh / sum(eh) OVER w) / 2 AS p
+pp AS (SELECT vec_id, c, (ea / sum(ea) OVER w + eh / sum(eh) OVER w + es / sum(es) OVER w) / 3 AS p
        FROM pm WINDOW w AS (PARTITION BY vec_id))
 SELECT vec_id, first(c ORDER BY p DESC, c) AS pred, round(max(p), 6) AS p_max
 FROM pp GROUP BY vec_id"""
