@@ -208,40 +208,77 @@ def boxcox_loglik(df: DataFrame, cols, lambdas, shift: float = 0.0) -> DataFrame
     return wide.select(F.inline(F.array(*structs)))
 
 
+def _boxcox_moments(u, lam: float):
+    """Sums over the numbers of ``u`` of z, z', z'', z z, z z', z' z', z z'',
+    and the least and greatest z, where z = (e^(lam u) - 1) / lam and z', z''
+    are its derivatives by lam, taken from their series where lam u is small."""
+    import numpy as np
+    t = lam * u
+    near = np.abs(t) < 0.02
+    z = [np.empty(len(u)) for _ in range(3)]
+    series = ((1, 1 / 2, 1 / 6, 1 / 24, 1 / 120, 1 / 720), (1 / 2, 1 / 3, 1 / 8, 1 / 30, 1 / 144, 1 / 840),
+              (1 / 3, 1 / 4, 1 / 10, 1 / 36, 1 / 168, 1 / 960))
+    for k in range(3):
+        z[k][near] = u[near] ** (k + 1) * np.polynomial.polynomial.polyval(t[near], series[k])
+    with np.errstate(all="ignore"):                    # powers out of range stay infinite
+        if not near.all():
+            f = t[~near]
+            e = np.exp(f)
+            z[0][~near] = np.expm1(f) / lam
+            z[1][~near] = (e * (f - 1) + 1) / lam ** 2
+            z[2][~near] = (e * (f * f - 2 * f + 2) - 2) / lam ** 3
+        z0, z1, z2 = z
+        return [z0.sum(), z1.sum(), z2.sum(), z0 @ z0, z0 @ z1, z1 @ z1, z0 @ z2, z0.min(), z0.max()]
+
+
 def boxcox_slopes(df: DataFrame, lambdas: dict, centre: dict, shift: float = 0.0) -> DataFrame:
     """(attribute, slope, curvature) of the Box-Cox log-likelihood of each
     column at its own lambda, all in one aggregate.
 
     With u = ln(x + shift) less its mean ``centre`` and z = (e^(lambda u) - 1)
     / lambda, the likelihood is -n/2 ln var(z) and a constant, so its slope is
-    -n cov(z, z') / var(z); the derivatives z' and z'' by lambda are taken from
-    their series where lambda u is small.  Null where var(z) is 0."""
-    types, aggs = dict(df.dtypes), []
-    for i, (c, lam) in enumerate(lambdas.items()):
-        u = F.ln(nan_to_null(F.col(f"`{c}`"), types[c]) + F.lit(shift)) - F.lit(float(centre[c]))
-        t, near = F.lit(float(lam)) * u, []
-        for k in (1, 2, 3):        # z, z', z'' = u^k times a series in t
-            coefficients = {1: (1, 1 / 2, 1 / 6, 1 / 24, 1 / 120, 1 / 720), 2: (1 / 2, 1 / 3, 1 / 8, 1 / 30, 1 / 144, 1 / 840),
-                            3: (1 / 3, 1 / 4, 1 / 10, 1 / 36, 1 / 168, 1 / 960)}[k]
-            poly = F.lit(coefficients[-1])
-            for a in reversed(coefficients[:-1]):
-                poly = poly * t + F.lit(float(a))
-            near.append(poly * F.pow(u, F.lit(float(k))))
-        if lam:
-            e, inv = F.exp(t), 1.0 / lam
-            far = [F.expm1(t) * inv, (e * (t - 1) + 1) * inv ** 2, (e * (t * t - 2 * t + 2) - 2) * inv ** 3]
-            z = [F.when(F.abs(t) < 0.02, n).otherwise(f) for n, f in zip(near, far)]
-        else:
-            z = near
-        aggs += [F.count(u).alias(f"n{i}"), F.var_pop(z[0]).alias(f"v{i}"), F.covar_pop(z[0], z[1]).alias(f"a{i}"),
-                 F.var_pop(z[1]).alias(f"b{i}"), F.covar_pop(z[0], z[2]).alias(f"c{i}")]
-    structs = []
-    for i, c in enumerate(lambdas):
-        n, v, a, b, d = (F.col(f"{k}{i}") for k in "nvabc")
-        ratio = F.when(v > 0, a / v)
-        structs.append(F.struct(F.lit(c).alias("attribute"), (-n * ratio).alias("slope"),
-                                F.when(v > 0, -n * ((b + d) / v - 2 * ratio * ratio)).alias("curvature")))
-    return df.agg(*aggs).select(F.inline(F.array(*structs)))
+    -n cov(z, z') / var(z).  As u is centred, z is near 0 and plain sums lose
+    no digits; numpy takes them batch by batch and a task gives one row a
+    column.  Null where var(z) is 0."""
+    import pyarrow as pa
+
+    types, names = dict(df.dtypes), list(lambdas)
+    u = df.select(*[(F.ln(nan_to_null(F.col(f"`{c}`"), types[c]) + F.lit(shift)) - F.lit(float(centre[c])))
+                    .cast("double").alias(f"u{i}") for i, c in enumerate(names)])
+    lams = [float(lambdas[c]) for c in names]
+    sums = ["s0", "s1", "s2", "q00", "q01", "q11", "q02"]
+
+    def run(batches):
+        import numpy as np
+        total = {}
+        for b in batches:
+            for i, lam in enumerate(lams):
+                x = b.column(i).drop_null().to_numpy(zero_copy_only=False)
+                if not len(x):
+                    continue
+                m = np.array([len(x), *_boxcox_moments(x, lam)])
+                old = total.get(i)
+                total[i] = m if old is None else np.concatenate(
+                    [old[:8] + m[:8], np.fmin(old[8:9], m[8:9]), np.fmax(old[9:], m[9:])])
+        if total:
+            rows = np.array([[i, *total[i]] for i in total])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int32)),
+                                              *(pa.array(rows[:, k]) for k in range(1, rows.shape[1]))],
+                                             names=["i", "n", *sums, "low", "high"])
+
+    parts = u.mapInArrow(run, "i int, n double, " + ", ".join(f"{c} double" for c in [*sums, "low", "high"]))
+    g = parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in ["n", *sums]], F.min("low").alias("low"),
+                               F.max("high").alias("high"))
+    n = F.col("n")
+    cov = lambda q, x, y: F.col(q) / n - F.col(x) / n * (F.col(y) / n)
+    g = g.withColumns({"v": F.when(F.col("low") != F.col("high"), cov("q00", "s0", "s0")).otherwise(0.0),
+                       "a": cov("q01", "s0", "s1"), "b": cov("q11", "s1", "s1"), "d": cov("q02", "s0", "s2")})
+    v, a, b, d = (F.col(k) for k in "vabd")
+    ratio = F.when(v > 0, a / v)
+    found = g.select("i", (-n * ratio).alias("slope"),
+                     F.when(v > 0, -n * ((b + d) / v - 2 * ratio * ratio)).alias("curvature"))
+    side = df.sparkSession.createDataFrame(list(enumerate(names)), "i int, attribute string")
+    return side.join(F.broadcast(found), "i", "left").select("attribute", "slope", "curvature")
 
 
 class BoxCoxModel(Model, _Cols, DefaultParamsReadable, DefaultParamsWritable):
@@ -266,13 +303,15 @@ class BoxCox(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
     curvature at its own lambda.  A step that leaves the bracket of the root,
     or has no use for its curvature, is replaced by halving (or by doubling
     while the bracket is open).  A column is done when its slope is below
-    ``SLOPE`` or its bracket is as narrow as a double allows.
+    ``SLOPE``, its next Newton step is below ``STEP`` of lambda (the slope's
+    rounding grows with the rows, that of the step does not), or its bracket is
+    as narrow as a double allows.
 
     Nulls and NaN are left out; a value that is not positive after the shift is
     an error; a column with no two different values keeps lambda 1, and a
     maximum beyond +-``FARTHEST`` is given as that bound."""
 
-    SLOPE, FARTHEST, STEPS = 1e-7, 1024.0, 100
+    SLOPE, STEP, FARTHEST, STEPS = 1e-7, 1e-10, 1024.0, 100
 
     shift = Param(Params._dummy(), "shift", "added before transform", TypeConverters.toFloat)
 
@@ -288,13 +327,13 @@ class BoxCox(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
     def _fit(self, df):
         cols = self.getInputCols()
         types = dict(df.dtypes)
-        least = df.agg(*[F.min(nan_to_null(F.col(c), types[c])).alias(f"m{i}")
-                         for i, c in enumerate(cols)]).first()
+        value = {c: nan_to_null(F.col(f"`{c}`"), types[c]) for c in cols}
+        found = df.agg(*[F.min(value[c]).alias(f"m{i}") for i, c in enumerate(cols)],
+                       *[F.avg(F.ln(value[c] + F.lit(self._shift))).alias(f"l{i}") for i, c in enumerate(cols)]).first()
+        least, logs = found[:len(cols)], found[len(cols):]
         for c, m in zip(cols, least):
             if m is not None and m + self._shift <= 0:
                 raise ValueError(f"Box-Cox needs positive values: the least of {c} plus the shift is {m + self._shift}")
-        logs = df.agg(*[F.avg(F.ln(nan_to_null(F.col(f"`{c}`"), types[c]) + F.lit(self._shift))).alias(f"m{i}")
-                        for i, c in enumerate(cols)]).first()
         centre = {c: m for c, m in zip(cols, logs) if m is not None}
         lam, done = {c: 1.0 for c in cols}, set(cols) - set(centre)
         low, high = {c: -math.inf for c in cols}, {c: math.inf for c in cols}
@@ -311,6 +350,9 @@ class BoxCox(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
                     lam[c] = (low[c] + high[c]) / 2 if math.isfinite(low[c] + high[c]) else lam[c] / 2
                 elif abs(slope) <= self.SLOPE:
                     done.add(c)
+                elif curve is not None and curve < 0 and abs(slope / curve) <= self.STEP * max(1.0, abs(lam[c])):
+                    lam[c] -= slope / curve
+                    done.add(c)
                 else:
                     if slope > 0:
                         low[c] = lam[c]
