@@ -400,6 +400,9 @@ def tfidf_transform(long_df: DataFrame, idf: DataFrame, doc: str, term: str,
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
+#: About the bytes of text whose terms one task counts.
+PARTITION_TEXT = 16 << 20
+
 
 def term_counts(docs: DataFrame, doc: str, text: str, pattern: str = TOKEN_PATTERN,
                 partitions: int | None = None) -> DataFrame:
@@ -410,8 +413,14 @@ def term_counts(docs: DataFrame, doc: str, text: str, pattern: str = TOKEN_PATTE
     network once (about 6 bytes per token, less than the ~16 bytes per token
     that (doc, term, count) partials would cost), every term count is then
     final inside its task, and later per-document windows reuse the same
-    partitioning without another exchange."""
+    partitioning without another exchange.  There are as many partitions as the
+    texts need for ``PARTITION_TEXT`` bytes each, so a task's memory does not
+    grow with the corpus."""
     sel = docs.select(doc, text)
+    if partitions is None:
+        size = sel.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+        most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = needed if (needed := math.ceil(size / PARTITION_TEXT)) > most else None
     # by column only: AQE sizes (coalesces) the partitions at run time
     by_doc = sel.repartition(partitions, doc) if partitions else sel.repartition(doc)
     toks = by_doc.select(doc, F.explode(F.regexp_extract_all(F.lower(F.col(text)),

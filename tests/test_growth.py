@@ -1,4 +1,6 @@
 """Steps whose cost must not grow faster than their input."""
+from collections import Counter
+
 from tessera.operators import prep
 
 
@@ -17,3 +19,14 @@ def test_boxcox_stops_when_the_slope_is_rounding_only(spark, monkeypatch):
     model = prep.BoxCox(["x"], shift=1.0).fit(df)
     assert abs(model.getOrDefault("lambdas")[0] - 0.7) < 1e-9
     assert len(calls) <= 4
+
+
+def test_term_counts_cut_the_corpus_by_its_bytes(spark, monkeypatch):
+    rows = [(i % 40, f"word{i % 7} word{i % 11} Word{i % 7} x") for i in range(200)] + [(None, "word1 word1"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, w.lower()) for i, x in rows for w in (x or "").split() if len(w) > 1)
+    monkeypatch.setattr(prep, "PARTITION_TEXT", 100, raising=False)
+    counts = prep.term_counts(docs, "doc_id", "text")
+    need = sum(len(x or "") for _, x in rows) // 100
+    assert counts.rdd.getNumPartitions() >= need > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in counts.collect()} == want
