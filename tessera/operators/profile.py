@@ -455,9 +455,10 @@ def correlation_matrix(df: DataFrame, cols=None, method: str = "pearson") -> Dat
     constant column gives null (no division by zero under ANSI).
 
     Spearman correlates average ranks from a distributed rank table: a column
-    is ranked once for all pairs of null-free columns, and anew over the
-    common rows of each pair that touches a column with nulls.  Kendall is
-    the exact tau-b of each pair's common rows.
+    is ranked once for all pairs of null-free columns, and anew over the rows
+    of each column with nulls, for its pairs with the null-free ones, and over
+    the common rows of each pair of columns with nulls.  Kendall is the exact
+    tau-b of each pair's common rows.
     """
     cols = list(cols) if cols is not None else [c for c, t in df.dtypes if _is_numeric(t)]
     t = dict(df.dtypes)
@@ -472,9 +473,14 @@ def correlation_matrix(df: DataFrame, cols=None, method: str = "pearson") -> Dat
             "a string, b string, corr double")
     if method != "pearson":
         raise ValueError("method must be 'pearson', 'spearman' or 'kendall'")
+    means = base.agg(*[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    return df.sparkSession.createDataFrame(_pearson(base, cols, means), "a string, b string, corr double")
+
+
+def _pearson(base: DataFrame, cols: list[str], means) -> list[tuple]:
+    """Rows (a, b, corr) of double columns (nulls, no NaN) in one pass."""
     from tessera.operators.elm import gram_sums
     p = len(cols)
-    means = base.agg(*[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     shifted = F.array(*[F.coalesce(_q(c) - F.lit(means[i] if means[i] is not None else 0.0),
                                    F.lit(math.nan)) for i, c in enumerate(cols)])
 
@@ -498,22 +504,36 @@ def correlation_matrix(df: DataFrame, cols=None, method: str = "pearson") -> Dat
                 if va > 0 and vb > 0:
                     r = 1.0 if i == j else float((hh[i, j] - sa * sb / n) / math.sqrt(va * vb))
             rows.append((cols[i], cols[j], r))
-    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
+    return rows
 
 
 def _rank_columns(base: DataFrame, cols) -> DataFrame:
-    """Replace each column by its average rank (nulls stay null)."""
-    rowed = base.withColumn("_rid", F.monotonically_increasing_id())
-    from tessera.session import cut_lineage
-    rowed = cut_lineage(rowed)  # pin the ids before they are used twice
-    long = rowed.select("_rid", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("attribute"), F.col(f"`{c}`").alias("value")) for c in cols])))
-    ranks = average_ranks(long, "attribute", "value")
-    ranked_long = long.join(ranks.select("attribute", "value", "avg_rank"),
-                            ["attribute", "value"], "left")
-    return (ranked_long.groupBy("_rid")
-            .pivot("attribute", list(cols)).agg(F.first("avg_rank"))
-            .drop("_rid"))
+    """Replace each column, free of nulls, by its average rank.  Rows stay
+    whole and look their ranks up column by column: a short rank table is
+    broadcast, so a value that most rows share moves no row, and only a column
+    of many values is joined by a shuffle, whose hot keys AQE splits."""
+    from tessera.session import broadcast_if_small, cut_lineage
+    long = base.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("attribute"), _q(c).alias("value")) for i, c in enumerate(cols)])))
+    ranks = cut_lineage(average_ranks(long, "attribute", "value").select("attribute", "value", "avg_rank"))
+    out = base.select(*[(_q(c) + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)])   # -0.0 is 0.0
+    for i in range(len(cols)):
+        side = ranks.where(F.col("attribute") == i).select(F.col("value").alias("_value"), F.col("avg_rank").alias("_rank"))
+        out = out.join(broadcast_if_small(side, RANKS_BYTES), F.col(f"x{i}") == F.col("_value")) \
+            .withColumn(f"x{i}", F.col("_rank")).drop("_value", "_rank")
+    return out.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(cols)])
+
+
+#: A longer rank table of a column is not broadcast.
+RANKS_BYTES = 16 << 20
+
+
+def _rank_correlations(base: DataFrame, cols: list[str], n: int) -> dict:
+    """Spearman of all pairs of columns without nulls, over ``n`` rows."""
+    if not n:
+        return {(a, b): None for a in cols for b in cols}
+    mean = [(n + 1) / 2] * len(cols)                # of the ranks of n rows
+    return {(a, b): r for a, b, r in _pearson(_rank_columns(base, cols), cols, mean)}
 
 
 def _spearman(base: DataFrame, cols: list[str]) -> DataFrame:
@@ -523,8 +543,13 @@ def _spearman(base: DataFrame, cols: list[str]) -> DataFrame:
     full = [c for i, c in enumerate(cols) if counts[f"k{i}"] == counts["n"]]
     rows = {}
     if len(full) > 1:
-        ranked = correlation_matrix(_rank_columns(base.select(*map(_q, full)), full), full)
-        rows = {(r["a"], r["b"]): r["corr"] for r in ranked.collect()}  # one row per pair of columns
+        rows = _rank_correlations(base.select(*map(_q, full)), full, counts["n"])
+    for i, c in enumerate(cols):
+        if full and c not in full:
+            # the pairs of c with null-free columns share their rows
+            of = [*full, c]
+            found = _rank_correlations(base.where(_q(c).isNotNull()).select(*map(_q, of)), of, counts[f"k{i}"])
+            rows |= {k: r for k, r in found.items() if c in k}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:] if (a, b) not in rows]
     if pairs:
         rows |= _spearman_pairs(base, pairs)

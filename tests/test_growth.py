@@ -1,7 +1,8 @@
 """Steps whose cost must not grow faster than their input."""
 from collections import Counter
 
-from tessera.operators import prep
+import numpy as np
+from tessera.operators import prep, profile
 
 
 def test_boxcox_stops_when_the_slope_is_rounding_only(spark, monkeypatch):
@@ -30,3 +31,34 @@ def test_term_counts_cut_the_corpus_by_its_bytes(spark, monkeypatch):
     need = sum(len(x or "") for _, x in rows) // 100
     assert counts.rdd.getNumPartitions() >= need > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {(r["doc_id"], r["term"]): r["tf"] for r in counts.collect()} == want
+
+
+def average_ranks(x):
+    x = np.array(x)
+    return [(x < y).sum() + ((x == y).sum() + 1) / 2 for y in x]
+
+
+def test_spearman_ranks_whole_rows_and_once_for_a_column_with_nulls(spark, monkeypatch):
+    """No pair of a null-free column is counted apart, rows are not taken to pieces."""
+    def tagged(base, pairs):
+        raise AssertionError("pairs counted apart")
+
+    monkeypatch.setattr(profile, "_spearman_pairs", tagged)
+    rows = [(float((i * 37) % 101), float(i % 5), 0.0 if i % 2 else -0.0, 3.0, float((i * 13) % 17) if i % 3 else None)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, zero double, const double, sparse double")
+    for limit in (1 << 24, 0):                     # broadcast and shuffled rank tables
+        monkeypatch.setattr(profile, "RANKS_BYTES", limit, raising=False)
+        got = {(r["a"], r["b"]): r["corr"] for r in profile.correlation_matrix(df, method="spearman").collect()}
+        assert len(got) == 25
+        for i, x in enumerate(df.columns):
+            for j, y in enumerate(df.columns):
+                if {x, y} & {"zero", "const"}:
+                    assert got[x, y] is None
+                    continue
+                both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+                u, v = (average_ranks(column) for column in zip(*both))
+                want = np.corrcoef(u, v)[0, 1]
+                assert abs(got[x, y] - want) < 1e-9
+    nothing = df.where("a < 0")
+    assert all(r["corr"] is None for r in profile.correlation_matrix(nothing, method="spearman").collect())
