@@ -8,13 +8,13 @@ radius).  Cells are cut into parts of bounded size, and the queries of a part
 into blocks, so a hot cell is spread over tasks; the pairs are never
 materialised, and only the k best candidates per query and part leave a task.
 
-In many dimensions cells rule out little.  There, vectors are turned onto the
-orthogonal basis of the references' covariance, in which few leading
-coordinates hold most of a distance.  The distance over these, with the norms
-of the rest, bounds a pair's distance from both sides; a block's pairs are
-bounded by one matrix product, and only pairs whose lower bound does not pass
-the query's k-th distance so far are measured in full.  Distances that are
-returned always come from the vectors as given.
+In many dimensions cells rule out little.  A block's squared distances then
+come from one matrix product, which is right up to rounding: less a slack for
+that, it is a lower bound, and only pairs whose bound does not pass the
+query's k-th distance so far are measured in full.  Distances that are returned
+always come from the vectors as given.  Where the cells leave more than
+``CELLS_LEFT`` of all pairs, they are not used: all references are cut into
+larger parts, so that each vector is copied to fewer tasks.
 """
 
 from __future__ import annotations
@@ -41,82 +41,137 @@ def _distances(Q, R):
 
 
 class Bounds:
-    """Lower bounds of distances from leading coordinates on an orthogonal
-    basis.  Rotation keeps lengths up to rounding, which ``SLACK`` covers."""
+    """Lower bounds of distances from the leading coordinates on an orthogonal
+    basis (without one: from all coordinates) and the norm of the rest.
+    Rotation and products keep lengths up to rounding, which ``SLACK`` covers."""
 
     SLACK = 1e-9
 
-    def __init__(self, basis, lead: int):
+    def __init__(self, basis=None, lead: int | None = None):
         self.basis, self.lead = basis, lead
 
     def turned(self, X):
-        """(leading coordinates, norm of the rest, norm) of each row."""
+        """Points whose distances are the bounds, and their squared norms."""
         import numpy as np
-        Z = X @ self.basis
-        return Z[:, :self.lead], np.linalg.norm(Z[:, self.lead:], axis=1), np.linalg.norm(X, axis=1)
+        if self.basis is not None:
+            Z = X @ self.basis
+            X = np.hstack([Z[:, :self.lead], np.linalg.norm(Z[:, self.lead:], axis=1)[:, None]])
+        return X, (X * X).sum(1)
 
     def lower(self, q, r):
-        """A lower bound of every pair's squared distance: the leading part
-        and the difference of the norms of the rest."""
-        import numpy as np
-        (a, rest_a, norm_a), (b, rest_b, norm_b) = q, r
-        lead = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-        size = norm_a.max(initial=0.0) ** 2 + norm_b.max(initial=0.0) ** 2      # scale of the rounding
-        return np.maximum(lead, 0) + (rest_a[:, None] - rest_b[None, :]) ** 2 - self.SLACK * size
-
+        """A lower bound of every pair's squared distance."""
+        (a, size_a), (b, size_b) = q, r
+        size = size_a.max(initial=0.0) + size_b.max(initial=0.0)      # scale of the rounding
+        low = (-2 * a) @ b.T
+        low += size_b[None, :]
+        low += (size_a - self.SLACK * size)[:, None]
+        return low
 
-def basis_of(rows: DataFrame, vec: str, lead: int | None = None) -> Bounds | None:
-    """The basis of the rows' covariance, largest spread first; None if they
-    have fewer than ``LEAST_DIMS`` dimensions or differ in length."""
-    import numpy as np
 
-    from tessera.operators.elm import MAX_GRAM_WIDTH, covariance
+def basis_of(rows: DataFrame, vec: str) -> Bounds | None:
+    """None if the rows have fewer than ``LEAST_DIMS`` dimensions or differ in length."""
     least, d = rows.select(F.min(F.size(vec)), F.max(F.size(vec))).first()
-    if d is None or least != d or d < LEAST_DIMS or d > MAX_GRAM_WIDTH:
-        return None
-    values, vectors = np.linalg.eigh(covariance(rows, vec)[1])
-    return Bounds(vectors[:, np.argsort(values)[::-1]], lead or max(4, d // 4))
+    return None if d is None or least != d or d < LEAST_DIMS else Bounds()
 
 
 #: Fewer dimensions are measured in full at once.
 LEAST_DIMS = 16
+#: Rows of queries and of references whose pairs are bounded at once.
+Q_ROWS, R_ROWS = 256, 2048
+#: Squared norms from here on are measured in full: their products may overflow.
+MOST_NORM = 1e300
+
+
+def _best(i, j, d, k: int):
+    """The k first pairs of every i by (d, j)."""
+    import numpy as np
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[first], j[first], d[first]
+
+
+def near_pairs(Q, R, k: int, bounds: Bounds | None = None, most=None):
+    """(places in Q, places in R, distances) of the pairs of every row of Q with
+    its k nearest rows of R, equal distances by place, and how many pairs were
+    measured in full.  ``most``: distances beyond which a row's pairs may be
+    left out.  Rows with values that are not finite are measured against all."""
+    import numpy as np
+    k, measured, out = min(k, len(R)), 0, []
+    most = np.full(len(Q), np.inf) if most is None else most
+    with np.errstate(over="ignore", invalid="ignore"):
+        plain_q, plain_r = (Q * Q).sum(1) < MOST_NORM, (R * R).sum(1) < MOST_NORM
+    known = bounds is not None and plain_r.sum() > 2 * k
+    full = np.arange(len(Q)) if not known else np.flatnonzero(~plain_q)
+    for s in range(0, len(full), Q_ROWS):
+        d = _distances(Q[full[s:s + Q_ROWS]], R)
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        out.append((np.repeat(full[s:s + Q_ROWS], k), near.ravel(), np.take_along_axis(d, near, 1).ravel()))
+        measured += d.size
+    if known:
+        # a reference that is not finite is infinitely far from all: only the first k can count
+        far = ~np.isfinite(R).all(1)
+        odd = np.sort(np.concatenate([np.flatnonzero(~plain_r & ~far), np.flatnonzero(far)[:k]]))
+        place = np.flatnonzero(plain_r)
+        plain = R if len(place) == len(R) else R[place]
+        right, step = bounds.turned(plain), max(R_ROWS, k)
+        rows = np.flatnonzero(plain_q)
+        for s in range(0, len(rows), Q_ROWS):
+            mine = rows[s:s + Q_ROWS]
+            q = Q[mine]
+            left, limit = bounds.turned(q), most[mine].astype(float) ** 2
+            limit[np.isnan(limit)] = np.inf
+            best = None
+            for t in range(0, len(plain), step):
+                low = bounds.lower(left, tuple(x[t:t + step] for x in right))
+                if t == 0 and not np.isfinite(limit).all():
+                    first = np.argpartition(low, k - 1, axis=1)[:, :k]
+                    diff = q[:, None, :] - plain[first]
+                    limit = np.minimum(limit, np.einsum("ijk,ijk->ij", diff, diff).max(axis=1))     # k pairs are this near
+                    measured += first.size
+                i, j = np.divmod(np.flatnonzero(low <= limit[:, None]), low.shape[1])
+                if not len(i):
+                    continue
+                measured += len(i)
+                d = np.empty(len(i))
+                for u in range(0, len(i), 1 << 16):
+                    part = q[i[u:u + (1 << 16)]] - plain[t + j[u:u + (1 << 16)]]
+                    d[u:u + (1 << 16)] = np.sqrt(np.einsum("ij,ij->i", part, part))
+                found = (i, place[t + j], d)
+                best = _best(*(found if best is None else map(np.concatenate, zip(best, found))), k)
+                n = np.bincount(best[0], minlength=len(mine))
+                last = np.cumsum(n)[n == k] - 1
+                limit[n == k] = np.minimum(limit[n == k], best[2][last] ** 2)
+            best = best or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            if len(odd):
+                d = _distances(q, R[odd])
+                i, j = np.divmod(np.arange(d.size), len(odd))
+                best = _best(*map(np.concatenate, zip(best, (i, odd[j], d.ravel()))), k)
+                measured += d.size
+            out.append((mine[best[0]], best[1], best[2]))
+    i, j, d = map(np.concatenate, zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return i, j, d, measured
 
 
 def k_nearest(Q, R, k: int, bounds: Bounds | None = None):
     """Per row of Q the places and distances of its k nearest rows of R, equal
-    distances by place, and how many pairs were measured in full.  Rows with
-    values that are not finite are measured against all."""
+    distances by place, and how many pairs were measured in full."""
     import numpy as np
     k = min(k, len(R))
-    finite_q, finite_r = np.isfinite(Q).all(1), np.isfinite(R).all(1)
-    if bounds is None or len(R) <= 2 * k or not finite_r.all():
-        d = _distances(Q, R)
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return near, np.take_along_axis(d, near, 1), d.size
-    near, dist = np.empty((len(Q), k), np.int64), np.empty((len(Q), k))
-    measured = 0
-    for rows, known in ((np.flatnonzero(~finite_q), False), (np.flatnonzero(finite_q), True)):
-        if not len(rows):
-            continue
-        if not known:
-            near[rows], dist[rows], n = k_nearest(Q[rows], R, k)
-            measured += n
-            continue
-        low = bounds.lower(bounds.turned(Q[rows]), bounds.turned(R))
-        first = np.argpartition(low, k - 1, axis=1)[:, :k]
-        diff = Q[rows][:, None, :] - R[first]
-        most = np.einsum("ijk,ijk->ij", diff, diff).max(axis=1)         # k pairs are this near
-        i, j = np.nonzero(low <= most[:, None])
-        measured += first.size + len(i)
-        d = np.empty(len(i))
-        for s in range(0, len(i), 1 << 16):
-            part = Q[rows[i[s:s + (1 << 16)]]] - R[j[s:s + (1 << 16)]]
-            d[s:s + (1 << 16)] = np.sqrt(np.einsum("ij,ij->i", part, part))
-        order = np.lexsort((j, d, i))
-        starts = np.searchsorted(i[order], np.arange(len(rows)))
-        pick = order[starts[:, None] + np.arange(k)]
-        near[rows], dist[rows] = j[pick], d[pick]
-    return near, dist, measured
+    i, j, d, measured = near_pairs(Q, R, k, bounds)
+    order = np.argsort(i, kind="stable")
+    return j[order].reshape(len(Q), k), d[order].reshape(len(Q), k), measured
+
+
+#: Share of all pairs left by the cells beyond which all references are met.
+CELLS_LEFT = 0.25
+#: Most values (rows times dimensions) of a block where all references are met.
+BLOCK_VALUES = 1 << 21
+
+
+def _wide_rows(n_query: int, n_ref: int, dims: int, least: int, cores: int) -> int:
+    """Rows of a block: several blocks of pairs for every core, within ``BLOCK_VALUES``."""
+    return max(least, min(BLOCK_VALUES // dims, math.isqrt(n_query * n_ref // (8 * cores))))
 
 
 def _by_number(numbers: dict, default: int = 1):
@@ -182,22 +237,16 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, vec: str, k: int
         order = np.argsort(rid, kind="stable")          # ties -> smaller reference key
         rid, R = rid[order], _stack(rp["_v"])[order]
         carried = {c: rp[f"_c_{c}"].to_numpy()[order] for c in carry}
-        out, Q, most = [], _stack(qp["_v"]), min(kk, len(rid))
-        for s in range(0, len(qid), 256):
-            idx, d, n = k_nearest(Q[s:s + 256], R, most, bounds)
-            if measured is not None:
-                measured.add(n)
-            pick = idx.ravel()
-            part = pd.DataFrame({"_qid": np.repeat(qid[s:s + 256], most), "_rid": rid[pick],
-                                 "dist": d.ravel(),
-                                 **{c: carried[c][pick] for c in carry}})
-            out.append(part[part["_qid"] != part["_rid"]] if exclude_self else part)
-        return pd.concat(out, ignore_index=True)
-
-    def search(visits: DataFrame, where: DataFrame) -> DataFrame:
-        """Candidates of the visits (_qid, _v, _cell, _part), blocks of queries
-        meeting parts of cells."""
-        busy = {c["_cell"]: math.ceil(c["n"] / block_rows) for c in visits.groupBy("_cell", "_part").agg(
+        i, j, d, n = near_pairs(_stack(qp["_v"]), R, kk, bounds, qp["_bound"].to_numpy(dtype=float))
+        if measured is not None:
+            measured.add(n)
+        out = pd.DataFrame({"_qid": qid[i], "_rid": rid[j], "dist": d, **{c: carried[c][j] for c in carry}})
+        return out[out["_qid"] != out["_rid"]] if exclude_self else out
+
+    def search(visits: DataFrame, where: DataFrame, most_rows: int = block_rows) -> DataFrame:
+        """Candidates of the visits (_qid, _v, _bound, _cell, _part), blocks of
+        queries meeting parts of cells."""
+        busy = {c["_cell"]: math.ceil(c["n"] / most_rows) for c in visits.groupBy("_cell", "_part").agg(
             F.count(F.lit(1)).alias("n")).groupBy("_cell").agg(F.max("n").alias("n")).collect()}
         blocks = _by_number(busy)
         left = visits.withColumn("_block", F.pmod(F.xxhash64("_qid"), blocks).cast("int"))
@@ -207,7 +256,7 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, vec: str, k: int
 
     if centres is None:
         all_parts = parts.get(0, 1)
-        visits = q.withColumn("_cell", F.lit(0)).withColumn(
+        visits = q.withColumn("_bound", F.lit(None).cast("double")).withColumn("_cell", F.lit(0)).withColumn(
             "_part", F.explode(F.sequence(F.lit(0), F.lit(all_parts - 1))))
         found = search(visits, rows)
     else:
@@ -218,15 +267,16 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, vec: str, k: int
                 pdf = pdf.copy()
                 d = _distances(_stack(pdf["_v"]), centres[enough]) if len(pdf) else np.zeros((0, 1))
                 pdf["_cell"] = enough[d.argmin(1)] if len(pdf) else []
-                pdf["_part"] = 0
-                yield pdf.astype({"_cell": "int32", "_part": "int32"})
+                pdf["_bound"], pdf["_part"] = math.nan, 0
+                yield pdf.astype({"_bound": "float64", "_cell": "int32", "_part": "int32"})
 
-        tried = search(q.mapInPandas(first, f"_qid {qtype}, _v {vtype}, _cell int, _part int"),
+        tried = search(q.mapInPandas(first, f"_qid {qtype}, _v {vtype}, _bound double, _cell int, _part int"),
                        rows.where("_part = 0"))
         bound = tried.groupBy("_qid").agg(F.sort_array(F.collect_list("dist")).alias("near")).select(
             F.col("_qid").alias("_bid"), F.get("near", F.lit(k - 1)).alias("_bound"))
         number = np.array(sorted(cells))
         radius = np.array([cells[c]["radius"] for c in number])
+        size = np.array([cells[c]["n"] for c in number])
 
         def again(batches):
             for pdf in batches:
@@ -235,15 +285,28 @@ def knn(query: DataFrame, ref: DataFrame, qkey: str, rkey: str, vec: str, k: int
                 d = _distances(_stack(pdf["_v"]), centres[number])
                 most = pdf["_bound"].fillna(math.inf).to_numpy(dtype=float)[:, None]
                 reach = d * (1 - 1e-9) - radius[None, :]
-                row, col = np.nonzero(~(reach > most))       # unknown distances rule nothing out
-                out = pdf.iloc[row][["_qid", "_v"]].copy()
-                out["_cell"] = number[col].astype("int32")
-                yield out.reset_index(drop=True)
+                left = ~(reach > most)                       # unknown distances rule nothing out
+                out = pdf[["_qid", "_v", "_bound"]].copy()
+                out["_cells"] = [number[x].tolist() for x in left]
+                out["_pairs"] = left @ size
+                yield out
 
         bounded = q.join(bound, F.col("_qid").eqNullSafe(F.col("_bid")), "left").select("_qid", "_v", "_bound")
-        visits = bounded.mapInPandas(again, f"_qid {qtype}, _v {vtype}, _cell int")
-        visits = cut_lineage(visits.withColumn("_part", F.explode(F.sequence(F.lit(0), _by_number(parts) - 1))))
-        found = search(visits, rows)
+        bounded = cut_lineage(bounded.mapInPandas(
+            again, f"_qid {qtype}, _v {vtype}, _bound double, _cells array<int>, _pairs long"))
+        n_query, pairs = bounded.agg(F.count(F.lit(1)), F.sum("_pairs")).first()
+        n_ref = int(size.sum())
+        if bounds is not None and pairs and pairs > CELLS_LEFT * n_query * n_ref:
+            wide = _wide_rows(n_query, n_ref, len(centres[0]), block_rows, query.sparkSession.sparkContext.defaultParallelism)
+            n_parts = math.ceil(n_ref / wide)
+            visits = bounded.select("_qid", "_v", "_bound", F.lit(0).alias("_cell"),
+                                    F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("_part"))
+            found = search(visits, rows.withColumn("_cell", F.lit(0)).withColumn(
+                "_part", F.pmod(F.xxhash64("_rid"), F.lit(n_parts)).cast("int")), wide)
+        else:
+            visits = bounded.select("_qid", "_v", "_bound", F.explode("_cells").alias("_cell"))
+            visits = visits.withColumn("_part", F.explode(F.sequence(F.lit(0), _by_number(parts) - 1)))
+            found = search(visits, rows)
     w = Window.partitionBy("_qid").orderBy("dist", "_rid")   # k candidates from each part that was met
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .withColumnRenamed("_qid", qkey).withColumnRenamed("_rid", "ref_id"))

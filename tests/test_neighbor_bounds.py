@@ -75,3 +75,33 @@ def test_no_basis_for_few_or_uneven_dimensions(spark):
     assert nb.basis_of(spark.createDataFrame([([1.0, 2.0],)], "v array<double>"), "v") is None
     assert nb.basis_of(spark.createDataFrame([([1.0] * 20,), ([1.0] * 30,)], "v array<double>"), "v") is None
     assert nb.basis_of(spark.createDataFrame([], "v array<double>"), "v") is None
+
+
+def test_vectors_without_structure_are_not_all_measured(spark):
+    """No coordinates hold most of a distance and no cell is far from another."""
+    X = np.random.default_rng(5).normal(size=(1500, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
+    count = spark.sparkContext.accumulator(0)
+    got = nb.knn(df.where("id < 300"), df.where("id >= 300"), "id", "id", "v", k=3, block_rows=150, measured=count).collect()
+    want = np.argsort(nb._distances(X[:300], X[300:]), axis=1, kind="stable")[:, :3] + 300
+    assert {(r["id"], r["rank"]): r["ref_id"] for r in got} == {(i, j + 1): int(want[i, j]) for i in range(300) for j in range(3)}
+    assert count.value < 300 * 1200 / 4
+
+
+def test_pairs_of_odd_rows_equal_all_pairs(monkeypatch):
+    """Copies, huge values and values that are not finite, over several blocks."""
+    X = np.random.default_rng(6).normal(size=(900, 20))
+    X[100:160] = X[3]
+    X[5, 2], X[6, 1], X[7, 0], X[700, 3], X[8] = np.nan, np.inf, -np.inf, np.nan, 1e155
+    X[710], X[711] = 1e200, 1.1e155
+    monkeypatch.setattr(nb, "Q_ROWS", 64)
+    monkeypatch.setattr(nb, "R_ROWS", 50)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for R in (X, X[:20], X[700:704]):
+            for k in (1, 3, 8):
+                a, b = nb.k_nearest(X, R, k), nb.k_nearest(X, R, k, nb.Bounds())
+                assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+                most = a[1][:, -1]
+                i, j, d, _ = nb.near_pairs(X, R, k, nb.Bounds(), most)
+                got = {(x, y): z for x, y, z in zip(i, j, d)}
+                assert all(got[x, y] == z for x in range(len(X)) for y, z in zip(a[0][x], a[1][x]))
