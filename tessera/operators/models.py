@@ -455,6 +455,7 @@ class NeighbourMember:
 
     def transform(self, df: DataFrame) -> DataFrame:
         from tessera.operators.neighbors import knn, weighted_vote
+        df = cut_lineage(df)          # the search reads its queries several times
         q = df.select(self.key, vector_to_array(self.features).alias("_v"))
         near = knn(q, self.rows_, self.key, self.key, "_v", k=self.k, carry=[self.label])
         vote = weighted_vote(near, self.key, self.label, self.weights)

@@ -116,3 +116,20 @@ def test_titles_must_match_groups(spark):
 def test_fibonacci_weights():
     w = models.fibonacci_weights(5)
     assert w == sorted(w, reverse=True) and abs(sum(w) - 1) < 1e-12
+
+
+def test_neighbour_members_read_their_queries_once(spark):
+    """A search reads its queries several times; each vote before it is not searched again."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            reads.add(len(pdf))
+            yield pdf
+
+    f = _blobs(spark, n=100, seed=3).select("vec_id", "label", "embedding")
+    m = models.NeighbourMember(k=3, key="vec_id").fit(models.with_vector(f, "embedding"))
+    cur = models.with_vector(f.mapInPandas(seen, f.schema), "embedding")
+    for _ in range(3):
+        cur = m.transform(cur).drop("prediction")
+    assert cur.count() == 100 and reads.value == 100
