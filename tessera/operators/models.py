@@ -33,6 +33,18 @@ def with_vector(df: DataFrame, array_col: str, out: str = "features", dims=None)
     return df.withColumn(out, array_to_vector(F.transform(arr, lambda x: x.cast("double"))))
 
 
+#: Rows of a task where a fit reads the same rows again and again.
+TASK_ROWS = 1 << 17
+
+
+def dealt(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written once for fits that read it many times, in as many
+    partitions as its rows need: files of few bytes a row give too few tasks.
+    Enough partitions stay as they are."""
+    need = math.ceil(df.count() / (rows or TASK_ROWS))
+    return cut_lineage(df.repartition(need) if need > df.rdd.getNumPartitions() else df)
+
+
 def extra_trees(**kw) -> RandomForestClassifier:
     """Nearest Spark form of extra-trees: no bootstrap, all rows per tree.
     Split thresholds are not random, so results differ from extra-trees."""

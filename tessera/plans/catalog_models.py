@@ -67,8 +67,8 @@ def stack_blend(spark: SparkSession, sf: str) -> DataFrame:
 
 def _events_features(spark, sf):
     ev = table(spark, sf, "events")
-    ev = ev.select("event_id", "value", F.weekday("ts").alias("weekday"), F.hour("ts").alias("hour"),
-                   F.dayofmonth("ts").alias("day"), "event_type")
+    ev = models.dealt(ev.select("event_id", "value", F.weekday("ts").alias("weekday"), F.hour("ts").alias("hour"),
+                                F.dayofmonth("ts").alias("day"), "event_type"))
     ev = StringIndexer(inputCol="event_type", outputCol="etype", stringOrderType="alphabetAsc") \
         .fit(ev).transform(ev)
     ev = ev.withColumn("y0", F.col("value")).withColumn("y1", F.col("value") * 0.5)

@@ -2,7 +2,9 @@
 from collections import Counter
 
 import numpy as np
-from tessera.operators import prep, profile
+from pyspark.sql import functions as F
+from tessera.operators import models, prep, profile
+from tessera.plans import catalog_models
 
 
 def test_boxcox_stops_when_the_slope_is_rounding_only(spark, monkeypatch):
@@ -62,3 +64,16 @@ def test_spearman_ranks_whole_rows_and_once_for_a_column_with_nulls(spark, monke
                 assert abs(got[x, y] - want) < 1e-9
     nothing = df.where("a < 0")
     assert all(r["corr"] is None for r in profile.correlation_matrix(nothing, method="spearman").collect())
+
+
+def test_rows_that_fits_read_again_go_to_enough_tasks(spark, monkeypatch, tmp_path):
+    """A file of few bytes is one partition, however many rows it has."""
+    rows = [(i, f"2024-01-{i % 28 + 1:02d} {i % 24:02d}:00:00", float(i % 97), "abc"[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, value double, event_type string")
+    df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    few = catalog_models._events_features(spark, str(tmp_path))
+    monkeypatch.setattr(models, "TASK_ROWS", 50, raising=False)
+    many = catalog_models._events_features(spark, str(tmp_path))
+    sizes = many.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert few.rdd.getNumPartitions() == 1 and len(sizes) == 12 and max(sizes) < 100
+    assert not many.inputFiles() and sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
